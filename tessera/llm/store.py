@@ -10,7 +10,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,3 +54,36 @@ class Scratch:
 def fold(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones (of any name) never clash."""
     return docs.select(*[docs[f"`{c}`"] for c in columns])
+
+
+#: Rows of a few numbers that may be broadcast (under 32 MB); larger tables are joined by a shuffle.
+SMALL_ROWS = 500_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """Marks a written, narrow table for broadcasting if a count shows that it is small."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+BITS = 1 << 25
+_PAGE = 1 << 15  # bits in one group of bitmap_construct_agg
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit array of fixed size (4 MB) with the bits of all keys set, whatever their number.
+
+    It only spares work: what passes by a shared bit is for a join to drop.
+    """
+    at = F.pmod(F.col(column), F.lit(BITS))
+    pages = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / _PAGE).cast("int").alias("page"))
+    bits = np.zeros(BITS // 8, np.uint8)
+    size = _PAGE // 8
+    for r in pages.agg(F.expr(f"bitmap_construct_agg(at % {_PAGE})").alias("bits")).collect():
+        bits[r["page"] * size : (r["page"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the uint64 keys whose bit is set."""
+    at = keys & np.uint64(BITS - 1)
+    return np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
