@@ -109,8 +109,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
         for batch in batches:
             doc, rows = batch.column(0).to_pylist(), []
             for at in range(0, batch.num_rows, 256):
-                for d, t in zip(doc[at : at + 256], batch.column(1).slice(at, 256).to_pylist(), strict=True):
-                    ids = enc.encode(t) + end if t else end
+                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
+                for d, ids in zip(doc[at : at + 256], enc.encode_many(texts), strict=True):
+                    ids += end
                     rows += [(d, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -34,7 +34,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str
             ids, texts = batch.column(0), batch.column(1)
             step = 256  # rows at a time: bounds what is held beside the batch
             for at in range(0, batch.num_rows, step):
-                rows = [enc.encode(t) + end if t else end for t in texts.slice(at, step).to_pylist()]
+                rows = [b + end for b in enc.encode_many([t or "" for t in texts.slice(at, step).to_pylist()])]
                 values = np.frombuffer(b"".join(rows), "<i4")
                 offsets = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])

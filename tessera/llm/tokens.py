@@ -20,9 +20,13 @@ _LONG = 64
 
 
 class Encoder:
-    """Text to little-endian uint32 ids.  The cache holds 2 * limit pieces at most."""
+    """Texts to little-endian uint32 ids.  The cache holds 2 * limit pieces at most.
 
-    def __init__(self, path: str, limit: int = 250_000):
+    A cache key is a piece without its leading space; "\\n..." stands for itself and
+    "\\0..." for what follows the zero.
+    """
+
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,34 +35,63 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.limit, self.new, self.old = limit, {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._ids([text])[0]
-        pieces = _PIECE.findall(text)
-        new = self.new
-        missing = set(pieces).difference(new)
-        own: dict[str, bytes] = {}
-        if missing:
-            if len(new) + len(missing) > self.limit:
-                self.old, self.new = new, {}
-                new, missing = self.new, set(pieces)
-            old, ask = self.old, []
-            for p in missing:
-                got = old.get(p)
-                if got is None:
-                    ask.append(p)
-                else:
-                    new[p] = got
-            for p, got in zip(ask, self._ids(ask), strict=True) if ask else ():
-                (own if len(p) > _LONG else new)[p] = got
-            if own:
-                return b"".join([own.get(p) or new[p] for p in pieces])
-        return b"".join([new[p] for p in pieces])
+        vocabulary = self.library.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a character of a byte-level token is a byte
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of pieces.  Those that begin with white space and end without are asked for many at once."""
+        raw = [k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in keys]
+        alone = [i for i, r in enumerate(raw) if not r[0].isspace() or r[-1].isspace()]
+        found = {keys[i]: v.tobytes() for i, v in zip(alone, self._whole([raw[i] for i in alone]), strict=True)}
+        skip = set(alone)
+        many = [i for i in range(len(keys)) if i not in skip]
+        groups = [many[i : i + 64] for i in range(0, len(many), 64)]
+        for group, ids in zip(groups, self._whole(["".join([raw[i] for i in g]) for g in groups]), strict=True):
+            ends = np.cumsum([len(raw[i].encode()) for i in group])
+            at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
+            data, last = ids.tobytes(), 0
+            for i, n in zip(group, at.tolist(), strict=True):
+                found[keys[i]] = data[4 * last : 4 * n]
+                last = n
+        return found
+
+    @staticmethod
+    def _keys(text: str) -> list[str]:
+        words = text.split()
+        lined = "\n" in text
+        if words and (text.replace("\n", " ") if lined else text) == " ".join(words) and "\0" not in text:
+            # single spaces and newlines only, none at the ends
+            keys = text.replace("\n", " \n").split(" ") if lined else words
+            keys[0] = "\0" + keys[0]
+            return keys
+        return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() and p[1] != "\0" else "\0" + p for p in _PIECE.findall(text)]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        odd = {i: self._whole([t])[0].tobytes() for i, t in enumerate(texts) if _ODD.search(t)}
+        keys = [[] if i in odd else self._keys(t) for i, t in enumerate(texts)]
+        wanted = set().union(*keys) if keys else set()
+        missing = wanted.difference(self.new)
+        if len(self.new) + len(missing) > self.limit:
+            self.old, self.new, missing = self.new, {}, wanted
+        new, old = self.new, self.old
+        ask = []
+        for k in missing:
+            got = old.get(k)
+            if got is None:
+                ask.append(k)
+            else:
+                new[k] = got
+        found = self._ask(ask) if ask else {}
+        rare = {k: found.pop(k) for k in [k for k in found if len(k) > _LONG]}  # long pieces are not kept
+        new.update(found)
+        if rare:
+            return [odd[i] if i in odd else b"".join([rare[k] if k in rare else new[k] for k in ks]) for i, ks in enumerate(keys)]
+        return [odd[i] if i in odd else b"".join(map(new.__getitem__, ks)) for i, ks in enumerate(keys)]
 
 
 _encoders: dict[str, Encoder] = {}
