@@ -27,6 +27,32 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, _read(spark, sf_dir, "documents"), public_path(), capacity=1024, end_id=2)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import held_out
+    from .language_id import fit, identify
+
+    docs = _read(spark, sf_dir, "documents")
+    found = identify(spark, docs, fit(docs.filter(~held_out("doc_id"))))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import held_out
+    from .quality_trees import fit, score
+
+    docs = _read(spark, sf_dir, "documents")
+    found = score(spark, docs, fit(docs, _read(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import fit, judge
+
+    docs = _read(spark, sf_dir, "documents")
+    found = judge(docs, fit(docs, _read(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -77,5 +103,5 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_decontamination, op6_token_orc, op9_minhash_near_dup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op6_token_orc, op7_quality_rules, op9_minhash_near_dup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import fold
+from .store import Scratch, fold
 from .tokens import encoder
 
 
@@ -45,7 +45,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str
 
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, row_stride: int = 10_000) -> None:
     """Writes the ids of all documents below ``path``, ascending by id over all files."""
-    placed = fold(docs, id_col, text_col).repartitionByRange(F.col(id_col), F.col(text_col)).sortWithinPartitions(id_col, text_col)
+    placed = fold(docs, id_col, text_col).repartitionByRange(F.col(id_col)).sortWithinPartitions(id_col, text_col)
     (
         encode_documents(placed, vocabulary, end_id, id_col, text_col)
         .write.option("orc.bloom.filter.columns", "doc_id")
@@ -80,6 +80,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
     rows = read_token_ids(spark, path).select(part.alias("part"), "doc_id", "ids").mapInArrow(run, "part int, doc_id long, n_tokens long, ids_crc32 long")
+    rows = Scratch(spark, "token-index").save(rows, "rows")  # the ids are read once
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
