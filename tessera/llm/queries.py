@@ -13,6 +13,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find, fit
+
+    return digest(find(_read(spark, sf_dir, "documents"), fit(spark)))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_orc import token_index, write_token_ids
 
@@ -103,5 +109,5 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op6_token_orc, op7_quality_rules, op9_minhash_near_dup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op5_pii, op6_token_orc, op7_quality_rules, op9_minhash_near_dup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL}
