@@ -102,6 +102,12 @@ FROM low LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, find
+
+    return digest(find(spark, _read(spark, sf_dir, "documents")))
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -109,5 +115,5 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op5_pii, op6_token_orc, op7_quality_rules, op9_minhash_near_dup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op5_pii, op6_token_orc, op7_quality_rules, op8_secret_scan, op9_minhash_near_dup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL}

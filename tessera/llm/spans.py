@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def nothing() -> Column:
     return F.array().cast(SPAN)
 
@@ -47,7 +52,9 @@ def of_kind(spans: Column, kind: str, order: int) -> Column:
 
 def normal_tail(z: Column) -> Column:
     """Two-sided tail probability of a standard normal, by a rational approximation (error below 1e-7)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-a * a / 2) * poly)
+
+    def tail(a: Column) -> Column:
+        poly = let(1 / (1 + 0.2316419 * a), lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))))
+        return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-a * a / 2) * poly)
+
+    return let(F.abs(z), tail)
