@@ -22,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import fold
-
 UNKNOWN = "und"
 
 
@@ -259,8 +257,8 @@ def fit(docs: DataFrame, sample_docs: int = 800, per_doc: int = 6, window: int =
     return train([t for _, t in rows], [x for x, _ in rows], window) if rows else None
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score.  Only the text is read."""
+def identify(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, lang_pred, score, and the columns of ``carry``.  Only the text is judged."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -277,6 +275,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None, id_col:
                     scores[on] = np.clip(p[np.arange(len(on)), best], 0, 1)
                     for i, b in zip(on, best, strict=True):
                         names[i] = m.languages[b]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores), *part.columns[2:]], ["doc_id", "lang_pred", "score", *carry])
 
-    return fold(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    src = docs.select(docs[f"`{id_col}`"].cast("long"), docs[f"`{text_col}`"], *[docs[f"`{c}`"].alias(f"carried_{c}") for c in carry])
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return src.mapInArrow(run, f"doc_id long, lang_pred string, score double{kinds}")

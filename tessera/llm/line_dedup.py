@@ -50,7 +50,9 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.mapInArrow(run, "key binary, doc_id long")
 
 
-def _rebuild(docs: DataFrame, min_chars: int) -> DataFrame:
+def _rebuild(docs: DataFrame, min_chars: int, carry: tuple[str, ...]) -> DataFrame:
+    names = ["doc_id", "kept", "n_lines", "n_dropped", *carry]
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -62,16 +64,18 @@ def _rebuild(docs: DataFrame, min_chars: int) -> DataFrame:
                     kept.append(b"\n".join(stay))
                     lines.append(len(all_lines))
                     lost.append(len(all_lines) - len(stay))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64())], ["doc_id", "kept", "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), *part.columns[3:]], names)
 
-    return docs.mapInArrow(run, "doc_id long, kept binary, n_lines long, n_dropped long")
+    kinds = "".join(f", `{c}` {docs.schema[f'carried_{c}'].dataType.simpleString()}" for c in carry)
+    return docs.mapInArrow(run, f"doc_id long, kept binary, n_lines long, n_dropped long{kinds}")
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, kept (binary, UTF-8), n_lines, n_dropped."""
+def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, kept (binary, UTF-8), n_lines, n_dropped, and the columns of ``carry``."""
     scratch = Scratch(spark, "line-dedup")
-    src = fold(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    pairs = _keys(src, min_chars)
+    carried = [f"carried_{c}" for c in carry]
+    src = fold(docs, id_col, text_col, *carry).toDF("doc_id", "text", *carried).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("binary")})
+    pairs = _keys(src.select("doc_id", "text"), min_chars)
     # Rows bound documents from above: what is rarer than min_docs by rows needs no exact count.
     often = scratch.save(pairs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("key"), "often")
     hits = scratch.save(pairs.join(often, "key").distinct(), "hits")
@@ -80,5 +84,5 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 3, min_cha
     lost = hits.join(frequent, "key").filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
     drops = scratch.save(lost.groupBy("doc_id").agg(F.collect_list("key").alias("drop")), "drops").withColumnRenamed("doc_id", "d")
     scratch.drop("drops")
-    joined = src.join(drops, src.doc_id.eqNullSafe(drops.d), "left").select("doc_id", "text", "drop")
-    return _rebuild(joined, min_chars)
+    joined = src.join(drops, src.doc_id.eqNullSafe(drops.d), "left").select("doc_id", "text", "drop", *carried)
+    return _rebuild(joined, min_chars, carry)
