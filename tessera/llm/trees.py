@@ -41,7 +41,7 @@ class Forest:
 def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 48, l2: float = 2.0, least: int = 8) -> Forest:
     """Boosts logistic loss.  x: rows x features (finite), y: 0 or 1."""
     n, m = x.shape
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0) for j in range(m)]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
     inner = (1 << depth) - 1
     feature, threshold = np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf)
