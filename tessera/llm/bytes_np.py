@@ -59,8 +59,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def chunks(texts: list[bytes | None], size: int = 1 << 20):
-    """Yields (first, last) index ranges of about ``size`` bytes each."""
+def chunks(texts: list[bytes | None], size: int = 1 << 19):
+    """Yields (first, last) index ranges of about ``size`` bytes each (working arrays take some 60 times that)."""
     first, n = 0, 0
     for i, t in enumerate(texts):
         n += len(t or b"") + 1

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import bound_batches
+
 UNKNOWN = "und"
 
 
@@ -259,6 +261,7 @@ def fit(docs: DataFrame, sample_docs: int = 800, per_doc: int = 6, window: int =
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, and the columns of ``carry``.  Only the text is judged."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

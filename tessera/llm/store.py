@@ -51,8 +51,22 @@ class Scratch:
         self.names = [x for x in self.names if x in keep]
 
 
+#: Bytes of one Arrow batch between the JVM and a Python worker: bounds what both hold beside their heaps.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit for an Arrow batch where it is above BATCH_BYTES (texts can be long)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = "".join(c for c in spark.conf.get(key, "0") if c.isdigit())
+    unit = {"k": 10, "m": 20, "g": 30}.get(spark.conf.get(key, "0").rstrip("b")[-1:].lower(), 0)
+    if int(digits or 0) << unit > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def fold(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones (of any name) never clash."""
+    bound_batches(docs.sparkSession)
     return docs.select(*[docs[f"`{c}`"] for c in columns])
 
 

@@ -26,7 +26,7 @@ class Encoder:
     "\\0..." for what follows the zero.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 350_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
