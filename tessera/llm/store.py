@@ -58,9 +58,9 @@ BATCH_BYTES = 8 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's limit for an Arrow batch where it is above BATCH_BYTES (texts can be long)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    digits = "".join(c for c in spark.conf.get(key, "0") if c.isdigit())
-    unit = {"k": 10, "m": 20, "g": 30}.get(spark.conf.get(key, "0").rstrip("b")[-1:].lower(), 0)
-    if int(digits or 0) << unit > BATCH_BYTES:
+    now = spark.conf.get(key, f"{64 << 20}b").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    if int(now.rstrip("kmg")) << unit > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
