@@ -140,10 +140,14 @@ def sparkline(values: Column, marks: str = "▁▂▃▄▅▆▇█") -> Column
 def graded_pairs(graded: DataFrame, uniform: DataFrame, slack: float = 1e-4) -> DataFrame:
     """The pair (graded, uniform) of equal energy with fewer unknowns whose ratio of unknowns is greatest.
 
-    graded, uniform: id, energy, dof.  For a graded run only the smallest ratio's
-    partner matters, so the uniform runs are the small side of a range join.
+    graded, uniform: id, energy, dof.  The best partner of a graded run is the
+    largest uniform run whose energy it reaches: a running maximum over energies.
     """
-    g, u = graded.select(F.col("id").alias("g"), F.col("energy").alias("ge"), F.col("dof").alias("gd")), uniform.select(F.col("id").alias("u"), F.col("energy").alias("ue"), F.col("dof").alias("ud"))
-    pairs = g.join(u, (F.col("ge") >= F.col("ue") * (1 - slack)) & (F.col("gd") < F.col("ud")))
-    pairs = pairs.withColumn("ratio", F.col("ud") / F.nullif(F.col("gd"), F.lit(0))).filter("ratio IS NOT NULL")
-    return pairs.orderBy(F.desc("ratio"), "g", "u").limit(1)
+    side = lambda df, energy, best, own: df.select(energy.alias("e"), best.alias("best"), own.alias("own"))
+    none = F.lit(None)
+    u = side(uniform, F.col("energy") * (1 - slack), F.struct(F.col("dof").cast("double").alias("ud"), (-F.col("id")).cast("long").alias("u")), F.struct(none.cast("long").alias("g"), none.cast("double").alias("gd")))
+    g = side(graded, F.col("energy").cast("double"), none.cast("struct<ud:double,u:bigint>"), F.struct(F.col("id").cast("long").alias("g"), F.col("dof").cast("double").alias("gd")))
+    both = u.unionByName(g).withColumn("last", F.col("best").isNull())  # at equal energy the uniform runs come first
+    found = running(both, F.col("best"), "top", "e", ["last"], kind="max").filter("last AND own.gd > 0 AND top.ud > own.gd")
+    out = found.select("own.g", "own.gd", (-F.col("top.u")).alias("u"), "top.ud", (F.col("top.ud") / F.col("own.gd")).alias("ratio"))
+    return out.orderBy(F.desc("ratio"), "g", "u").limit(1)

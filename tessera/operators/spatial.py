@@ -184,3 +184,84 @@ def columns_under(triangles: DataFrame, h: float) -> DataFrame:
     v = ((F.col("bx") - F.col("ax")) * (py - F.col("ay")) - (px - F.col("ax")) * (F.col("by") - F.col("ay"))) / det
     hit = t.withColumn("u", u).withColumn("v", v).filter("u >= 0 AND v >= 0 AND u + v <= 1")
     return hit.select("i", "j", (F.col("az") + F.col("u") * (F.col("bz") - F.col("az")) + F.col("v") * (F.col("cz") - F.col("az"))).alias("z"))
+
+
+def nearest_passing(faces: DataFrame, elements: DataFrame, quality: float, size: float, save) -> DataFrame:
+    """(pid, sid, d2): each face's nearest element whose quality passes (filtered before any distance)."""
+    return nearest(faces, elements.filter(F.col("quality") >= quality).select("sid", "x", "y", "z"), size, save)
+
+
+def weighted_value(faces: DataFrame, found: DataFrame, elements: DataFrame, value: str) -> DataFrame:
+    """One row: the mean of the nearest elements' values, weighted by face area."""
+    own = found.join(faces.select("pid", "area"), "pid").join(elements.select("sid", value), "sid")
+    return own.agg((F.sum(F.col("area") * F.col(value)) / F.sum("area")).alias("mean"), F.count("*").alias("n"))
+
+
+def best_alignment(faces: DataFrame, targets: DataFrame, radius: float, least: float = 0.866) -> DataFrame:
+    """(pid, best): the best |n . n'| with a target face within radius, from ``least`` on."""
+    pairs = within(faces, targets, radius)
+    a, b = faces.select("pid", *[F.col(f"n{c}").alias(f"p{c}") for c in "xyz"]), targets.select("sid", *[F.col(f"n{c}").alias(f"q{c}") for c in "xyz"])
+    dots = pairs.join(a, "pid").join(b, "sid").withColumn("dot", F.abs(F.col("px") * F.col("qx") + F.col("py") * F.col("qy") + F.col("pz") * F.col("qz")))
+    return dots.filter(F.col("dot") >= least).groupBy("pid").agg(F.max("dot").alias("best"))
+
+
+def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, reach: float) -> DataFrame:
+    """(rid, t): the first hit of each ray within reach.
+
+    rays: rid, ox.., dx.. (unit); triangles: ax.., bx.., cx...  Both are spread over
+    the cells of their bounding boxes, so only those that share a cell are tested.
+    """
+    from ..functions.geometry import ray_triangle
+
+    def spread_box(df: DataFrame, low, high) -> DataFrame:
+        for n, c in zip("ijk", "xyz", strict=True):
+            df = df.withColumn(n, F.explode(F.sequence(F.floor(low(c) / size).cast("long"), F.floor(high(c) / size).cast("long"))))
+        return df
+
+    end = lambda c: F.col(f"o{c}") + reach * F.col(f"d{c}")
+    r = spread_box(rays, lambda c: F.least(F.col(f"o{c}"), end(c)), lambda c: F.greatest(F.col(f"o{c}"), end(c)))
+    t = spread_box(triangles, lambda c: F.least(f"a{c}", f"b{c}", f"c{c}"), lambda c: F.greatest(f"a{c}", f"b{c}", f"c{c}"))
+    hit = ray_triangle(vec("o"), vec("d"), vec("a"), vec("b"), vec("c"))
+    return r.join(t, ["i", "j", "k"]).withColumn("t", hit).filter(F.col("t") <= reach).groupBy("rid").agg(F.min("t").alias("t"))
+
+
+def regions_of_midpoints(edges: DataFrame, regions: DataFrame) -> DataFrame:
+    """(mid, region): a mid-edge node takes a region that both its ends are in.  edges: mid, a, b; regions: nid, region."""
+    ends = edges.join(regions.select(F.col("nid").alias("a"), F.col("region").alias("ra")), "a").join(regions.select(F.col("nid").alias("b"), F.col("region").alias("rb")), "b")
+    return ends.filter("ra = rb").select("mid", F.col("ra").alias("region"))
+
+
+def nearest_other_gap(sites: DataFrame, size: float, save) -> DataFrame:
+    """One row: the mean distance from each site to its nearest other site."""
+    a = sites.select(F.col("sid").alias("pid"), "x", "y", "z")
+    todo, total = a, None
+    for _ in range(12):
+        near = within(todo, sites, size).filter("pid <> sid").groupBy("pid").agg(F.min("d2").alias("d2"))
+        near = save(near)
+        total = near if total is None else total.unionByName(near)
+        todo = save(todo.join(near, "pid", "left_anti"))
+        if not todo.limit(1).count():
+            break
+        size *= 2
+    return total.agg(F.avg(F.sqrt("d2")).alias("mean_gap"), F.count("*").alias("n"))
+
+
+def thin_greedily(sites: DataFrame, gap: float, cell_size: float) -> DataFrame:
+    """Keeps a site if none kept before it (by sid) is nearer than gap, cell by cell.
+
+    The greedy order only holds inside a cell of ``cell_size`` (a bounded group); a
+    last range join drops the later of two kept sites on different sides of a border.
+    """
+    import pandas as pd
+
+    def keep(g: pd.DataFrame) -> pd.DataFrame:
+        g, kept = g.sort_values("sid"), []
+        for r in g.itertuples():
+            if all((r.x - k.x) ** 2 + (r.y - k.y) ** 2 + (r.z - k.z) ** 2 >= gap * gap for k in kept):
+                kept.append(r)
+        return g[g.sid.isin([k.sid for k in kept])][["sid", "x", "y", "z"]]
+
+    by = [F.floor(F.col(c) / cell_size).alias(f"c{c}") for c in "xyz"]
+    inside = sites.select("sid", "x", "y", "z", *by).groupBy("cx", "cy", "cz").applyInPandas(keep, "sid long, x double, y double, z double")
+    clash = within(inside.select(F.col("sid").alias("pid"), "x", "y", "z"), inside, gap).filter("pid > sid").select(F.col("pid").alias("sid")).distinct()
+    return inside.join(clash, "sid", "left_anti")

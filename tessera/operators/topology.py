@@ -235,3 +235,39 @@ def edge_classes(edges: DataFrame, flat_degrees: float = 25.0) -> DataFrame:
 def numbered_once(df: DataFrame, part: list[str], order: list[str], name: str) -> DataFrame:
     """Adds a number from 0 inside each part."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)
+
+
+def longest_edge(elements: DataFrame, nodes: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """(eid, a, b, len2): each element's longest edge, the least (a, b) on ties."""
+    ends = F.array(*[F.struct(F.least(F.element_at("nodes", p + 1), F.element_at("nodes", q + 1)).alias("a"), F.greatest(F.element_at("nodes", p + 1), F.element_at("nodes", q + 1)).alias("b")) for p, q in pairs])
+    flat = elements.select("eid", F.explode(ends).alias("e")).select("eid", "e.a", "e.b")
+    for n in "ab":
+        flat = flat.join(nodes.select(F.col("nid").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "xyz"]), n)
+    d = [F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"]
+    flat = flat.withColumn("len2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    return flat.groupBy("eid").agg(F.min(F.struct((-F.col("len2")).alias("m"), "a", "b")).alias("s")).select("eid", "s.a", "s.b", (-F.col("s.m")).alias("len2"))
+
+
+def bisection_closure(elements: DataFrame, nodes: DataFrame, marked: DataFrame, pairs: list[tuple[int, int]], save, most: int = 50) -> DataFrame:
+    """(eid): the marked elements and all whose edges they split, to the fixpoint.
+
+    Each round splits the longest edge of every element marked so far; elements that
+    hold a split edge are marked in the next.
+    """
+    longest = save(longest_edge(elements, nodes, pairs))
+    ends = F.array(*[F.struct(F.least(F.element_at("nodes", p + 1), F.element_at("nodes", q + 1)).alias("a"), F.greatest(F.element_at("nodes", p + 1), F.element_at("nodes", q + 1)).alias("b")) for p, q in pairs])
+    holds = save(elements.select("eid", F.explode(ends).alias("e")).select("eid", "e.a", "e.b"))
+    done = save(marked.select("eid").distinct())
+    for _ in range(most):
+        split = longest.join(done, "eid", "left_semi").select("a", "b").distinct()
+        more = save(holds.join(split, ["a", "b"], "left_semi").select("eid").distinct().join(done, "eid", "left_anti"))
+        if not more.limit(1).count():
+            break
+        done = save(done.unionByName(more))
+    return done
+
+
+def capped(df: DataFrame, order: list, share: float, least: int = 8) -> DataFrame:
+    """The first share of the rows in an order, at least ``least``: a stated limit of the refinement plan."""
+    n = df.count()
+    return df.orderBy(*order).limit(max(least, int(share * n)))

@@ -183,9 +183,9 @@ def _faces(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT o_custkey AS p, l_partkey AS q, l_suppkey AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 e AS (SELECT p AS a, q AS b FROM f UNION ALL SELECT q, r FROM f UNION ALL SELECT r, p FROM f), c AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM e GROUP BY ALL)
-SELECT a, b, n FROM c WHERE n <> 2 AND a < 20""")
+SELECT a, b, n FROM c WHERE n <> 2""")
 def open_edges(spark: SparkSession, d: str) -> DataFrame:
-    return topology.open_edges(_faces(spark, d), ["eid"]).filter("a < 20")
+    return topology.open_edges(_faces(spark, d), ["eid"])
 
 
 @query("""WITH p AS (SELECT l_orderkey * 8 + l_linenumber AS pos, round(l_quantity) AS q, l_discount AS c, l_tax AS t FROM lineitem), k AS (SELECT q, c, t, min(pos) AS first_position, count(*) AS n_points FROM p GROUP BY ALL)
@@ -195,10 +195,12 @@ def weld_points(spark: SparkSession, d: str) -> DataFrame:
     return topology.weld(p, ["q", "c", "t"], "pos").select("first_position", "n_points").distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, CAST(s_suppkey % 5 + 100 AS INTEGER) AS b FROM supplier WHERE s_acctbal > 8000), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS seen FROM l UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node) SELECT CAST(node AS INTEGER) AS node, CAST(min(seen) AS INTEGER) AS label FROM r GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT 1000 + s_suppkey AS a, CAST(s_nationkey AS BIGINT) AS b FROM supplier UNION SELECT n_nationkey, 100 + n_regionkey FROM nation), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS seen FROM l UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node) SELECT node, min(seen) AS label FROM r GROUP BY node""")
 def connected_regions(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("a"), (F.col("s_suppkey") % 5 + 100).cast("int").alias("b"))
+    """Suppliers, their nations and those nations' regions as one graph."""
+    e = table(spark, d, "supplier").select((1000 + F.col("s_suppkey")).alias("a"), F.col("s_nationkey").cast("long").alias("b"))
+    e = e.union(table(spark, d, "nation").select(F.col("n_nationkey").cast("long"), (100 + F.col("n_regionkey")).cast("long")))
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     return topology.components(e, nodes, saver(spark, "regions"))
 
@@ -258,12 +260,12 @@ def finest_per_cell(spark: SparkSession, d: str) -> DataFrame:
     return spatial.finest_per_cell(p, [F.floor(F.col("p_size") / 5), F.col("p_brand")], "p_retailprice", "p_partkey").drop("p_brand")
 
 
-@query("""SELECT s_suppkey AS nid, coalesce(round(avg(l_quantity), 6), 0.0) AS sigma FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_discount > 0.09 GROUP BY s_suppkey""")
+@query("""SELECT s_suppkey AS nid, coalesce(round(avg(l_quantity), 6), 0.0) AS sigma FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
 def nodal_average(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").filter("l_discount > 0.09").withColumn("eid", F.expr("l_orderkey * 8 + l_linenumber"))
-    inc = line.select(F.col("l_suppkey").alias("nid"), "l_quantity")
-    out = table(spark, d, "supplier").select(F.col("s_suppkey").alias("nid")).join(inc.groupBy("nid").agg(F.avg("l_quantity").alias("sigma")), "nid", "left")
-    return out.select("nid", F.coalesce(F.round("sigma", 6), F.lit(0.0)).alias("sigma"))
+    line = table(spark, d, "lineitem").withColumn("eid", F.monotonically_increasing_id())
+    line = saver(spark, "nodal")(line.select("eid", F.col("l_suppkey").alias("nid"), F.col("l_quantity").alias("sigma")))
+    out = fields.nodal_average(line.select("eid", "nid"), line.select("eid", "sigma"), ["sigma"], table(spark, d, "supplier").select(F.col("s_suppkey").alias("nid")))
+    return out.withColumn("sigma", F.round("sigma", 6))
 
 
 @query("""WITH k AS (SELECT l_suppkey AS row, l_partkey AS col, sum(CAST(l_quantity AS DECIMAL(18,2))) AS val FROM lineitem GROUP BY ALL)
@@ -357,25 +359,25 @@ def trend_series(spark: SparkSession, d: str) -> DataFrame:
     return out.select("o_custkey", F.col("n").cast("long").alias("n"), F.col("series").isNotNull().alias("has_series"), "first", "last")
 
 
-@query("""SELECT s_nationkey AS g, ratio FROM (SELECT s_nationkey, s_suppkey, max(CAST(c_custkey AS DOUBLE) / s_suppkey) AS ratio FROM supplier JOIN customer ON s_acctbal >= c_acctbal * (1 - 1e-4) AND s_suppkey < c_custkey WHERE c_custkey % 10 = 0 AND s_suppkey > 0 GROUP BY ALL ORDER BY ratio DESC, s_suppkey LIMIT 1)""")
+@query("""SELECT s_nationkey AS g, ratio FROM (SELECT s_nationkey, s_suppkey, max(CAST(c_custkey AS DOUBLE) / s_suppkey) AS ratio FROM supplier JOIN customer ON s_acctbal >= c_acctbal * (1 - 1e-4) AND s_suppkey < c_custkey WHERE s_suppkey > 0 GROUP BY ALL ORDER BY ratio DESC, s_suppkey LIMIT 1)""")
 def graded_uniform_pair(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("energy"), F.col("s_suppkey").alias("dof"), "s_nationkey")
-    u = table(spark, d, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("energy"), F.col("c_custkey").alias("dof"))
+    u = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("energy"), F.col("c_custkey").alias("dof"))
     best = X.graded_pairs(g, u)
     return best.join(g.select(F.col("id").alias("g"), "s_nationkey"), "g").select(F.col("s_nationkey").alias("g"), "ratio")
 
 
-@query("SELECT orphan, l_partkey AS nid FROM (SELECT true AS orphan, p_partkey AS l_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50))")
+@query("SELECT true AS orphan, p_partkey AS nid FROM part WHERE p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
 def orphan_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("nid"))
-    elements = table(spark, d, "lineitem").filter("l_quantity = 50").select(F.array("l_partkey").alias("nodes"))
+    elements = table(spark, d, "lineitem").select(F.array("l_suppkey").alias("nodes"))
     return topology.orphans(nodes, elements).select(F.lit(True).alias("orphan"), "nid")
 
 
 @query("""SELECT l_partkey AS entity, CAST(min(l_linenumber) AS INTEGER) AS p FROM lineitem GROUP BY 1""")
 def entity_minimum(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem")
-    return line.groupBy(F.col("l_partkey").alias("entity")).agg(F.min("l_linenumber").cast("int").alias("p"))
+    line = saver(spark, "entity")(table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("eid"), F.col("l_partkey").alias("entity"), F.col("l_linenumber").alias("p")))
+    return fields.entity_minimum(line.select("eid", "entity"), line.select("eid", "p")).withColumn("p", F.col("p").cast("int"))
 
 
 @query("SELECT p_type AS etype, count(*) AS n FROM part GROUP BY 1")
@@ -400,3 +402,90 @@ def lattice_tet_box(spark: SparkSession, d: str) -> DataFrame:
     volume = flat.agg(F.count("*").cast("int").alias("n_elements"), F.round(F.sum(G.tet_volume(*[G.vec(f"p{i}") for i in range(4)])), 9).alias("volume"))
     sizes = c.agg(F.count("*").cast("int").alias("n_cells")).crossJoin(nodes.agg(F.count("*").cast("int").alias("n_nodes")))
     return both.select(F.col("n_boundary").cast("int").alias("n_boundary"), F.col("n_interior").cast("int").alias("n_interior")).crossJoin(hanging).crossJoin(volume).crossJoin(sizes)  # single rows
+
+
+@query("""SELECT count(*) AS n, min(l_quantity * l_tax) AS min_volume, max(l_quantity * l_tax) AS max_volume, min(l_discount) AS min_aspect, round(avg(l_discount), 6) AS mean_aspect, count(*) FILTER (WHERE l_discount < 0.05) AS n_slivers FROM lineitem""")
+def tet_quality_summary(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "lineitem").select((F.col("l_quantity") * F.col("l_tax")).alias("volume"), F.col("l_discount").alias("aspect"))
+    return fields.tet_quality(df)
+
+
+@query("SELECT min(c_acctbal / 10) AS min_x, max(c_acctbal / 10) AS max_x, min(c_nationkey * 10.0::DOUBLE) AS min_y, max(c_nationkey * 10.0::DOUBLE) AS max_y, min((c_custkey % 50) * 1.0::DOUBLE) AS min_z, max((c_custkey % 50) * 1.0::DOUBLE) AS max_z FROM customer")
+def bounding_box(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.bounding_box(_points(spark, d, "customer", "c_custkey", "pid"))
+
+
+@query("SELECT CAST(least(floor(l_quantity / 51 * 48), 47) AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, bin LIMIT 1")
+def radius_peak(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.radius_peak(table(spark, d, "lineitem"), F.col("l_quantity"), 48, 51.0)
+
+
+@query("""SELECT p_partkey, round((CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size * 0.5 END + p_retailprice * 0.3 + CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_partkey * 0.2 END) / (CASE WHEN p_size % 3 = 0 THEN 0 ELSE 0.5 END + 0.3 + CASE WHEN p_size % 5 = 0 THEN 0 ELSE 0.2 END), 4) AS score FROM part""")
+def scorecard(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("a"), F.col("p_retailprice").alias("b"), F.when(F.col("p_size") % 5 != 0, F.col("p_partkey")).alias("c"))
+    return fields.weighted_scorecard(df, {"a": 0.5, "b": 0.3, "c": 0.2}).select("p_partkey", F.round("score", 4).alias("score"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(CASE WHEN l_tax = 0 THEN abs(l_discount) ELSE abs(l_discount - l_tax) / abs(l_tax) END, 6) AS rel_err,
+round(CASE WHEN l_linestatus = 'O' THEN 1 / (1 + (CASE WHEN l_tax = 0 THEN abs(l_discount) ELSE abs(l_discount - l_tax) / abs(l_tax) END) / 0.05) ELSE 0.0 END, 6) AS score FROM lineitem""")
+def metric_scores(spark: SparkSession, d: str) -> DataFrame:
+    rel = scoring.relative_error(F.col("l_discount"), F.col("l_tax"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.round(rel, 6).alias("rel_err"), F.round(scoring.metric_score(rel, F.lit(None).cast("double"), F.col("l_linestatus") == "O"), 6).alias("score"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS eid, l_partkey AS a, l_suppkey AS b FROM lineitem), r AS (SELECT p_partkey AS nid, p_size % 3 AS region FROM part)
+SELECT DISTINCT eid AS mid, CAST(r1.region AS INTEGER) AS region FROM e JOIN r r1 ON r1.nid = a JOIN r r2 ON r2.nid = b WHERE r1.region = r2.region""")
+def midpoint_regions(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("mid"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("nid"), (F.col("p_size") % 3).alias("region"))
+    return spatial.regions_of_midpoints(e, r).distinct()
+
+
+_PASS = _XYZ.replace("FROM supplier)", "FROM supplier WHERE s_suppkey % 3 > 0)")
+
+
+@query(f"SELECT round(sum(area * v) / sum(area), 6) AS mean, count(*) AS n FROM (SELECT c.id AS pid, 1 + c.id % 4 AS area, min({{'d2': {_D2}, 'sid': s.id}}).sid % 11 AS v FROM {_PASS} GROUP BY c.id)")
+def nearest_passing_mean(spark: SparkSession, d: str) -> DataFrame:
+    f = _points(spark, d, "customer", "c_custkey", "pid").withColumn("area", 1 + F.col("pid") % 4)
+    e = _points(spark, d, "supplier", "s_suppkey", "sid").withColumn("quality", (F.col("sid") % 3).cast("double")).withColumn("v", F.col("sid") % 11)
+    out = spatial.weighted_value(f, spatial.nearest_passing(f, e, 1.0, 60.0, saver(spark, "passing")), e, "v")
+    return out.select(F.round("mean", 6).alias("mean"), "n")
+
+
+@query(f"SELECT round(avg(sqrt(d2)), 6) AS mean_gap, count(*) AS n FROM (SELECT c.id, min({_D2}) AS d2 FROM {_XYZ.replace('c_acctbal', 's_acctbal').replace('c_nationkey', 's_nationkey').replace('c_custkey', 's_suppkey').replace('FROM customer', 'FROM supplier')} WHERE c.id <> s.id GROUP BY c.id)")
+def nearest_other_gap(spark: SparkSession, d: str) -> DataFrame:
+    out = spatial.nearest_other_gap(_points(spark, d, "supplier", "s_suppkey", "sid"), 50.0, saver(spark, "gap"))
+    return out.select(F.round("mean_gap", 6).alias("mean_gap"), "n")
+
+
+@query("""WITH e AS (SELECT DISTINCT o_custkey % 40 AS a, 40 + l_partkey % 60 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), h0 AS (SELECT 0 AS node), h1 AS (SELECT DISTINCT b AS node FROM l WHERE a IN (FROM h0) AND b NOT IN (FROM h0)),
+h2 AS (SELECT DISTINCT b AS node FROM l WHERE a IN (FROM h1) AND b NOT IN (SELECT node FROM h0 UNION FROM h1)) SELECT node, 0 AS hops FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""")
+def hop_distance(spark: SparkSession, d: str) -> DataFrame:
+    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    e = line.join(orders, line.l_orderkey == orders.o_orderkey).select((F.col("o_custkey") % 40).alias("a"), (40 + F.col("l_partkey") % 60).alias("b"))
+    seed = spark.range(1).select(F.lit(0).cast("long").alias("node"))
+    return topology.hops(e, seed, saver(spark, "hops"), most=2)
+
+
+@query("""WITH n AS (SELECT vec_id, label, embedding AS e FROM embeddings) SELECT a.vec_id, arg_min(b.vec_id, {'d': round(1 - list_cosine_similarity(a.e, b.e), 5), 'i': b.vec_id}) AS nearest FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1""")
+def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vector of the same label among all rows, for the stated queries (ids divisible by 20)."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    a, b = e.filter("vec_id % 20 = 0"), e.toDF("other", "label", "f")
+    cos = product(F.col("e"), F.col("f")) / F.sqrt(product(F.col("e"), F.col("e")) * product(F.col("f"), F.col("f")))
+    pairs = a.join(b, "label").filter("vec_id <> other").withColumn("dist", F.round(1 - cos, 5))
+    return pairs.groupBy("vec_id").agg(F.min(F.struct("dist", "other"))["other"].alias("nearest"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS eid, l_partkey AS n0, l_suppkey AS n1, o_custkey AS n2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+u AS (SELECT DISTINCT unnest([n0, n1, n2]) AS nid FROM t) SELECT count(*) AS n_nodes, min(nid) AS first, max(nid) AS last, (SELECT count(*) FROM t) AS n_elements FROM u""")
+def compact_nodes(spark: SparkSession, d: str) -> DataFrame:
+    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    e = line.join(orders, line.l_orderkey == orders.o_orderkey).select(F.xxhash64(*line.columns).alias("eid"), F.array("l_partkey", "l_suppkey", "o_custkey").alias("nodes"))
+    ids = [table(spark, d, t).select(F.col(k).alias("nid")) for t, k in (("part", "p_partkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"))]
+    nodes = ids[0].union(ids[1]).union(ids[2]).distinct().withColumn("was", F.col("nid"))
+    kept, new = topology.compact(nodes, e)
+    one = kept.agg(F.count("*").alias("n_nodes"), F.min("was").alias("first"), F.max("was").alias("last"), (F.max("nid") + 1).alias("dense"))
+    return one.filter("n_nodes = dense").crossJoin(new.agg(F.count("*").alias("n_elements"))).select("n_nodes", "first", "last", "n_elements")  # single rows
