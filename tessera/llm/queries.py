@@ -27,6 +27,21 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+OP9_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS sh
+      FROM (SELECT doc_id, ws, least(len(ws), 5) AS size, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS node, a AS seen FROM e UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id, coalesce(component, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -116,4 +131,4 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op5_pii, op6_token_orc, op7_quality_rules, op8_secret_scan, op9_minhash_near_dup, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_minhash_near_dup": OP9_SQL}
