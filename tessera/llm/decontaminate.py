@@ -113,7 +113,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     shingles = every.select(F.explode("shingles").alias("shingle")).distinct()
     counts = document_frequency(spark, src, bitmap(shingles, "shingle"), widths)
     counts = scratch.save(shingles.join(counts, "shingle", "left").select("shingle", F.coalesce("n", F.lit(0)).alias("n")), "counts")
-    distinct = scratch.save(every.groupBy("words").agg(F.first("shingles").alias("shingles"), F.first("width").alias("width")).withColumn("window_id", F.xxhash64("words")), "distinct")
+    distinct = scratch.save(every.groupBy("words").agg(F.first("shingles").alias("shingles"), F.first("width").alias("width")), "distinct")
     placed = distinct.select("words", F.posexplode("shingles").alias("offset", "shingle")).join(counts, "shingle")
     # A shingle in no document rules its window out; of the rest the rarest, then the first, is the prefix.
     rarest = placed.groupBy("words").agg(F.min(F.struct("n", "offset", "shingle")).alias("best")).filter("best.n > 0")

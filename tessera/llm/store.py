@@ -99,5 +99,5 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of the uint64 keys whose bit is set."""
-    at = keys & np.uint64(BITS - 1)
+    at = keys & np.uint64(8 * len(bits) - 1)
     return np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
