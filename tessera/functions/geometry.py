@@ -143,9 +143,9 @@ def hash01(i: Column, seed: int = 0) -> Column:
     m = F.lit((1 << 32) - 1)
     mul = lambda x, k: ((x.bitwiseAND(F.lit(0xFFFF)) * k) + F.shiftleft((F.shiftright(x, 16) * k).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(m)
     x = (i.cast("long") + seed).bitwiseAND(m)
-    for k in (0x7FEB352D, 0x846CA68B):
-        x = mul(x.bitwiseXOR(F.shiftright(x, 16)), k)
-    return x.bitwiseXOR(F.shiftright(x, 16)).cast("double") / float(1 << 32)
+    for shift, k in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x = mul(x.bitwiseXOR(F.shiftright(x, shift)), k)
+    return x.bitwiseXOR(F.shiftright(x, 16)).cast("double") / float((1 << 32) - 1)
 
 
 def density(h: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The relative error that halves a score, the weights a campaign has by default.
 HALF_ERROR = 0.05
-WEIGHTS = {"accuracy": 0.7, "solve_ms": 0.2, "mesh_ms": 0.1}
+WEIGHTS = {"accuracy": 0.5, "solve_ms": 0.25, "mesh_ms": 0.25}
 #: Wall-clock limits in seconds by tier (the last holds from there on).
 WALL_LIMITS = (900.0, 900.0, 2700.0)
 #: Budgets of a run.
@@ -52,9 +52,16 @@ def predicted_elements(volume: Column, h: Column) -> Column:
     return 6 * volume / (h * h * h)
 
 
-def over_budget(predicted: Column, n_dof: Column, wall_s: Column, wall_limit: Column) -> Column:
-    """Why a run is over budget, or null: sizing before meshing, mesher after it, then the solver's size, then time."""
-    return F.when(predicted > MAX_ELEMENTS, "sizing").when(n_dof > MAX_DOF, "budget").when(wall_s > wall_limit, "wall_clock")
+def over_budget(predicted: Column, n_dof: Column, n_elements: Column, wall_s: Column, wall_limit: Column) -> Column:
+    """Why a run is over budget, or null.
+
+    A prediction of more than twice the elements allowed is the sizing's fault; a mesh
+    over a limit is the mesher's where it has over three times the prediction, else
+    the budget's; then comes time.
+    """
+    large = (n_dof > MAX_DOF) | (n_elements > MAX_ELEMENTS)
+    runaway = (predicted > 0) & (n_elements > 3 * predicted)
+    return F.when(predicted > 2 * MAX_ELEMENTS, "sizing").when(large & runaway, "mesher").when(large, "budget").when(wall_s > wall_limit, "wall_clock")
 
 
 def curved_fraction(n_triangles: Column) -> Column:
@@ -111,15 +118,59 @@ def percent(x: Column) -> Column:
 
 
 def milliseconds(ms: Column) -> Column:
-    """Milliseconds below a second, seconds from there on."""
-    return F.when(ms < 1000, F.format_string("%.0f ms", ms)).otherwise(F.format_string("%.2f s", ms / 1000))
+    """Whole milliseconds below a second, then seconds with two places, from ten seconds on with one."""
+    return F.when(ms >= 10000, F.format_string("%.1fs", ms / 1000)).when(ms >= 1000, F.format_string("%.2fs", ms / 1000)).otherwise(F.format_string("%.0fms", ms))
 
 
 def run_state(text: Column, known: tuple[str, ...] = ("ok", "solve_suspect", "mesh_fail", "solve_fail", "over_budget")) -> Column:
     return F.when(text.isin(*known), text).otherwise("unknown")
 
 
-def tendency(t: Column, skin: Column) -> Column:
-    """Element family from a tendency in -1..1: simplices, mixed, hexahedra, polyhedra; exactly 0 asks for the default."""
-    x = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), t + F.when(skin, F.lit(0.1)).otherwise(F.lit(0.0))))
-    return F.when(t == 0, "default").when(x < -0.5, "tet").when(x < 0.25, "hybrid").when(x < 0.75, "hex").otherwise("poly")
+#: Names a mesher goes by.
+MESHERS = {
+    "hex": ("hex",), "tet": ("tet", "tet_fill"), "graded_tet": ("graded_tet", "graded"), "hybrid": ("hybrid_zoo", "hybrid", "zoo"), "hybrid_vem": ("hybrid_vem", "hybridvem", "hybrid-vem"), "hexpyr": ("hexpyr", "transition"),
+    "prism": ("prism", "sweep"), "hexvem": ("hexvem", "vem"), "octa": ("octa", "octahedral"), "varyhedron": ("varyhedron", "vary"), "cvt_poly": ("cvt_poly", "cvt", "restricted_cvt"),
+}
+
+
+def mesher(name: Column) -> Column:
+    """The mesher of a name; an unknown name fails."""
+    out = None
+    for own, names in MESHERS.items():
+        test = name.isin(*names)
+        out = F.when(test, own) if out is None else out.when(test, own)
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown mesher "), name)))
+
+
+def tendency(base: Column, t: Column, skin_layers: Column) -> tuple[Column, Column]:
+    """(mesher, skin layers) after the shape dial -1..1; exactly 0 keeps the base, as do meshers outside the three families."""
+    x = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), t))
+    layers = F.greatest(F.lit(1), skin_layers)
+    dialled = base.isin("hybrid", "hybrid_vem", "hex", "hexvem", "tet", "graded_tet", "varyhedron")
+    idle = F.abs(x) < 1e-12
+    to = F.when(x <= -0.5, "hex").when(x <= 0.25, "hybrid").when(x <= 0.75, "hybrid_vem").otherwise("graded_tet")
+    own = F.when(idle | ~dialled, base).otherwise(to)
+    skin = F.when(idle, layers).when((own == "hybrid") & (x < 0), F.greatest(F.lit(1), skin_layers - 1)).when((own == "graded_tet") & (x > 0.75), skin_layers + 1).otherwise(layers)
+    return own, skin
+
+
+#: Kinds of probes by the answer they read, and those that divide by a nominal value.
+PROBES = {
+    "sigma_face_mean": ("mean_vm", "mean_von_mises", "face_mean_vm"), "sigma_max": ("max_von_mises", "max_vm"), "sigma_p99": ("sigma_p99", "p99_vm"),
+    "strain_energy": ("strain_energy", "energy"), "tip_deflection": ("max_displacement", "tip_deflection"),
+}
+RATIOS = {"sigma_face_mean": ("mean_vm_over_nominal", "scf_mean", "scf"), "sigma_max": ("max_vm_over_nominal",)}
+FACE_MEANS = {"mean_ux_on_face": (0, "mean_ux"), "mean_uz_on_face": (2, "mean_uz")}
+
+
+def probe(kind: Column, nominal: Column, answers: dict[str, Column]) -> Column:
+    """The measured value of a probe; a ratio without a nominal value and an unknown kind fail."""
+    out = F.when(F.lit(False), F.lit(0.0))
+    for name, kinds in PROBES.items():
+        out = out.when(kind.isin(*kinds), answers[name])
+    missing = F.raise_error(F.concat(kind, F.lit(" needs a nominal value"))).cast("double")
+    for name, kinds in RATIOS.items():
+        out = out.when(kind.isin(*kinds), F.when(F.coalesce(F.abs(nominal) > 0, F.lit(False)), answers[name] / F.nullif(nominal, F.lit(0.0))).otherwise(missing))
+    for own, (axis, name) in FACE_MEANS.items():
+        out = out.when(kind == own, F.when(answers["dominant_load_axis"] == axis, answers["mean_u_component"]).otherwise(answers[name]))
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown probe kind "), kind)).cast("double"))

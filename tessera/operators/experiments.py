@@ -130,11 +130,12 @@ def trend(results: DataFrame, keys: list[str], order: list[str], value: str) ->
     return out.select(*keys, F.size("s").alias("n"), F.array_join(values, ",").alias("series"), F.element_at("s", 1)[value].alias("first"), F.element_at("s", -1)[value].alias("last"))
 
 
-def sparkline(values: Column, marks: str = "▁▂▃▄▅▆▇█") -> Column:
-    """Numbers scaled between their least and greatest to eight marks; the middle mark where they are equal."""
+def sparkline(values: Column, marks: str = "▁▂▃▄▅▆▇█", width: int = 24) -> Column:
+    """Numbers scaled between their least and greatest to eight marks, a dot for a null; the lowest mark (at most ``width``) where all are equal."""
     low, high = F.array_min(values), F.array_max(values)
-    place = lambda v: F.when(high == low, F.lit(len(marks) // 2)).otherwise(F.least(F.lit(len(marks) - 1), F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * len(marks)).cast("int")))
-    return F.array_join(F.transform(values, lambda v: F.substring(F.lit(marks), place(v) + 1, F.lit(1))), "")
+    place = lambda v: F.least(F.lit(len(marks) - 1), F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * (len(marks) - 1) + 1e-9).cast("int"))
+    drawn = F.array_join(F.transform(values, lambda v: F.coalesce(F.substring(F.lit(marks), place(v) + 1, F.lit(1)), F.lit("·"))), "")
+    return F.when(low.isNull(), "(no data)").when(high <= low, F.repeat(F.lit(marks[0]), F.least(F.lit(width), F.greatest(F.lit(1), F.size(values))))).otherwise(drawn)
 
 
 def graded_pairs(graded: DataFrame, uniform: DataFrame, slack: float = 1e-4) -> DataFrame:

@@ -50,6 +50,29 @@ def smooth(nodes: DataFrame, edges: DataFrame, save, rounds: int = 5, rate: floa
     return nodes
 
 
-def refine_suggestion(marked: DataFrame, factor: float, h_min: float, floor: float = 0.05) -> DataFrame:
-    """New sizes of marked elements: h * factor, not below h_min nor a twentieth of h.  marked: eid, h."""
-    return marked.select("eid", F.greatest(F.lit(h_min), F.col("h") * F.greatest(F.lit(factor), F.lit(floor))).alias("h_next"))
+def refine_suggestion(elements: DataFrame, theta: float, h: float, factor: float, h_min: float = 0.0) -> tuple[DataFrame, float, float]:
+    """(marked elements, next size, width of the seed band).  elements: eid, eta.  Below a twentieth of marked elements the size stays."""
+    from ..operators.ordered import dorfler_mark
+
+    marked = dorfler_mark(elements, "eta", theta, ["eid"])
+    n, k = marked.agg(F.count("*"), F.count_if("marked")).first()
+    stays = k == 0 or k / n < 0.05
+    return marked.filter("marked").drop("marked"), h if stays else max(h * factor, h_min), 1.5 * h
+
+
+def adapt(step, h: float, theta: float, target: float, factor: float = 0.75, h_min: float = 0.0, most: int = 8) -> list[tuple[int, float, float]]:
+    """Mesh, solve, estimate, mark, refine: ``step(h)`` returns the elements' eta (eid, eta).
+
+    Ends at the target for the root of summed squares, or where the size no longer
+    changes.  Returns (pass, size, error) of each pass.
+    """
+    out = []
+    for k in range(most):
+        elements = step(h)
+        error = float(elements.agg(F.sqrt(F.sum(F.col("eta") * F.col("eta")))).first()[0] or 0.0)
+        out.append((k, h, error))
+        _, after, _ = refine_suggestion(elements, theta, h, factor, h_min)
+        if error <= target or after == h:
+            break
+        h = after
+    return out

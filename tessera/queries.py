@@ -43,10 +43,10 @@ def runs(spark: SparkSession, d: str, failure: str = "time_credit") -> DataFrame
     return df.select(F.col("p_brand").alias("cfg"), F.col("l_returnflag").alias("part"), ok.alias("ok"), F.when(ok, acc).otherwise(0.0).alias("accuracy"), mesh.alias("mesh_ms"), solve.alias("solve_ms"), scoring.run_score(acc, solve, mesh, ok, failure).alias("score"), "p_type", "p_size", "l_shipdate")
 
 
-_TIMES = "0.2 * (1 / (1 + l_tax * 1000 / 1000)) + 0.1 * (1 / (1 + l_quantity / 1000))"
+_TIMES = "0.25 * (1 / (1 + l_tax * 1000 / 1000)) + 0.25 * (1 / (1 + l_quantity / 1000))"
 _RUNS = f"""runs AS (SELECT p_brand AS cfg, l_returnflag AS part, l_linestatus = 'O' AS ok, CASE WHEN l_linestatus = 'O' THEN 1 - l_discount ELSE 0.0 END AS accuracy,
-  l_quantity AS mesh_ms, l_tax * 1000 AS solve_ms, CASE WHEN l_linestatus = 'O' THEN 0.7 * (1 - l_discount) + ({_TIMES}) ELSE {_TIMES} END AS score,
-  CASE WHEN l_linestatus = 'O' THEN 0.7 * (1 - l_discount) + ({_TIMES}) ELSE 0.0 END AS strict, p_type, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+  l_quantity AS mesh_ms, l_tax * 1000 AS solve_ms, CASE WHEN l_linestatus = 'O' THEN 0.5 * (1 - l_discount) + ({_TIMES}) ELSE {_TIMES} END AS score,
+  CASE WHEN l_linestatus = 'O' THEN 0.5 * (1 - l_discount) + ({_TIMES}) ELSE 0.0 END AS strict, p_type, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 _AGG = """agg AS (SELECT cfg, count(*) AS n_runs, count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE NOT ok) AS n_fail, round(avg({s}), 6) AS mean_score,
   round(avg(accuracy), 6) AS mean_accuracy, round(avg(mesh_ms), 6) AS mean_mesh_ms, round(avg(solve_ms), 6) AS mean_solve_ms, string_agg(DISTINCT part, ',' ORDER BY part) AS parts FROM runs GROUP BY cfg)"""
 _RANK = "SELECT *, CAST(row_number() OVER (ORDER BY mean_score DESC, cfg) AS INTEGER) AS rank FROM agg"
@@ -319,15 +319,22 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return fields.majority(table(spark, d, "lineitem"), ["l_suppkey"], "l_returnflag")
 
 
-@query("""WITH s AS (SELECT p_partkey, 1.0 + p_size % 5 AS h, p_size / 50.0 AS kappa, CASE WHEN p_size % 7 = 0 THEN NULL ELSE 1.0 + p_size END AS thickness, p_retailprice / 2000 AS eta, (p_size % 10) / 10.0 AS surplus, 1 + p_size % 4 AS p, (p_partkey % 10) / 10.0 AS hx, (p_partkey % 7) / 7.0 AS tt, (p_partkey % 3) / 3.0 AS po FROM part),
-t AS (SELECT *, greatest(0.0, least(1.0, greatest(coalesce(h * kappa, 0.0), coalesce(h / thickness, 0.0)))) AS sev, 1 - greatest(0.0, least(1.0, surplus)) AS smooth,
- CASE WHEN greatest(hx, tt, po) - list_sort([hx, tt, po])[2] < 0.08 THEN 'keep' WHEN greatest(hx, tt, po) = hx THEN 'hex' WHEN greatest(hx, tt, po) = tt THEN 'tet' ELSE 'poly' END AS vote FROM s),
-u AS (SELECT *, eta * (0.5 + 0.5 * sev) * (1.25 - smooth) AS uh, CASE WHEN p < 3 THEN eta * smooth * (1 - 0.5 * sev) ELSE 0.0 END AS up, CASE WHEN vote = 'keep' THEN 0.0 ELSE 0.5 * eta * greatest(hx, tt, po) END AS us FROM t)
-SELECT p_partkey, CASE WHEN greatest(uh, up, us) <= 0 THEN 'keep' WHEN uh >= up AND uh >= us THEN 'h' WHEN up >= us THEN 'p' ELSE 'shape' END AS action, round(uh, 9) AS utility_h, round(up, 9) AS utility_p, round(us, 9) AS utility_shape FROM u""")
+@query("""WITH s AS (SELECT p_partkey, CAST(0.1 + (p_size % 5) / 10 AS DOUBLE) AS h, CAST(p_size / 50 AS DOUBLE) AS kappa, CASE WHEN p_size % 7 > 0 THEN CAST(1.0 + p_size AS DOUBLE) END AS thickness, CAST(p_retailprice / 2000 AS DOUBLE) AS eta,
+ CAST((p_size % 10) / 20 AS DOUBLE) AS surplus, CAST(1 + p_size % 4 AS INTEGER) AS p, CAST((p_partkey % 10) / 10 AS DOUBLE) AS hx, CAST((p_partkey % 7) / 7 AS DOUBLE) AS tt, CAST((p_partkey % 3) / 3 AS DOUBLE) AS po FROM part),
+m AS (SELECT max(eta) AS top FROM s),
+t AS (SELECT *, greatest(0::DOUBLE, h * kappa / (15 * pi() / 180), coalesce(h / (0.35 * thickness), 0)) AS sev, surplus / greatest(eta, 1e-30) AS ratio, greatest(0::DOUBLE, least(1::DOUBLE, surplus / greatest(eta, 1e-30) / 0.45)) AS smooth,
+ list_sort([hx, tt, po]) AS fits, greatest(top, 1e-6) AS floor, greatest(hx, tt, po) - least(hx, tt, po) AS spread FROM s, m),
+g AS (SELECT *, CASE WHEN fits[3] - fits[2] < 0.08 THEN 'keep' WHEN fits[3] = hx THEN 'hex' WHEN fits[3] = tt THEN 'tet' ELSE 'poly' END AS vote, CASE WHEN hx < 0.4 AND kappa > 0 AND h * kappa > 0.05 THEN greatest(spread, 0.35::DOUBLE) ELSE spread END AS awkward FROM t),
+u AS (SELECT *, eta < 1e-4 * top AS idle, CASE WHEN sev >= 1 THEN sev * greatest(eta, 0.1 * floor) ELSE eta * (1 - smooth) * (1 - smooth) END / 8 AS uh,
+ CASE WHEN sev < 1 AND p < 3 AND ratio >= 0.225 THEN eta * smooth * smooth * (1 - 0.15 * p) ELSE 0 END / (2.5 + 0.4 * p) AS up, CASE WHEN vote = 'keep' THEN 0 ELSE awkward * greatest(eta, 0.05 * floor) * CASE WHEN sev >= 1 THEN 0.25 ELSE 1 END END / 3.5 AS us FROM g)
+SELECT p_partkey, CASE WHEN idle OR greatest(uh, up, us) < 1e-12 THEN 'none' WHEN uh >= up AND uh >= us THEN 'h' WHEN up >= us THEN 'p' ELSE 'shape' END AS action,
+round(CASE WHEN idle THEN 0 ELSE uh END::DOUBLE, 9) AS utility_h, round(CASE WHEN idle THEN 0 ELSE up END::DOUBLE, 9) AS utility_p, round(CASE WHEN idle THEN 0 ELSE us END::DOUBLE, 9) AS utility_shape FROM u""")
 def hp_decide(spark: SparkSession, d: str) -> DataFrame:
     c, size, key = F.col, F.col("p_size"), F.col("p_partkey")
-    x = hp.decide(1.0 + size % 5, size / 50.0, F.when(size % 7 != 0, 1.0 + size), c("p_retailprice") / 2000, (size % 10) / 10.0, 1 + size % 4, F.lit(3), (key % 10) / 10.0, (key % 7) / 7.0, (key % 3) / 3.0)
-    return table(spark, d, "part").select("p_partkey", x["action"].alias("action"), *[F.round(x[k], 9).alias(k) for k in ("utility_h", "utility_p", "utility_shape")])
+    part = table(spark, d, "part")
+    top = part.agg((F.max("p_retailprice") / 2000).alias("top"))
+    x = hp.decide(0.1 + (size % 5) / 10, size / 50, F.when(size % 7 > 0, 1.0 + size), c("p_retailprice") / 2000, (size % 10) / 20, 1 + size % 4, F.lit(3), (key % 10) / 10, (key % 7) / 7, (key % 3) / 3, c("top"))
+    return part.crossJoin(F.broadcast(top)).select("p_partkey", x["action"].alias("action"), *[F.round(x[k], 9).alias(k) for k in ("utility_h", "utility_p", "utility_shape")])  # top is one row
 
 
 _TET = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem"

@@ -135,14 +135,14 @@ def test_scoring(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scoring.config_id(F.col("t")).alias("id")).collect()
     assert all(r["id"] == fnv(r["t"]) for r in got)
     r = spark.range(1).select(
-        scoring.accuracy(F.lit("ok"), F.lit(None).cast("double"), F.lit(-0.05)).alias("a"), scoring.relative_error(F.lit(-2.0), F.lit(0.0)).alias("z"), scoring.wall_limit(F.lit(5), F.lit(None).cast("double")).alias("w"), scoring.tendency(F.lit(0.0), F.lit(False)).alias("t"),
+        scoring.accuracy(F.lit("ok"), F.lit(None).cast("double"), F.lit(-0.05)).alias("a"), scoring.relative_error(F.lit(-2.0), F.lit(0.0)).alias("z"), scoring.wall_limit(F.lit(5), F.lit(None).cast("double")).alias("w"), scoring.tendency(F.lit("cvt_poly"), F.lit(-1.0), F.lit(2))[0].alias("t"), scoring.tendency(F.lit("tet"), F.lit(0.9), F.lit(2))[1].alias("skin"), scoring.mesher(F.lit("zoo")).alias("zoo"), scoring.probe(F.lit("scf"), F.lit(2.0), {k: F.lit(3.0) for k in ("sigma_face_mean", "sigma_max", "sigma_p99", "strain_energy", "tip_deflection", "dominant_load_axis", "mean_u_component", "mean_ux", "mean_uz")}).alias("probe"),
         scoring.level_value(F.lit("true")).alias("b"), scoring.level_value(F.lit("1.5")).alias("f"), scoring.level_value(F.lit("x")).alias("s"), scoring.milliseconds(F.lit(1500.0)).alias("ms"), scoring.percent(F.lit(0.123)).alias("p"), experiments.sparkline(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).alias("sp"),
-        scoring.run_score(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(False)).alias("credit"), scoring.run_score(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(False), "zero").alias("zero"), scoring.over_budget(F.lit(70000.0), F.lit(1), F.lit(1.0), F.lit(2.0)).alias("o"), scoring.canonical_json(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2"))).alias("j"),
+        scoring.run_score(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(False)).alias("credit"), scoring.run_score(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(False), "zero").alias("zero"), scoring.over_budget(F.lit(7000.0), F.lit(1), F.lit(61000), F.lit(1.0), F.lit(2.0)).alias("o"), scoring.canonical_json(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2"))).alias("j"),
     ).first()
-    assert (r["a"], r["z"], r["w"], r["t"], r["b"]["kind"], r["f"]["number"], r["s"]["kind"], r["ms"], r["p"], r["zero"], r["o"], r["j"]) == (0.5, 2.0, 2700.0, "default", "bool", 1.5, "str", "1.50 s", "12.3%", 0.0, "sizing", '{"a":"2","b":"1"}')
-    assert math.isclose(r["credit"], 0.3) and len(r["sp"]) == 3
-    h = spark.range(1).select(hp.shape_vote(F.lit(0.9), F.lit(0.85), F.lit(0.1)).alias("keep"), hp.broadcast_signal(F.array().cast("array<double>"), F.lit(3), 2.0).alias("d"), hp.dof_factor(F.lit("p"), F.lit(1)).alias("f")).first()
-    assert h["keep"] == "keep" and h["d"] == 2.0 and math.isclose(h["f"], 3.375)
+    assert (r["a"], r["z"], r["w"], r["t"], r["b"]["kind"], r["f"]["number"], r["s"]["kind"], r["ms"], r["p"], r["zero"], r["o"], r["j"]) == (0.5, 2.0, 2700.0, "cvt_poly", "bool", 1.5, "str", "1.50s", "12.3%", 0.0, "mesher", '{"a":"2","b":"1"}')
+    assert math.isclose(r["credit"], 0.5) and r["sp"] == "▁▄█" and (r["skin"], r["zoo"], r["probe"]) == (3, "hybrid", 1.5)
+    h = spark.range(1).select(hp.shape_vote(F.lit(0.9), F.lit(0.85), F.lit(0.1)).alias("keep"), hp.broadcast_signal(F.array().cast("array<double>"), F.lit(3), 2.0).alias("d"), hp.dof_factor(F.lit(0.5), F.lit(0.2), F.lit(0.0)).alias("f")).first()
+    assert h["keep"] == "keep" and h["d"] == 2.0 and math.isclose(h["f"], 4.8)
 
 
 def test_marking_edges(spark):
