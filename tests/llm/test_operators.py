@@ -272,7 +272,7 @@ def test_language_id(spark):
     assert {x["lang_pred"] for x in identify(spark, docs, fit(docs.filter("lang = 'zz'"))).collect()} == {UNKNOWN}
 
 
-def test_gru_gradients():
+def test_fast_inference_equals_the_training_path():
     """The fast inference path equals the training path."""
     from tessera.llm.language_id import _backward_order, _softmax, _states, position_probabilities, train
 
