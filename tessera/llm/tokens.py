@@ -26,7 +26,7 @@ class Encoder:
     "\\0..." for what follows the zero.
     """
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -39,6 +39,7 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # a character of a byte-level token is a byte
+        self.marks = {m: self._whole([m])[0].tobytes() for m in ".,!?;:"}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -61,7 +62,7 @@ class Encoder:
         return found
 
     @staticmethod
-    def _keys(text: str) -> list[str]:
+    def _keys(text: str) -> list[str] | None:
         words = text.split()
         lined = "\n" in text
         if words and (text.replace("\n", " ") if lined else text) == " ".join(words) and "\0" not in text:
@@ -69,29 +70,42 @@ class Encoder:
             keys = text.replace("\n", " \n").split(" ") if lined else words
             keys[0] = "\0" + keys[0]
             return keys
+        if _ODD.search(text):
+            return None
         return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() and p[1] != "\0" else "\0" + p for p in _PIECE.findall(text)]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        odd = {i: self._whole([t])[0].tobytes() for i, t in enumerate(texts) if _ODD.search(t)}
-        keys = [[] if i in odd else self._keys(t) for i, t in enumerate(texts)]
-        wanted = set().union(*keys) if keys else set()
+        keys = [self._keys(t) for t in texts]
+        odd = {i: self._whole([texts[i]])[0].tobytes() for i, ks in enumerate(keys) if ks is None}
+        wanted = set().union(*[ks for ks in keys if ks])
         missing = wanted.difference(self.new)
         if len(self.new) + len(missing) > self.limit:
             self.old, self.new, missing = self.new, {}, wanted
-        new, old = self.new, self.old
-        ask = []
+        new, old, ask, built = self.new, self.old, set(), []
         for k in missing:
             got = old.get(k)
-            if got is None:
-                ask.append(k)
-            else:
+            if got is not None:
                 new[k] = got
-        found = self._ask(ask) if ask else {}
-        rare = {k: found.pop(k) for k in [k for k in found if len(k) > _LONG]}  # long pieces are not kept
-        new.update(found)
-        if rare:
-            return [odd[i] if i in odd else b"".join([rare[k] if k in rare else new[k] for k in ks]) for i, ks in enumerate(keys)]
-        return [odd[i] if i in odd else b"".join(map(new.__getitem__, ks)) for i, ks in enumerate(keys)]
+            elif k[-1] in self.marks and k[:-1].isalpha():  # letters, then a mark: two tokens' worth, told apart by the pre-tokeniser
+                built.append(k)
+            else:
+                ask.add(k)
+        for k in built:
+            core = k[:-1]
+            if core not in new and core not in ask:
+                got = old.get(core)
+                if got is None:
+                    ask.add(core)
+                else:
+                    new[core] = got
+        found = self._ask(list(ask)) if ask else {}
+        for k in built:
+            core = k[:-1]
+            found[k] = (found[core] if core in found else new[core]) + self.marks[k[-1]]
+        new.update((k, v) for k, v in found.items() if len(k) <= _LONG)  # long pieces are not kept
+        # A small table of this block's pieces: lookups in it stay in the processor's cache.
+        own = {k: new[k] if k in new else found[k] for k in wanted}
+        return [odd[i] if i in odd else b"".join(map(own.__getitem__, ks)) for i, ks in enumerate(keys)]
 
 
 _encoders: dict[str, Encoder] = {}
