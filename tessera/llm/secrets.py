@@ -2,11 +2,11 @@
 
 Fixed patterns with length tests give the base spans (assignments, access keys,
 hex runs); they always stay.  Further, every long token of key characters is a
-candidate.  Its encoding is inferred from the characters it uses (hex, base 32,
-letters and digits, base 64), and three tests are made for that alphabet: the
+candidate.  Its encoding is inferred from the characters it uses (hex, base 32 or
+letters and digits of one case or both, base 64), and four tests are made for that alphabet: the
 chi-squared test of uniform symbol counts, the runs test about the middle of the
-alphabet, and the serial correlation of neighbouring symbols.  A token's p-value is
-the least of the three, corrected for their number: small for words, paths and
+alphabet, the serial correlation of neighbouring symbols, and how common the symbols
+are in text.  A token's p-value is the least of the four, corrected for their number: small for words, paths and
 other structured strings, ordinary for random ones.
 
 False discoveries are controlled over the corpus and by length: in each length
@@ -23,6 +23,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,9 +43,14 @@ ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("hex_upper", "^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base32_lower", "^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("alphanumeric_lower", "^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
+    ("alphanumeric_upper", "^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
     ("alphanumeric", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
 )
+#: Letters by how common they are in text, in per mille (digits count as 1, capitals as a tenth, other signs as 2).
+LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1), strict=True))
 BINS = 60  # p-value bins, eight to a power of ten
 CLASSES = (24, 32, 48, 64, 128)  # upper ends of the length classes
 
@@ -57,18 +64,28 @@ def base_spans(text: Column) -> dict[str, Column]:
     return dict(zip(KINDS, (assign, access, matches(text, HEX)), strict=True))
 
 
-def battery(token: Column, alphabet: Column, size: Column) -> Column:
+def text_weights(alphabet: str) -> list[float]:
+    """The log frequency in text of each symbol, with mean 0 and variance 1 over the alphabet."""
+    one_case = alphabet == alphabet.lower() or alphabet == alphabet.upper()
+    of = lambda c: LETTERS[c.lower()] / (1 if one_case or c.islower() else 10) if c.isalpha() else 1 if c.isdigit() else 2
+    raw = [math.log(of(c)) for c in alphabet]
+    mean = sum(raw) / len(raw)
+    spread = math.sqrt(sum((v - mean) ** 2 for v in raw) / len(raw))
+    return [(v - mean) / spread for v in raw]
+
+
+def battery(token: Column, alphabet: Column, size: Column, weights: Column) -> Column:
     """The p-value of a token under uniform random symbols of its alphabet (size symbols).
 
-    The chi-squared value is put on a normal scale by its cube root; runs and serial
-    correlation are normal for a random sequence.
+    The chi-squared value is put on a normal scale by its cube root; runs, serial
+    correlation and the sum of ``weights`` are normal for a random sequence.
     """
     chars = F.filter(F.split(token, ""), lambda c: c != "")
     places = F.transform(chars, lambda c: F.position(c, alphabet).cast("double"))
-    return let(F.struct(places.alias("x"), size.alias("k")), lambda s: _p_value(s["x"], s["k"]))
+    return let(F.struct(places.alias("x"), size.alias("k"), weights.alias("w")), lambda s: _p_value(s["x"], s["k"], s["w"]))
 
 
-def _p_value(x: Column, k: Column) -> Column:
+def _p_value(x: Column, k: Column, weights: Column) -> Column:
     n = F.size(x).cast("double")
     middle = (k + 1) / 2
 
@@ -91,7 +108,9 @@ def _p_value(x: Column, k: Column) -> Column:
     expected = let(up, lambda u: 2 * u * (n - u) / n)
     p_runs = normal_tail(let(F.struct(expected.alias("expected"), changes.alias("changes")), runs))
     p_serial = normal_tail(serial / ((k * k - 1) / 12 * F.sqrt(n - 1)))
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+    # One side only: rarer symbols than in random text are no sign of text.
+    p_text = let(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.element_at(weights, v.cast("int"))) / F.sqrt(n), lambda z: F.when(z <= 0, F.lit(1.0)).otherwise(normal_tail(z) / 2))
+    return F.least(F.lit(1.0), 4 * F.least(p_chi, p_runs, p_serial, p_text))
 
 
 def candidates(text: Column) -> Column:
@@ -112,9 +131,10 @@ def candidates(text: Column) -> Column:
     def judged(s: Column) -> Column:
         alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), s["encoding"] + 1)
         size = F.element_at(F.array(*[F.lit(float(len(a))) for _, _, a in ENCODINGS]), s["encoding"] + 1)
+        weights = F.element_at(F.array(*[F.array(*[F.lit(w) for w in text_weights(a)]) for _, _, a in ENCODINGS]), s["encoding"] + 1)
         core = s["core"]
-        mixed = F.regexp_like(core, F.lit("[0-9]")) & F.regexp_like(core, F.lit("[A-Za-z]")) & ~F.regexp_like(core, F.lit("[a-z]{8}|[A-Z][a-z]{6}|[0-9]{12}"))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), class_of(F.length(core)).alias("class"), mixed.alias("mixed"), battery(core, alphabet, size).alias("p"))
+        mixed = F.regexp_like(core, F.lit("[0-9]")) & F.regexp_like(core, F.lit("[A-Za-z]"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), class_of(F.length(core)).alias("class"), mixed.alias("mixed"), battery(core, alphabet, size, weights).alias("p"))
 
     cored = F.transform(matches(text, TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["text"], "=+$", "").alias("core")))
     kinds = F.transform(cored, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["core"].alias("core"), kind_of(s["core"]).alias("encoding")))

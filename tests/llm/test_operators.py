@@ -380,6 +380,22 @@ def test_secrets(spark):
     assert not [s for s in out[1]["spans"].split(",") if s and s.split(":")[0] not in KINDS]
 
 
+def test_secrets_of_one_case(spark):
+    """Random tokens of one case are found whatever runs of letters they hold; words with digits are not."""
+    from tessera.llm.secrets import find
+
+    r = random.Random(11)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    random_ones = ["".join(r.choice(a) for _ in range(n)) for a in (lower + digits, (lower + digits).upper(), lower + "234567") for n in (24, 32, 40) for _ in range(20)]
+    words = ["internationalization", "configuration", "environment", "development", "documentation", "performance", "responsibility", "implementation", "administration", "understanding"]
+    plain = ["".join(r.choice(words) for _ in range(r.randint(2, 3))) + str(r.randint(1, 2030)) for _ in range(400)]
+    got = {x["doc_id"]: x["more"] for x in find(spark, frame(spark, list(enumerate(f"a {t} b" for t in random_ones + plain)))).collect()}
+    found = [bool(got[i]) for i in range(len(got))]
+    assert any(re.search("[a-z]{8}", t) for t in random_ones)
+    assert sum(found[: len(random_ones)]) >= 0.9 * len(random_ones)
+    assert sum(found[len(random_ones) :]) <= 0.1 * len(plain)
+
+
 def test_empty_tables(spark):
     from tessera.llm import decontaminate, language_id, line_dedup, near_dup, packing, pii, quality_rules, quality_trees, secrets
     from tessera.llm.tokens import public_path
