@@ -265,3 +265,43 @@ def thin_greedily(sites: DataFrame, gap: float, cell_size: float) -> DataFrame:
     inside = sites.select("sid", "x", "y", "z", *by).groupBy("cx", "cy", "cz").applyInPandas(keep, "sid long, x double, y double, z double")
     clash = within(inside.select(F.col("sid").alias("pid"), "x", "y", "z"), inside, gap).filter("pid > sid").select(F.col("pid").alias("sid")).distinct()
     return inside.join(clash, "sid", "left_anti")
+
+
+def nearest_vectors(queries: DataFrame, rows: DataFrame, query_block: int = 1024, row_block: int = 2048) -> DataFrame:
+    """(vec_id, nearest): the row of another id at the least cosine distance (to five decimals), the least id on ties; all rows are compared.
+
+    Both sides are dealt to blocks by their id's hash; each pair of blocks is one group
+    whose distances are one matrix product, and gives the least of each query.  Rows
+    without a vector take no part; one of length 0 is further than all others.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, e = t["vec_id"].to_numpy(), t["e"].combine_chunks()
+        m = e.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+        return ids, m / np.where((size := np.linalg.norm(m, axis=1, keepdims=True)) > 0, size, np.nan)
+
+    def least(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"vec_id": pa.array([], pa.int64()), "dist": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+        (a, x), (b, y) = matrix(left), matrix(right)
+        order = np.argsort(b)
+        b, y = b[order], y[order]
+        d = np.nan_to_num(np.floor((1 - x @ y.T) * 1e5 + 0.5), nan=1e9).astype(np.int64)
+        own = a[:, None] == b[None, :]
+        d[own] = 1 << 60
+        at = d.argmin(axis=1)  # the first of equals: the least id
+        ok = ~own[np.arange(len(a)), at]
+        return pa.table({"vec_id": a[ok].astype(np.int64), "dist": d[np.arange(len(a)), at][ok], "other": b[at][ok].astype(np.int64)})
+
+    def dealt(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        df = df.filter("e is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "e")
+        n = max(1, -(-df.count() // size))
+        return df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")), n
+
+    (q, nq), (r, nr) = dealt(queries, query_block, "qb"), dealt(rows, row_block, "rb")
+    q = q.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+    r = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    found = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(least, "vec_id long, dist long, other long")
+    return found.groupBy("vec_id").agg(F.min(F.struct("dist", "other"))["other"].alias("nearest"))

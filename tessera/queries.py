@@ -486,6 +486,13 @@ def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("vec_id").agg(F.min(F.struct("dist", "other"))["other"].alias("nearest"))
 
 
+@query("""WITH n AS (SELECT vec_id, embedding AS e FROM embeddings) SELECT a.vec_id, arg_min(b.vec_id, {'d': round(1 - list_cosine_similarity(a.e, b.e), 5), 'i': b.vec_id}) AS nearest FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1""")
+def embedding_nearest_all(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vector of any label among all rows, for the stated queries (ids divisible by 20)."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return spatial.nearest_vectors(e.filter("vec_id % 20 = 0"), e)
+
+
 @query("""WITH t AS (SELECT l_orderkey AS eid, l_partkey AS n0, l_suppkey AS n1, o_custkey AS n2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 u AS (SELECT DISTINCT unnest([n0, n1, n2]) AS nid FROM t) SELECT count(*) AS n_nodes, min(nid) AS first, max(nid) AS last, (SELECT count(*) FROM t) AS n_elements FROM u""")
 def compact_nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -241,3 +241,23 @@ def test_entry_without_subpackage():
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['tessera.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), [k for k in e.queries() if k.startswith('op') and k[2].isdigit()])"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
     assert out.returncode == 0 and out.stdout.strip().endswith("[]"), out.stderr
+
+
+def test_nearest_vectors_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    e = r.normal(size=(300, 6))
+    e[50], e[60] = e[7], e[7]  # copies: the least id wins
+    rows = spark.createDataFrame([(i, [float(v) for v in e[i]]) for i in range(300)], "vec_id long, e array<double>")
+    got = {x["vec_id"]: x["nearest"] for x in spatial.nearest_vectors(rows.filter("vec_id % 5 = 0"), rows, 16, 40).collect()}
+    n = e / np.linalg.norm(e, axis=1, keepdims=True)
+    d = np.floor((1 - n @ n.T) * 1e5 + 0.5)
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: int(d[i].argmin()) for i in range(0, 300, 5)} and got[50] == 7
+
+
+def test_embedding_nearest_all_crosses_labels(spark, tmp_path):
+    from tessera import queries
+
+    rows = [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [tuple(x) for x in queries.QUERIES["embedding_nearest_all"](spark, str(tmp_path)).collect()] == [(0, 2)]
