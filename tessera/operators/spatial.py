@@ -232,7 +232,11 @@ def regions_of_midpoints(edges: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def nearest_other_gap(sites: DataFrame, size: float, save) -> DataFrame:
-    """One row: the mean distance from each site to its nearest other site."""
+    """One row: the mean distance from each site to its nearest other site, and how many sites have one.
+
+    As in ``nearest``, the reach doubles in rounds for unsettled sites; after the last
+    round the rest (far from every other) are compared with all sites.
+    """
     a = sites.select(F.col("sid").alias("pid"), "x", "y", "z")
     todo, total = a, None
     for _ in range(12):
@@ -243,6 +247,11 @@ def nearest_other_gap(sites: DataFrame, size: float, save) -> DataFrame:
         if not todo.limit(1).count():
             break
         size *= 2
+    else:
+        p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+        d = sub(vec("p"), vec("s"))
+        rest = p.join(sites.select("sid", *[F.col(c).alias(f"s{c}") for c in "xyz"]), F.col("pid") != F.col("sid")).withColumn("d2", dot(d, d))
+        total = total.unionByName(rest.filter("d2 is not null").groupBy("pid").agg(F.min("d2").alias("d2")))
     return total.agg(F.avg(F.sqrt("d2")).alias("mean_gap"), F.count("*").alias("n"))
 
 

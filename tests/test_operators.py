@@ -261,3 +261,10 @@ def test_embedding_nearest_all_crosses_labels(spark, tmp_path):
     rows = [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 2)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert [tuple(x) for x in queries.QUERIES["embedding_nearest_all"](spark, str(tmp_path)).collect()] == [(0, 2)]
+
+
+def test_nearest_other_gap_of_far_sites(spark):
+    at = [0.0, 1.0, 2.0, 1e6]
+    sites = spark.createDataFrame([(i, x, 0.0, 0.0) for i, x in enumerate(at)], "sid long, x double, y double, z double")
+    r = spatial.nearest_other_gap(sites, 1.0, saver(spark)).first()
+    assert r["n"] == 4 and r["mean_gap"] == pytest.approx((1 + 1 + 1 + 1e6 - 2) / 4)
