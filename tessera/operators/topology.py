@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -188,11 +190,14 @@ def regions(labels: DataFrame) -> DataFrame:
     return labels.join(own, "label").select("node", (F.col("region") - 1).alias("region"))
 
 
-def hops(links: DataFrame, seeds: DataFrame, save, most: int = 1000) -> DataFrame:
-    """(node, hops): breadth-first distance from the seeds, one frontier join a round."""
+def hops(links: DataFrame, seeds: DataFrame, save, most: int | None = None) -> DataFrame:
+    """(node, hops): breadth-first distance from the seeds, one frontier join a round.
+
+    Rounds run until no node is new; ``most`` asks for the nodes within so many hops only.
+    """
     both = save(links.select("a", "b").union(links.select("b", "a")).distinct())
     done = save(seeds.select("node", F.lit(0).alias("hops")).distinct())
-    for d in range(1, most + 1):
+    for d in itertools.count(1) if most is None else range(1, most + 1):
         front = both.join(done.filter(F.col("hops") == d - 1), F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct()
         new = front.join(done, "node", "left_anti").withColumn("hops", F.lit(d))
         new = save(new)

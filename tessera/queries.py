@@ -475,6 +475,16 @@ def hop_distance(spark: SparkSession, d: str) -> DataFrame:
     return topology.hops(e, seed, saver(spark, "hops"), most=2)
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * o_custkey AS a, 2 * l_partkey + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+h(node, hops) USING KEY (node) AS (SELECT min(a), 0 FROM e UNION SELECT DISTINCT l.b, h.hops + 1 FROM h JOIN l ON l.a = h.node WHERE l.b NOT IN (SELECT node FROM recurring.h)) SELECT node, hops FROM h""")
+def hop_distance_all(spark: SparkSession, d: str) -> DataFrame:
+    """Hops over the whole customer-part graph from its least customer, to exhaustion: customers are even nodes, parts odd ones."""
+    save = saver(spark, "hops-all")
+    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    e = save(line.join(orders, line.l_orderkey == orders.o_orderkey).select((2 * F.col("o_custkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")).distinct())
+    return topology.hops(e, e.agg(F.min("a").alias("node")).filter("node is not null"), save)
+
+
 @query("""WITH n AS (SELECT vec_id, label, embedding AS e FROM embeddings) SELECT a.vec_id, arg_min(b.vec_id, {'d': round(1 - list_cosine_similarity(a.e, b.e), 5), 'i': b.vec_id}) AS nearest FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1""")
 def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Nearest vector of the same label among all rows, for the stated queries (ids divisible by 20)."""

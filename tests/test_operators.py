@@ -268,3 +268,13 @@ def test_nearest_other_gap_of_far_sites(spark):
     sites = spark.createDataFrame([(i, x, 0.0, 0.0) for i, x in enumerate(at)], "sid long, x double, y double, z double")
     r = spatial.nearest_other_gap(sites, 1.0, saver(spark)).first()
     assert r["n"] == 4 and r["mean_gap"] == pytest.approx((1 + 1 + 1 + 1e6 - 2) / 4)
+
+
+def test_hop_distance_all_runs_until_exhaustion(spark, tmp_path):
+    from tessera import queries
+
+    n = 4  # a path: customer i buys the parts i and i + 1
+    spark.createDataFrame([(i, i) for i in range(1, n + 1)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, i + s) for i in range(1, n + 1) for s in (0, 1)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["node"]: r["hops"] for r in queries.QUERIES["hop_distance_all"](spark, str(tmp_path)).collect()}
+    assert got == {2 * i: 2 * (i - 1) for i in range(1, n + 1)} | {2 * i + 1: max(1, 2 * i - 3) for i in range(1, n + 2)}
