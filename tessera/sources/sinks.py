@@ -40,14 +40,16 @@ def write_document(path: str, fields: dict) -> None:
 
 
 def ranking_report(ranked: DataFrame, front: DataFrame, levels: DataFrame, name: str) -> tuple[str, str]:
-    """(JSON, Markdown) of a campaign's ranking, front and factor levels: result tables of a page or two."""
-    tables = {k: [r.asDict(recursive=True) for r in df.limit(1000).collect()] for k, df in (("ranking", ranked), ("pareto", front), ("factors", levels))}
+    """(JSON, Markdown) of a campaign's ranking, front and factor levels: all rows in the JSON, the first 1000 of each and the number left out in the Markdown."""
+    tables = {k: [r.asDict(recursive=True) for r in df.toLocalIterator()] for k, df in (("ranking", ranked), ("pareto", front), ("factors", levels))}
     lines = [f"# {name}", ""]
     for title, rows in tables.items():
         lines += [f"## {title}", ""]
         if rows:
             lines += ["| " + " | ".join(rows[0]) + " |", "|" + "---|" * len(rows[0])]
-            lines += ["| " + " | ".join("" if v is None else str(v) for v in r.values()) + " |" for r in rows]
+            lines += ["| " + " | ".join("" if v is None else str(v) for v in r.values()) + " |" for r in rows[:1000]]
+        if len(rows) > 1000:
+            lines += ["", f"{len(rows) - 1000} more rows follow in the JSON."]
         lines.append("")
     return json.dumps({"campaign": name} | tables, default=str), "\n".join(lines)
 
@@ -61,8 +63,8 @@ def svg_sparkline(values: list[float], width: int = 120, height: int = 24) -> st
 
 
 def scoreboard(results: DataFrame) -> str:
-    """Markdown of competitive results in the order of time, solver and case."""
-    rows = results.orderBy("timestamp", "solver", "case_id").limit(1000).collect()
+    """Markdown of all competitive results in the order of time, solver and case."""
+    rows = results.orderBy("timestamp", "solver", "case_id").toLocalIterator()
     head = "| timestamp | solver | case | dofs | total s | accuracy |\n|---|---|---|---|---|---|\n"
     return head + "\n".join(f"| {r['timestamp']} | {r['solver']} | {r['case_id']} | {r['dofs'] or '-'} | {(r['wall_time_s'] or {})['total'] if r['wall_time_s'] else '-'} | {r['accuracy']['value'] if r['accuracy'] else '-'} |" for r in rows) + "\n"
 

@@ -128,3 +128,14 @@ def test_sinks(spark, tmp_path):
     a = spark.createDataFrame([("c", 1.0)], "cfg string, s double")
     js, md = sinks.ranking_report(a, a, a, "camp")
     assert json.loads(js)["ranking"] == [{"cfg": "c", "s": 1.0}] and "# camp" in md
+
+
+def test_reports_hold_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    own = spark.range(1200).select(F.lit("s").alias("solver"), F.col("id").cast("string").alias("case_id"), F.format_string("%05d", "id").alias("timestamp"), F.col("id").alias("dofs"), F.lit(None).cast("struct<total:double>").alias("wall_time_s"), F.lit(None).cast("struct<value:double>").alias("accuracy"))
+    board = sinks.scoreboard(own).splitlines()
+    assert len(board) == 1202 and board[-1].startswith("| 01199 |")
+    a = spark.range(1200)
+    js, md = sinks.ranking_report(a, a.limit(1), a.limit(0), "camp")
+    assert len(json.loads(js)["ranking"]) == 1200 and md.count("200 more rows follow in the JSON.") == 1
