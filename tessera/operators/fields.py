@@ -107,7 +107,10 @@ def eliminate(matrix: DataFrame, load: DataFrame, fixed: DataFrame) -> tuple[Dat
 
 
 def conjugate_gradient(matrix: DataFrame, b: DataFrame, save, tol: float = 1e-9, most: int = 500, on_progress=None) -> DataFrame:
-    """Solves for x (i, val) with the diagonal as preconditioner; vectors stay distributed, scalars reach the driver."""
+    """Solves for x (i, val) with the diagonal as preconditioner; vectors stay distributed, scalars reach the driver.
+
+    An error is raised where ``most`` rounds do not reach the tolerance.
+    """
     matrix = save(matrix)
     diagonal = save(matrix.filter("row = col").select(F.col("row").alias("i"), F.col("val").alias("d")))
     ids = matrix.select(F.col("row").alias("i")).distinct()
@@ -129,6 +132,9 @@ def conjugate_gradient(matrix: DataFrame, b: DataFrame, save, tol: float = 1e-9,
             break
         state = save(state.withColumn("p", F.col("r") / F.col("d") + (now["rz"] / rz) * F.col("p")))
         rz = now["rz"]
+    else:
+        if start and rz:
+            raise ArithmeticError(f"conjugate gradients did not reach {tol} in {most} rounds")
     return state.select("i", F.col("x").alias("val"))
 
 

@@ -253,7 +253,7 @@ def longest_edge(elements: DataFrame, nodes: DataFrame, pairs: list[tuple[int, i
     return flat.groupBy("eid").agg(F.min(F.struct((-F.col("len2")).alias("m"), "a", "b")).alias("s")).select("eid", "s.a", "s.b", (-F.col("s.m")).alias("len2"))
 
 
-def bisection_closure(elements: DataFrame, nodes: DataFrame, marked: DataFrame, pairs: list[tuple[int, int]], save, most: int = 50) -> DataFrame:
+def bisection_closure(elements: DataFrame, nodes: DataFrame, marked: DataFrame, pairs: list[tuple[int, int]], save) -> DataFrame:
     """(eid): the marked elements and all whose edges they split, to the fixpoint.
 
     Each round splits the longest edge of every element marked so far; elements that
@@ -263,13 +263,12 @@ def bisection_closure(elements: DataFrame, nodes: DataFrame, marked: DataFrame,
     ends = F.array(*[F.struct(F.least(F.element_at("nodes", p + 1), F.element_at("nodes", q + 1)).alias("a"), F.greatest(F.element_at("nodes", p + 1), F.element_at("nodes", q + 1)).alias("b")) for p, q in pairs])
     holds = save(elements.select("eid", F.explode(ends).alias("e")).select("eid", "e.a", "e.b"))
     done = save(marked.select("eid").distinct())
-    for _ in range(most):
+    while True:
         split = longest.join(done, "eid", "left_semi").select("a", "b").distinct()
         more = save(holds.join(split, ["a", "b"], "left_semi").select("eid").distinct().join(done, "eid", "left_anti"))
         if not more.limit(1).count():
-            break
+            return done
         done = save(done.unionByName(more))
-    return done
 
 
 def capped(df: DataFrame, order: list, share: float, least: int = 8) -> DataFrame:

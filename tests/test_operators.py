@@ -278,3 +278,19 @@ def test_hop_distance_all_runs_until_exhaustion(spark, tmp_path):
     spark.createDataFrame([(i, i + s) for i in range(1, n + 1) for s in (0, 1)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {r["node"]: r["hops"] for r in queries.QUERIES["hop_distance_all"](spark, str(tmp_path)).collect()}
     assert got == {2 * i: 2 * (i - 1) for i in range(1, n + 1)} | {2 * i + 1: max(1, 2 * i - 3) for i in range(1, n + 2)}
+
+
+def test_bisection_closure_reaches_the_end_of_a_long_chain(spark):
+    n = 54  # triangles in a fan of growing edges: each one's longest edge is held by the next
+    nodes = spark.createDataFrame([(i, 2.0**i, 0.0, 0.0) for i in range(n + 2)], "nid long, x double, y double, z double")
+    elements = spark.createDataFrame([(i, [0, i + 1, i + 2] if i else [0, 1, 2]) for i in range(n)], "eid long, nodes array<long>")
+    marked = spark.createDataFrame([(0,)], "eid long")
+    got = topology.bisection_closure(elements, nodes, marked, [(0, 1), (1, 2), (0, 2)], saver(spark))
+    assert got.count() == n
+
+
+def test_unfinished_solve_is_an_error(spark):
+    a = spark.createDataFrame([(0, 0, 2.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 3.0)], "row long, col long, val double")
+    b = spark.createDataFrame([(0, 1.0), (1, 2.0)], "i long, val double")
+    with pytest.raises(ArithmeticError):
+        fields.conjugate_gradient(a, b, saver(spark), most=1)
