@@ -26,8 +26,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
-    found = identify(spark, docs, fit(docs.filter(~held_out("doc_id"))), carry=("text", "lang", "source", "n_chars"))
+    """Documents without a language (no text, or no letter in it) go; without a labelled one to learn from, the same go."""
+    model = fit(docs.filter(~held_out("doc_id")))
+    if model is None:
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}"))).select(*COLUMNS)
+    found = identify(spark, docs, model, carry=("text", "lang", "source", "n_chars"))
     return found.filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 

@@ -407,3 +407,11 @@ def test_empty_tables(spark):
     assert [df.count() for df in outs] == [0] * len(outs)
     full = frame(spark, [(1, "some words"), (2, None)])
     assert {r["n_hit"] for r in decontaminate.contamination(spark, full, bench).select(F.col("n_hit")).collect()} == {0}
+
+
+def test_pipeline_keeps_lettered_documents_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(i, x, None, "s", 1) for i, x in enumerate(["some words", "été", "日本", "123 456", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [0, 1, 2]
