@@ -1,8 +1,8 @@
 """Experiment analytics: aggregate, rank, filter and expand runs.
 
-All functions take and return DataFrames.  Grouped top-k and ranks use windows
-over already aggregated rows, so what a window sorts is one row per configuration,
-never one per run.
+All functions take and return DataFrames.  Ranks and shares of a whole table are
+counted block-wise (``ordered``); grouped top-k uses windows over already
+aggregated rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import running
+from ..session import saver
+from .ordered import _all_equal, first_share, ranked, running
 
 
 def aggregate_configs(runs: DataFrame, by: str = "cfg") -> DataFrame:
@@ -28,15 +29,14 @@ def aggregate_configs(runs: DataFrame, by: str = "cfg") -> DataFrame:
 
 
 def rank(df: DataFrame, score: str = "mean_score", key: str = "cfg") -> DataFrame:
-    """Adds rank from 1: best score first, then the key.  One row per configuration is sorted."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)).cast("int"))
+    """Adds rank from 1: best score first, then the key."""
+    df = saver(df.sparkSession, "rank")(df)
+    return ranked(df, score, [key]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def halving_trim(df: DataFrame, keep: float, score: str = "score", key: str = "cfg") -> DataFrame:
     """The best ceil(keep * n), at least one: score descending, key ascending."""
-    n = df.count()
-    most = max(1, -int(-(keep * n) // 1))
-    return df.orderBy(F.desc(score), F.asc(key)).limit(most)
+    return first_share(df, score, [key], keep, 1, descending=True)
 
 
 def factor_breakdown(runs: DataFrame, config: str = "config") -> DataFrame:
@@ -74,11 +74,19 @@ def pareto_front(df: DataFrame, good: str, cost: str, part: list[str] | None = N
     over ascending costs is taken block-wise, and the front is joined back.
     """
     part = part or []
-    per_cost = df.groupBy(*part, cost).agg(F.max(good).alias("_best"))
+    per_cost = saver(df.sparkSession, "front")(df.filter(F.col(good).isNotNull() & F.col(cost).isNotNull()).groupBy(*part, cost).agg(F.max(good).alias("_best")))
     front = running(per_cost, F.col("_best"), "_before", cost, [], kind="max", inclusive=False, part=part)
     front = front.filter(F.col("_before").isNull() | (F.col("_best") > F.col("_before")))
-    front = front.select(*part, cost, F.col("_best").alias(good))
-    return df.join(front, [*part, cost, good], "left_semi")
+    keys = [*part, cost, good]
+    names = [f"_f{i}" for i in range(len(keys))]
+    front = front.select(*[F.col("_best" if k == good else k).alias(n) for k, n in zip(keys, names, strict=True)])
+    same = _all_equal(part, names[: len(part)]) & (F.col(cost) == F.col(names[-2])) & (F.col(good) == F.col(names[-1]))
+    return df.join(front, same, "left_semi")  # parts may be null, a point without cost or good is never on the front
+
+
+def best_level_by_name(levels: DataFrame) -> DataFrame:
+    """Per factor the level of the best mean; the greatest name on ties."""
+    return levels.groupBy("factor").agg(F.max(F.struct("mean_score", F.col("level").cast("string").alias("level"))).alias("m")).select("factor", "m.level", "m.mean_score")
 
 
 def status_counters(runs: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,18 +20,41 @@ def session(cores: str = "*", partitions: int | None = None) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset (local runs)."""
+    """spark.checkpoint.dir.  Where it is unset, a temporary folder, on a local master only: executors elsewhere would not share it."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
         found = getattr(spark.sparkContext, "_tessera_tables", "")
         if not found:
-            found = spark.sparkContext._tessera_tables = "file://" + tempfile.mkdtemp(prefix="tessera-")
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+            found = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
+            found = spark.sparkContext._tessera_tables = "file://" + found
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _path(spark, path)
+    files.delete(at, True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one.  It goes when the application ends, if nobody deletes it before."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at, files = _path(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return path
+
+
 def saver(spark: SparkSession, name: str = "step"):
     """save(df): writes it to the shared folder and reads it again, for iterative operators."""
-    root, count = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+    root, count = scratch_folder(spark, name), 0
 
     def save(df: DataFrame) -> DataFrame:
         nonlocal count
