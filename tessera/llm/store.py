@@ -1,34 +1,17 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: a lost executor
-costs only the tasks it ran, never a whole chain of stages.  The folder is set
-here only where the session has none (local tests).
+costs only the tasks it ran, never a whole chain of stages.  Tables that a result
+still reads go when the application ends, all others as soon as they can.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        found = getattr(spark.sparkContext, "_tessera_folder", "")
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark.sparkContext._tessera_folder = found
-    return found.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+from ..session import delete, scratch_folder
 
 
 class Scratch:
@@ -36,7 +19,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = scratch_folder(spark, name)
         self.names: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -79,22 +62,29 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-BITS = 1 << 25
+#: Bits of a bitmap at most (64 MB).  It has sixteen for each key: about one other key in sixteen passes.
+BITS = 1 << 29
 _PAGE = 1 << 15  # bits in one group of bitmap_construct_agg
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit array of fixed size (4 MB) with the bits of all keys set, whatever their number.
+    """A bit array, sized by the number of keys, with the bits of all keys set.
 
-    It only spares work: what passes by a shared bit is for a join to drop.
+    It only spares work: what passes by a shared bit is for a join to drop.  From
+    about thirty million keys on it stops growing (it is held by every worker) and
+    lets more pass.
     """
-    at = F.pmod(F.col(column), F.lit(BITS))
+    count = keys.count()
+    bits = _PAGE
+    while bits < min(16 * count, BITS):
+        bits *= 2
+    at = F.pmod(F.col(column), F.lit(bits))
     pages = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / _PAGE).cast("int").alias("page"))
-    bits = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     size = _PAGE // 8
-    for r in pages.agg(F.expr(f"bitmap_construct_agg(at % {_PAGE})").alias("bits")).collect():
-        bits[r["page"] * size : (r["page"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+    for r in pages.agg(F.expr(f"bitmap_construct_agg(at % {_PAGE})").alias("bits")).toLocalIterator():
+        out[r["page"] * size : (r["page"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

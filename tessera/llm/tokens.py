@@ -4,8 +4,8 @@ The pre-tokeniser of a byte-level vocabulary never lets a token run from a
 non-space into a following space.  A text may therefore be cut before every run
 of white space, each piece ("␠word,") encoded once by the library, and the ids
 joined: the result is the library's own for the whole text.  Texts holding
-U+001C-U+001F (white space to Python, not to the library) go to it whole.
-Strings of special tokens in a text are ordinary text.
+U+001C-U+001F (white space to Python, not to the library) go to it whole, as do
+those that hold the string of an added token, which the library gives its own id.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.limit, self.new, self.old = limit, {}, {}
         vocabulary = self.library.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -61,8 +61,9 @@ class Encoder:
                 last = n
         return found
 
-    @staticmethod
-    def _keys(text: str) -> list[str] | None:
+    def _keys(self, text: str) -> list[str] | None:
+        if any(a in text for a in self.added):
+            return None
         words = text.split()
         lined = "\n" in text
         if words and (text.replace("\n", " ") if lined else text) == " ".join(words) and "\0" not in text:
