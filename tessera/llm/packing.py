@@ -120,17 +120,26 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def place(pieces: DataFrame, capacity: int, shares: int = 256) -> DataFrame:
+def shares_of(counts: list[tuple[int, int]], partitions: int, most: int = 1_000_000) -> dict[int, int]:
+    """How many shares the pieces of each length are dealt to: none holds more than an eighth of an even task's pieces, nor ``most``."""
+    total = sum(n for _, n in counts)
+    each = max(1, min(most, total // (8 * max(1, partitions))))
+    return {size: -(-n // each) for size, n in counts}
+
+
+def place(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...).
 
-    A piece's rank among those of its length is counted in ``shares`` hashed
-    shares, so that a length with a third of all pieces is no single task's work.
+    A piece's rank among those of its length is counted in hashed shares, whose
+    number follows from the counts, so that a length with a third of all pieces is
+    no single task's work.
     """
     counts = [(int(r["length"]), int(r["n"])) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()]  # at most `capacity` rows
     table, _ = plan(counts, capacity)
     of = {int(s): table[table[:, 0] == s] for s in np.unique(table[:, 0])}
-    share = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shares)).cast("int")
-    pieces = pieces.withColumn("share", share)
+    shares = shares_of(counts, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    listed = F.array(*[F.lit(shares.get(i, 1)) for i in range(1, capacity + 1)])
+    pieces = pieces.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(listed, F.col("length").cast("int"))).cast("int"))
     totals = pieces.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
