@@ -10,7 +10,7 @@ for each language.
 Nulls, empties, repeats: a null text or one without a letter is ``und`` with score
 0.  Every row is predicted alone, so repeats agree.  Long texts are read whole.
 An empty table gives an empty result; without any training row every document is
-``und``.  Extra columns are ignored.
+``und``.  More than 4096 distinct labels are an error.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -141,6 +141,49 @@ def position_probabilities(model: Model, x: np.ndarray, lengths: np.ndarray) ->
     return total
 
 
+def gradients(par: dict[str, np.ndarray], xs: np.ndarray, ls: np.ndarray, ys: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over all positions and its gradient by backpropagation through time.
+
+    xs: bytes (steps x batch); ls: lengths; ys: languages.
+    """
+    (steps, batch), w = xs.shape, par["u0"].shape[0]
+    rear = _backward_order(xs, ls)
+    tapes: list[list] = [[], []]
+    fore = _states(par["t0"], par["u0"], xs, ls, tapes[0])
+    back = _states(par["t1"], par["u1"], rear, ls, tapes[1])
+    at = ls[None, :] - 1 - np.arange(steps)[:, None]
+    on, take = (at >= 0), np.maximum(at, 0)
+    both = np.concatenate([fore, np.take_along_axis(back, take[:, :, None], axis=0)], axis=2)
+    p = _softmax(both @ par["out"] + par["bias"])
+    loss = -float((np.log(np.maximum(p[:, np.arange(batch), ys], 1e-30)) * on).sum()) / max(1, on.sum())
+    p[:, np.arange(batch), ys] -= 1
+    p *= (on / max(1, on.sum()))[:, :, None].astype(np.float32)  # cross-entropy of every position
+    grad = {"out": np.einsum("tbw,tbk->wk", both, p, optimize=True), "bias": p.sum(axis=(0, 1))}
+    d = p @ par["out"].T
+    d_back = np.zeros_like(back)
+    np.put_along_axis(d_back, np.where(on, take, 0)[:, :, None], np.where(on[:, :, None], d[:, :, w:], 0), axis=0)
+    d_back[0] = np.where((ls > 0)[:, None], d[np.maximum(ls - 1, 0), np.arange(batch), w:], 0)  # position 0 is written once
+    for name, seq, tape, dh_out in (("0", xs, tapes[0], d[:, :, :w]), ("1", rear, tapes[1], d_back)):
+        u = par["u" + name]
+        gt, gu = np.zeros_like(par["t" + name]), np.zeros_like(u)
+        dh = np.zeros((batch, w), np.float32)
+        for t in range(steps - 1, -1, -1):
+            h, zr, n, hn = tape[t]
+            live = (ls > t)[:, None]
+            dh = dh + dh_out[t]
+            z, r = zr[:, :w], zr[:, w:]
+            dn = dh * (1 - z) * (1 - n * n)
+            dz = dh * (h - n) * z * (1 - z)
+            dr = dn * hn * r * (1 - r)
+            pre = np.where(live, np.concatenate([dz, dr, dn], axis=1), 0)
+            rec = np.where(live, np.concatenate([dz, dr, dn * r], axis=1), 0)
+            np.add.at(gt, seq[t], pre)
+            gu += h.T @ rec
+            dh = np.where(live, dh * z, dh) + rec @ u.T
+        grad["t" + name], grad["u" + name] = gt, gu
+    return loss, grad
+
+
 def train(texts: list[bytes], labels: list[str], window: int = 64, width: int = 8, epochs: int = 3, batch: int = 192, rate: float = 0.02, seed: int = 7) -> Model:
     """Fits the network on windows (at most ``window`` bytes each) and their documents' languages."""
     rng = np.random.default_rng(seed)
@@ -158,40 +201,7 @@ def train(texts: list[bytes], labels: list[str], window: int = 64, width: int =
         for cut in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
             if not len(cut):
                 continue
-            xs, ls, ys = x[:, cut], lengths[cut], y[cut]
-            rear = _backward_order(xs, ls)
-            tapes: list[list] = [[], []]
-            fore = _states(par["t0"], par["u0"], xs, ls, tapes[0])
-            back = _states(par["t1"], par["u1"], rear, ls, tapes[1])
-            at = ls[None, :] - 1 - np.arange(window)[:, None]
-            on, take = (at >= 0), np.maximum(at, 0)
-            both = np.concatenate([fore, np.take_along_axis(back, take[:, :, None], axis=0)], axis=2)
-            p = _softmax(both @ par["out"] + par["bias"])
-            p[:, np.arange(len(cut)), ys] -= 1
-            p *= (on / max(1, on.sum()))[:, :, None].astype(np.float32)  # cross-entropy of every position
-            grad = {"out": np.einsum("tbw,tbk->wk", both, p, optimize=True), "bias": p.sum(axis=(0, 1))}
-            d = p @ par["out"].T
-            d_back = np.zeros_like(back)
-            np.put_along_axis(d_back, np.where(on, take, 0)[:, :, None], np.where(on[:, :, None], d[:, :, w:], 0), axis=0)
-            d_back[0] = np.where((ls > 0)[:, None], d[np.maximum(ls - 1, 0), np.arange(len(cut)), w:], 0)  # position 0 is written once
-            for name, seq, tape, dh_out in (("0", xs, tapes[0], d[:, :, :w]), ("1", rear, tapes[1], d_back)):
-                u = par["u" + name]
-                gt, gu = np.zeros_like(par["t" + name]), np.zeros_like(u)
-                dh = np.zeros((len(cut), w), np.float32)
-                for t in range(window - 1, -1, -1):
-                    h, zr, n, hn = tape[t]
-                    live = (ls > t)[:, None]
-                    dh = dh + dh_out[t]
-                    z, r = zr[:, :w], zr[:, w:]
-                    dn = dh * (1 - z) * (1 - n * n)
-                    dz = dh * (h - n) * z * (1 - z)
-                    dr = dn * hn * r * (1 - r)
-                    pre = np.where(live, np.concatenate([dz, dr, dn], axis=1), 0)
-                    rec = np.where(live, np.concatenate([dz, dr, dn * r], axis=1), 0)
-                    np.add.at(gt, seq[t], pre)
-                    gu += h.T @ rec
-                    dh = np.where(live, dh * z, dh) + rec @ u.T
-                grad["t" + name], grad["u" + name] = gt, gu
+            _, grad = gradients(par, x[:, cut], lengths[cut], y[cut])
             step += 1
             for n, g in grad.items():
                 mean[n] += 0.1 * (g - mean[n])
@@ -224,14 +234,21 @@ def document_probabilities(model: Model, texts: list[bytes], block: int = 1024)
     return pooled / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
+#: Distinct labels that are still languages; a column with more is not one.
+MOST_LANGUAGES = 4096
+
+
 def training_windows(docs: DataFrame, sample_docs: int, per_doc: int, window: int) -> list[tuple[str, bytes]]:
     """Windows spread over the whole texts of a hashed sample of labelled documents.
 
     ``docs`` has doc_id, text, lang.  The share of a language is sample_docs over
-    the number of languages, so the sample's size doesn't depend on the corpus.
+    the number of languages (one document at least), so the sample's size doesn't
+    depend on the corpus.  Equal windows of one document id count once.
     """
     known = docs.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(512).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     if not counts:
         return []
     share = max(1, sample_docs // len(counts))
@@ -249,7 +266,8 @@ def training_windows(docs: DataFrame, sample_docs: int, per_doc: int, window: in
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["doc_id", "k", "lang", "cut"])
 
-    rows = drawn.mapInArrow(run, "doc_id long, k int, lang string, cut binary").limit(4 * sample_docs * per_doc).collect()
+    cuts = drawn.mapInArrow(run, "doc_id long, k int, lang string, cut binary").distinct()
+    rows = cuts.orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "lang", "cut").limit(4 * per_doc * max(sample_docs, len(counts))).collect()
     return [(r["lang"], bytes(r["cut"])) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["k"], r["lang"], bytes(r["cut"])))]
 
 

@@ -10,7 +10,8 @@ splits.
 
 Nulls, empties, repeats: a null or empty text is one empty line.  Rows that share
 a document id count as one document.  A row without an id counts as no document:
-it never saves a line, and loses its frequent ones.  An empty table gives an
+it never saves a line, and loses its frequent ones; such rows are told apart by a
+hash of their text.  An empty table gives an
 empty result.  Extra columns are ignored.
 """
 
@@ -40,14 +41,15 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, rows, keys = batch.slice(at, 512), [], []
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for i, t in enumerate(part.column(1).to_pylist()):
                     own = {line_key(x, min_chars) for x in (t or b"").split(b"\n")}
                     own.discard(None)
                     keys += own
-                    rows += [d] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(rows, pa.int64())], ["key", "doc_id"])
+                    rows += [i] * len(own)
+                rows = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0).take(rows), part.column(2).take(rows)], ["key", "doc_id", "row"])
 
-    return docs.mapInArrow(run, "key binary, doc_id long")
+    return docs.mapInArrow(run, "key binary, doc_id long, row long")
 
 
 def _rebuild(docs: DataFrame, min_chars: int, carry: tuple[str, ...]) -> DataFrame:
@@ -75,14 +77,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 3, min_cha
     scratch = Scratch(spark, "line-dedup")
     carried = [f"carried_{c}" for c in carry]
     src = fold(docs, id_col, text_col, *carry).toDF("doc_id", "text", *carried).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("binary")})
-    pairs = _keys(src.select("doc_id", "text"), min_chars)
+    src = src.withColumn("row", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+    pairs = _keys(src.select("doc_id", "text", "row"), min_chars)
     # Rows bound documents from above: what is rarer than min_docs by rows needs no exact count.
     often = scratch.save(pairs.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("key"), "often")
     hits = scratch.save(pairs.join(often, "key").distinct(), "hits")
     frequent = hits.groupBy("key").agg(F.count("doc_id").alias("n"), F.max("doc_id").alias("holder")).filter(F.col("n") >= min_docs)
     frequent = scratch.save(frequent.select("key", "holder"), "frequent")
     lost = hits.join(frequent, "key").filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    drops = scratch.save(lost.groupBy("doc_id").agg(F.collect_list("key").alias("drop")), "drops").withColumnRenamed("doc_id", "d")
+    drops = scratch.save(lost.groupBy("doc_id", "row").agg(F.collect_list("key").alias("drop")), "drops").toDF("d", "r", "drop")
     scratch.drop("drops")
-    joined = src.join(drops, src.doc_id.eqNullSafe(drops.d), "left").select("doc_id", "text", "drop", *carried)
+    joined = src.join(drops, src.doc_id.eqNullSafe(drops.d) & (src.row == drops.r), "left").select("doc_id", "text", "drop", *carried)
     return _rebuild(joined, min_chars, carry)
