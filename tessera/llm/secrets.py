@@ -1,20 +1,23 @@
 """Secret scanning by a battery of randomness tests, in column expressions only.
 
 Fixed patterns with length tests give the base spans (assignments, access keys,
-hex runs); they always stay.  Further, every long token of key characters is a
-candidate.  Its encoding is inferred from the characters it uses (hex, base 32 or
-letters and digits of one case or both, base 64), and four tests are made for that alphabet: the
-chi-squared test of uniform symbol counts, the runs test about the middle of the
-alphabet, the serial correlation of neighbouring symbols, and how common the symbols
-are in text.  A token's p-value is the least of the four, corrected for their number: small for words, paths and
-other structured strings, ordinary for random ones.
-
-False discoveries are controlled over the corpus and by length: in each length
-class the Benjamini-Hochberg cut at rate ``q`` over all candidates says which
-tokens are shown not to be random.  The rest is reported, where the token is long
-enough for its alphabet that the tests would have told text apart, and holds
-letters and digits.  p-values are counted in fixed bins, so what is gathered is a
-few hundred counts for each length class, whatever the corpus.
+hex runs); they always stay.  Further, every long token of key characters that
+holds letters and digits is a candidate.  Its encoding is inferred from the
+characters it uses (hex, base 32 or letters and digits of one case or both, base
+64), and four tests are made for that alphabet: the chi-squared test of uniform
+symbol counts, the runs test (changes between capitals, small letters, digits and
+signs), the serial correlation of neighbouring symbols, and how common the symbols
+are in text.  Fisher's sum of their log p-values is the token's score: small for a
+random token, large for words, paths and other structured strings.
+
+What is tested is the opposite: that a token is text.  Decoys say how text scores:
+tokens made from the words of every document, and ``DECOYS`` made from a fixed list
+of words, with digits and separators as identifiers, slugs and paths have them.  A
+token's p-value is the share of decoys of its length class that score as low.  In
+each length class the Benjamini-Hochberg cut at rate ``q`` over all candidates of
+the corpus decides which are reported, so at most that share of the reported ones
+is expected to be text.  Scores are counted in fixed bins: what is gathered is a few
+hundred counts for each length class, whatever the corpus.
 
 Nulls, empties, repeats: a null text counts as empty and has no span; repeated
 rows count as often as they occur.  An empty table gives an empty result.  Extra
@@ -27,9 +30,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .spans import joined, let, matches, normal_tail, of_kind
+from .spans import joined, let, matches, normal_tail, of_kind, overlaps, upper_tail
 from .store import Scratch, fold
 
 KINDS = ("assign", "access", "hex")
@@ -51,8 +53,16 @@ ENCODINGS = (
 )
 #: Letters by how common they are in text, in per mille (digits count as 1, capitals as a tenth, other signs as 2).
 LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1), strict=True))
-BINS = 60  # p-value bins, eight to a power of ten
+BINS = 240  # bins of the score, a quarter wide
 CLASSES = (24, 32, 48, 64, 128)  # upper ends of the length classes
+#: Decoys made by rule, and the words they are made of.
+DECOYS = 20_000
+WORDS = (
+    "section chapter page figure table user data file path index value name time date number order item list group type code text line word state level field point unit model part class form test case rule "
+    "link node edge face cell size rate load plan run task job batch stage step phase report result score rank total count first last next main base core full half open close start stop begin end left right "
+    "upper lower inner outer north south east west spring summer winter autumn green blue black white silver golden river mountain valley forest garden market street village city country world people music "
+    "paper water light stone metal configuration environment development performance implementation administration message service account session request response"
+).split()
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -74,111 +84,152 @@ def text_weights(alphabet: str) -> list[float]:
     return [(v - mean) / spread for v in raw]
 
 
-def battery(token: Column, alphabet: Column, size: Column, weights: Column) -> Column:
-    """The p-value of a token under uniform random symbols of its alphabet (size symbols).
+def _class_of(c: Column) -> Column:
+    return F.when(c.between("a", "z"), F.lit(1)).when(c.between("A", "Z"), F.lit(0)).when(c.between("0", "9"), F.lit(2)).otherwise(F.lit(3))
 
-    The chi-squared value is put on a normal scale by its cube root; runs, serial
-    correlation and the sum of ``weights`` are normal for a random sequence.
+
+def class_shares(alphabet: str) -> tuple[float, float]:
+    """Sums of the squared and cubed shares of capitals, small letters, digits and signs in an alphabet."""
+    kinds = ["u" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "s" for c in alphabet]
+    shares = [kinds.count(k) / len(kinds) for k in "ulds"]
+    return sum(f**2 for f in shares), sum(f**3 for f in shares)
+
+
+def battery(token: Column, encoding: Column) -> Column:
+    """The four p-values of a token under uniform random symbols of its encoding's alphabet.
+
+    The chi-squared value is put on a normal scale by its cube root; the number of
+    changes, the serial correlation and the sum of weights are normal for a random
+    sequence.  Only what points to text counts: too even counts, too many changes and
+    too rare symbols don't.
     """
+    of = lambda values: F.element_at(F.array(*values), encoding + 1)
+    alphabets = [a for _, _, a in ENCODINGS]
     chars = F.filter(F.split(token, ""), lambda c: c != "")
-    places = F.transform(chars, lambda c: F.position(c, alphabet).cast("double"))
-    return let(F.struct(places.alias("x"), size.alias("k"), weights.alias("w")), lambda s: _p_value(s["x"], s["k"], s["w"]))
+    shares = [class_shares(a) for a in alphabets]
+    known = F.struct(
+        chars.alias("c"), of([F.lit(a) for a in alphabets]).alias("alphabet"), of([F.lit(float(len(a))) for a in alphabets]).alias("k"),
+        of([F.array(*[F.lit(w) for w in text_weights(a)]) for a in alphabets]).alias("w"), of([F.lit(x) for x, _ in shares]).alias("f2"), of([F.lit(x) for _, x in shares]).alias("f3"),
+    )
+    placed = let(known, lambda s: F.struct(F.transform(s["c"], lambda c: F.position(c, s["alphabet"]).cast("double")).alias("x"), F.transform(s["c"], _class_of).alias("kinds"), s["k"].alias("k"), s["w"].alias("w"), s["f2"].alias("f2"), s["f3"].alias("f3")))
+    return let(placed, lambda s: _p_values(s["x"], s["kinds"], s["k"], s["w"], s["f2"], s["f3"]))
 
 
-def _p_value(x: Column, k: Column, weights: Column) -> Column:
+def _p_values(x: Column, kinds: Column, k: Column, weights: Column, f2: Column, f3: Column) -> Column:
     n = F.size(x).cast("double")
     middle = (k + 1) / 2
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+    steps = lambda values, test: F.zip_with(F.slice(values, F.lit(1), F.size(x) - 1), F.slice(values, F.lit(2), F.size(x) - 1), test)
+    squares = total(F.transform(F.array_distinct(x), lambda v: let(F.size(F.filter(x, lambda y: y == v)).cast("double"), lambda c: c * c)))
+    cube = F.pow(F.greatest(k / n * squares - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3))
+    p_chi = upper_tail((cube - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1))))
+    changes = total(steps(kinds, lambda a, b: (a != b).cast("double")))
+    spread = (n - 1) * f2 * (1 - f2) + 2 * (n - 2) * (f3 - f2 * f2)
+    p_runs = upper_tail(((n - 1) * (1 - f2) - changes) / F.sqrt(F.greatest(spread, F.lit(1e-9))))
+    p_serial = normal_tail(total(steps(x, lambda a, b: (a - middle) * (b - middle))) / ((k * k - 1) / 12 * F.sqrt(n - 1)))
+    p_text = upper_tail(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.element_at(weights, v.cast("int"))) / F.sqrt(n))
+    return F.array(p_chi, p_runs, p_serial, p_text)
 
-    def squared(v: Column) -> Column:
-        return let(F.size(F.filter(x, lambda y: y == v)).cast("double"), lambda c: c * c)
 
-    squares = F.aggregate(F.transform(F.array_distinct(x), squared), F.lit(0.0), lambda a, b: a + b)
-    # Too even a distribution is no sign of text: the chi-squared test has one side.
-    cube = F.pow(F.greatest(k / n * squares - n, F.lit(0.0)) / (k - 1), F.lit(1 / 3))
-    p_chi = let((cube - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1))), lambda z: F.when(z <= 0, F.lit(1.0)).otherwise(normal_tail(z) / 2))
-    after = F.slice(x, F.lit(2), F.size(x) - 1)
-    changes = F.aggregate(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), after, lambda a, b: ((a > middle) != (b > middle)).cast("double")), F.lit(0.0), lambda a, b: a + b)
-    serial = F.aggregate(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), after, lambda a, b: (a - middle) * (b - middle)), F.lit(0.0), lambda a, b: a + b)
-    up = F.size(F.filter(x, lambda v: v > middle)).cast("double")
+def bin_of(p_values: Column) -> Column:
+    """The bin of Fisher's sum of -ln p: 0 for the most random tokens, BINS - 1 for the most structured."""
+    score = F.aggregate(p_values, F.lit(0.0), lambda a, p: a - F.log(F.greatest(p, F.lit(1e-30))))
+    return F.least(F.lit(BINS - 1), F.floor(4 * score)).cast("int")
 
-    def runs(s: Column) -> Column:
-        spread = s["expected"] * (s["expected"] - 1) / (n - 1)
-        return F.when(spread > 0, (s["changes"] - s["expected"]) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(F.sqrt(n))  # one side only: no run at all
 
-    expected = let(up, lambda u: 2 * u * (n - u) / n)
-    p_runs = normal_tail(let(F.struct(expected.alias("expected"), changes.alias("changes")), runs))
-    p_serial = normal_tail(serial / ((k * k - 1) / 12 * F.sqrt(n - 1)))
-    # One side only: rarer symbols than in random text are no sign of text.
-    p_text = let(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.element_at(weights, v.cast("int"))) / F.sqrt(n), lambda z: F.when(z <= 0, F.lit(1.0)).otherwise(normal_tail(z) / 2))
-    return F.least(F.lit(1.0), 4 * F.least(p_chi, p_runs, p_serial, p_text))
+def judged(core: Column) -> Column:
+    """(encoding's number, length class, bin) of a token."""
+    kind = F.lit(len(ENCODINGS) - 1)
+    for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
+        kind = F.when(F.regexp_like(core, F.lit(pattern)), F.lit(i)).otherwise(kind)
+    step = F.lit(0)
+    for c in CLASSES:
+        step = step + (F.length(core) > c).cast("int")
+    return let(kind, lambda k: F.struct(k.alias("encoding"), step.alias("class"), bin_of(battery(core, k)).alias("bin")))
 
 
-def candidates(text: Column) -> Column:
-    """Candidate tokens: start, end, encoding's number, length class, p."""
-
-    def kind_of(core: Column) -> Column:
-        kind = F.lit(len(ENCODINGS) - 1)
-        for i, (_, pattern, _) in reversed(list(enumerate(ENCODINGS[:-1]))):
-            kind = F.when(F.regexp_like(core, F.lit(pattern)), F.lit(i)).otherwise(kind)
-        return kind
-
-    def class_of(length: Column) -> Column:
-        step = F.lit(0)
-        for c in CLASSES:
-            step = step + (length > c).cast("int")
-        return step
-
-    def judged(s: Column) -> Column:
-        alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), s["encoding"] + 1)
-        size = F.element_at(F.array(*[F.lit(float(len(a))) for _, _, a in ENCODINGS]), s["encoding"] + 1)
-        weights = F.element_at(F.array(*[F.array(*[F.lit(w) for w in text_weights(a)]) for _, _, a in ENCODINGS]), s["encoding"] + 1)
-        core = s["core"]
-        mixed = F.regexp_like(core, F.lit("[0-9]")) & F.regexp_like(core, F.lit("[A-Za-z]"))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), class_of(F.length(core)).alias("class"), mixed.alias("mixed"), battery(core, alphabet, size, weights).alias("p"))
+def _mixed(core: Column) -> Column:
+    return F.regexp_like(core, F.lit("[0-9]")) & F.regexp_like(core, F.lit("[A-Za-z]"))
+
 
+def candidates(text: Column) -> Column:
+    """Candidate tokens: start, end, encoding's number, length class, bin."""
     cored = F.transform(matches(text, TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["text"], "=+$", "").alias("core")))
-    kinds = F.transform(cored, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["core"].alias("core"), kind_of(s["core"]).alias("encoding")))
-    return F.transform(kinds, judged)
-
-
-def bin_of(p: Column) -> Column:
-    """0 for the largest p-values, BINS - 1 for the smallest."""
-    return F.least(F.lit(BINS - 1), F.floor(-8 * F.log10(F.greatest(p, F.lit(1e-30))))).cast("int")
-
-
-def cuts(found: DataFrame, q: float) -> list[int]:
-    """For each length class the least bin whose candidates are shown not to be random (Benjamini-Hochberg at rate q)."""
-    counts = found.select(F.explode("tokens").alias("t")).groupBy("t.class", bin_of(F.col("t.p")).alias("bin")).agg(F.count("*").alias("n"))
-    of = Window.partitionBy("class")
-    below = of.orderBy(F.desc("bin"))  # at most BINS rows in a class
-    counts = counts.withColumn("rank", F.sum("n").over(below)).withColumn("all", F.sum("n").over(of))
-    largest = F.pow(F.lit(10.0), -F.col("bin") / 8)  # the largest p in the bin
-    rows = counts.filter(largest <= q * F.col("rank") / F.col("all")).groupBy("class").agg(F.min("bin").alias("cut")).collect()
-    out = [BINS] * (len(CLASSES) + 1)
-    for r in rows:
-        out[r["class"]] = r["cut"]
+    mixed = F.filter(cored, lambda s: _mixed(s["core"]))
+    return F.transform(mixed, lambda s: let(judged(s["core"]), lambda j: F.struct(s["start"].alias("start"), s["end"].alias("end"), j["encoding"].alias("encoding"), j["class"].alias("class"), j["bin"].alias("bin"))))
+
+
+def _dressed(words: Column, draw: Column) -> Column:
+    """Words, each followed by a space, as one token: digits behind some, a separator or none, cut to 20..64 characters."""
+    digits = F.substring(F.abs(F.xxhash64(draw, F.lit("digits"))).cast("string"), F.lit(3), F.lit(1) + F.pmod(draw, F.lit(3)).cast("int"))
+    sign = F.element_at(F.array(*[F.lit(c) for c in ("", "-", "_", "/")]), F.pmod(F.shiftright(draw, 2), F.lit(4)).cast("int") + 1)
+    # One word in two or three, told by its last letter, is followed by the digits.
+    some = F.regexp_replace(words, F.lit("([a-ehjlnpsuwy]) +"), F.concat(F.lit("$1"), digits, F.lit(" ")))
+    cased = F.when(F.pmod(F.shiftright(draw, 4), F.lit(3)) == 0, F.initcap(some)).otherwise(some)
+    return F.substring(F.replace(cased, F.lit(" "), sign), F.lit(1), F.lit(20) + F.pmod(F.shiftright(draw, 8), F.lit(45)).cast("int"))
+
+
+def decoy(text: Column, draw: Column) -> Column:
+    """A token made from the words at a drawn place of a text; null if it is too short or lacks letters or digits."""
+    at = F.pmod(draw, F.greatest(F.length(text) - 80, F.lit(1)).cast("long")).cast("int")
+    words = F.regexp_replace(F.substring(text, at + 1, F.lit(80)), "[^A-Za-z]+", " ")
+    return let(_dressed(words, draw), lambda d: F.when((F.length(d) >= 20) & _mixed(d), d))
+
+
+def made_decoys(spark: SparkSession, count: int = DECOYS) -> DataFrame:
+    """(class, bin) of ``count`` tokens made of WORDS."""
+    own, n = F.array(*[F.lit(w) for w in WORDS]), len(WORDS)
+    word = lambda i: F.element_at(own, F.pmod(F.xxhash64("id", F.lit(i)), F.lit(n)).cast("int") + 1)
+    text = F.concat(*[x for i in range(10) for x in (word(i), F.lit(" "))])
+    tokens = spark.range(0, count, 1, 4).select(_dressed(text, F.xxhash64("id")).alias("t")).filter((F.length("t") >= 20) & _mixed(F.col("t")))
+    return tokens.select(judged(F.col("t")).alias("j")).select("j.class", "j.bin")
+
+
+def discoveries(tokens: dict[tuple[int, int], int], decoys: dict[tuple[int, int], int], q: float) -> list[int]:
+    """For each length class the last bin whose tokens are reported (-1 for none): the Benjamini-Hochberg cut at rate q.
+
+    tokens, decoys: counts by (class, bin).  A bin's p-value is (1 + decoys up to it) / (1 + all decoys).
+    """
+    out = []
+    for c in range(len(CLASSES) + 1):
+        all_tokens, all_decoys = (sum(n for (k, _), n in x.items() if k == c) for x in (tokens, decoys))
+        cut, found, like = -1, 0, 0
+        for b in range(BINS):
+            found, like = found + tokens.get((c, b), 0), like + decoys.get((c, b), 0)
+            if found and (1 + like) / (1 + all_decoys) <= q * found / all_tokens:
+                cut = b
+        out.append(cut)
     return out
 
 
+def cuts(spark: SparkSession, found: DataFrame, q: float) -> list[int]:
+    """The last reported bin of each length class over all candidates of the corpus."""
+    counts = lambda df: {(r["class"], r["bin"]): r["n"] for r in df.groupBy("class", "bin").agg(F.count("*").alias("n")).collect()}  # noqa: E731  fixed bins
+    decoys = counts(found.filter("decoy is not null").select("decoy.class", "decoy.bin").unionByName(made_decoys(spark)))
+    return discoveries(counts(found.select(F.explode("tokens").alias("t")).select("t.class", "t.bin")), decoys, q)
+
+
 def find(spark: SparkSession, docs: DataFrame, q: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, base (by start, then kind), more (random tokens outside the base)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     src = fold(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = src.select("doc_id", *[v.alias(k) for k, v in base_spans(text).items()], candidates(text).alias("tokens"))
+    made = let(decoy(text, F.xxhash64("doc_id", F.length("text"))), lambda d: F.when(d.isNotNull(), judged(d)))
+    scanned = src.select("doc_id", *[v.alias(k) for k, v in base_spans(text).items()], candidates(text).alias("tokens"), made.alias("decoy"))
     slim = lambda k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    scanned = Scratch(spark, "secrets").save(scanned.select("doc_id", *[slim(k).alias(k) for k in KINDS], "tokens"), "scanned")
-    cut = F.array(*[F.lit(c) for c in cuts(scanned, q)])
+    scanned = Scratch(spark, "secrets").save(scanned.select("doc_id", *[slim(k).alias(k) for k in KINDS], "tokens", "decoy"), "scanned")
+    cut = F.array(*[F.lit(c) for c in cuts(spark, scanned, q)])
     by_start = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"))))
     base = by_start(F.concat(*[of_kind(F.col(k), k, i) for i, k in enumerate(KINDS)]))
-    out = scanned.select("doc_id", *KINDS, "tokens", base.alias("base"))
     names = F.array(*[F.lit(e[0]) for e in ENCODINGS])
 
-    def random(t: Column) -> Column:
-        clear = ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-        return clear & t["mixed"] & (bin_of(t["p"]) < F.element_at(cut, t["class"] + 1))
+    def random(own: Column, t: Column) -> Column:
+        clear = F.lit(True)
+        for k in KINDS:
+            clear = clear & ~overlaps(own[k], t["start"], t["end"])
+        return (t["bin"] <= F.element_at(cut, t["class"] + 1)) & clear
 
-    more = F.transform(F.filter(F.col("tokens"), random), lambda t: F.struct(t["start"].alias("start"), (t["encoding"] + len(KINDS)).alias("order"), t["end"].alias("end"), F.element_at(names, t["encoding"] + 1).alias("kind")))
-    return out.select("doc_id", *KINDS, "base", more.alias("more"))
+    more = let(F.struct(*KINDS, "tokens"), lambda own: F.transform(F.filter(own["tokens"], lambda t: random(own, t)), lambda t: F.struct(t["start"].alias("start"), (t["encoding"] + len(KINDS)).alias("order"), t["end"].alias("end"), F.element_at(names, t["encoding"] + 1).alias("kind"))))
+    return scanned.select("doc_id", *KINDS, base.alias("base"), more.alias("more"))
 
 
 def digest(found: DataFrame) -> DataFrame:
