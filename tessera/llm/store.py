@@ -62,23 +62,24 @@ def if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-#: Bits of a bitmap at most (64 MB).  It has sixteen for each key: about one other key in sixteen passes.
+#: Bits of a Bloom filter at most (64 MB).  It has 128 for each key and tests four: about one other key in a million passes.
 BITS = 1 << 29
+_PER_KEY, _SHIFTS = 128, (0, 17, 31, 35)
 _PAGE = 1 << 15  # bits in one group of bitmap_construct_agg
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit array, sized by the number of keys, with the bits of all keys set.
+    """A Bloom filter of 64-bit hashes, sized by their number.
 
-    It only spares work: what passes by a shared bit is for a join to drop.  From
-    about thirty million keys on it stops growing (it is held by every worker) and
-    lets more pass.
+    It only spares work: what passes by shared bits is for a join to drop.  From
+    about four million keys on it stops growing (every worker holds it) and lets more
+    pass.
     """
     count = keys.count()
     bits = _PAGE
-    while bits < min(16 * count, BITS):
+    while bits < min(_PER_KEY * count, BITS):
         bits *= 2
-    at = F.pmod(F.col(column), F.lit(bits))
+    at = F.explode(F.array(*[F.shiftrightunsigned(F.col(column), s).bitwiseAND(F.lit(bits - 1).cast("long")) for s in _SHIFTS]))
     pages = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / _PAGE).cast("int").alias("page"))
     out = np.zeros(bits // 8, np.uint8)
     size = _PAGE // 8
@@ -88,6 +89,10 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of the uint64 keys whose bit is set."""
-    at = keys & np.uint64(8 * len(bits) - 1)
-    return np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+    """Places of the uint64 keys all of whose bits are set."""
+    places, mask = np.arange(len(keys)), np.uint64(8 * len(bits) - 1)
+    for s in _SHIFTS:
+        at = (keys >> np.uint64(s)) & mask
+        on = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+        places, keys = places[on], keys[on]
+    return places
