@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import Scratch, fold
-from .tokens import encoder
+from .tokens import blocks_of, encoder
 
 
 class CapacityTree:
@@ -105,14 +105,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
     """One row a piece: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
+        enc = encoder(vocabulary)
         for batch in batches:
-            doc, rows = batch.column(0).to_pylist(), []
-            for at in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                for d, ids in zip(doc[at : at + 256], enc.encode_many(texts), strict=True):
-                    ids += end
-                    rows += [(d, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+            doc, texts, rows = batch.column(0).to_pylist(), batch.column(1), []
+            for a, b in blocks_of(texts):
+                values, offsets = enc.encode_block(texts.slice(a, b - a), end_id)
+                for d, x, y in zip(doc[a:b], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    rows += [(d, k, s, n, zlib.crc32(values[x + s : x + s + n])) for k, (s, n) in enumerate(cut(y - x, capacity))]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

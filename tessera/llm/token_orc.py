@@ -22,24 +22,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import Scratch, fold
-from .tokens import encoder
+from .tokens import blocks_of, encoder
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, ids): the text's token ids and ``end_id``, in the order of the input's rows, numbered in each partition."""
 
     def run(batches):
-        enc, end, done = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), 0
+        enc, done = encoder(vocabulary), 0
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            step = 256  # rows at a time: bounds what is held beside the batch
-            for at in range(0, batch.num_rows, step):
-                rows = [b + end for b in enc.encode_many([t or "" for t in texts.slice(at, step).to_pylist()])]
-                values = np.frombuffer(b"".join(rows), "<i4")
-                offsets = np.zeros(len(rows) + 1, np.int32)
-                np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
-                row, done = pa.array(np.arange(done, done + len(rows))), done + len(rows)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, step), row, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "row", "ids"])
+            for a, b in blocks_of(texts):
+                values, offsets = enc.encode_block(texts.slice(a, b - a), end_id)
+                row, done = pa.array(np.arange(done, done + b - a)), done + b - a
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), row, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view("<i4")))], ["doc_id", "row", "ids"])
 
     return fold(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, row long, ids array<int>")
 

@@ -13,10 +13,14 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _PIECE = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 _LONG = 64
+#: Texts that are not words between single spaces and line ends: other white space (to Python), two in a row, some at an end, a zero.
+_UNEVEN = r"[\x00\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
 
 
 class Encoder:
@@ -33,13 +37,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.marks = {m: self._whole([m])[0].tobytes() for m in ".,!?;:"}
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.limit, self.new, self.old = limit, {}, {}
         vocabulary = self.library.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # a character of a byte-level token is a byte
-        self.marks = {m: self._whole([m])[0].tobytes() for m in ".,!?;:"}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,24 +79,26 @@ class Encoder:
             return None
         return [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() and p[1] != "\0" else "\0" + p for p in _PIECE.findall(text)]
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        keys = [self._keys(t) for t in texts]
-        odd = {i: self._whole([texts[i]])[0].tobytes() for i, ks in enumerate(keys) if ks is None}
-        wanted = set().union(*[ks for ks in keys if ks])
-        missing = wanted.difference(self.new)
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct keys, from the cache as far as it knows them."""
+        out = list(map(self.new.get, keys))
+        missing = [i for i, v in enumerate(out) if v is None]
+        if not missing:
+            return out
         if len(self.new) + len(missing) > self.limit:
-            self.old, self.new, missing = self.new, {}, wanted
+            self.old, self.new = self.new, {k: v for k, v in zip(keys, out, strict=True) if v is not None}
         new, old, ask, built = self.new, self.old, set(), []
-        for k in missing:
+        for i in missing:
+            k = keys[i]
             got = old.get(k)
             if got is not None:
-                new[k] = got
+                out[i] = new[k] = got
             elif k[-1] in self.marks and k[:-1].isalpha():  # letters, then a mark: two tokens' worth, told apart by the pre-tokeniser
-                built.append(k)
+                built.append(i)
             else:
                 ask.add(k)
-        for k in built:
-            core = k[:-1]
+        for i in built:
+            core = keys[i][:-1]
             if core not in new and core not in ask:
                 got = old.get(core)
                 if got is None:
@@ -100,14 +106,82 @@ class Encoder:
                 else:
                     new[core] = got
         found = self._ask(list(ask)) if ask else {}
-        for k in built:
+        for i in built:
+            k = keys[i]
             core = k[:-1]
-            found[k] = (found[core] if core in found else new[core]) + self.marks[k[-1]]
+            out[i] = found[k] = (found[core] if core in found else new[core]) + self.marks[k[-1]]
         new.update((k, v) for k, v in found.items() if len(k) <= _LONG)  # long pieces are not kept
-        # A small table of this block's pieces: lookups in it stay in the processor's cache.
-        own = {k: new[k] if k in new else found[k] for k in wanted}
+        return [found[keys[i]] if v is None else v for i, v in enumerate(out)]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        keys = [self._keys(t) for t in texts]
+        odd = {i: self._whole([texts[i]])[0].tobytes() for i, ks in enumerate(keys) if ks is None}
+        wanted = list(set().union(*[ks for ks in keys if ks]))
+        own = dict(zip(wanted, self._ids(wanted), strict=True))
         return [odd[i] if i in odd else b"".join(map(own.__getitem__, ks)) for i, ks in enumerate(keys)]
 
+    def encode_block(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of a string array, each text with ``end_id`` behind it; a null is an empty text.
+
+        Words are told apart and gathered again by Arrow and numpy; only distinct ones
+        meet Python.
+        """
+        texts = pc.fill_null(texts, "")
+        uneven = pc.match_substring_regex(texts, _UNEVEN)
+        for a in self.added:
+            uneven = pc.or_(uneven, pc.match_substring(texts, a))
+        uneven = uneven.to_numpy(zero_copy_only=False)
+        plain, rest = np.flatnonzero(~uneven), np.flatnonzero(uneven)
+        own = dict(zip(rest.tolist(), self.encode_many(texts.take(pa.array(rest)).to_pylist()), strict=True)) if len(rest) else {}
+        counts = np.zeros(len(texts), np.int64)
+        for i, b in own.items():
+            counts[i] = len(b) // 4
+        ids = at = np.zeros(0, np.int64)
+        if len(plain):
+            split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")
+            bounds, coded = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+            bounds = bounds - bounds[0]
+            code, keys = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+            first = bounds[:-1]
+            starts = list(dict.fromkeys("\0" + keys[c] for c in code[first].tolist()))  # no space before a text's first word
+            place = {k: len(keys) + i for i, k in enumerate(starts)}
+            code = code.copy()
+            code[first] = [place["\0" + keys[c]] for c in code[first].tolist()]
+            pieces = self._ids(keys + starts)
+            size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+            begin = np.cumsum(size) - size
+            taken = size[code]
+            ends = np.cumsum(taken)
+            kind = np.int32 if ends[-1] < 2**31 else np.int64
+            ids = np.frombuffer(b"".join(pieces), "<u4")[np.repeat((begin[code] - (ends - taken)).astype(kind), taken) + np.arange(int(ends[-1]), dtype=kind)]
+            at = np.concatenate([[0], ends[bounds[1:] - 1]])
+            counts[plain] = np.diff(at)
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(counts + 1, out=offsets[1:])
+        out = np.full(int(offsets[-1]), end_id, "<u4")
+        for k, i in enumerate(plain.tolist()):
+            out[offsets[i] : offsets[i] + counts[i]] = ids[at[k] : at[k + 1]]
+        for i, b in own.items():
+            out[offsets[i] : offsets[i] + counts[i]] = np.frombuffer(b, "<u4")
+        return out, offsets
+
+
+#: Bytes of text that are encoded at a time.
+BLOCK_BYTES = 2 << 20
+
+
+def blocks_of(texts: pa.Array):
+    """(first, last) ranges of about BLOCK_BYTES of text each."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first, n = 0, 0
+    for i, s in enumerate(size.tolist()):
+        n += s
+        if n >= BLOCK_BYTES:
+            yield first, i + 1
+            first, n = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
 
 _encoders: dict[str, Encoder] = {}
 
