@@ -130,5 +130,59 @@ def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op5_pii, op6_token_orc, op7_quality_rules, op8_secret_scan, op9_minhash_near_dup, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_minhash_near_dup": OP9_SQL}
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of op7, which SQL can express."""
+    from .quality_rules import judge
+
+    return judge(_read(spark, sf_dir, "documents"), []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+_SPACE = "\\x20\\x09-\\x0D"
+QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^{_SPACE}]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w) AS base_failed FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op5, counted, and their text's length, which SQL can express."""
+    from .pii import KINDS, base_spans
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_id", *[v.alias(k) for k, v in base_spans(F.col("text")).items()])
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], *[F.aggregate(k, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias(f"chars_{k}") for k in KINDS])
+
+
+_LUHN = "list_sum(list_transform(list_reverse(string_split(regexp_replace(x, '[^0-9]', '', 'g'), '')), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0"
+PII_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(coalesce(text, ''), '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+') AS ip,
+ regexp_extract_all(coalesce(text, ''), '[0-9](?:[\\x20-]?[0-9])+') AS card, regexp_extract_all(coalesce(text, ''), '\\+[0-9][\\x20().0-9-]+[0-9]') AS phone FROM documents),
+k AS (SELECT doc_id, email, list_filter(ip, lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda p: CAST(p AS HUGEINT) <= 255))) AS ip,
+ list_filter(card, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND {_LUHN}) AS card, list_filter(phone, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15) AS phone FROM d)
+SELECT doc_id, {", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}, CAST(coalesce(list_sum(list_transform({k}, lambda x: length(x))), 0) AS BIGINT) AS chars_{k}" for k in ("email", "ip", "card", "phone"))} FROM k
+"""
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op8, counted, and their text's length, which SQL can express."""
+    from .secrets import KINDS, base_spans
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("doc_id", *[v.alias(k) for k, v in base_spans(F.col("text")).items()])
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], *[F.aggregate(k, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias(f"chars_{k}") for k in KINDS])
+
+
+_ASSIGN = "((?i:password|passwd|secret|token|api_?key)[\"\']?\\x20*[:=]\\x20*[\"\']?)([A-Za-z0-9+/_.=-]+)".replace("\'", "''")
+SECRET_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_ASSIGN}') AS whole, regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2) AS value,
+ list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18) AS access, list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16) AS hex FROM documents),
+k AS (SELECT doc_id, list_filter(whole, lambda x, i: length(value[i]) >= 12) AS assign, access, hex FROM d)
+SELECT doc_id, {", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}, CAST(coalesce(list_sum(list_transform({k}, lambda x: length(x))), 0) AS BIGINT) AS chars_{k}" for k in ("assign", "access", "hex"))} FROM k
+"""
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op5_pii, op6_token_orc, op7_quality_rules, op8_secret_scan, op9_minhash_near_dup, op10_best_fit_packing, quality_counts, pii_counts, secret_counts)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_minhash_near_dup": OP9_SQL, "quality_counts": QUALITY_SQL, "pii_counts": PII_SQL, "secret_counts": SECRET_SQL}
