@@ -98,6 +98,33 @@ def segment_distance2(p: Vec, a: Vec, b: Vec) -> Column:
     return dot(d, d)
 
 
+def closest_on_segment(p: Vec, a: Vec, b: Vec) -> Vec:
+    """The point of a segment nearest to p."""
+    ab, ap = sub(b, a), sub(p, a)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot(ap, ab) / F.nullif(dot(ab, ab), F.lit(0.0)), F.lit(0.0))))
+    return tuple(x + t * y for x, y in zip(a, ab, strict=True))
+
+
+def closest_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:
+    """(d2, x, y, z) of the point of a triangle nearest to p.
+
+    The foot of the perpendicular where its barycentric coordinates say that it lies
+    inside, else the nearest point of the three sides; a flat triangle is its sides.
+    """
+    n = cross(sub(b, a), sub(c, a))
+    size = F.nullif(dot(n, n), F.lit(0.0))
+    ap = sub(p, a)
+    v, w = dot(cross(ap, sub(c, a)), n) / size, dot(cross(sub(b, a), ap), n) / size
+    height = dot(ap, n) / size
+
+    def at(q: Vec) -> Column:
+        d = sub(p, q)
+        return F.struct(dot(d, d).alias("d2"), *[x.alias(k) for x, k in zip(q, "xyz", strict=True)])
+
+    foot = at(tuple(x - height * y for x, y in zip(p, n, strict=True)))
+    return F.when((v >= 0) & (w >= 0) & (v + w <= 1), foot).otherwise(F.least(*[at(closest_on_segment(p, s, e)) for s, e in ((a, b), (b, c), (c, a))]))
+
+
 def ray_triangle(origin: Vec, direction: Vec, a: Vec, b: Vec, c: Vec, eps: float = 1e-12) -> Column:
     """Distance along the ray to the triangle, or null (determinant form)."""
     e1, e2 = sub(b, a), sub(c, a)
@@ -148,6 +175,14 @@ def hash01(i: Column, seed: int = 0) -> Column:
     return x.bitwiseXOR(F.shiftright(x, 16)).cast("double") / float((1 << 32) - 1)
 
 
+def hash_signed(i: Column, j: Column, k: Column, axis: int) -> Column:
+    """A reproducible jitter in -1..1 from lattice indexes and an axis (products in 32 bits, wrapping)."""
+    m = F.lit((1 << 32) - 1)
+    mul = lambda x, n: F.pmod(x.cast("long") * n, F.lit(1 << 32))  # noqa: E731  indexes are below 2**30
+    key = mul(i, 73856093).bitwiseXOR(mul(j, 19349663)).bitwiseXOR(mul(k, 83492791)).bitwiseXOR(F.lit(axis * 2654435761 % (1 << 32)))
+    return 2 * hash01(key.bitwiseAND(m)) - 1
+
+
 def density(h: Column) -> Column:
     return 1 / (h * h * h)
 

@@ -22,6 +22,8 @@ def elasticity(young: float, poisson: float) -> np.ndarray:
 
 
 _HEX = np.array([[-1, -1, -1], [1, -1, -1], [1, 1, -1], [-1, 1, -1], [-1, -1, 1], [1, -1, 1], [1, 1, 1], [-1, 1, 1]], float)
+#: The edges of a hexahedron, bottom ring, top ring, uprights.
+_HEX_EDGES = [(i, (i + 1) % 4) for i in range(4)] + [(4 + i, 4 + (i + 1) % 4) for i in range(4)] + [(i, i + 4) for i in range(4)]
 _TET_EDGES = [(0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3)]
 
 
@@ -50,9 +52,45 @@ def shape(etype: str, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         g[:, :3, :2], g[:, 3:, :2] = gt * lo[:, None, None], gt * hi[:, None, None]
         g[:, :3, 2], g[:, 3:, 2] = -tri / 2, tri / 2
         return n, g
+    if etype == "hex20":
+        f = 1 + p[:, None, :] * _HEX
+        r = (p[:, None, :] * _HEX).sum(axis=2) - 2
+        n, g = np.zeros((len(p), 20)), np.zeros((len(p), 20, 3))
+        n[:, :8] = f.prod(axis=2) * r / 8
+        for i in range(3):
+            g[:, :8, i] = _HEX[:, i] * np.prod(np.delete(f, i, axis=2), axis=2) * (r + f[:, :, i]) / 8
+        for k, (a, b) in enumerate(_HEX_EDGES, 8):
+            i = int(np.flatnonzero(_HEX[a] != _HEX[b])[0])
+            u, v = (j for j in range(3) if j != i)
+            bubble, fu, fv = 1 - p[:, i] ** 2, 1 + _HEX[a, u] * p[:, u], 1 + _HEX[a, v] * p[:, v]
+            n[:, k] = bubble * fu * fv / 4
+            g[:, k, i], g[:, k, u], g[:, k, v] = -p[:, i] * fu * fv / 2, bubble * _HEX[a, u] * fv / 4, bubble * fu * _HEX[a, v] / 4
+        return n, g
+    if etype == "pyramid5":
+        base, up = _HEX[:4, :2], (1 - z) / 2  # the base at z = -1, the apex at z = 1
+        fx, fy = 1 + x[:, None] * base[:, 0], 1 + y[:, None] * base[:, 1]
+        n = np.concatenate([fx * fy * up[:, None] / 4, ((1 + z) / 2)[:, None]], axis=1)
+        g = np.zeros((len(p), 5, 3))
+        g[:, :4, 0], g[:, :4, 1], g[:, :4, 2] = base[:, 0] * fy * up[:, None] / 4, base[:, 1] * fx * up[:, None] / 4, -fx * fy / 8
+        g[:, 4, 2] = 0.5
+        return n, g
     raise ValueError(f"no shape functions for {etype}")
 
 
+def reference_nodes(etype: str) -> np.ndarray:
+    """The nodes of the reference element."""
+    tet = np.concatenate([np.zeros((1, 3)), np.eye(3)])
+    if etype in ("tet4", "tet10"):
+        return tet if etype == "tet4" else np.concatenate([tet, [(tet[a] + tet[b]) / 2 for a, b in _TET_EDGES]])
+    if etype in ("hex8", "hex20"):
+        return _HEX if etype == "hex8" else np.concatenate([_HEX, [(_HEX[a] + _HEX[b]) / 2 for a, b in _HEX_EDGES]])
+    if etype == "prism6":
+        return np.array([[x, y, z] for z in (-1, 1) for x, y in ((0, 0), (1, 0), (0, 1))], float)
+    if etype == "pyramid5":
+        return np.concatenate([_HEX[:4], [[0, 0, 1]]])
+    raise ValueError(f"no reference nodes for {etype}")
+
+
 def gauss(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.polynomial.legendre.leggauss(n)
 
@@ -64,16 +102,29 @@ def quadrature(etype: str) -> tuple[np.ndarray, np.ndarray]:
     if etype == "tet10":
         a, b = (5 - 5**0.5) / 20, (5 + 3 * 5**0.5) / 20
         return np.where(np.eye(4, 3, -1) > 0, b, a), np.full(4, 1 / 24)
-    if etype == "hex8":
-        g, w = gauss(2)
+    if etype in ("hex8", "hex20"):
+        g, w = gauss(2 if etype == "hex8" else 3)
         return np.stack(np.meshgrid(g, g, g, indexing="ij"), -1).reshape(-1, 3), np.einsum("i,j,k->ijk", w, w, w).ravel()
     if etype == "prism6":
         g, w = gauss(2)
         t = np.array([[1 / 6, 1 / 6], [2 / 3, 1 / 6], [1 / 6, 2 / 3]])
         return np.array([[*q, z] for z in g for q in t]), np.repeat(w, 3) / 6
+    if etype == "pyramid5":  # a cube drawn together towards the apex
+        g, w = gauss(3)
+        c = np.stack(np.meshgrid(g, g, g, indexing="ij"), -1).reshape(-1, 3)
+        a = (1 - c[:, 2]) / 2
+        return np.stack([a * c[:, 0], a * c[:, 1], c[:, 2]], axis=1), np.einsum("i,j,k->ijk", w, w, w).ravel() * a * a
     raise ValueError(f"no quadrature for {etype}")
 
 
+def tet_quadrature(degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """A rule for the tetrahedron that is exact for polynomials of the degree: Gauss points of a cube drawn together."""
+    g, w = gauss((degree + 4) // 2)
+    g, w = (g + 1) / 2, w / 2
+    u, v, t = (m.ravel() for m in np.meshgrid(g, g, g, indexing="ij"))
+    return np.stack([u, v * (1 - u), t * (1 - u) * (1 - v)], axis=1), np.einsum("i,j,k->ijk", w, w, w).ravel() * (1 - u) ** 2 * (1 - v)
+
+
 def strain_matrix(grad: np.ndarray) -> np.ndarray:
     """B (... x 6 x 3n) from gradients (... x n x 3)."""
     n = grad.shape[-2]
@@ -94,9 +145,21 @@ def physical_gradients(etype: str, coords: np.ndarray, p: np.ndarray) -> tuple[n
 
 
 def stiffness(etype: str, coords: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Element matrices (elements x 3n x 3n)."""
+    """Element matrices (elements x 3n x 3n).  A pyramid is two tetrahedra over the base's diagonal 0-2; inverted elements fail."""
+    if etype == "pyramid5":
+        out = np.zeros((len(coords), 15, 15))
+        for own in ((0, 1, 2, 4), (0, 2, 3, 4)):
+            x = coords[:, own]
+            flat = np.linalg.det(x[:, 1:] - x[:, :1]) < 0
+            ids = np.where(flat[:, None], np.array(own)[[0, 2, 1, 3]], np.array(own))
+            k = stiffness("tet4", np.take_along_axis(coords, ids[:, :, None], axis=1), d)
+            dof = (ids[:, :, None] * 3 + np.arange(3)).reshape(len(coords), 12)
+            out[np.arange(len(coords))[:, None, None], dof[:, :, None], dof[:, None, :]] += k
+        return out
     p, w = quadrature(etype)
     _, grad, det = physical_gradients(etype, coords, p)
+    if (det <= 0).any():
+        raise ValueError(f"an inverted {etype}")
     b = strain_matrix(grad)
     return np.einsum("eqsi,st,eqtj,eq->eij", b, d, b, det * w, optimize=True)
 
@@ -108,6 +171,58 @@ def body_load(etype: str, coords: np.ndarray, force: tuple[float, float, float])
     return np.einsum("qn,x,eq->enx", n, np.array(force, float), det * w).reshape(len(coords), -1)
 
 
+def face_shape(n: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and gradients (points x nodes (x 2)) of a triangle (n = 3) or quadrilateral (n = 4)."""
+    x, y = p.T
+    if n == 3:
+        return np.stack([1 - x - y, x, y], axis=1), np.broadcast_to(np.array([[-1.0, -1], [1, 0], [0, 1]]), (len(p), 3, 2))
+    if n == 4:
+        c = _HEX[:4, :2]
+        fx, fy = 1 + x[:, None] * c[:, 0], 1 + y[:, None] * c[:, 1]
+        return fx * fy / 4, np.stack([c[:, 0] * fy / 4, c[:, 1] * fx / 4], axis=2)
+    raise ValueError(f"no face of {n} nodes")
+
+
+def traction_load(coords: np.ndarray, traction) -> np.ndarray:
+    """Consistent loads (faces x 3n) on faces (faces x n x 3) of three or four nodes.  ``traction`` maps points (m x 3) to forces by area (m x 3)."""
+    n = coords.shape[1]
+    if n == 3:
+        p, w = np.array([[1 / 6, 1 / 6], [2 / 3, 1 / 6], [1 / 6, 2 / 3]]), np.full(3, 1 / 6)
+    else:
+        g, own = gauss(3)
+        p, w = np.stack(np.meshgrid(g, g, indexing="ij"), -1).reshape(-1, 2), np.outer(own, own).ravel()
+    shape_of, grad = face_shape(n, p)
+    du, dv = (np.einsum("qn,fnx->fqx", grad[:, :, k], coords) for k in (0, 1))
+    area = np.linalg.norm(np.cross(du, dv), axis=2) * w
+    at = np.einsum("qn,fnx->fqx", shape_of, coords)
+    force = np.asarray(traction(at.reshape(-1, 3)), float).reshape(at.shape)
+    return np.einsum("qn,fqx,fq->fnx", shape_of, force, area).reshape(len(coords), -1)
+
+
+def traction_loads(faces: DataFrame, traction) -> DataFrame:
+    """(i, val): loads of faces (nodes of three or four, coords) summed by dof."""
+
+    def run(batches):
+        for batch in batches:
+            for _, own in batch.groupby(batch["nodes"].map(len)):
+                nodes = np.array(own["nodes"].tolist(), np.int64)
+                dof = (nodes[:, :, None] * 3 + np.arange(3)).ravel()
+                yield pd.DataFrame({"i": dof, "val": traction_load(_coords(own), traction).ravel()})
+
+    return faces.select("nodes", "coords").mapInPandas(run, "i long, val double").groupBy("i").agg(F.sum("val").alias("val"))
+
+
+def hp_modes(p: int) -> list[tuple[int, int, int]]:
+    """Tensor orders (i, j, k) of the hierarchical modes of a hexahedron up to order p; 0 and 1 are the linear functions of a direction."""
+    return [(i, j, k) for i in range(p + 1) for j in range(p + 1) for k in range(p + 1)]
+
+
+def hp_values(p: int, x: np.ndarray) -> np.ndarray:
+    """Values (points x modes) of ``hp_modes`` at points of the reference cube."""
+    one = [np.concatenate([np.stack([(1 - c) / 2, (1 + c) / 2], axis=1), lobatto(p, c)], axis=1) for c in x.T]
+    return np.stack([one[0][:, i] * one[1][:, j] * one[2][:, k] for i, j, k in hp_modes(p)], axis=1)
+
+
 def lobatto(p: int, x: np.ndarray) -> np.ndarray:
     """The 1D hierarchical modes of order 2..p (integrated Legendre), by column."""
     leg = np.polynomial.legendre.legvander(np.asarray(x, float), p)
@@ -144,7 +259,7 @@ def stiffness_triplets(elements: DataFrame, young: float, poisson: float) -> Dat
 def element_stress(elements: DataFrame, displacement: DataFrame, young: float, poisson: float) -> DataFrame:
     """(eid, six stresses, cx, cy, cz, volume) at element centres.  elements need coords; displacement: nid, ux, uy, uz."""
     d = elasticity(young, poisson)
-    centre = {"tet4": [0.25] * 3, "tet10": [0.25] * 3, "hex8": [0.0] * 3, "prism6": [1 / 3, 1 / 3, 0.0]}
+    centre = {"tet4": [0.25] * 3, "tet10": [0.25] * 3, "hex8": [0.0] * 3, "prism6": [1 / 3, 1 / 3, 0.0], "hex20": [0.0] * 3, "pyramid5": [0.0, 0.0, -0.5]}
     flat = elements.select("eid", F.posexplode("nodes").alias("pos", "nid")).join(displacement, "nid")
     u = flat.groupBy("eid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ux", "uy", "uz"))), lambda s: F.array(s["ux"], s["uy"], s["uz"])).alias("u"))
 

@@ -219,12 +219,12 @@ def displacement_summary(displacement: DataFrame, face: DataFrame, axis: str) ->
     return on.agg(F.avg(F.when(F.col("on"), size)).alias("face_mean"), F.avg(F.when(F.col("on"), F.col(axis))).alias("face_component"), F.max(size).alias("global_max"))
 
 
-def short_features(edges: DataFrame, h: float) -> DataFrame:
-    """One row: sharp edges shorter than 2 h, and those whose third is below a quarter of h as an array of structs."""
+def short_features(edges: DataFrame, h: float) -> tuple[DataFrame, DataFrame]:
+    """(one row: sharp edges shorter than 2 h and those flagged; the flagged edges, a third of whose length is below a quarter of h)."""
     third, least = F.col("length") / 3, F.lit(h / 4)
     sharp = edges.filter("feature = 'sharp'")
-    flag = F.when(third < least, F.struct("id", F.lit("below_h_min").alias("reason"), "length", third.alias("h_edge"), least.alias("h_min")))
-    return sharp.agg(F.count_if(F.col("length") < 2 * h).alias("n_short"), F.sort_array(F.collect_list(flag)).alias("flags"))
+    flags = sharp.filter(third < least).select("id", F.lit("below_h_min").alias("reason"), "length", third.alias("h_edge"), least.alias("h_min"))
+    return sharp.agg(F.count_if(F.col("length") < 2 * h).alias("n_short"), F.count_if(third < least).alias("n_flagged")), flags
 
 
 def slab_conditions(nodes: DataFrame, h: float, total: float) -> tuple[DataFrame, DataFrame]:
@@ -233,5 +233,62 @@ def slab_conditions(nodes: DataFrame, h: float, total: float) -> tuple[DataFrame
     tol = 0.51 * h
     held = nodes.filter(F.col("x") <= ends["lo"] + tol).select((F.col("nid") * 3 + F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).alias("dof"), F.lit(0.0).alias("value"))
     loaded = nodes.filter(F.col("x") >= ends["hi"] - tol)
-    n = max(1, loaded.count())
+    n = max(1, loaded.count())  # one number
     return held, loaded.select((F.col("nid") * 3).alias("i"), F.lit(total / n).alias("val"))
+
+
+def element_to_nodes(incidence: DataFrame, eta: DataFrame, stress: DataFrame, displacement: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((nid, eta, von_mises, u): the mean error of a node's elements and the sizes of its stress and displacement; one row of their maxima)."""
+    from ..functions.geometry import von_mises
+
+    mean = incidence.join(eta, "eid").groupBy("nid").agg(F.avg("eta").alias("eta"))
+    size = F.sqrt(F.col("ux") * F.col("ux") + F.col("uy") * F.col("uy") + F.col("uz") * F.col("uz"))
+    own = displacement.select("nid", size.alias("u")).join(stress.select("nid", von_mises(*[F.col(c) for c in VOIGT]).alias("von_mises")), "nid", "left").join(mean, "nid", "left")
+    own = own.select("nid", F.coalesce("eta", F.lit(0.0)).alias("eta"), F.coalesce("von_mises", F.lit(0.0)).alias("von_mises"), "u")
+    return own, own.agg(F.max("eta").alias("max_eta"), F.max("von_mises").alias("max_von_mises"), F.max("u").alias("max_u"))
+
+
+def mean_edge_length(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """One row: the mean length over all triangle sides (an inner edge counts from both sides); 1 without any."""
+    from .topology import edges
+
+    e = edges(triangles, ["tid"])
+    for n in "ab":
+        e = e.join(vertices.select(F.col("vid").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "xyz"]), n)
+    d = [F.col(f"a{c}") - F.col(f"b{c}") for c in "xyz"]
+    return e.agg(F.coalesce(F.avg(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])), F.lit(1.0)).alias("mean_edge"))
+
+
+def solve_method(n_free: int, method: str = "auto", threshold: int = 8000) -> str:
+    """direct or cg: as asked, else direct up to ``threshold`` unknowns (a caller with polyhedra raises it)."""
+    return method if method != "auto" else "cg" if n_free > threshold else "direct"
+
+
+#: Unknowns of a dense direct solve (a matrix of 200 MB); beyond them it is refused.
+MOST_DENSE = 5000
+
+
+def direct_solve(matrix: DataFrame, b: DataFrame) -> DataFrame:
+    """x (i, val) by a dense Cholesky factor on the driver; at most MOST_DENSE unknowns.  Fails on a singular system."""
+    ids = [r["i"] for r in matrix.select(F.col("row").alias("i")).distinct().orderBy("i").limit(MOST_DENSE + 1).collect()]
+    if len(ids) > MOST_DENSE:
+        raise ValueError(f"more than {MOST_DENSE} unknowns: use conjugate gradients")
+    at = {i: k for k, i in enumerate(ids)}
+    k, f = np.zeros((len(ids), len(ids))), np.zeros(len(ids))
+    for r in matrix.toLocalIterator():
+        k[at[r["row"]], at[r["col"]]] += r["val"]
+    for r in b.toLocalIterator():
+        if r["i"] in at:
+            f[at[r["i"]]] += r["val"]
+    try:
+        low = np.linalg.cholesky(k)
+    except np.linalg.LinAlgError:
+        raise ArithmeticError("the system is singular: are there enough constraints?") from None
+    x = np.linalg.solve(low.T, np.linalg.solve(low, f))
+    return matrix.sparkSession.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "i long, val double")
+
+
+def solve(matrix: DataFrame, b: DataFrame, save, method: str = "auto", threshold: int = 2000, **options) -> DataFrame:
+    """Direct or by conjugate gradients, by ``solve_method``."""
+    n = matrix.select("row").distinct().count()
+    return direct_solve(matrix, b) if solve_method(n, method, threshold) == "direct" else conjugate_gradient(matrix, b, save, **options)

@@ -128,6 +128,11 @@ def ranked(df: DataFrame, lead: str, ties: list[str], name: str = "rank", descen
     return running(df, F.lit(1).cast("long"), name, lead, ties, descending=descending)
 
 
+def dense_ids_from(df: DataFrame, keys: list[str], name: str, first: int) -> DataFrame:
+    """Adds numbers from ``first`` on in the order of distinct keys."""
+    return ranked(df, keys[0], keys[1:], name, descending=False).withColumn(name, F.col(name) + (first - 1))
+
+
 def first_share(df: DataFrame, lead: str, ties: list[str], share: float, least: int, descending: bool, up: bool = True) -> DataFrame:
     """The first ceil (or floor) of share * n rows, at least ``least``, in the order lead, ties."""
     df = saver(df.sparkSession, "first-share")(df)
@@ -190,8 +195,9 @@ def lower_rank_quantile(df: DataFrame, by: list[str], value: str, q: float, accu
     known, step = df.filter(F.col(value).isNotNull()), 2 / accuracy
     ends = F.percentile_approx(value, F.array(F.lit(max(0.0, q - step)), F.lit(min(1.0, q + step))), F.lit(accuracy))
     bracket = known.groupBy(*by).agg(F.count("*").alias("_all"), ends.alias("_e"), F.min(value).alias("_min"), F.max(value).alias("_max"))
-    low = F.col("_min") if q <= step else F.element_at("_e", 1)
-    high = F.col("_max") if q + step >= 1 else F.element_at("_e", 2)
+    few = F.col("_all") <= accuracy  # two ranks are more than the step
+    low = F.col("_min") if q <= step else F.when(few, F.col("_min")).otherwise(F.element_at("_e", 1))
+    high = F.col("_max") if q + step >= 1 else F.when(few, F.col("_max")).otherwise(F.element_at("_e", 2))
     names = [f"_b{i}" for i in range(len(by))]
     bracket = saver(df.sparkSession, "bracket")(bracket.select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], "_all", low.alias("_low"), high.alias("_high")))
     placed = known.select(*by, value).join(bracket, _all_equal(by, names)).filter(F.col(value) <= F.col("_high"))

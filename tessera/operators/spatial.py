@@ -2,8 +2,9 @@
 
 Distances are joined over grid cells: both sides get a cell, the searching side is
 spread over the cells within reach, and an equi-join on the cell is refined by the
-exact distance.  Nearest neighbours widen the reach in rounds, for the points that
-are not yet settled only; nothing is compared with everything.
+exact distance (a crowded cell is a skewed key, which adaptive execution splits).
+Nearest neighbours widen the reach in rounds until all are settled, for the points
+that are not yet settled only.
 """
 
 from __future__ import annotations
@@ -37,31 +38,41 @@ def near_any(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
     return points.join(within(points, sites, radius).select("pid").distinct(), "pid", "left_semi")
 
 
-def nearest(points: DataFrame, sites: DataFrame, size: float, save, most_rounds: int = 12) -> DataFrame:
-    """(pid, sid, d2): each point's nearest site, the least sid on ties; exact.
+def _settle(todo: DataFrame, near, size: float, save, most_rounds: int) -> DataFrame | None:
+    """Final rows (pid, d2, ...) of ``near(todo, size)``, asked with a growing size for the points that have none yet.
 
-    A hit is final when it is nearer than the border of the searched cells.  Points
-    without a final hit search again in cells of twice the size; after the last
-    round the rest (far from every site) are compared with all sites.
+    A hit is final when it is no further than ``size``, the border of what was
+    searched.  The size doubles, and after ``most_rounds`` grows eightfold; points stay
+    open at last only where there is nothing to be near to.
     """
-    todo, done = points.select("pid", "x", "y", "z"), None
-    sites = sites.select("sid", *[F.col(c).alias(f"s{c}") for c in "xyz"])
-    best = F.min(F.struct("d2", "sid")).alias("m")
-    for _ in range(most_rounds):
-        p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-        d = sub(vec("p"), vec("s"))
-        near = p.withColumn("cell", F.explode(spread(cell(vec("p"), size), 1))).join(sites.withColumn("cell", cell(vec("s"), size)), "cell")
-        near = near.withColumn("d2", dot(d, d)).groupBy("pid").agg(best)
-        final = save(near.filter(F.col("m.d2") <= size * size).select("pid", "m.sid", "m.d2"))
+    done, rounds, empty = None, 0, 0
+    while True:
+        found = save(near(todo, size))
+        final = found.filter(F.col("d2") <= size * size)
         done = final if done is None else done.unionByName(final)
-        todo = save(todo.join(final, "pid", "left_anti"))
+        todo = save(todo.join(final.select("pid"), "pid", "left_anti"))
         if not todo.limit(1).count():
             return done
-        size *= 2
-    p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-    d = sub(vec("p"), vec("s"))
-    rest = p.join(sites).withColumn("d2", dot(d, d)).groupBy("pid").agg(best).select("pid", "m.sid", "m.d2")
-    return done.unionByName(rest)
+        rounds += 1
+        empty = 0 if rounds <= most_rounds or found.limit(1).count() else empty + 1
+        if empty > 200:  # 8 ** 200 is beyond every double
+            return done
+        size *= 2 if rounds < most_rounds else 8
+
+
+def nearest(points: DataFrame, sites: DataFrame, size: float, save, most_rounds: int = 12) -> DataFrame:
+    """(pid, sid, d2): each point's nearest site, the least sid on ties; exact.  Without a site there is no row."""
+    sites = save(sites.select("sid", *[F.col(c).alias(f"s{c}") for c in "xyz"]))
+    if not sites.limit(1).count():
+        return points.select("pid", F.lit(None).cast("long").alias("sid"), F.lit(None).cast("double").alias("d2")).limit(0)
+
+    def near(todo: DataFrame, size: float) -> DataFrame:
+        p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+        d = sub(vec("p"), vec("s"))
+        joined = p.withColumn("cell", F.explode(spread(cell(vec("p"), size), 1))).join(sites.withColumn("cell", cell(vec("s"), size)), "cell")
+        return joined.withColumn("d2", dot(d, d)).groupBy("pid").agg(F.min(F.struct("d2", "sid")).alias("m")).select("pid", "m.sid", "m.d2")
+
+    return _settle(points.select("pid", "x", "y", "z"), near, size, save, most_rounds)
 
 
 def nearest_1d(points: DataFrame, sites: DataFrame, part: list[str]) -> DataFrame:
@@ -83,12 +94,33 @@ def nearest_1d(points: DataFrame, sites: DataFrame, part: list[str]) -> DataFram
     return both.withColumn("m", F.least(gap("low"), gap("high"))).select("pid", "m.sid", "m.dist")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, size: float, reach: float) -> DataFrame:
+def polyline_segments(samples: DataFrame) -> DataFrame:
+    """(sid, edge, ax.., bx..) from the samples of edges (edge, pos, x, y, z, ...): each sample to the next."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("edge").orderBy("pos")  # one edge's samples
+    following = F.lead(F.struct("x", "y", "z")).over(w)
+    rows = samples.select("edge", "pos", *[F.col(c).alias(f"a{c}") for c in "xyz"], following.alias("b")).filter("b is not null")
+    return rows.select(F.xxhash64("edge", "pos").alias("sid"), "edge", "ax", "ay", "az", *[F.col("b")[c].alias(f"b{c}") for c in "xyz"])
+
+
+def samples_along(segments: DataFrame, spacing: float) -> DataFrame:
+    """(sid, x, y, z): points on each segment, both ends included, no further apart than ``spacing``."""
+    d = sub(vec("b"), vec("a"))
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(dot(d, d)) / spacing).cast("int"))
+    t = segments.select("sid", "ax", "ay", "az", "bx", "by", "bz", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("i"))
+    at = lambda c: (F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * F.col("i") / F.col("n")).alias(c)
+    return t.select("sid", at("x"), at("y"), at("z"))
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, size: float, reach: float, only: Column | None = None) -> DataFrame:
     """(pid, sid, d2): each point's nearest segment within reach, the least sid on ties.
 
     segments: sid, ax.., bx..; each lies in the cells of its bounding box, widened by
-    reach, so the point is in one cell only.
+    reach, so the point is in one cell only.  ``only`` keeps some of them before any
+    distance is taken (sharp edges, say).
     """
+    segments = segments if only is None else segments.filter(only)
     lo = [F.floor((F.least(f"a{c}", f"b{c}") - reach) / size).cast("long") for c in "xyz"]
     hi = [F.floor((F.greatest(f"a{c}", f"b{c}") + reach) / size).cast("long") for c in "xyz"]
     s = segments
@@ -110,9 +142,15 @@ def stamp(points: DataFrame, band: float, h: float, counts: tuple[int, int, int]
     return near.filter((dot(d, d) <= band * band) & inside[0] & inside[1] & inside[2]).select("i", "j", "k").distinct()
 
 
+#: Boxes that a selection may name.
+MOST_BOXES = 10_000
+
+
 def box_select(points: DataFrame, boxes: DataFrame, axes: list[str]) -> DataFrame:
-    """Pairs of rows and boxes that hold them.  boxes: box, lo_<axis>, hi_<axis>; a declared, short list."""
-    test = None
+    """Pairs of rows and boxes that hold them.  boxes: box, lo_<axis>, hi_<axis>; a declared list of at most MOST_BOXES."""
+    if boxes.limit(MOST_BOXES + 1).count() > MOST_BOXES:
+        raise ValueError(f"more than {MOST_BOXES} boxes")
+    boxes, test = F.broadcast(boxes), None
     for a in axes:
         own = F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}"))
         test = own if test is None else test & own
@@ -232,48 +270,34 @@ def regions_of_midpoints(edges: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def nearest_other_gap(sites: DataFrame, size: float, save) -> DataFrame:
-    """One row: the mean distance from each site to its nearest other site, and how many sites have one.
+    """One row: the mean distance from each site to its nearest other site, and how many sites have one."""
+    a = save(sites.select(F.col("sid").alias("pid"), "x", "y", "z"))
+    others = a.withColumnRenamed("pid", "sid")
+    if a.limit(2).count() < 2:
+        return a.limit(0).agg(F.avg("x").alias("mean_gap"), F.count("*").alias("n"))
 
-    As in ``nearest``, the reach doubles in rounds for unsettled sites; after the last
-    round the rest (far from every other) are compared with all sites.
-    """
-    a = sites.select(F.col("sid").alias("pid"), "x", "y", "z")
-    todo, total = a, None
-    for _ in range(12):
-        near = within(todo, sites, size).filter("pid <> sid").groupBy("pid").agg(F.min("d2").alias("d2"))
-        near = save(near)
-        total = near if total is None else total.unionByName(near)
-        todo = save(todo.join(near, "pid", "left_anti"))
-        if not todo.limit(1).count():
-            break
-        size *= 2
-    else:
-        p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-        d = sub(vec("p"), vec("s"))
-        rest = p.join(sites.select("sid", *[F.col(c).alias(f"s{c}") for c in "xyz"]), F.col("pid") != F.col("sid")).withColumn("d2", dot(d, d))
-        total = total.unionByName(rest.filter("d2 is not null").groupBy("pid").agg(F.min("d2").alias("d2")))
-    return total.agg(F.avg(F.sqrt("d2")).alias("mean_gap"), F.count("*").alias("n"))
+    def near(todo: DataFrame, size: float) -> DataFrame:
+        return within(todo, others, size).filter("pid <> sid").groupBy("pid").agg(F.min("d2").alias("d2"))
+
+    return _settle(a, near, size, save, 12).agg(F.avg(F.sqrt("d2")).alias("mean_gap"), F.count("*").alias("n"))
 
 
-def thin_greedily(sites: DataFrame, gap: float, cell_size: float) -> DataFrame:
-    """Keeps a site if none kept before it (by sid) is nearer than gap, cell by cell.
+def thin_greedily(sites: DataFrame, gap: float, save) -> DataFrame:
+    """Keeps a site if none kept before it (by sid) is nearer than gap: the sequential rule, in rounds.
 
-    The greedy order only holds inside a cell of ``cell_size`` (a bounded group); a
-    last range join drops the later of two kept sites on different sides of a border.
+    A round keeps every undecided site without an undecided site before it within the
+    gap, and drops the undecided ones near a kept site, until all are decided.
     """
-    import pandas as pd
-
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g, kept = g.sort_values("sid"), []
-        for r in g.itertuples():
-            if all((r.x - k.x) ** 2 + (r.y - k.y) ** 2 + (r.z - k.z) ** 2 >= gap * gap for k in kept):
-                kept.append(r)
-        return g[g.sid.isin([k.sid for k in kept])][["sid", "x", "y", "z"]]
-
-    by = [F.floor(F.col(c) / cell_size).alias(f"c{c}") for c in "xyz"]
-    inside = sites.select("sid", "x", "y", "z", *by).groupBy("cx", "cy", "cz").applyInPandas(keep, "sid long, x double, y double, z double")
-    clash = within(inside.select(F.col("sid").alias("pid"), "x", "y", "z"), inside, gap).filter("pid > sid").select(F.col("pid").alias("sid")).distinct()
-    return inside.join(clash, "sid", "left_anti")
+    named = sites.select(F.col("sid").alias("pid"), "x", "y", "z")
+    close = save(within(named, sites.select("sid", "x", "y", "z"), gap).filter(F.col("d2") < gap * gap).filter("sid < pid").select(F.col("sid").alias("early"), F.col("pid").alias("late")))
+    todo, kept = save(sites.select("sid").distinct()), None
+    while todo.limit(1).count():
+        waits = close.join(todo.select(F.col("sid").alias("early")), "early", "left_semi").select(F.col("late").alias("sid")).distinct()
+        new = save(todo.join(waits, "sid", "left_anti"))
+        gone = close.join(new.select(F.col("sid").alias("early")), "early", "left_semi").select(F.col("late").alias("sid")).distinct()
+        kept = new if kept is None else kept.unionByName(new)
+        todo = save(todo.join(new, "sid", "left_anti").join(gone, "sid", "left_anti"))
+    return sites.select("sid", "x", "y", "z").join(kept, "sid", "left_semi") if kept is not None else sites.select("sid", "x", "y", "z").limit(0)
 
 
 def nearest_vectors(queries: DataFrame, rows: DataFrame, query_block: int = 1024, row_block: int = 2048) -> DataFrame:

@@ -8,12 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Local faces of each element type, as places in its node list.
+
+
+def _opposite(i: int) -> tuple[int, int, int]:
+    """The face of a tetrahedron opposite node i, outward."""
+    a, b, c = (n for n in range(4) if n != i)
+    return (a, c, b) if i % 2 else (a, b, c)
+
+
+#: Local faces of each element type, as places in its node list (outward; a pyramid's base as its nodes run).
 FACES = {
-    "tet4": [(1, 2, 3), (0, 3, 2), (0, 1, 3), (0, 2, 1)],
+    "tet4": [_opposite(i) for i in range(4)],
     "hex8": [(0, 3, 2, 1), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7)],
     "prism6": [(0, 2, 1), (3, 4, 5), (0, 1, 4, 3), (1, 2, 5, 4), (2, 0, 3, 5)],
-    "pyramid5": [(0, 3, 2, 1), (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)],
+    "pyramid5": [(0, 1, 2, 3), (0, 1, 4), (1, 2, 4), (2, 3, 4), (3, 0, 4)],
 }
 #: Corner nodes of the quadratic types, which have the faces of their linear ones.
 LINEAR = {"tet10": "tet4", "hex20": "hex8"}
@@ -53,12 +61,30 @@ def conformity(classes: DataFrame) -> DataFrame:
 
 
 def boundary_skin(faces: DataFrame) -> DataFrame:
-    """Faces of one element only, in the orientation of their least (eid, local); triangles as quads with the last node repeated."""
+    """Faces of one element only, in the orientation of their least (eid, local); triangles as quads with the last node repeated.
+
+    Faces of three or four nodes count; triangles with a repeated corner have collapsed and don't.
+    """
+    n = F.size("nodes")
+    faces = faces.filter((n == 4) | (n == 3) & (F.size(F.array_distinct("nodes")) == 3))
     out = faces.groupBy(face_key(F.col("nodes")).alias("face")).agg(F.count("*").alias("n"), F.min(F.struct("eid", "local", "nodes")).alias("first"))
     quad = F.when(F.size("first.nodes") == 3, F.concat("first.nodes", F.slice("first.nodes", 3, 1))).otherwise(F.col("first.nodes"))
     return out.filter("n = 1").select(F.col("first.eid").alias("eid"), F.col("first.local").alias("local"), F.col("first.nodes").alias("nodes"), quad.alias("quad"))
 
 
+def boundary_polygons(faces: DataFrame) -> DataFrame:
+    """Faces of one element only with any number of nodes, by their distinct nodes, in the orientation of their least (eid, local)."""
+    out = faces.filter(F.size(F.array_distinct("nodes")) >= 3).groupBy(face_key(F.col("nodes")).alias("face")).agg(F.count("*").alias("n"), F.min(F.struct("eid", "local", "nodes")).alias("first"))
+    return out.filter("n = 1").select("first.eid", "first.local", "first.nodes")
+
+
+def skin_edges(elements: DataFrame) -> DataFrame:
+    """(a, b): edges of the boundary where elements tell their kind only by how many nodes they have: 4, 5, 6 or 8; any other is one face."""
+    kind = F.create_map(*[F.lit(x) for n, t in ((4, "tet4"), (5, "pyramid5"), (6, "prism6"), (8, "hex8")) for x in (n, t)])
+    named = elements.select("eid", F.coalesce(F.element_at(kind, F.size("nodes")), F.lit("poly")).alias("etype"), "nodes", F.array(F.sequence(F.lit(0), F.size("nodes") - 1)).alias("faces"))
+    return edges(boundary_polygons(faces(named)), ["eid"]).select("a", "b").distinct()
+
+
 def hanging_faces(skin: DataFrame, nodes: DataFrame, margin: float) -> DataFrame:
     """Skin faces whose centroid lies further than ``margin`` inside the bounding box: holes in a box mesh."""
     corner = skin.select("eid", "local", F.explode("nodes").alias("nid")).join(nodes, "nid")
@@ -97,6 +123,28 @@ def weld(points: DataFrame, coords: list[str], position: str, decimals: int | No
     return df.join(first, names).drop(*names)
 
 
+def polyhedra(elements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(eid, volume, cx, cy, cz) of polyhedra by the divergence theorem; elements: eid, etype, nodes, faces."""
+    at = lambda name: nodes.select(F.col("nid").alias(name), *[F.col(c).alias(f"{name}{c}") for c in "xyz"])
+    mean = elements.select("eid", F.explode("nodes").alias("nid")).join(nodes, "nid").groupBy("eid").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    rim = faces(elements).filter(F.size("nodes") >= 3)
+    n = F.size("nodes")
+    walk = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.element_at("nodes", i).alias("p"), F.element_at("nodes", i % n + 1).alias("q")))
+    steps = rim.select("eid", "local", F.element_at("nodes", 1).alias("o"), n.alias("n"), F.explode(walk).alias("w")).select("eid", "local", "o", "n", "w.*")
+    steps = steps.join(at("p"), "p").join(at("q"), "q").join(at("o"), "o").join(mean, "eid")
+    cross = lambda u, v: (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    p, q, o, m = (tuple(F.col(f"{k}{c}") for c in "xyz") for k in ("p", "q", "o", "m"))
+    area = cross(p, q)
+    less = lambda u, v: tuple(a - b for a, b in zip(u, v, strict=True))
+    fan = cross(less(p, m), less(q, m))
+    six = sum((a * b for a, b in zip(less(o, m)[1:], fan[1:], strict=True)), less(o, m)[0] * fan[0])
+    moment = [F.sum(six / 6 * (m[k] + o[k] + p[k] + q[k]) / 4).alias(f"t{c}") for k, c in enumerate("xyz")]
+    by_face = steps.groupBy("eid", "local").agg(*[F.sum(area[k] / 2).alias(f"a{c}") for k, c in enumerate("xyz")], *[F.avg(p[k]).alias(f"f{c}") for k, c in enumerate("xyz")], F.sum(six / 6).alias("v"), *moment)
+    share = (F.col("fx") * F.col("ax") + F.col("fy") * F.col("ay") + F.col("fz") * F.col("az")) / 3
+    own = by_face.groupBy("eid").agg(F.sum(share).alias("volume"), F.sum("v").alias("v"), *[F.sum(f"t{c}").alias(f"t{c}") for c in "xyz"]).join(mean, "eid")
+    return own.select("eid", "volume", *[F.when(F.abs("v") < 1e-30, F.col(f"m{c}")).otherwise(F.col(f"t{c}") / F.col("v")).alias(f"c{c}") for c in "xyz"])
+
+
 def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     """Adds a dense id from 0 in the order of a distinct key."""
     from .ordered import ranked
@@ -164,13 +212,42 @@ def pair_by_centroid(faces: DataFrame, eps: float) -> DataFrame:
     return found.filter("n = 2").select("a", "b")
 
 
+#: Links that one task may hold.
+ONE_TASK = 500_000
+
+
+def _joined_up(batches):
+    """(node, label) from all links (a, b): each tree of nodes points at its least one."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            p, q = find(a), find(b)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "label"])
+
+
 def components(links: DataFrame, nodes: DataFrame, save) -> DataFrame:
     """(node, label): the least node reachable over links (a, b).  ``save`` writes a frame and reads it again.
 
     Min-label propagation with pointer jumping: each round takes the least label
-    around a node, then that label's own label.
+    around a node, then that label's own label.  At most ``ONE_TASK`` links (a count
+    decides) are joined up in one task instead.
     """
     both = save(links.select("a", "b").union(links.select("b", "a")).distinct())
+    if both.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        found = both.coalesce(1).mapInArrow(_joined_up, "node long, label long")
+        return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     labels = save(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
@@ -271,7 +348,91 @@ def bisection_closure(elements: DataFrame, nodes: DataFrame, marked: DataFrame,
         done = save(done.unionByName(more))
 
 
-def capped(df: DataFrame, order: list, share: float, least: int = 8) -> DataFrame:
+def capped(df: DataFrame, lead: str, ties: list[str], share: float, least: int = 8, descending: bool = False) -> DataFrame:
     """The first share of the rows in an order, at least ``least``: a stated limit of the refinement plan."""
-    n = df.count()
-    return df.orderBy(*order).limit(max(least, int(share * n)))
+    from .ordered import first_share
+
+    return first_share(df, lead, ties, share, least, descending, up=False)
+
+
+def feature_counts(edges: DataFrame) -> DataFrame:
+    """One row: sharp, smooth and seam edges."""
+    return edges.agg(*[F.count_if(F.col("feature") == k).alias(f"n_{k}") for k in ("sharp", "smooth", "seam")])
+
+
+def weld_within(points: DataFrame, position: str, share: float = 1e-10) -> DataFrame:
+    """As ``weld`` over x, y, z, on a grid whose step is a share of the bounding box's diagonal."""
+    ends = points.agg(*[f(c).alias(f"{c}{n}") for c in "xyz" for n, f in (("0", F.min), ("1", F.max))]).first()
+    diagonal = sum(((ends[f"{c}1"] or 0.0) - (ends[f"{c}0"] or 0.0)) ** 2 for c in "xyz") ** 0.5
+    step = share * diagonal or share
+    keyed = points.withColumns({f"_q{c}": F.floor(F.col(c) / step + 0.5) for c in "xyz"})
+    return weld(keyed, [f"_q{c}" for c in "xyz"], position).drop("_qx", "_qy", "_qz")
+
+
+def focused(marked: DataFrame, focus: DataFrame, key: str = "eid") -> DataFrame:
+    """The marked rows that are in focus; all of them where none is."""
+    found = marked.join(focus.select(key).distinct(), key, "left_semi")
+    return found if found.limit(1).count() else marked
+
+
+def without_points(points: DataFrame, others: DataFrame, decimals: int = 6) -> DataFrame:
+    """Points that none of the others equals by rounded coordinates."""
+    key = [F.round(F.col(c), decimals).alias(f"_r{c}") for c in "xyz"]
+    mine = points.withColumns({f"_r{c}": F.round(F.col(c), decimals) for c in "xyz"})
+    return mine.join(others.select(*key).distinct(), ["_rx", "_ry", "_rz"], "left_anti").drop("_rx", "_ry", "_rz")
+
+
+def bisect(elements: DataFrame, nodes: DataFrame, marked: DataFrame, save) -> tuple[DataFrame, DataFrame]:
+    """Longest-edge bisection of tetrahedra (eid, nodes) until every marked one is split and no edge hangs: (elements, nodes).
+
+    Every round splits, all at once, the edges that are the longest of each element
+    around them; no element has two such edges.  Elements whose longest edge is not
+    yet one wait, and their neighbours over it join the queue.  The first child keeps
+    its parent's id.
+    """
+    from .ordered import dense_ids_from
+
+    pairs = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    elements, nodes, queue = save(elements.select("eid", "nodes")), save(nodes.select("nid", "x", "y", "z")), save(marked.select("eid").distinct())
+    goal = queue
+    ends = F.array(*[F.struct(F.least(F.element_at("nodes", p + 1), F.element_at("nodes", q + 1)).alias("a"), F.greatest(F.element_at("nodes", p + 1), F.element_at("nodes", q + 1)).alias("b")) for p, q in pairs])
+    while goal.limit(1).count():
+        longest = save(longest_edge(elements, nodes, pairs).select("eid", "a", "b"))
+        holds = save(elements.select("eid", F.explode(ends).alias("e")).select("eid", "e.a", "e.b"))
+        while True:  # neighbours over a waiting element's longest edge wait, too
+            wanted = longest.join(queue, "eid", "left_semi").select("a", "b").distinct()
+            more = save(holds.join(wanted, ["a", "b"], "left_semi").select("eid").distinct().join(queue, "eid", "left_anti"))
+            if not more.limit(1).count():
+                break
+            queue = save(queue.unionByName(more))
+        around = holds.join(wanted, ["a", "b"]).groupBy("a", "b").agg(F.count("*").alias("n"))
+        ready = longest.groupBy("a", "b").agg(F.count("*").alias("m")).join(around, ["a", "b"]).filter("n = m").select("a", "b")
+        new = save(dense_ids_from(ready, ["a", "b"], "nid", nodes.agg(F.max("nid")).first()[0] + 1))
+        split = save(longest.join(new, ["a", "b"]).select("eid", "a", "b", F.col("nid").alias("mid")))
+        second = save(dense_ids_from(split.select("eid"), ["eid"], "child", elements.agg(F.max("eid")).first()[0] + 1))
+        at = new.join(nodes.select(F.col("nid").alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"]), "a").join(nodes.select(F.col("nid").alias("b"), *[F.col(c).alias(f"b{c}") for c in "xyz"]), "b")
+        nodes = save(nodes.unionByName(at.select("nid", *[((F.col(f"a{c}") + F.col(f"b{c}")) / 2).alias(c) for c in "xyz"])))
+        both = elements.join(split, "eid").join(second, "eid")
+        swap = lambda out: F.transform("nodes", lambda n: F.when(n == F.col(out), F.col("mid")).otherwise(n))  # noqa: E731  keeps the orientation
+        children = both.select("eid", swap("b").alias("nodes")).unionByName(both.select(F.col("child").alias("eid"), swap("a").alias("nodes")))
+        elements = save(elements.join(split.select("eid"), "eid", "left_anti").unionByName(children))
+        goal, queue = save(goal.join(split, "eid", "left_anti")), save(queue.join(split, "eid", "left_anti"))
+    return elements, nodes
+
+
+def bisect_near(elements: DataFrame, nodes: DataFrame, seeds: DataFrame, radius: float, waves: int, save, share: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Waves of ``bisect``: each marks the elements whose centroid lies within radius of a seed (sid, x, y, z), at most a share of them."""
+    from .spatial import near_any
+
+    for _ in range(waves):
+        corner = elements.select("eid", F.explode("nodes").alias("nid")).join(nodes, "nid")
+        centroid = save(corner.groupBy("eid").agg(*[F.avg(c).alias(c) for c in "xyz"]).withColumnRenamed("eid", "pid"))
+        close = near_any(centroid, seeds, radius).select(F.col("pid").alias("eid"))
+        most = max(8, int(share * elements.count()))
+        marked = save(close)
+        if marked.count() > most:
+            from .ordered import ranked
+
+            marked = save(ranked(marked, "eid", [], "_r", descending=False).filter(F.col("_r") <= most).select("eid"))
+        elements, nodes = bisect(elements, nodes, marked, save)
+    return elements, nodes

@@ -130,9 +130,9 @@ def grid_expand(spark: SparkSession, d: str) -> DataFrame:
     return X.expand_grid({"brand": part.select("p_brand"), "type": part.select("p_type"), "priority": table(spark, d, "orders").select("o_orderpriority")})
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return X.remaining(table(spark, d, "customer").select("c_custkey", "c_name"), done, ["c_custkey"])
 
 
@@ -188,11 +188,12 @@ def open_edges(spark: SparkSession, d: str) -> DataFrame:
     return topology.open_edges(_faces(spark, d), ["eid"])
 
 
-@query("""WITH p AS (SELECT l_orderkey * 8 + l_linenumber AS pos, round(l_quantity) AS q, l_discount AS c, l_tax AS t FROM lineitem), k AS (SELECT q, c, t, min(pos) AS first_position, count(*) AS n_points FROM p GROUP BY ALL)
-SELECT DISTINCT first_position, n_points FROM k""")
+@query("""WITH p AS (SELECT o_orderkey AS pos, floor(o_totalprice / 5000) AS q, o_custkey % 7 AS c FROM orders), k AS (SELECT q, c, min(pos) AS first_position, count(*) AS n_points FROM p GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (ORDER BY first_position) - 1 AS weld_id FROM k) SELECT pos, weld_id, first_position, n_points FROM p JOIN n ON p.q = n.q AND p.c = n.c""")
 def weld_points(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.round("l_quantity").alias("q"), F.col("l_discount").alias("c"), F.col("l_tax").alias("t"))
-    return topology.weld(p, ["q", "c", "t"], "pos").select("first_position", "n_points").distinct()
+    """Orders as points, welded by price class and customer class; ids in the order of the first position."""
+    p = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.floor(F.col("o_totalprice") / 5000).alias("q"), (F.col("o_custkey") % 7).alias("c"))
+    return topology.weld(p, ["q", "c"], "pos").select("pos", "weld_id", "first_position", "n_points")
 
 
 @query("""WITH RECURSIVE e AS (SELECT 1000 + s_suppkey AS a, CAST(s_nationkey AS BIGINT) AS b FROM supplier UNION SELECT n_nationkey, 100 + n_regionkey FROM nation), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -210,7 +211,7 @@ SELECT box, c_custkey FROM customer JOIN b ON c_nationkey BETWEEN lo_n AND hi_n
 def box_select(spark: SparkSession, d: str) -> DataFrame:
     boxes = spark.sql("SELECT * FROM VALUES ('low', 0D, 9D, -1e9D, 0D), ('mid', 5D, 15D, 1000D, 3000D), ('all', 20D, 24D, -1e9D, 1e9D) AS b(box, lo_n, hi_n, lo_a, hi_a)")
     pts = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("n"), F.col("c_acctbal").alias("a"))
-    return spatial.box_select(pts, F.broadcast(boxes), ["n", "a"]).select("box", "c_custkey")  # three boxes
+    return spatial.box_select(pts, boxes, ["n", "a"]).select("box", "c_custkey")
 
 
 _XYZ = "(SELECT c_custkey AS id, c_acctbal / 10 AS x, c_nationkey * 10.0 AS y, (c_custkey % 50) * 1.0 AS z FROM customer) c, (SELECT s_suppkey AS id, s_acctbal / 10 AS x, s_nationkey * 10.0 AS y, (s_suppkey % 50) * 1.0 AS z FROM supplier) s"
@@ -260,12 +261,13 @@ def finest_per_cell(spark: SparkSession, d: str) -> DataFrame:
     return spatial.finest_per_cell(p, [F.floor(F.col("p_size") / 5), F.col("p_brand")], "p_retailprice", "p_partkey").drop("p_brand")
 
 
-@query("""SELECT s_suppkey AS nid, coalesce(round(avg(l_quantity), 6), 0.0) AS sigma FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
+@query("""SELECT s_suppkey AS nid, coalesce(round(avg(o_totalprice), 4), 0.0) AS sigma FROM supplier LEFT JOIN (SELECT l_suppkey, o_totalprice FROM lineitem JOIN orders ON l_orderkey = o_orderkey) ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
 def nodal_average(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").withColumn("eid", F.monotonically_increasing_id())
-    line = saver(spark, "nodal")(line.select("eid", F.col("l_suppkey").alias("nid"), F.col("l_quantity").alias("sigma")))
-    out = fields.nodal_average(line.select("eid", "nid"), line.select("eid", "sigma"), ["sigma"], table(spark, d, "supplier").select(F.col("s_suppkey").alias("nid")))
-    return out.withColumn("sigma", F.round("sigma", 6))
+    """Orders as elements, their lines' suppliers as nodes."""
+    inc = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("eid"), F.col("l_suppkey").alias("nid"))
+    own = table(spark, d, "orders").select(F.col("o_orderkey").alias("eid"), F.col("o_totalprice").alias("sigma"))
+    out = fields.nodal_average(inc, own, ["sigma"], table(spark, d, "supplier").select(F.col("s_suppkey").alias("nid")))
+    return out.withColumn("sigma", F.round("sigma", 4))
 
 
 @query("""WITH k AS (SELECT l_suppkey AS row, l_partkey AS col, sum(CAST(l_quantity AS DECIMAL(18,2))) AS val FROM lineitem GROUP BY ALL)
@@ -360,10 +362,10 @@ def event_sessions_users(spark: SparkSession, d: str) -> DataFrame:
     return event_sessions(table(spark, d, "events"))
 
 
-@query("""SELECT o_custkey, count(*) AS n, string_agg(CAST(o_totalprice AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) IS NOT NULL AS has_series, arg_min(o_totalprice, {'d': o_orderdate, 'k': o_orderkey}) AS first, arg_max(o_totalprice, {'d': o_orderdate, 'k': o_orderkey}) AS last FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, count(*) AS n, string_agg(CAST(o_totalprice AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS series, arg_min(o_totalprice, {'d': o_orderdate, 'k': o_orderkey}) AS first, arg_max(o_totalprice, {'d': o_orderdate, 'k': o_orderkey}) AS last FROM orders GROUP BY 1""")
 def trend_series(spark: SparkSession, d: str) -> DataFrame:
     out = X.trend(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice")
-    return out.select("o_custkey", F.col("n").cast("long").alias("n"), F.col("series").isNotNull().alias("has_series"), "first", "last")
+    return out.withColumn("n", F.col("n").cast("long"))
 
 
 @query("""SELECT s_nationkey AS g, ratio FROM (SELECT s_nationkey, s_suppkey, max(CAST(c_custkey AS DOUBLE) / s_suppkey) AS ratio FROM supplier JOIN customer ON s_acctbal >= c_acctbal * (1 - 1e-4) AND s_suppkey < c_custkey WHERE s_suppkey > 0 GROUP BY ALL ORDER BY ratio DESC, s_suppkey LIMIT 1)""")
@@ -381,10 +383,10 @@ def orphan_nodes(spark: SparkSession, d: str) -> DataFrame:
     return topology.orphans(nodes, elements).select(F.lit(True).alias("orphan"), "nid")
 
 
-@query("""SELECT l_partkey AS entity, CAST(min(l_linenumber) AS INTEGER) AS p FROM lineitem GROUP BY 1""")
+@query("""SELECT l_partkey AS entity, CAST(min(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS INTEGER) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
 def entity_minimum(spark: SparkSession, d: str) -> DataFrame:
-    line = saver(spark, "entity")(table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("eid"), F.col("l_partkey").alias("entity"), F.col("l_linenumber").alias("p")))
-    return fields.entity_minimum(line.select("eid", "entity"), line.select("eid", "p")).withColumn("p", F.col("p").cast("int"))
+    inc = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("eid"), F.col("l_partkey").alias("entity"))
+    return fields.entity_minimum(inc, table(spark, d, "orders").select(F.col("o_orderkey").alias("eid"), F.substring("o_orderpriority", 1, 1).cast("int").alias("p")))
 
 
 @query("SELECT p_type AS etype, count(*) AS n FROM part GROUP BY 1")
@@ -392,7 +394,16 @@ def element_type_counts(spark: SparkSession, d: str) -> DataFrame:
     return topology.element_type_counts(table(spark, d, "part").withColumnRenamed("p_type", "etype"))
 
 
-@query("SELECT 1000 AS n_cells, 1331 AS n_nodes, 6000 AS n_elements, 1200 AS n_boundary, 11400 AS n_interior, 0 AS n_hanging, 1.0::DOUBLE AS volume")
+@query("""WITH t(a, b, c, d) AS (VALUES (0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7)), g AS (SELECT x.range AS i, y.range AS j, z.range AS k FROM range(10) x, range(10) y, range(10) z),
+e AS (SELECT row_number() OVER () AS eid, i, j, k, [a, b, c, d] AS own FROM g, t), v AS (SELECT eid, list_transform(own, lambda n: [i + n % 2, j + (n // 2) % 2, k + n // 4]) AS p FROM e),
+f AS (SELECT list_sort([p[1], p[2], p[3]]) AS face FROM v UNION ALL SELECT list_sort([p[1], p[2], p[4]]) FROM v UNION ALL SELECT list_sort([p[1], p[3], p[4]]) FROM v UNION ALL SELECT list_sort([p[2], p[3], p[4]]) FROM v),
+n AS (SELECT face, count(*) AS n FROM f GROUP BY face), w AS (SELECT unnest(p) AS node FROM v),
+s AS (SELECT face, list_transform(face[1], lambda x, q: (x + face[2][q] + face[3][q]) / 3) AS m FROM n WHERE n = 1),
+d AS (SELECT [p[2][1] - p[1][1], p[2][2] - p[1][2], p[2][3] - p[1][3]] AS u, [p[3][1] - p[1][1], p[3][2] - p[1][2], p[3][3] - p[1][3]] AS q, [p[4][1] - p[1][1], p[4][2] - p[1][2], p[4][3] - p[1][3]] AS r FROM v)
+SELECT CAST((SELECT count(*) FROM g) AS INTEGER) AS n_cells, CAST((SELECT count(DISTINCT node) FROM w) AS INTEGER) AS n_nodes, CAST((SELECT count(*) FROM v) AS INTEGER) AS n_elements,
+ CAST((SELECT count(*) FROM n WHERE n = 1) AS INTEGER) AS n_boundary, CAST((SELECT count(*) FROM n WHERE n = 2) AS INTEGER) AS n_interior,
+ CAST((SELECT count(*) FROM s WHERE least(m[1], 10 - m[1], m[2], 10 - m[2], m[3], 10 - m[3]) > 0.000001) AS INTEGER) AS n_hanging,
+ round((SELECT CAST(sum(u[1] * (q[2] * r[3] - q[3] * r[2]) + u[2] * (q[3] * r[1] - q[1] * r[3]) + u[3] * (q[1] * r[2] - q[2] * r[1])) AS DOUBLE) / 6000 FROM d), 9) AS volume""")
 def lattice_tet_box(spark: SparkSession, d: str) -> DataFrame:
     """A structured box of 10 x 10 x 10 cells: Kuhn tetrahedra, skin, conformity, hanging faces, volume."""
     from .plans import lattice
@@ -465,51 +476,99 @@ def nearest_other_gap(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.round("mean_gap", 6).alias("mean_gap"), "n")
 
 
-@query("""WITH e AS (SELECT DISTINCT o_custkey % 40 AS a, 40 + l_partkey % 60 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), h0 AS (SELECT 0 AS node), h1 AS (SELECT DISTINCT b AS node FROM l WHERE a IN (FROM h0) AND b NOT IN (FROM h0)),
-h2 AS (SELECT DISTINCT b AS node FROM l WHERE a IN (FROM h1) AND b NOT IN (SELECT node FROM h0 UNION FROM h1)) SELECT node, 0 AS hops FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""")
-def hop_distance(spark: SparkSession, d: str) -> DataFrame:
-    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    e = line.join(orders, line.l_orderkey == orders.o_orderkey).select((F.col("o_custkey") % 40).alias("a"), (40 + F.col("l_partkey") % 60).alias("b"))
-    seed = spark.range(1).select(F.lit(0).cast("long").alias("node"))
-    return topology.hops(e, seed, saver(spark, "hops"), most=2)
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * o_custkey AS a, 2 * l_partkey + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 h(node, hops) USING KEY (node) AS (SELECT min(a), 0 FROM e UNION SELECT DISTINCT l.b, h.hops + 1 FROM h JOIN l ON l.a = h.node WHERE l.b NOT IN (SELECT node FROM recurring.h)) SELECT node, hops FROM h""")
-def hop_distance_all(spark: SparkSession, d: str) -> DataFrame:
+def hop_distance(spark: SparkSession, d: str) -> DataFrame:
     """Hops over the whole customer-part graph from its least customer, to exhaustion: customers are even nodes, parts odd ones."""
-    save = saver(spark, "hops-all")
+    save = saver(spark, "hops")
     line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     e = save(line.join(orders, line.l_orderkey == orders.o_orderkey).select((2 * F.col("o_custkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")).distinct())
     return topology.hops(e, e.agg(F.min("a").alias("node")).filter("node is not null"), save)
 
 
-@query("""WITH n AS (SELECT vec_id, label, embedding AS e FROM embeddings) SELECT a.vec_id, arg_min(b.vec_id, {'d': round(1 - list_cosine_similarity(a.e, b.e), 5), 'i': b.vec_id}) AS nearest FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1""")
-def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """Nearest vector of the same label among all rows, for the stated queries (ids divisible by 20)."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    a, b = e.filter("vec_id % 20 = 0"), e.toDF("other", "label", "f")
-    cos = product(F.col("e"), F.col("f")) / F.sqrt(product(F.col("e"), F.col("e")) * product(F.col("f"), F.col("f")))
-    pairs = a.join(b, "label").filter("vec_id <> other").withColumn("dist", F.round(1 - cos, 5))
-    return pairs.groupBy("vec_id").agg(F.min(F.struct("dist", "other"))["other"].alias("nearest"))
-
-
 @query("""WITH n AS (SELECT vec_id, embedding AS e FROM embeddings) SELECT a.vec_id, arg_min(b.vec_id, {'d': round(1 - list_cosine_similarity(a.e, b.e), 5), 'i': b.vec_id}) AS nearest FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1""")
-def embedding_nearest_all(spark: SparkSession, d: str) -> DataFrame:
+def embedding_nearest(spark: SparkSession, d: str) -> DataFrame:
     """Nearest vector of any label among all rows, for the stated queries (ids divisible by 20)."""
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     return spatial.nearest_vectors(e.filter("vec_id % 20 = 0"), e)
 
 
-@query("""WITH t AS (SELECT l_orderkey AS eid, l_partkey AS n0, l_suppkey AS n1, o_custkey AS n2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-u AS (SELECT DISTINCT unnest([n0, n1, n2]) AS nid FROM t) SELECT count(*) AS n_nodes, min(nid) AS first, max(nid) AS last, (SELECT count(*) FROM t) AS n_elements FROM u""")
+@query("""WITH t AS (SELECT o_orderkey AS eid, o_custkey AS p, 1000000 + o_orderkey % 97 AS q FROM orders), u AS (SELECT p AS nid FROM t UNION SELECT q FROM t), k AS (SELECT nid, row_number() OVER (ORDER BY nid) - 1 AS new FROM u)
+SELECT eid, a.new AS p, b.new AS q, a.nid AS was_p FROM t JOIN k a ON a.nid = t.p JOIN k b ON b.nid = t.q""")
 def compact_nodes(spark: SparkSession, d: str) -> DataFrame:
-    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    e = line.join(orders, line.l_orderkey == orders.o_orderkey).select(F.xxhash64(*line.columns).alias("eid"), F.array("l_partkey", "l_suppkey", "o_custkey").alias("nodes"))
-    ids = [table(spark, d, t).select(F.col(k).alias("nid")) for t, k in (("part", "p_partkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey"))]
-    nodes = ids[0].union(ids[1]).union(ids[2]).distinct().withColumn("was", F.col("nid"))
+    """Orders as elements over their customer and a class node; unused nodes go, the rest is renumbered."""
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("eid"), F.array(F.col("o_custkey"), 1000000 + F.col("o_orderkey") % 97).alias("nodes"))
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("nid")).union(spark.range(1000000, 1000200).toDF("nid")).withColumn("was", F.col("nid"))
     kept, new = topology.compact(nodes, e)
-    one = kept.agg(F.count("*").alias("n_nodes"), F.min("was").alias("first"), F.max("was").alias("last"), (F.max("nid") + 1).alias("dense"))
-    return one.filter("n_nodes = dense").crossJoin(new.agg(F.count("*").alias("n_elements"))).select("n_nodes", "first", "last", "n_elements")  # single rows
+    out = new.select("eid", F.col("nodes")[0].alias("p"), F.col("nodes")[1].alias("q"))
+    return out.join(kept.select(F.col("nid").alias("p"), F.col("was").alias("was_p")), "p")
+
+
+@query(ORACLE_SQL["factor_breakdown"].replace("SELECT factor, level, round(avg(m)", "SELECT factor, m.level AS level, m.mean_score AS mean_score FROM (SELECT factor, max({'mean_score': mean_score, 'level': level}) AS m FROM (SELECT factor, level, round(avg(m)") + ") GROUP BY factor)")
+def best_level_names(spark: SparkSession, d: str) -> DataFrame:
+    return X.best_level_by_name(factor_breakdown(spark, d))
+
+
+@query("SELECT count(*) FILTER (WHERE l_returnflag = 'R') AS n_sharp, count(*) FILTER (WHERE l_returnflag = 'N') AS n_smooth, count(*) FILTER (WHERE l_returnflag = 'A') AS n_seam FROM lineitem")
+def edge_feature_counts(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "R", "sharp").when(F.col("l_returnflag") == "N", "smooth").when(F.col("l_returnflag") == "A", "seam")
+    return topology.feature_counts(table(spark, d, "lineitem").select(kind.alias("feature")))
+
+
+@query("SELECT DISTINCT l_orderkey AS eid FROM lineitem WHERE l_quantity > 45 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def focused_marks(spark: SparkSession, d: str) -> DataFrame:
+    marked = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("eid")).distinct()
+    return topology.focused(marked, table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("eid")))
+
+
+@query("""SELECT pid FROM (SELECT c_custkey AS pid, round(c_nationkey * 1.0::DOUBLE, 6) AS x, round(c_custkey % 10 * 1.0::DOUBLE, 6) AS y, round(c_custkey % 3 * 1.0::DOUBLE, 6) AS z FROM customer) c
+WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE round(s_nationkey * 1.0::DOUBLE, 6) = x AND round(s_suppkey % 10 * 1.0::DOUBLE, 6) = y AND round(s_suppkey % 3 * 1.0::DOUBLE, 6) = z)""")
+def points_without_twin(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda n, k: [(F.col(n) * 1.0).alias("x"), (F.col(k) % 10 * 1.0).alias("y"), (F.col(k) % 3 * 1.0).alias("z")]
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), *at("c_nationkey", "c_custkey"))
+    return topology.without_points(c, table(spark, d, "supplier").select(*at("s_nationkey", "s_suppkey"))).select("pid")
+
+
+@query("SELECT p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS r, count(*) OVER () AS n FROM part) WHERE r <= greatest(8, floor(0.3::DOUBLE * n))")
+def capped_marks(spark: SparkSession, d: str) -> DataFrame:
+    return topology.capped(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", ["p_partkey"], 0.3)
+
+
+@query("""WITH p AS (SELECT c_custkey AS pid, c_acctbal / 100 AS x, c_nationkey * 4.0 AS y, (c_custkey % 50) * 1.0 AS z FROM customer), t AS (SELECT s_suppkey AS tid, s_acctbal / 100 AS x, s_nationkey * 4.0 AS y, (s_suppkey % 50) * 1.0 AS z FROM supplier),
+d AS (SELECT pid, tid, p.x - t.x AS x, p.y - t.y AS y, p.z - t.z AS z FROM p, t),
+e AS (SELECT *, greatest(0, least(1, (6 - x + y) / 12)) AS h FROM d),
+q AS (SELECT pid, tid, z * z + CASE WHEN x >= 0 AND y >= 0 AND x + y <= 6 THEN 0 ELSE least(pow(x - greatest(0, least(6, x)), 2) + y * y, x * x + pow(y - greatest(0, least(6, y)), 2), pow(x - 6 + 6 * h, 2) + pow(y - 6 * h, 2)) END AS d2 FROM e)
+SELECT pid, round(sqrt(min(d2)), 6) AS distance FROM q GROUP BY pid""")
+def surface_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as points, suppliers as the right corner of a triangle with sides of 6."""
+    from .operators import surface
+
+    at = lambda n, k, b: [(F.col(b) / 100).alias("x"), (F.col(n) * 4.0).alias("y"), (F.col(k) % 50 * 1.0).alias("z")]
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), *at("c_nationkey", "c_custkey", "c_acctbal"))
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("tid"), *at("s_nationkey", "s_suppkey", "s_acctbal"))
+    corner = lambda n, dx, dy: [(F.col("x") + dx).alias(f"{n}x"), (F.col("y") + dy).alias(f"{n}y"), F.col("z").alias(f"{n}z")]
+    t = t.select("tid", *corner("a", 0.0, 0.0), *corner("b", 6.0, 0.0), *corner("c", 0.0, 6.0))
+    found = surface.closest_on_surface(p, t, 8.0, saver(spark, "surface"))
+    return found.select("pid", F.round(F.sqrt("d2"), 6).alias("distance"))
+
+
+@query("""WITH f AS (SELECT l_orderkey AS box, l_linenumber * 1000000 + l_partkey AS fid, l_extendedprice AS x, l_quantity AS area, CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.1 END AS align FROM lineitem WHERE l_orderkey <= 400),
+u AS (SELECT box, fid, any_value(x) AS x, any_value(area) AS area, any_value(align) AS align, count(*) AS c FROM f GROUP BY box, fid HAVING count(*) = 1),
+k AS (SELECT *, bool_or(align > 0.5) OVER (PARTITION BY box) AS found FROM u), g AS (SELECT * FROM k WHERE NOT found OR align > 0.5),
+w AS (SELECT *, sum(area) OVER o AS acc, row_number() OVER o AS rn, sum(area) OVER (PARTITION BY box) AS total FROM g WINDOW o AS (PARTITION BY box ORDER BY x + 0.1 * align DESC, fid ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT box, min({'e': abs(acc - 60), 'rn': rn}).rn AS cut FROM w GROUP BY box)
+SELECT w.box, fid, area FROM w JOIN m ON m.box = w.box WHERE total <= 1.05 * 60 OR rn <= cut""")
+def load_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the first orders as faces, an order as a box with a traction along x and an expected area of 60."""
+    from .operators import surface
+
+    line = table(spark, d, "lineitem").filter("l_orderkey <= 400")
+    f = line.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("fid"), F.col("l_extendedprice").alias("x"), F.col("l_orderkey").cast("double").alias("y"), F.lit(0.0).alias("z"), F.when(F.col("l_tax") > 0.04, 1.0).otherwise(0.1).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nz"), F.col("l_quantity").alias("area"))
+    once = f.groupBy("o", "fid").agg(F.count("*").alias("c")).filter("c = 1").drop("c")
+    f = f.join(once, ["o", "fid"]).drop("o")
+    boxes = line.select(F.col("l_orderkey").alias("box")).distinct().select("box", F.lit(-1e12).alias("lo_x"), F.lit(1e12).alias("hi_x"), (F.col("box") - 0.5).alias("lo_y"), (F.col("box") + 0.5).alias("hi_y"), F.lit(-1.0).alias("lo_z"), F.lit(1.0).alias("hi_z"), F.lit(2.0).alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("tz"), F.lit(0.5).alias("least_dot"), F.lit(60.0).alias("expected_area"))
+    return surface.load_faces(f, boxes, saver(spark, "loads"))
+
+
+for _name in ("embedding_nearest", "hop_distance"):  # under both names they had: each is the whole job
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]

@@ -58,17 +58,18 @@ def count_lines(spark: SparkSession, path: str) -> int:
 
 def scan_campaigns(spark: SparkSession, folder: str) -> DataFrame:
     """Per campaign folder: which files exist, its name, its state and how many result lines; sorted by name."""
-    files = spark.read.text(f"{folder}/*/*.json*").select("value", F.col("_metadata.file_path").alias("path"))
-    own = files.select("value", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("dir"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+    named = lambda df: df.select("value", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("dir"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+    at = F.col("_metadata.file_path").alias("path")
+    own = named(spark.read.text(f"{folder}/*/*.jsonl").select("value", at))
     is_line = "file = 'results.jsonl' AND trim(value) <> '' AND NOT startswith(ltrim(value), '#')"
-    docs = own.filter("file <> 'results.jsonl'").groupBy("dir", "file").agg(F.concat_ws("\n", F.collect_list("value")).alias("doc"))
+    docs = named(spark.read.text(f"{folder}/*/*.json", wholetext=True).select("value", at)).withColumnRenamed("value", "doc")
     parsed = docs.groupBy("dir").agg(
         F.max(F.when(F.col("file") == "campaign.json", F.get_json_object("doc", "$.name"))).alias("own_name"),
         F.max(F.when(F.col("file") == "checkpoint.json", F.get_json_object("doc", "$.state"))).alias("state"),
         *[F.coalesce(F.bool_or(F.col("file") == f"{n}.json"), F.lit(False)).alias(f"has_{n}") for n in ("campaign", "checkpoint", "progress", "handoff")],
     )
     lines = own.groupBy("dir").agg(F.count_if(F.expr(is_line)).alias("n_results"), F.bool_or(F.col("file") == "results.jsonl").alias("has_results"))
-    return lines.join(parsed, "dir", "left").select(F.coalesce("own_name", "dir").alias("name"), "dir", "state", "n_results", "has_results", "has_campaign", "has_checkpoint", "has_progress", "has_handoff").orderBy("name")
+    return lines.join(parsed, "dir", "full_outer").na.fill(0, ["n_results"]).na.fill(False).select(F.coalesce("own_name", "dir").alias("name"), "dir", "state", "n_results", "has_results", "has_campaign", "has_checkpoint", "has_progress", "has_handoff").orderBy("name")
 
 
 def document(spark: SparkSession, path: str, schema: str) -> DataFrame:
