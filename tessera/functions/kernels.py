@@ -109,7 +109,7 @@ def quadrature(etype: str) -> tuple[np.ndarray, np.ndarray]:
         g, w = gauss(2)
         t = np.array([[1 / 6, 1 / 6], [2 / 3, 1 / 6], [1 / 6, 2 / 3]])
         return np.array([[*q, z] for z in g for q in t]), np.repeat(w, 3) / 6
-    if etype == "pyramid5":  # a cube drawn together towards the apex
+    if etype == "pyramid5":  # over the pyramid between base and apex itself; stiffness, loads and volumes use its two tetrahedra
         g, w = gauss(3)
         c = np.stack(np.meshgrid(g, g, g, indexing="ij"), -1).reshape(-1, 3)
         a = (1 - c[:, 2]) / 2
@@ -144,14 +144,27 @@ def physical_gradients(etype: str, coords: np.ndarray, p: np.ndarray) -> tuple[n
     return n, np.einsum("eqxr,qnr->eqnx", np.linalg.inv(jac), g), np.linalg.det(jac)
 
 
+def _pyramid_tets(coords: np.ndarray):
+    """The two tetrahedra of each pyramid, over the base's diagonal 0-2, as places turned to a positive volume."""
+    for own in ((0, 1, 2, 4), (0, 2, 3, 4)):
+        x = coords[:, own]
+        flat = np.linalg.det(x[:, 1:] - x[:, :1]) < 0
+        yield np.where(flat[:, None], np.array(own)[[0, 2, 1, 3]], np.array(own))
+
+
+def volumes(etype: str, coords: np.ndarray) -> np.ndarray:
+    """Volumes (elements)."""
+    if etype == "pyramid5":
+        return sum(volumes("tet4", np.take_along_axis(coords, ids[:, :, None], axis=1)) for ids in _pyramid_tets(coords))
+    p, w = quadrature(etype)
+    return (physical_gradients(etype, coords, p)[2] * w).sum(axis=1)
+
+
 def stiffness(etype: str, coords: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Element matrices (elements x 3n x 3n).  A pyramid is two tetrahedra over the base's diagonal 0-2; inverted elements fail."""
     if etype == "pyramid5":
         out = np.zeros((len(coords), 15, 15))
-        for own in ((0, 1, 2, 4), (0, 2, 3, 4)):
-            x = coords[:, own]
-            flat = np.linalg.det(x[:, 1:] - x[:, :1]) < 0
-            ids = np.where(flat[:, None], np.array(own)[[0, 2, 1, 3]], np.array(own))
+        for ids in _pyramid_tets(coords):
             k = stiffness("tet4", np.take_along_axis(coords, ids[:, :, None], axis=1), d)
             dof = (ids[:, :, None] * 3 + np.arange(3)).reshape(len(coords), 12)
             out[np.arange(len(coords))[:, None, None], dof[:, :, None], dof[:, None, :]] += k
@@ -166,6 +179,12 @@ def stiffness(etype: str, coords: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 def body_load(etype: str, coords: np.ndarray, force: tuple[float, float, float]) -> np.ndarray:
     """Consistent loads (elements x 3n) of a constant body force."""
+    if etype == "pyramid5":
+        out = np.zeros((len(coords), 15))
+        for ids in _pyramid_tets(coords):
+            dof = (ids[:, :, None] * 3 + np.arange(3)).reshape(len(coords), 12)
+            out[np.arange(len(coords))[:, None], dof] += body_load("tet4", np.take_along_axis(coords, ids[:, :, None], axis=1), force)
+        return out
     p, w = quadrature(etype)
     n, _, det = physical_gradients(etype, coords, p)
     return np.einsum("qn,x,eq->enx", n, np.array(force, float), det * w).reshape(len(coords), -1)
@@ -270,8 +289,7 @@ def element_stress(elements: DataFrame, displacement: DataFrame, young: float, p
                 disp = np.array([np.array([list(p) for p in row], float) for row in own["u"]])
                 _, grad, _ = physical_gradients(etype, coords, np.array([centre[etype]]))
                 s = np.einsum("st,etj,ej->es", d, strain_matrix(grad[:, 0]), disp.reshape(len(disp), -1))
-                p, w = quadrature(etype)
-                volume = (physical_gradients(etype, coords, p)[2] * w).sum(axis=1)
+                volume = volumes(etype, coords)
                 mid = coords.mean(axis=1)
                 yield pd.DataFrame({"eid": own["eid"].to_numpy(), **{k: s[:, i] for i, k in enumerate(("sxx", "syy", "szz", "syz", "sxz", "sxy"))}, "cx": mid[:, 0], "cy": mid[:, 1], "cz": mid[:, 2], "volume": volume})
 

@@ -231,7 +231,8 @@ def slab_conditions(nodes: DataFrame, h: float, total: float) -> tuple[DataFrame
     """Default conditions: nodes of the least x are held, those of the greatest share a load in x."""
     ends = nodes.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     tol = 0.51 * h
-    held = nodes.filter(F.col("x") <= ends["lo"] + tol).select((F.col("nid") * 3 + F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).alias("dof"), F.lit(0.0).alias("value"))
+    three = F.array(*[F.col("nid") * 3 + a for a in range(3)])
+    held = nodes.filter(F.col("x") <= ends["lo"] + tol).select(F.explode(three).alias("dof"), F.lit(0.0).alias("value"))
     loaded = nodes.filter(F.col("x") >= ends["hi"] - tol)
     n = max(1, loaded.count())  # one number
     return held, loaded.select((F.col("nid") * 3).alias("i"), F.lit(total / n).alias("val"))
