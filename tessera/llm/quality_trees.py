@@ -39,7 +39,7 @@ def statistics(text: bytes | None) -> list[float]:
     k = max(1, len(lines))
     return [
         float(np.log1p(len(w))), float(np.log1p(len(t))), sum(map(len, w)) / n, float(np.log1p(max(map(len, w), default=0))), len(counts) / n, same / n, max(counts.values(), default=0) / n,
-        without(b"#*$%&|<>"), without(b".,;:?!-'\"()"), without(b"0123456789"), without(_UPPER), without(b"!"), len(lines) / n, 1 - len(set(lines)) / k if lines else 0.0, len(t) / k / 100, 1 - without(_LETTERS) - without(b" \n"),
+        without(b"#*$%&|<>"), without(b".,;:?!-'\"()"), without(b"0123456789"), without(_UPPER), without(b"!"), len(lines) / n, 1 - len(set(lines)) / k if lines else 0.0, len(t) / k / 100, 1 - without(_LETTERS) - without(b" \n") if t else 0.0,
     ]
 
 
