@@ -53,8 +53,8 @@ def fold(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[docs[f"`{c}`"] for c in columns])
 
 
-#: Rows of a few numbers that may be broadcast (under 20 MB); larger tables are joined by a shuffle.
-SMALL_ROWS = 300_000
+#: Rows of a few numbers that may be broadcast (under 10 MB); larger tables are joined by a shuffle.
+SMALL_ROWS = 150_000
 
 
 def if_small(df: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ class Encoder:
 
 
 #: Bytes of text that are encoded at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 900_000
 
 
 def blocks_of(texts: pa.Array):
