@@ -59,6 +59,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+#: Bytes whose words are hashed at a time.
+_SEGMENT = 1 << 20
+
+
 def chunks(texts: list[bytes | None], size: int = 1 << 19):
     """Yields (first, last) index ranges of about ``size`` bytes each (working arrays take some 60 times that)."""
     first, n = 0, 0
@@ -82,10 +86,17 @@ def words(texts: list[bytes | None], table: np.ndarray, need_hash: bool = True):
     doc = np.searchsorted(borders, starts, side="right") if len(texts) > 1 else np.zeros(len(starts), np.int64)
     if not need_hash:
         return buf, starts, ends, doc, None
-    up, down = _power_tables(len(buf) + 1)
-    run = np.zeros(len(buf) + 1, U64)
-    np.cumsum(CODES[buf] * up[: len(buf)], out=run[1:])
-    h = mix((run[ends] - run[starts]) * down[starts])
+    h, first = np.empty(len(starts), U64), 0
+    while first < len(starts):  # words of so many bytes at a time: a huge text takes no more room than many small ones
+        base = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, base + _SEGMENT, side="right")))
+        part = buf[base : int(ends[last - 1])]
+        a, z = starts[first:last] - base, ends[first:last] - base
+        up, down = _power_tables(len(part) + 1)
+        run = np.zeros(len(part) + 1, U64)
+        np.cumsum(CODES[part] * up[: len(part)], out=run[1:])
+        h[first:last] = mix((run[z] - run[a]) * down[a])
+        first = last
     return buf, starts, ends, doc, h
 
 
