@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytes_np import ALNUM, chunks, windows, words
-from .store import Scratch, bitmap, fold, if_small, in_bitmap
+from .store import Scratch, bitmap, fold, if_small, in_bitmap, trimmed
 
 
 def _shingles(texts: list[bytes | None], widths: list[int]):
@@ -58,7 +58,7 @@ def item_windows(items: DataFrame, window: int, width: int) -> DataFrame:
                 cols = list(zip(*out[at : at + 10_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.int32()), strict=True)], ["item_id", "words", "size", "shingles", "width"])
 
-    return items.mapInArrow(run, "item_id long, words binary, size int, shingles array<long>, width int")
+    return items.mapInArrow(trimmed(run), "item_id long, words binary, size int, shingles array<long>, width int")
 
 
 def document_frequency(spark: SparkSession, docs: DataFrame, bits, widths: list[int]) -> DataFrame:
@@ -76,7 +76,7 @@ def document_frequency(spark: SparkSession, docs: DataFrame, bits, widths: list[
                     keys, n = np.unique(own, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
-    return docs.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(trimmed(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 def _scan(docs: DataFrame, bits, widths: list[int]) -> DataFrame:
@@ -103,7 +103,7 @@ def _scan(docs: DataFrame, bits, widths: list[int]) -> DataFrame:
                 kept = pa.array([t if n else None for t, n in zip(texts[a:b], np.diff(ends), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(count.astype(np.int64)), *listed, kept], schema=pa.schema(kinds))
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n_words long, shingles array<long>, at array<long>, text binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, text_hash long, n_words long, shingles array<long>, at array<long>, text binary")
 
 
 def _verify(texts: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def _verify(texts: DataFrame) -> DataFrame:
                 if seen:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([int(hit.sum())]), pa.array([sorted(seen)], pa.list_(pa.binary()))], ["doc_id", "text_hash", "n_hit", "words"])
 
-    return texts.mapInArrow(run, "doc_id long, text_hash long, n_hit long, words array<binary>")
+    return texts.mapInArrow(trimmed(run), "doc_id long, text_hash long, n_hit long, words array<binary>")
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = 13, width: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

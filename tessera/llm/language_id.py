@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bound_batches
+from .store import bound_batches, trimmed
 
 UNKNOWN = "und"
 
@@ -266,7 +266,7 @@ def training_windows(docs: DataFrame, sample_docs: int, per_doc: int, window: in
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.binary()), strict=True)], ["doc_id", "k", "lang", "cut"])
 
-    cuts = drawn.mapInArrow(run, "doc_id long, k int, lang string, cut binary").distinct()
+    cuts = drawn.mapInArrow(trimmed(run), "doc_id long, k int, lang string, cut binary").distinct()
     rows = cuts.orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "lang", "cut").limit(4 * per_doc * max(sample_docs, len(counts))).collect()
     return [(r["lang"], bytes(r["cut"])) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["k"], r["lang"], bytes(r["cut"])))]
 
@@ -300,4 +300,4 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None, id_col:
 
     src = docs.select(docs[f"`{id_col}`"].cast("long"), docs[f"`{text_col}`"], *[docs[f"`{c}`"].alias(f"carried_{c}") for c in carry])
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return src.mapInArrow(run, f"doc_id long, lang_pred string, score double{kinds}")
+    return src.mapInArrow(trimmed(run), f"doc_id long, lang_pred string, score double{kinds}")

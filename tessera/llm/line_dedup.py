@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch, fold
+from .store import Scratch, fold, trimmed
 
 #: The bytes stripped at both ends of a line.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -49,7 +49,7 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
                 rows = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column(0).take(rows), part.column(2).take(rows)], ["key", "doc_id", "row"])
 
-    return docs.mapInArrow(run, "key binary, doc_id long, row long")
+    return docs.mapInArrow(trimmed(run), "key binary, doc_id long, row long")
 
 
 def _rebuild(docs: DataFrame, min_chars: int, carry: tuple[str, ...]) -> DataFrame:
@@ -69,7 +69,7 @@ def _rebuild(docs: DataFrame, min_chars: int, carry: tuple[str, ...]) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), *part.columns[3:]], names)
 
     kinds = "".join(f", `{c}` {docs.schema[f'carried_{c}'].dataType.simpleString()}" for c in carry)
-    return docs.mapInArrow(run, f"doc_id long, kept binary, n_lines long, n_dropped long{kinds}")
+    return docs.mapInArrow(trimmed(run), f"doc_id long, kept binary, n_lines long, n_dropped long{kinds}")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 from ..operators.ordered import running
 from ..session import delete
 from .bytes_np import U64, chunks, mix, shingle_sets
-from .store import Scratch, bitmap, fold, if_small, in_bitmap
+from .store import Scratch, bitmap, fold, if_small, in_bitmap, trimmed
 
 BLOCK_BYTES = 4 << 20
 
@@ -100,7 +100,7 @@ def _describe(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(bd)), *map(pa.array, _class_key(sh, bd)), lists], ["doc_id", "text_hash", "n", "s1", "s2", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, keys array<long>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, text_hash long, n long, s1 long, s2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -119,7 +119,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = [sh[x:y].tobytes() for x, y in zip(bd[:-1], bd[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "text_hash", "set"])
 
-    found = docs.withColumn("key", key("doc_id", "text_hash")).mapInArrow(run, "doc_id long, text_hash long, set binary")
+    found = docs.withColumn("key", key("doc_id", "text_hash")).mapInArrow(trimmed(run), "doc_id long, text_hash long, set binary")
     return found.join(if_small(wanted), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("node", "set")
 
 
@@ -142,7 +142,7 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
                     ok.append(linked(len(p), len(q), int(np.count_nonzero(q[near] == p)), percent))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok)], ["centre", "node", "linked"])
 
-    return pairs.mapInArrow(run, "centre long, node long, linked boolean")
+    return pairs.mapInArrow(trimmed(run), "centre long, node long, linked boolean")
 
 
 def forest(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -211,7 +211,7 @@ def _shared_prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 sizes = np.array([len(s) for s in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], ["node", "n", "shingle"])
 
-    tokens = sets.mapInArrow(run, "node long, n long, shingle long")
+    tokens = sets.mapInArrow(trimmed(run), "node long, n long, shingle long")
     often = tokens.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     shared = tokens.join(often, "shingle")
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))  # one set's shingles

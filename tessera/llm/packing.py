@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import Scratch, fold
+from .store import Scratch, fold, trimmed
 from .tokens import blocks_of, encoder
 
 
@@ -116,7 +116,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     src = fold(docs, id_col, text_col).select(F.col(id_col).cast("long"), F.col(text_col))
-    return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def shares_of(counts: list[tuple[int, int]], partitions: int, most: int = 1_000_000) -> dict[int, int]:
@@ -161,7 +161,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long").drop("rank")
+    return ranked.mapInArrow(trimmed(run), f"{schema}, sequence_id long, offset long").drop("rank")
 
 
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import Scratch, fold
+from .store import Scratch, fold, trimmed
 from .tokens import blocks_of, encoder
 
 
@@ -37,7 +37,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str
                 row, done = pa.array(np.arange(done, done + b - a)), done + b - a
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), row, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view("<i4")))], ["doc_id", "row", "ids"])
 
-    return fold(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, row long, ids array<int>")
+    return fold(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, row long, ids array<int>")
 
 
 def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, row_stride: int = 10_000) -> None:
@@ -76,7 +76,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part, doc, row, pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "doc_id", "row", "n_tokens", "ids_crc32"])
 
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    rows = read_token_ids(spark, path).select(part.alias("part"), "doc_id", "row", "ids").mapInArrow(run, "part int, doc_id long, row long, n_tokens long, ids_crc32 long")
+    rows = read_token_ids(spark, path).select(part.alias("part"), "doc_id", "row", "ids").mapInArrow(trimmed(run), "part int, doc_id long, row long, n_tokens long, ids_crc32 long")
     rows = Scratch(spark, "token-index").save(rows, "rows")  # the ids are read once
     files = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
