@@ -184,5 +184,65 @@ k AS (SELECT doc_id, list_filter(whole, lambda x, i: length(value[i]) >= 12) AS
 SELECT doc_id, {", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}, CAST(coalesce(list_sum(list_transform({k}, lambda x: length(x))), 0) AS BIGINT) AS chars_{k}" for k in ("assign", "access", "hex"))} FROM k
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op5_pii, op6_token_orc, op7_quality_rules, op8_secret_scan, op9_minhash_near_dup, op10_best_fit_packing, quality_counts, pii_counts, secret_counts)}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_minhash_near_dup": OP9_SQL, "quality_counts": QUALITY_SQL, "pii_counts": PII_SQL, "secret_counts": SECRET_SQL}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit, failures, joint_failures
+
+    flagged = failures(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return audit(joint_failures(flagged, "ABCDE"), "ABCDE")
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+       CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+       + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+       + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own, CAST(list_sum(list_transform(range(1, step + 1), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS BIGINT) AS upto FROM o, range(1, 6) r(step)),
+r AS (SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (WHERE mask & upto = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & (upto - own) = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & (upto - own) <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE mask = own), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & (upto - own) = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & (upto - own) = 0), 0) AS BIGINT) AS toxic_lost
+      FROM m, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variant_groups, vocabulary
+
+    return variant_groups(spark, vocabulary(_read(spark, sf_dir, "documents")))
+
+
+OP12_SQL = """
+WITH RECURSIVE low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{C0}-\\x{FF}]+') AS ws FROM documents),
+run AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM low) GROUP BY ALL),
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+h AS (SELECT w, n, length(w) AS len, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''),
+        lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM run, crc),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 199 = 0 THEN substring(w, 1, CAST(h % len AS INTEGER)) || substring(w, CAST(h % len AS INTEGER) + 2) ELSE w END AS word FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+del AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM del a JOIN del b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT del.word, v.word, v.n FROM del JOIN v ON del.less = v.word UNION SELECT v.word, del.word, del.n FROM del JOIN v ON del.less = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n FROM v LEFT JOIN b ON v.word = b.word),
+r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.at = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.at AS root FROM r JOIN f ON r.at = f.word WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e ON f.word = e.word
+"""
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import held_out
+    from .toxicity import fit, score
+
+    docs = _read(spark, sf_dir, "documents")
+    found = score(spark, docs, fit(docs, _read(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_trees, op4_decontamination, op5_pii, op6_token_orc, op7_quality_rules, op8_secret_scan, op9_minhash_near_dup, op10_best_fit_packing, op11_filter_audit, op12_spelling_variants, op13_toxicity, quality_counts, pii_counts, secret_counts)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op9_minhash_near_dup": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_spelling_variants": OP12_SQL, "quality_counts": QUALITY_SQL, "pii_counts": PII_SQL, "secret_counts": SECRET_SQL}
