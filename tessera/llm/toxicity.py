@@ -59,27 +59,29 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [w for w in (x.strip(_STRIP) for x in (text or b"").lower().split()) if w]
 
 
-def grams(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: list[bytes], buckets: int, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all words in one array, and the bounds of each word's (at least one each)."""
-    marked = [_EDGE + w + _EDGE for w in words]
-    size = np.array([len(w) for w in marked], np.int64)
-    raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
-    start = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-    owner, place = np.repeat(np.arange(len(words)), size), np.arange(len(raw))
-    left = start[owner + 1] - place  # bytes to the word's end
-    who, keys = [], []
-    for n in GRAMS:
-        at = np.flatnonzero(left >= n)
-        h = np.full(len(at), n, np.uint64)
-        for j in range(n):
-            h = (h ^ raw[at + j]) * np.uint64(0x100000001B3)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        who.append(owner[at])
-        keys.append((h >> np.uint64(20)) % np.uint64(buckets))
-    who, keys = np.concatenate(who), np.concatenate(keys).astype(np.int64)
-    order = np.argsort(who, kind="stable")
-    return keys[order], np.searchsorted(who[order], np.arange(len(words) + 1))
+    found, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for first in range(0, len(words), block):
+        marked = [_EDGE + w + _EDGE for w in words[first : first + block]]
+        size = np.array([len(w) for w in marked], np.int64)
+        raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+        owner = np.repeat(np.arange(len(marked)), size)
+        left = np.cumsum(size)[owner] - np.arange(len(raw))  # bytes to the word's end
+        who, keys = [], []
+        for n in GRAMS:
+            at = np.flatnonzero(left >= n)
+            h = np.full(len(at), n, np.uint64)
+            for j in range(n):
+                h = (h ^ raw[at + j]) * np.uint64(0x100000001B3)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            who.append(owner[at])
+            keys.append((h >> np.uint64(20)) % np.uint64(buckets))
+        who = np.concatenate(who)
+        found.append(np.concatenate(keys)[np.argsort(who, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(who, minlength=len(marked)))
+    return np.concatenate(found), np.cumsum(np.concatenate(sizes))
 
 
 def slip(word: bytes, rng: np.random.Generator) -> bytes:
@@ -100,6 +102,14 @@ def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, bounds[:-1], axis=0) / (n[:, None] if values.ndim == 2 else n)
 
 
+def _take(words: tuple[np.ndarray, np.ndarray], some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of some of the words, and their bounds."""
+    keys, bounds = words
+    n = bounds[some + 1] - bounds[some]
+    own = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    return keys[np.arange(own[-1]) - np.repeat(own[:-1], n) + np.repeat(bounds[some], n)], own
+
+
 def starts(n: int, window: int) -> np.ndarray:
     """First words of the windows over ``n`` words: half a window apart, the last one flush with the end."""
     if n <= window:
@@ -115,11 +125,9 @@ def gradients(table: np.ndarray, out: np.ndarray, bias: np.ndarray, bags: list[n
     rows of the table that occur have a gradient: (loss, (rows, gradient), out, bias).
     """
     used, inverse = np.unique(np.concatenate(bags), return_inverse=True)
-    keys, bounds = words
-    n = bounds[used + 1] - bounds[used]
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[used], n)
-    own = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-    rows, row = np.unique(keys[at], return_inverse=True)
+    keys, own = _take(words, used)
+    n = np.diff(own)
+    rows, row = np.unique(keys, return_inverse=True)
     small = table[rows]
     vectors = _means(small[row], own)
     size = np.array([len(b) for b in bags])
@@ -139,46 +147,49 @@ def gradients(table: np.ndarray, out: np.ndarray, bias: np.ndarray, bags: list[n
     return loss, (rows, d_rows), mean.T @ p, p.sum(axis=0)
 
 
-def train(docs: list[list[list[bytes]]], labels: list[int], window: int = 16, buckets: int = 1 << 17, width: int = 8, steps: int = 800, batch: int = 128, rate: float = 3.0, eps: float = 1e-5, keep: float = 0.7, slips: int = 3, slip_share: float = 0.3, spread_windows: int = 6, seed: int = 11) -> Model:
-    """Fits embeddings and output layer by about ``steps`` steps of Adagrad.  ``docs`` are lists of windows, windows lists of words.
+def train(docs: list[list[bytes]], labels: list[int], window: int = 16, buckets: int = 1 << 17, width: int = 8, steps: int = 800, batch: int = 128, rate: float = 3.0, eps: float = 1e-5, keep: float = 0.7, slip_share: float = 0.3, spread_windows: int = 6, seed: int = 11) -> Model:
+    """Fits embeddings and output layer by about ``steps`` steps of Adagrad.  ``docs`` are lists of windows, windows words with spaces between.
 
     For half of the steps a document gives the words of ``spread_windows``
     windows, then those of the window that scores highest under the model as it
     stands.  A share ``1 - keep`` of each word's n-grams is left out, so that no single one carries a word, and a share
-    ``slip_share`` of the words is met in one of ``slips`` misspelt forms.
+    ``slip_share`` of the words is misspelt anew.
     ``eps`` starts Adagrad's sums: n-grams met rarely move little.
     """
     rng = np.random.default_rng(seed)
-    names = sorted({w for d in docs for ws in d for w in ws})
+    names = sorted({w for d in docs for ws in d for w in ws.split()})
     number = {w: i for i, w in enumerate(names)}
-    forms = names + [slip(w, rng) for _ in range(slips) for w in names]
-    keys, bounds = grams(forms, buckets)
-    windows = [[np.array([number[w] for w in ws], np.int64) for ws in d if ws] for d in docs]
+    full = [i for i, d in enumerate(docs) if any(d)]
+    cuts = [[ws for ws in docs[i] if ws] for i in full]
+    of = np.cumsum([0] + [len(d) for d in cuts])
+    edges = np.cumsum([0] + [len(ws.split()) for d in cuts for ws in d])
+    held = np.fromiter((number[w] for d in cuts for ws in d for w in ws.split()), np.int32, int(edges[-1]))
+    y = np.asarray(labels, np.int64)[full]
+    words = grams(names, buckets)
+    del cuts, number
     table = rng.normal(0, 0.1, (buckets, width))
     out, bias = rng.normal(0, 0.3, (width, 2)), np.zeros(2)
-    y = np.asarray(labels, np.int64)
     squares = [np.full((buckets, width), eps), np.full((width, 2), eps), np.full(2, eps)]
-    full = [i for i, d in enumerate(windows) if d]
-    flat = [w for i in full for w in windows[i]]
-    of = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(windows[i]) for i in full], dtype=np.int64)])
-    spread = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-    edges = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(w) for w in flat], dtype=np.int64)])
-    cuts = max(1, len(full) // batch)
-    for epoch in range(-(-steps // cuts) if full else 0):
-        if epoch * cuts < steps // 2:
-            bags = [np.concatenate([flat[k] for k in rng.integers(a, b, spread_windows)]) for a, b in zip(of[:-1], of[1:], strict=True)]
+    rounds = max(1, len(full) // batch)
+    for epoch in range(-(-steps // rounds) if full else 0):
+        if epoch * rounds < steps // 2:
+            picks = rng.integers(of[:-1, None], of[1:, None], (len(full), spread_windows))
         else:
-            lean = table @ (out[:, 1] - out[:, 0])
-            value = _means(_means(lean[keys[: bounds[len(names)]]], bounds[: len(names) + 1])[spread], edges)
-            bags = [flat[a + int(value[a:b].argmax())] for a, b in zip(of[:-1], of[1:], strict=True)]
-        held = rng.random(len(keys)) < keep
-        held[bounds[:-1]] = True  # no word is left without any
-        some = keys[held], np.concatenate([np.zeros(1, np.int64), np.cumsum(held)])[bounds]
-        for cut in np.array_split(rng.permutation(len(full)), cuts):
-            met = [bags[i] for i in cut]
-            if slips:
-                met = [b + len(names) * (rng.integers(1, slips + 1, len(b)) * (rng.random(len(b)) < slip_share)) for b in met]
-            _, (rows, d_rows), d_out, d_bias = gradients(table, out, bias, met, some, y[[full[i] for i in cut]])
+            value = _means(_means((table @ (out[:, 1] - out[:, 0]))[words[0]], words[1])[held], edges)
+            picks = np.array([[a + int(value[a:b].argmax())] for a, b in zip(of[:-1], of[1:], strict=True)])
+        for cut in np.array_split(rng.permutation(len(full)), rounds):
+            bags = [np.concatenate([held[edges[k] : edges[k + 1]] for k in picks[i]]) for i in cut]
+            size = np.cumsum([0] + [len(b) for b in bags])
+            some, at = np.unique(np.concatenate(bags), return_inverse=True)
+            slipped = np.flatnonzero(rng.random(len(at)) < slip_share)
+            new = grams([slip(names[some[i]], rng) for i in at[slipped]], buckets)
+            at[slipped] = len(some) + np.arange(len(slipped))
+            keys, bounds = _take(words, some)
+            keys, bounds = np.concatenate([keys, new[0]]), np.concatenate([bounds, bounds[-1] + new[1][1:]])
+            stay = rng.random(len(keys)) < keep
+            stay[bounds[:-1]] = True  # no word is left without any
+            bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(stay)])[bounds]
+            _, (rows, d_rows), d_out, d_bias = gradients(table, out, bias, [at[a:b] for a, b in zip(size[:-1], size[1:], strict=True)], (keys[stay], bounds), y[cut])
             squares[0][rows] += d_rows * d_rows
             table[rows] -= rate * d_rows / np.sqrt(squares[0][rows])
             for value, square, grad in ((out, squares[1], d_out), (bias, squares[2], d_bias)):
@@ -187,9 +198,9 @@ def train(docs: list[list[list[bytes]]], labels: list[int], window: int = 16, bu
     return Model(table, out, bias, window)
 
 
-def _cut(words: list[bytes], window: int, most: int | None = None) -> list[list[bytes]]:
+def _cut(words: list[bytes], window: int, most: int) -> list[list[bytes]]:
     at = starts(len(words), window)
-    if most and len(at) > most:
+    if len(at) > most:
         at = at[np.linspace(0, len(at) - 1, most).astype(int)]
     return [words[s : s + window] for s in at]
 
@@ -204,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
 
     rows = labelled_sample(docs, labels, label_col, sample, id_col, text_col, share, rest).mapInArrow(trimmed(run), "doc_id long, label int, cuts array<binary>").collect()
     rows = sorted((r["doc_id"], r["label"], [bytes(c) for c in r["cuts"]]) for r in rows)
-    return train([[c.split() for c in cuts] for _, _, cuts in rows], [int(label == 1) for _, label, _ in rows], window) if rows else None
+    return train([cuts for _, _, cuts in rows], [int(label == 1) for _, label, _ in rows], window) if rows else None
 
 
 class Scorer:
