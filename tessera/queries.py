@@ -394,7 +394,7 @@ def element_type_counts(spark: SparkSession, d: str) -> DataFrame:
     return topology.element_type_counts(table(spark, d, "part").withColumnRenamed("p_type", "etype"))
 
 
-@query("""WITH t(a, b, c, d) AS (VALUES (0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7)), g AS (SELECT x.range AS i, y.range AS j, z.range AS k FROM range(10) x, range(10) y, range(10) z),
+@query("""WITH t(a, b, c, d) AS (VALUES (0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7)), g AS (SELECT DISTINCT CAST(least(9, floor((c_acctbal + 1000) / 1100)) AS BIGINT) AS i, CAST(c_nationkey * 10 // 25 AS BIGINT) AS j, CAST(c_custkey % 10 AS BIGINT) AS k FROM customer),
 e AS (SELECT row_number() OVER () AS eid, i, j, k, [a, b, c, d] AS own FROM g, t), v AS (SELECT eid, list_transform(own, lambda n: [i + n % 2, j + (n // 2) % 2, k + n // 4]) AS p FROM e),
 f AS (SELECT list_sort([p[1], p[2], p[3]]) AS face FROM v UNION ALL SELECT list_sort([p[1], p[2], p[4]]) FROM v UNION ALL SELECT list_sort([p[1], p[3], p[4]]) FROM v UNION ALL SELECT list_sort([p[2], p[3], p[4]]) FROM v),
 n AS (SELECT face, count(*) AS n FROM f GROUP BY face), w AS (SELECT unnest(p) AS node FROM v),
@@ -405,12 +405,14 @@ SELECT CAST((SELECT count(*) FROM g) AS INTEGER) AS n_cells, CAST((SELECT count(
  CAST((SELECT count(*) FROM s WHERE least(m[1], 10 - m[1], m[2], 10 - m[2], m[3], 10 - m[3]) > 0.000001) AS INTEGER) AS n_hanging,
  round((SELECT CAST(sum(u[1] * (q[2] * r[3] - q[3] * r[2]) + u[2] * (q[3] * r[1] - q[1] * r[3]) + u[3] * (q[1] * r[2] - q[2] * r[1])) AS DOUBLE) / 6000 FROM d), 9) AS volume""")
 def lattice_tet_box(spark: SparkSession, d: str) -> DataFrame:
-    """A structured box of 10 x 10 x 10 cells: Kuhn tetrahedra, skin, conformity, hanging faces, volume."""
+    """The cells of a 10 x 10 x 10 lattice that hold customers: Kuhn tetrahedra, skin, conformity, faces off the box's sides, volume."""
     from .plans import lattice
 
-    counts, h = (10, 10, 10), 0.1
-    c = lattice.cells(spark, counts)
-    e, nodes = lattice.fill(c, counts), lattice.lattice_nodes(spark, counts, h)
+    counts, h, save = (10, 10, 10), 0.1, saver(spark, "lattice")
+    at = {"i": F.least(F.lit(9), F.floor((F.col("c_acctbal") + 1000) / 1100)), "j": F.floor(F.col("c_nationkey") * 10 / 25), "k": F.col("c_custkey") % 10}
+    c = save(table(spark, d, "customer").select(*[v.cast("long").alias(n) for n, v in at.items()]).distinct().selectExpr("(k * 10 + j) * 10 + i AS cell", "*"))
+    e, nodes = save(lattice.fill(c, counts)), lattice.lattice_nodes(spark, counts, h)
+    used = topology.incidence(e).select("nid").distinct()
     f = topology.faces(e)
     both = topology.conformity(topology.face_classes(f))
     hanging = topology.hanging_faces(topology.boundary_skin(f), nodes, 1e-9).agg(F.count("*").cast("int").alias("n_hanging"))
@@ -418,10 +420,46 @@ def lattice_tet_box(spark: SparkSession, d: str) -> DataFrame:
     for i in range(4):
         flat = flat.withColumn("nid", F.element_at("nodes", i + 1)).join(nodes.toDF("nid", f"p{i}x", f"p{i}y", f"p{i}z"), "nid").drop("nid")
     volume = flat.agg(F.count("*").cast("int").alias("n_elements"), F.round(F.sum(G.tet_volume(*[G.vec(f"p{i}") for i in range(4)])), 9).alias("volume"))
-    sizes = c.agg(F.count("*").cast("int").alias("n_cells")).crossJoin(nodes.agg(F.count("*").cast("int").alias("n_nodes")))
+    sizes = c.agg(F.count("*").cast("int").alias("n_cells")).crossJoin(used.agg(F.count("*").cast("int").alias("n_nodes")))
     return both.select(F.col("n_boundary").cast("int").alias("n_boundary"), F.col("n_interior").cast("int").alias("n_interior")).crossJoin(hanging).crossJoin(volume).crossJoin(sizes)  # single rows
 
 
+def _octree_sql(depth: int) -> str:
+    """The balanced octree level by level, and what its leaves become, by looking at each neighbour."""
+    closed = ", ".join(
+        f"n{l} AS (SELECT i, j, k FROM own WHERE level = {l}" + (f" UNION SELECT (i + a) >> 1, (j + b) >> 1, (k + c) >> 1 FROM n{l + 1}, (SELECT x.x - 1 AS a, y.x - 1 AS b, z.x - 1 AS c FROM range(3) x(x), range(3) y(x), range(3) z(x)) WHERE least(i + a, j + b, k + c) >= 0 AND greatest(i + a, j + b, k + c) < {4 << l + 1}" if l + 1 < depth else "") + ")"
+        for l in range(depth - 1, -1, -1)
+    )
+    leaves = " UNION ALL ".join([f"SELECT {l + 1} AS level, 2 * i + x.x AS i, 2 * j + y.x AS j, 2 * k + z.x AS k FROM n{l}, range(2) x(x), range(2) y(x), range(2) z(x)" for l in range(depth)] + ["SELECT 0, x.x, y.x, z.x FROM range(4) x(x), range(4) y(x), range(4) z(x)"])
+    return f"""WITH p AS (SELECT (c_acctbal + 1000) / 11000 * 4 AS x, c_nationkey / 25 * 4 AS y, c_custkey % 40 / 10 AS z, CASE WHEN c_mktsegment = 'BUILDING' THEN {depth} ELSE 2 END AS want FROM customer),
+own AS (SELECT DISTINCT level, CAST(floor(x * pow(2, level)) AS BIGINT) AS i, CAST(floor(y * pow(2, level)) AS BIGINT) AS j, CAST(floor(z * pow(2, level)) AS BIGINT) AS k FROM p, range({depth}) r(level) WHERE level < want AND x < 4), {closed},
+split AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {l} AS level, * FROM n{l}" for l in range(depth))}), cell AS MATERIALIZED (SELECT * FROM ({leaves}) c ANTI JOIN split s ON s.level = c.level AND s.i = c.i AND s.j = c.j AND s.k = c.k),
+step AS (SELECT x.x - 1 AS a, y.x - 1 AS b, z.x - 1 AS c FROM range(3) x(x), range(3) y(x), range(3) z(x) WHERE abs(x.x - 1) + abs(y.x - 1) + abs(z.x - 1) IN (1, 2)),
+near AS MATERIALIZED (SELECT c.*, a, b, step.c FROM cell c, step JOIN split s ON s.level = c.level AND s.i = c.i + a AND s.j = c.j + b AND s.k = c.k + step.c),
+face AS (SELECT c.*, f.a AS fa, f.b AS fb, f.c AS fc FROM (SELECT DISTINCT level, i, j, k FROM near) c, step f WHERE abs(f.a) + abs(f.b) + abs(f.c) = 1),
+side AS (SELECT f.*, g.a, g.b, g.c FROM face f, step g WHERE abs(g.a) + abs(g.b) + abs(g.c) = 1 AND fa * g.a + fb * g.b + fc * g.c = 0),
+hung AS (SELECT s.level, s.i, s.j, s.k, fa, fb, fc, s.a, s.b, s.c FROM side s SEMI JOIN near n ON n.level = s.level AND n.i = s.i AND n.j = s.j AND n.k = s.k AND ((n.a = s.a AND n.b = s.b AND n.c = s.c) OR (n.a = fa + s.a AND n.b = fb + s.b AND n.c = fc + s.c))),
+cut AS (SELECT f.level, f.i, f.j, f.k, n.a IS NOT NULL AS quarters, coalesce(h.n, 0) AS hung FROM face f LEFT JOIN near n ON n.level = f.level AND n.i = f.i AND n.j = f.j AND n.k = f.k AND n.a = fa AND n.b = fb AND n.c = fc
+        LEFT JOIN (SELECT level, i, j, k, fa, fb, fc, count(*) AS n FROM hung GROUP BY ALL) h ON h.level = f.level AND h.i = f.i AND h.j = f.j AND h.k = f.k AND h.fa = f.fa AND h.fb = f.fb AND h.fc = f.fc),
+n AS (SELECT level, i, j, k, sum(CASE WHEN quarters THEN 4 WHEN hung > 0 THEN 0 ELSE 1 END) AS pyramids, sum(CASE WHEN quarters OR hung = 0 THEN 0 ELSE 4 + hung END) AS tets FROM cut GROUP BY ALL)
+SELECT c.level, c.i, c.j, c.k, CAST(CASE WHEN n.level IS NULL THEN 1 ELSE 0 END AS BIGINT) AS hexes, CAST(coalesce(pyramids, 0) AS BIGINT) AS pyramids, CAST(coalesce(tets, 0) AS BIGINT) AS tets FROM cell c LEFT JOIN n ON n.level = c.level AND n.i = c.i AND n.j = c.j AND n.k = c.k"""
+
+
+@query(_octree_sql(4))
+def octree_fill(spark: SparkSession, d: str) -> DataFrame:
+    """A balanced octree finest around some customers, and the elements that each leaf becomes."""
+    from .plans import octree
+
+    counts, depth, save = (4, 4, 4), 4, saver(spark, "octree")
+    xyz = {"x": (F.col("c_acctbal") + 1000) / 11000 * 4, "y": F.col("c_nationkey") / 25 * 4, "z": F.col("c_custkey") % 40 / 10}
+    points = table(spark, d, "customer").select(*[v.alias(c) for c, v in xyz.items()], F.when(F.col("c_mktsegment") == "BUILDING", depth).otherwise(2).alias("level"))
+    inner = save(octree.balance(octree.wanted(points, 1.0, counts), counts, depth, save))
+    marked = save(octree.transitions(octree.leaves(spark, inner, counts, depth), inner))
+    made = octree.elements(marked, counts, depth).groupBy(F.shiftright("eid", 7).alias("code"))
+    kinds = made.agg(*[F.count_if(F.col("etype") == e).alias(n) for e, n in (("hex8", "hexes"), ("pyramid5", "pyramids"), ("tet4", "tets"))])
+    return marked.join(kinds, "code").select("level", "i", "j", "k", "hexes", "pyramids", "tets")
+
+
 @query("""SELECT count(*) AS n, min(l_quantity * l_tax) AS min_volume, max(l_quantity * l_tax) AS max_volume, min(l_discount) AS min_aspect, round(avg(l_discount), 6) AS mean_aspect, count(*) FILTER (WHERE l_discount < 0.05) AS n_slivers FROM lineitem""")
 def tet_quality_summary(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "lineitem").select((F.col("l_quantity") * F.col("l_tax")).alias("volume"), F.col("l_discount").alias("aspect"))
