@@ -59,6 +59,17 @@ def quad_area(a: Vec, b: Vec, c: Vec, d: Vec) -> Column:
     return triangle_area(a, b, c) + triangle_area(a, c, d)
 
 
+def polygon_area(points: str) -> Column:
+    """The area of a flat polygon, given as an array of points (arrays of three)."""
+    at = lambda k: tuple(F.element_at(F.col(points), k)[n] for n in range(3))
+    inner, first = F.sequence(F.lit(2), F.size(points) - 1), at(F.lit(1))
+
+    def along(n: int) -> Column:
+        return F.aggregate(inner, F.lit(0.0), lambda a, k: a + cross(sub(at(k), first), sub(at(k + 1), first))[n])
+
+    return norm(tuple(along(n) for n in range(3))) / 2
+
+
 def centroid(*points: Vec) -> Vec:
     return tuple(sum((p[i] for p in points[1:]), points[0][i]) / len(points) for i in range(3))
 

@@ -30,7 +30,7 @@ from ..functions.geometry import vec
 from ..functions.voronoi import box_faces, cut, mass_and_centroid, restricted_cell
 from .spatial import cell, nearest, spread
 
-CROWD = 8
+CROWD = 16
 _SITE = "array<struct<id:long,x:double,y:double,z:double>>"
 _CELL = "sid long, volume double, mass double, cx double, cy double, cz double, corners array<array<double>>, faces array<struct<owner:long,points:array<array<double>>>>"
 

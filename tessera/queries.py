@@ -460,6 +460,46 @@ def octree_fill(spark: SparkSession, d: str) -> DataFrame:
     return marked.join(kinds, "code").select("level", "i", "j", "k", "hexes", "pyramids", "tets")
 
 
+_CLOUD = "SELECT c_custkey AS sid, (c_acctbal + 1000) / 11000 AS x, (c_custkey * 7919 % 10007) / 10007 AS y, (c_custkey * 104729 % 20011) / 20011 AS z FROM customer"
+
+
+@query(f"""WITH p AS ({_CLOUD}), n AS (SELECT a.sid, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS gap FROM p a JOIN p b ON a.sid <> b.sid GROUP BY 1)
+SELECT sid, round(gap, 9) AS gap, 1.0 AS all_cells, 6.0 AS all_sides, true AS mutual FROM n""")
+def voronoi_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Clipped Voronoi cells of all customers: the nearest neighbour across each cell's faces, that the cells fill the box and its sides, and that neighbours are mutual."""
+    from .operators.voronoi import voronoi_cells as cells
+
+    save = saver(spark, "voronoi")
+    hashed = lambda a, m: F.col("c_custkey") * a % m / m
+    p = save(table(spark, d, "customer").select(F.col("c_custkey").alias("sid"), ((F.col("c_acctbal") + 1000) / 11000).alias("x"), hashed(7919, 10007).alias("y"), hashed(104729, 20011).alias("z")))
+    size = 3.2 * max(1, p.count()) ** (-1 / 3)
+    found = save(cells(p, (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), size, save))
+    sides = save(found.select("sid", F.explode("faces").alias("f")).select("sid", F.col("f.owner").alias("other"), G.polygon_area("f.points").alias("area")))
+    at = p.toDF("other", "ox", "oy", "oz")
+    near = sides.filter("other >= 0").join(p, "sid").join(at, "other").groupBy("sid").agg(F.round(F.min(G.norm(G.sub(G.vec(""), G.vec("o")))), 9).alias("gap"))
+    back = sides.filter("other >= 0").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"), F.when(F.col("sid") < F.col("other"), F.col("area")).otherwise(-F.col("area")).alias("area"))
+    mutual = back.groupBy("a", "b").agg(F.sum("area").alias("d")).agg(F.coalesce(F.max(F.abs("d")) < 1e-9, F.lit(True)).alias("mutual"))
+    whole = found.agg(F.round(F.sum("volume"), 6).alias("all_cells")).crossJoin(sides.filter("other < 0").agg(F.round(F.sum("area"), 6).alias("all_sides"))).crossJoin(mutual)
+    return near.crossJoin(F.broadcast(whole))  # one row
+
+
+@query("SELECT count(*) AS n_sites, 0 AS n_conflicts, 0 AS n_addable FROM customer")
+def protecting_balls(spark: SparkSession, d: str) -> DataFrame:
+    """Independent balls among all customers: pairs chosen though too near, and sites left out though free (none of either)."""
+    from .plans.protect import APART, independent_balls
+
+    save = saver(spark, "balls")
+    hashed = lambda a, m: F.col("c_custkey") * a % m / m
+    r = 0.02 * F.pow(F.lit(2.0), -(F.col("c_nationkey") % 4))
+    p = save(table(spark, d, "customer").select(F.col("c_custkey").alias("sid"), ((F.col("c_acctbal") + 1000) / 11000).alias("x"), hashed(7919, 10007).alias("y"), hashed(104729, 20011).alias("z"), r.alias("r")))
+    chosen = save(independent_balls(p, save))
+    pairs = spatial.within(p.withColumnRenamed("sid", "pid"), chosen, 0.02 * APART).join(p.select(F.col("sid").alias("pid"), F.col("r").alias("r1")), "pid").join(chosen.select("sid", F.col("r").alias("r2")), "sid")
+    held = save(pairs.filter((F.col("pid") == F.col("sid")) | (F.sqrt("d2") < APART * F.greatest("r1", "r2"))).select("pid", "sid"))
+    both = held.filter("pid <> sid").join(chosen.select(F.col("sid").alias("pid")), "pid", "left_semi").agg(F.count("*").cast("int").alias("n_conflicts"))
+    free = p.join(held.select(F.col("pid").alias("sid")), "sid", "left_anti").agg(F.count("*").cast("int").alias("n_addable"))
+    return p.agg(F.count("*").alias("n_sites")).crossJoin(both).crossJoin(free)  # single rows
+
+
 @query("""SELECT count(*) AS n, min(l_quantity * l_tax) AS min_volume, max(l_quantity * l_tax) AS max_volume, min(l_discount) AS min_aspect, round(avg(l_discount), 6) AS mean_aspect, count(*) FILTER (WHERE l_discount < 0.05) AS n_slivers FROM lineitem""")
 def tet_quality_summary(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "lineitem").select((F.col("l_quantity") * F.col("l_tax")).alias("volume"), F.col("l_discount").alias("aspect"))
