@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import ArrayType, DoubleType, NumericType
 from pyspark.sql.window import Window
 
 from ..session import saver
@@ -24,9 +24,25 @@ def _blocks(df: DataFrame) -> int:
     return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _place(column: str, bounds: list[float], descending: bool) -> Column:
+def _bounds(df: DataFrame, column: str, n: int) -> list:
+    """Some n - 1 values that cut the column's order into like shares (repeated where a value is heavy).
+
+    Numbers are cut by approximate quantiles, all else by the order statistics of a
+    sample of about 64 n values.  Where the cuts lie decides how even blocks are, never
+    what is in order.
+    """
+    if isinstance(df.schema[column].dataType, NumericType):
+        return df.approxQuantile(column, [i / n for i in range(1, n)], 1 / (8 * n))
+    known = df.filter(F.col(column).isNotNull()).select(column)
+    drawn = known.sample(min(1.0, 64 * n / max(1, known.count())), seed=5).limit(256 * n)
+    values = sorted(r[0] for r in drawn.collect())
+    return [values[len(values) * i // n] for i in range(1, n)] if values else []
+
+
+def _place(df: DataFrame, column: str, bounds: list, descending: bool) -> Column:
     """How many bounds come before the value; nulls come first in ascending order and last in descending."""
-    edges = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
+    kind = df.schema[column].dataType
+    edges = F.array(*[F.lit(b) for b in bounds]).cast(ArrayType(DoubleType() if isinstance(kind, NumericType) else kind))
     test = (lambda b: b > F.col(column)) if descending else (lambda b: b < F.col(column))
     return F.when(F.col(column).isNull(), F.lit(len(bounds) + 1 if descending else -1)).otherwise(F.size(F.filter(edges, test)))
 
@@ -34,16 +50,15 @@ def _place(column: str, bounds: list[float], descending: bool) -> Column:
 def with_block(df: DataFrame, column: str, descending: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds _block, ascending in the order (column, then the first of ``ties``): about as many rows in each."""
     n = _blocks(df)
-    cuts = [i / n for i in range(1, n)]
-    found = df.approxQuantile(column, cuts, 1 / (8 * n))
+    found = _bounds(df, column, n)
     bounds = sorted(set(found))
-    out = df.withColumn("_block", _place(column, bounds, descending).cast("long") * (n + 2))
+    out = df.withColumn("_block", _place(df, column, bounds, descending).cast("long") * (n + 2))
     heavy = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
-    if heavy and ties and isinstance(df.schema[ties[0]].dataType, NumericType):
+    if heavy and ties:
         same = F.col(column).isin(heavy)
-        inner = sorted(set(df.filter(same).approxQuantile(ties[0], cuts, 1 / (8 * n))))
+        inner = sorted(set(_bounds(df.filter(same), ties[0], n)))
         if inner:
-            out = out.withColumn("_block", F.when(same, F.col("_block") + 1 + _place(ties[0], inner, False)).otherwise(F.col("_block")))
+            out = out.withColumn("_block", F.when(same, F.col("_block") + 1 + _place(df, ties[0], inner, False)).otherwise(F.col("_block")))
     return out
 
 
@@ -141,13 +156,16 @@ def first_share(df: DataFrame, lead: str, ties: list[str], share: float, least:
     return ranked(df, lead, ties, "_rank", descending).filter(F.col("_rank") <= most).drop("_rank")
 
 
-def cut_nearest(df: DataFrame, part: list[str], order: list[Column], area: str, target: Column) -> DataFrame:
-    """Keeps, per part, the prefix whose running area comes nearest to the target; all if within 5 % of it."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    total = Window.partitionBy(*part)
-    df = df.withColumn("_acc", F.sum(area).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_rn", F.row_number().over(w)).withColumn("_target", target)
-    df = df.withColumn("_all", F.sum(area).over(total)).withColumn("_cut", F.min(F.struct(F.abs(F.col("_acc") - F.col("_target")).alias("e"), F.col("_rn").alias("rn"))).over(total)["rn"])
-    return df.filter((F.col("_all") <= 1.05 * F.col("_target")) | (F.col("_rn") <= F.col("_cut"))).drop("_acc", "_rn", "_target", "_all", "_cut")
+def cut_nearest(df: DataFrame, part: list[str], lead: str, ties: list[str], area: str, target: Column) -> DataFrame:
+    """Keeps, per part, the prefix in descending ``lead`` whose running area comes nearest to the target; all if within 5 % of it."""
+    save = saver(df.sparkSession, "cut")
+    df = save(df.withColumn("_target", target))
+    summed = running(df, F.col(area), "_acc", lead, ties, descending=True, part=part)
+    ranked_ = save(running(save(summed), F.lit(1), "_rn", lead, ties, descending=True, part=part))
+    cut = F.min(F.struct(F.abs(F.col("_acc") - F.col("_target")).alias("e"), F.col("_rn").alias("rn")))
+    whole = ranked_.groupBy(*part).agg(F.sum(area).alias("_all"), cut.alias("_cut")).select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], "_all", F.col("_cut.rn").alias("_cut"))
+    out = ranked_.join(whole, _all_equal(part, [f"_p{i}" for i in range(len(part))]))
+    return out.filter((F.col("_all") <= 1.05 * F.col("_target")) | (F.col("_rn") <= F.col("_cut"))).drop("_acc", "_rn", "_target", "_all", "_cut", *[f"_p{i}" for i in range(len(part))])
 
 
 def largest_gap(df: DataFrame, part: list[str], angle: str, period: Column | float) -> DataFrame:

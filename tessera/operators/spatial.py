@@ -142,19 +142,48 @@ def stamp(points: DataFrame, band: float, h: float, counts: tuple[int, int, int]
     return near.filter((dot(d, d) <= band * band) & inside[0] & inside[1] & inside[2]).select("i", "j", "k").distinct()
 
 
-#: Boxes that a selection may name.
-MOST_BOXES = 10_000
+#: So few boxes are held against every point.
+FEW_BOXES = 64
+_LEVELS, _GRIDS = 20, 256
 
 
 def box_select(points: DataFrame, boxes: DataFrame, axes: list[str]) -> DataFrame:
-    """Pairs of rows and boxes that hold them.  boxes: box, lo_<axis>, hi_<axis>; a declared list of at most MOST_BOXES."""
-    if boxes.limit(MOST_BOXES + 1).count() > MOST_BOXES:
-        raise ValueError(f"more than {MOST_BOXES} boxes")
-    boxes, test = F.broadcast(boxes), None
+    """Pairs of rows and boxes that hold them.  boxes: box, lo_<axis>, hi_<axis>, any number.
+
+    Along each axis a box gets the grid (the points' extent, halved again and again)
+    whose cells are just as wide as itself, so it lies in two of them at most, and
+    points join the boxes of their cell in each of the grids that occur.  Those are
+    coarsened to 256 at most.
+    """
+    test = F.lit(True)
     for a in axes:
-        own = F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}"))
-        test = own if test is None else test & own
-    return points.join(boxes, test)
+        test = test & F.col(a).between(F.col(f"lo_{a}"), F.col(f"hi_{a}"))
+    if boxes.limit(FEW_BOXES + 1).count() <= FEW_BOXES:
+        return points.join(F.broadcast(boxes), test)
+    finite = {a: F.when(F.abs(F.col(a).cast("double")) < float("inf"), F.col(a).cast("double")) for a in axes}
+    ends = points.agg(*[f(finite[a]).alias(f"{n}_{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))]).first()
+    extent = {a: (ends[f"low_{a}"] or 0.0, (ends[f"high_{a}"] or 0.0) - (ends[f"low_{a}"] or 0.0)) for a in axes}
+    level = lambda a: F.floor(F.log2(F.lit(extent[a][1]) / F.greatest(F.col(f"hi_{a}") - F.col(f"lo_{a}"), F.lit(extent[a][1] / 2**_LEVELS))))
+    own = {a: F.greatest(F.lit(0), F.least(F.lit(_LEVELS), F.coalesce(level(a), F.lit(0)))).cast("int") if extent[a][1] > 0 else F.lit(0) for a in axes}
+    used = boxes.select(F.array(*own.values()).alias("g")).distinct().collect()  # at most 21 levels an axis
+    step = 1
+    while len(grids := {tuple(x // step * step for x in r["g"]) for r in used}) > _GRIDS:
+        step *= 2
+
+    def at(value, a: str, lv) -> Column:
+        """The cell of a value; whatever lies outside is in the outermost one."""
+        low, width = extent[a]
+        n = F.pow(F.lit(2.0), lv)
+        place = F.floor((F.least(F.greatest(value, F.lit(low)), F.lit(low + width)) - low) / (width or 1.0) * n)
+        return F.least(place, n - 1).cast("long")
+
+    b = boxes.withColumn("_g", F.array(*[F.floor(v / step).cast("int") * step for v in own.values()]))
+    p = points.withColumn("_g", F.explode(F.array(*[F.array(*map(F.lit, g)) for g in sorted(grids)])))
+    for n, a in enumerate(axes):
+        lo, hi = at(F.col(f"lo_{a}"), a, F.col("_g")[n]), at(F.col(f"hi_{a}"), a, F.col("_g")[n])
+        b = b.filter(F.col(f"lo_{a}") <= F.col(f"hi_{a}")).withColumn(f"_{a}", F.explode(F.sequence(lo, hi)))
+        p = p.withColumn(f"_{a}", at(F.col(a), a, F.col("_g")[n]))
+    return p.join(b, ["_g", *[f"_{a}" for a in axes]]).filter(test).drop("_g", *[f"_{a}" for a in axes])
 
 
 def min_plus(points: DataFrame, sources: DataFrame, slope: float, h_min: float, h_max: float, axes: list[str], reach: float | None = None) -> DataFrame:

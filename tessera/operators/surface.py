@@ -198,6 +198,6 @@ def load_faces(faces: DataFrame, boxes: DataFrame, save) -> DataFrame:
     some = inside.groupBy("box").agg(F.bool_or("fits").alias("any"))
     kept = save(inside.join(some, "box").filter(~F.coalesce("any", F.lit(False)) | F.col("fits")).withColumn("rank_by", F.col("along") + 0.1 * F.col("align")))
     sized = kept.filter("expected_area > 0 AND size > 1e-30")
-    cut = cut_nearest(sized, ["box"], [F.desc("rank_by"), F.asc("fid")], "area", F.col("expected_area"))
+    cut = cut_nearest(sized, ["box"], "rank_by", ["fid"], "area", F.col("expected_area"))
     rest = kept.filter("NOT coalesce(expected_area > 0 AND size > 1e-30, false)")
     return cut.unionByName(rest).select("box", "fid", "area")

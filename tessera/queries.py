@@ -294,12 +294,10 @@ def exact_p99(spark: SparkSession, d: str) -> DataFrame:
 WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING)), m AS (SELECT l_orderkey AS k, min({'e': abs(acc - target), 'rn': rn}).rn AS cut FROM w GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM w JOIN m ON k = l_orderkey WHERE total <= 1.05 * target OR rn <= cut""")
 def running_area_cut(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    target = 0.6 * F.sum("l_quantity").over(Window.partitionBy("l_orderkey"))
-    order = [F.desc("l_quantity"), F.asc("l_linenumber"), F.asc("l_partkey"), F.asc("l_extendedprice")]
-    return ordered.cut_nearest(df, ["l_orderkey"], order, "l_quantity", target).drop("l_extendedprice")
+    whole = df.groupBy("l_orderkey").agg((0.6 * F.sum("l_quantity")).alias("target"))
+    kept = ordered.cut_nearest(df.join(whole, "l_orderkey"), ["l_orderkey"], "l_quantity", ["l_linenumber", "l_partkey", "l_extendedprice"], "l_quantity", F.col("target"))
+    return kept.drop("l_extendedprice", "target")
 
 
 @query("""WITH a AS (SELECT user_id, event_id % 360 AS angle FROM events), g AS (SELECT user_id, angle, lead(angle) OVER (PARTITION BY user_id ORDER BY angle) - angle AS gap FROM a)
@@ -630,17 +628,17 @@ def surface_distance(spark: SparkSession, d: str) -> DataFrame:
     return found.select("pid", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
-@query("""WITH f AS (SELECT l_orderkey AS box, l_linenumber * 1000000 + l_partkey AS fid, l_extendedprice AS x, l_quantity AS area, CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.1 END AS align FROM lineitem WHERE l_orderkey <= 400),
+@query("""WITH f AS (SELECT l_orderkey AS box, l_linenumber * 1000000 + l_partkey AS fid, l_extendedprice AS x, l_quantity AS area, CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.1 END AS align FROM lineitem),
 u AS (SELECT box, fid, any_value(x) AS x, any_value(area) AS area, any_value(align) AS align, count(*) AS c FROM f GROUP BY box, fid HAVING count(*) = 1),
 k AS (SELECT *, bool_or(align > 0.5) OVER (PARTITION BY box) AS found FROM u), g AS (SELECT * FROM k WHERE NOT found OR align > 0.5),
 w AS (SELECT *, sum(area) OVER o AS acc, row_number() OVER o AS rn, sum(area) OVER (PARTITION BY box) AS total FROM g WINDOW o AS (PARTITION BY box ORDER BY x + 0.1 * align DESC, fid ROWS UNBOUNDED PRECEDING)),
 m AS (SELECT box, min({'e': abs(acc - 60), 'rn': rn}).rn AS cut FROM w GROUP BY box)
 SELECT w.box, fid, area FROM w JOIN m ON m.box = w.box WHERE total <= 1.05 * 60 OR rn <= cut""")
 def load_selection(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of the first orders as faces, an order as a box with a traction along x and an expected area of 60."""
+    """All lines as faces, an order as a box with a traction along x and an expected area of 60."""
     from .operators import surface
 
-    line = table(spark, d, "lineitem").filter("l_orderkey <= 400")
+    line = table(spark, d, "lineitem")
     f = line.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("fid"), F.col("l_extendedprice").alias("x"), F.col("l_orderkey").cast("double").alias("y"), F.lit(0.0).alias("z"), F.when(F.col("l_tax") > 0.04, 1.0).otherwise(0.1).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nz"), F.col("l_quantity").alias("area"))
     once = f.groupBy("o", "fid").agg(F.count("*").alias("c")).filter("c = 1").drop("c")
     f = f.join(once, ["o", "fid"]).drop("o")
