@@ -12,7 +12,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import closest_on_triangle, tet_aspect, triangle_area, triangle_normal, vec
+from ..functions.geometry import closest_on_triangle, tet_aspect, tet_volume, triangle_area, triangle_normal, vec
 from .ordered import cut_nearest, largest_gap
 from .spatial import _settle, box_select, cell, spread
 
@@ -76,30 +76,72 @@ def project_sites(sites: DataFrame, triangles: DataFrame, sharp: DataFrame, band
     return out, moved.agg(F.count("*").alias("n_moved"), F.avg(F.sqrt("d2")).alias("mean_residual"), F.max(F.sqrt("d2")).alias("max_residual"))
 
 
-def snap(nodes: DataFrame, triangles: DataFrame, h: float, offenders, save, most: float = 0.75, rounds: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Moves boundary nodes (nid, x, y, z) onto the surface, at most ``most`` h, and takes back moves until nothing offends.
+def turned(elements: DataFrame, least: float = 0.0):
+    """offenders(nodes) -> (eid, nid): the nodes of tetrahedra (eid, nodes) whose volume is ``least`` or less."""
 
-    ``offenders(nodes)`` returns the ids (nid) at fault for the moved nodes.  Each
-    round takes back, of the moved nodes at fault, all that moved furthest in it
-    (within a tenth), so the rule is greedy by distance but not one by one.  Returns
-    (nodes, one row: moved, taken back).
+    def offenders(nodes: DataFrame) -> DataFrame:
+        at = elements.select("eid", F.posexplode("nodes").alias("n", "nid")).join(nodes.select("nid", F.struct("x", "y", "z").alias("p")), "nid")
+        corner = at.groupBy("eid").agg(*[F.max(F.when(F.col("n") == k, F.col("p"))).alias(f"p{k}") for k in range(4)], F.collect_list("nid").alias("own"))
+        wrong = corner.filter(tet_volume(*[vec(f"p{k}.") for k in range(4)]) <= least)
+        return wrong.select("eid", F.explode("own").alias("nid"))
+
+    return offenders
+
+
+def _next_back(key: DataFrame, wrong: DataFrame, together: DataFrame, save) -> DataFrame:
+    """The nodes at fault (``wrong``: nid) that no larger one can come before.  key: nid, key; together: eid, nid.
+
+    Between a node at fault and its turn, only larger nodes are taken back, and they
+    can put larger ones at fault that share an element with them.  So a node must wait
+    for a larger one at fault that reaches it by way of larger nodes.  ``top`` is the
+    best such way to a node, measured by its smallest node; it spreads until it is
+    stable.
+    """
+    fault = wrong.select("nid").distinct().withColumn("fault", F.lit(True))
+    state = save(key.join(fault, "nid", "left").select("nid", "key", F.coalesce("fault", F.lit(False)).alias("fault"), F.when(F.col("fault"), F.col("key")).alias("top")))
+    while True:
+        near = together.join(state.filter("top IS NOT NULL").select("nid", "top"), "nid").groupBy("eid").agg(F.max("top").alias("top"))
+        best = together.join(near, "eid").groupBy("nid").agg(F.max("top").alias("best"))
+        way = F.when(F.col("fault"), F.col("key")).when(F.col("best").isNotNull(), F.least("key", "best"))
+        spread_ = save(state.join(best, "nid", "left").select("nid", "key", "fault", way.alias("top"), "best", F.col("top").alias("was")))
+        if spread_.filter("NOT (top <=> was)").isEmpty():
+            return spread_.filter(F.col("fault") & (F.col("best") == F.col("key"))).select("nid")
+        state = spread_.select("nid", "key", "fault", "top")
+
+
+def take_back(state: DataFrame, offenders, together: DataFrame, save) -> tuple[DataFrame, int]:
+    """Takes moves back until nothing offends that taking back could mend: (state, how many).
+
+    state: nid, x, y, z, where it came from (ox, oy, oz) and how far it moved.
+    ``offenders(nodes)`` returns the nodes (nid) at fault; whether an element is at
+    fault depends on its own nodes alone, and ``together`` (eid, nid) names those.
+    The result is that of taking back one node at a time, always the one that moved
+    furthest of all at fault (the least nid on ties).  Nodes that can't come in each
+    other's way are taken back in one round.
+    """
+    together, back = save(together.select("eid", "nid").distinct()), 0
+    while True:
+        key = state.filter("moved > 0").select("nid", F.struct("moved", (-F.col("nid")).alias("least")).alias("key"))
+        wrong = save(offenders(state.select("nid", "x", "y", "z")).select("nid").distinct().join(key.select("nid"), "nid"))
+        if wrong.isEmpty():
+            return state, back
+        undo = save(_next_back(key, wrong, together.join(key.select("nid"), "nid", "left_semi"), save))
+        back += undo.count()
+        state = save(state.join(undo.withColumn("undo", F.lit(True)), "nid", "left").select("nid", "ox", "oy", "oz", *[F.when(F.col("undo"), F.col(f"o{c}")).otherwise(F.col(c)).alias(c) for c in "xyz"], F.when(F.col("undo"), 0.0).otherwise(F.col("moved")).alias("moved")))
+
+
+def snap(nodes: DataFrame, triangles: DataFrame, h: float, offenders, together: DataFrame, save, most: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Moves boundary nodes (nid, x, y, z) onto the surface, at most ``most`` h, and takes back what offends (``take_back``).
+
+    Returns (nodes, one row: moved, taken back).
     """
     found = closest_on_surface(nodes.select(F.col("nid").alias("pid"), "x", "y", "z"), triangles, h, save).filter((F.col("d2") > 0) & (F.col("d2") <= (2.5 * h) ** 2))
     d = F.sqrt("d2")
     step = F.least(F.lit(1.0), F.lit(most * h) / d)
     state = nodes.join(found.select(F.col("pid").alias("nid"), d.alias("d"), step.alias("t"), *[F.col(c).alias(f"q{c}") for c in "xyz"]), "nid", "left")
     state = save(state.select("nid", *[F.col(c).alias(f"o{c}") for c in "xyz"], *[F.coalesce(F.col(c) + F.col("t") * (F.col(f"q{c}") - F.col(c)), F.col(c)).alias(c) for c in "xyz"], F.coalesce(F.least(F.col("d"), F.lit(most * h)), F.lit(0.0)).alias("moved")))
-    total, back = state.filter("moved > 0").count(), 0
-    for _ in range(rounds):
-        wrong = save(offenders(state.select("nid", "x", "y", "z")).select("nid").distinct().join(state.filter("moved > 0").select("nid", "moved"), "nid"))
-        top = wrong.agg(F.max("moved")).first()[0]
-        if top is None:
-            break
-        undo = save(wrong.filter(F.col("moved") >= 0.9 * top).select("nid", F.lit(True).alias("undo")))
-        back += undo.count()
-        state = save(state.join(undo, "nid", "left").select("nid", "ox", "oy", "oz", *[F.when(F.col("undo"), F.col(f"o{c}")).otherwise(F.col(c)).alias(c) for c in "xyz"], F.when(F.col("undo"), 0.0).otherwise(F.col("moved")).alias("moved")))
-    else:
-        raise ArithmeticError(f"nodes still offend after {rounds} rounds")
+    total = state.filter("moved > 0").count()
+    state, back = take_back(state, offenders, together, save)
     counts = nodes.sparkSession.createDataFrame([(total, back)], "n_moved long, n_taken_back long")
     return state.select("nid", "x", "y", "z"), counts
 

@@ -50,6 +50,43 @@ def smooth(nodes: DataFrame, edges: DataFrame, save, rounds: int = 5, rate: floa
     return nodes
 
 
+def wall_smooth(nodes: DataFrame, edges: DataFrame, elements: DataFrame, save, rounds: int = 5, rate: float = 0.5, most_step: float | None = None, project=None) -> tuple[DataFrame, int]:
+    """Smoothing that turns no element.  nodes: nid, x, y, z, fixed; edges: a, b; elements: eid, nodes (tetrahedra).
+
+    Each round tries the step of ``smooth`` (no longer than ``most_step``), lets
+    ``project(nodes)`` (nid, x, y, z) put the moved nodes back on their surface, and
+    then returns all nodes of turned elements to where the round began, until no
+    element is turned by it: a node that returns can turn others, so this is a
+    fixpoint, reached at the latest when every node has returned.  Elements that were
+    turned before don't move.  Returns (nodes, how many steps were returned).
+    """
+    from ..operators.surface import turned
+
+    nodes, at_fault, returned = save(nodes.select("nid", "x", "y", "z", "fixed")), turned(elements), 0
+    for _ in range(rounds):
+        tried = smooth(nodes, edges, save, 1, rate)
+        old = nodes.select("nid", *[F.col(c).alias(f"o{c}") for c in "xyz"])
+        step = tried.join(old, "nid")
+        if most_step is not None:
+            d = F.sqrt(sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in "yz"), (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox"))))
+            share = F.least(F.lit(1.0), most_step / F.nullif(d, F.lit(0.0)))
+            step = step.select("nid", *[(F.col(f"o{c}") + (F.col(c) - F.col(f"o{c}")) * F.coalesce(share, F.lit(1.0))).alias(c) for c in "xyz"], "fixed", "ox", "oy", "oz")
+        if project is not None:
+            onto = save(project(step.filter("NOT fixed AND (x <> ox OR y <> oy OR z <> oz)").select("nid", "x", "y", "z")))
+            step = step.join(onto.toDF("nid", "px", "py", "pz"), "nid", "left").select("nid", *[F.coalesce(f"p{c}", c).alias(c) for c in "xyz"], "fixed", "ox", "oy", "oz")
+        state = save(step)
+        while True:
+            moved = state.filter("x <> ox OR y <> oy OR z <> oz").select("nid")
+            undo = save(at_fault(state).select("nid").distinct().join(moved, "nid"))
+            n = undo.count()
+            if not n:
+                break
+            returned += n
+            state = save(state.join(undo.withColumn("undo", F.lit(True)), "nid", "left").select("nid", *[F.when(F.col("undo"), F.col(f"o{c}")).otherwise(F.col(c)).alias(c) for c in "xyz"], "fixed", "ox", "oy", "oz"))
+        nodes = save(state.select("nid", "x", "y", "z", "fixed"))
+    return nodes, returned
+
+
 def refine_suggestion(elements: DataFrame, theta: float, h: float, factor: float, h_min: float = 0.0) -> tuple[DataFrame, float, float]:
     """(marked elements, next size, width of the seed band).  elements: eid, eta.  Below a twentieth of marked elements the size stays."""
     from ..operators.ordered import dorfler_mark

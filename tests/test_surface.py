@@ -67,7 +67,8 @@ def test_snap_takes_back_what_offends(spark):
     tri, vert, t = unit_box(spark)
     nodes = spark.createDataFrame([(0, 0.5, 0.5, 0.95), (1, 0.5, 0.5, 0.9), (2, 0.1, 0.5, 0.5)], "nid long, x double, y double, z double")
     offenders = lambda n: n.filter("nid = 1 AND z > 0.99")
-    out, row = surface.snap(nodes, t, 0.2, offenders, saver(spark))
+    together = spark.createDataFrame([(7, 1), (8, 0), (8, 2)], "eid long, nid long")
+    out, row = surface.snap(nodes, t, 0.2, offenders, together, saver(spark))
     at = {r["nid"]: (r["x"], r["z"]) for r in out.collect()}
     assert at[0][1] == pytest.approx(1.0) and at[1][1] == 0.9 and at[2][0] == pytest.approx(0.0) and tuple(row.first()) == (3, 1)
 
