@@ -1,10 +1,9 @@
 """Secret scanning by a battery of randomness tests, in column expressions only.
 
 Fixed patterns with length tests give the base spans (assignments, access keys,
-hex runs); they always stay.  Further, every long token of key characters that
-holds letters and digits is a candidate.  Its encoding is inferred from the
-characters it uses (hex, base 32 or letters and digits of one case or both, base
-64), and four tests are made for that alphabet: the chi-squared test of uniform
+hex runs); they always stay.  Further, every token of 20 or more key characters is a
+candidate.  Its encoding is inferred from the characters it uses (hex, letters of one
+case or both, base 32, letters and digits of one case or both, base 64), and four tests are made for that alphabet: the chi-squared test of uniform
 symbol counts, the runs test (changes between capitals, small letters, digits and
 signs), the serial correlation of neighbouring symbols, and how common the symbols
 are in text.  Fisher's sum of their log p-values is the token's score: small for a
@@ -44,10 +43,13 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+"
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("hex_upper", "^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("letters_lower", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    ("letters_upper", "^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base32_lower", "^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("alphanumeric_lower", "^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
     ("alphanumeric_upper", "^[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"),
+    ("letters", "^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("alphanumeric", "^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
 )
@@ -55,13 +57,19 @@ ENCODINGS = (
 LETTERS = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1), strict=True))
 BINS = 240  # bins of the score, a quarter wide
 CLASSES = (24, 32, 48, 64, 128)  # upper ends of the length classes
+#: Lengths of decoys, alike in each class.  Text of any greater length is still further from random, so the last class needs none.
+LENGTHS = ((20, 24), (25, 32), (33, 48), (49, 64), (65, 128), (129, 200))
 #: Decoys made by rule, and the words they are made of.
-DECOYS = 20_000
+DECOYS = 36_000
 WORDS = (
     "section chapter page figure table user data file path index value name time date number order item list group type code text line word state level field point unit model part class form test case rule "
     "link node edge face cell size rate load plan run task job batch stage step phase report result score rank total count first last next main base core full half open close start stop begin end left right "
     "upper lower inner outer north south east west spring summer winter autumn green blue black white silver golden river mountain valley forest garden market street village city country world people music "
-    "paper water light stone metal configuration environment development performance implementation administration message service account session request response"
+    "paper water light stone metal configuration environment development performance implementation administration message service account session request response "
+    "haus strasse kapitel seite tabelle benutzer datei ordner wert zeit datum bestellung gruppe entwicklung verwaltung rechnung bericht ergebnis fruehling sommer herbst winter schluessel nachricht "
+    "maison chapitre tableau utilisateur fichier dossier valeur temps commande groupe developpement gestion facture rapport resultat printemps automne hiver clef "
+    "casa calle capitulo pagina tabla usuario archivo carpeta valor tiempo fecha pedido grupo desarrollo gestion factura informe resultado primavera verano otono invierno llave "
+    "dom ulica rozdzial strona tabela uzytkownik plik wartosc czas grupa rozwoj faktura raport wynik wiosna lato jesien zima klucz"
 ).split()
 
 
@@ -148,40 +156,35 @@ def judged(core: Column) -> Column:
     return let(kind, lambda k: F.struct(k.alias("encoding"), step.alias("class"), bin_of(battery(core, k)).alias("bin")))
 
 
-def _mixed(core: Column) -> Column:
-    return F.regexp_like(core, F.lit("[0-9]")) & F.regexp_like(core, F.lit("[A-Za-z]"))
-
-
 def candidates(text: Column) -> Column:
     """Candidate tokens: start, end, encoding's number, length class, bin."""
     cored = F.transform(matches(text, TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.regexp_replace(s["text"], "=+$", "").alias("core")))
-    mixed = F.filter(cored, lambda s: _mixed(s["core"]))
-    return F.transform(mixed, lambda s: let(judged(s["core"]), lambda j: F.struct(s["start"].alias("start"), s["end"].alias("end"), j["encoding"].alias("encoding"), j["class"].alias("class"), j["bin"].alias("bin"))))
+    return F.transform(cored, lambda s: let(judged(s["core"]), lambda j: F.struct(s["start"].alias("start"), s["end"].alias("end"), j["encoding"].alias("encoding"), j["class"].alias("class"), j["bin"].alias("bin"))))
 
 
 def _dressed(words: Column, draw: Column) -> Column:
-    """Words, each followed by a space, as one token: digits behind some, a separator or none, cut to 20..64 characters."""
+    """Words, each followed by a space, as one token: digits behind some, a separator or none, cut to a length of a drawn class."""
     digits = F.substring(F.abs(F.xxhash64(draw, F.lit("digits"))).cast("string"), F.lit(3), F.lit(1) + F.pmod(draw, F.lit(3)).cast("int"))
     sign = F.element_at(F.array(*[F.lit(c) for c in ("", "-", "_", "/")]), F.pmod(F.shiftright(draw, 2), F.lit(4)).cast("int") + 1)
     # One word in two or three, told by its last letter, is followed by the digits.
     some = F.regexp_replace(words, F.lit("([a-ehjlnpsuwy]) +"), F.concat(F.lit("$1"), digits, F.lit(" ")))
     cased = F.when(F.pmod(F.shiftright(draw, 4), F.lit(3)) == 0, F.initcap(some)).otherwise(some)
-    return F.substring(F.replace(cased, F.lit(" "), sign), F.lit(1), F.lit(20) + F.pmod(F.shiftright(draw, 8), F.lit(45)).cast("int"))
+    low, high = (F.element_at(F.array(*[F.lit(x[k]) for x in LENGTHS]), F.pmod(F.shiftright(draw, 8), F.lit(len(LENGTHS))).cast("int") + 1) for k in (0, 1))
+    return F.substring(F.replace(cased, F.lit(" "), sign), F.lit(1), low + F.pmod(F.shiftright(draw, 16), high - low + 1).cast("int"))
 
 
 def decoy(text: Column, draw: Column) -> Column:
-    """A token made from the words at a drawn place of a text; null if it is too short or lacks letters or digits."""
-    at = F.pmod(draw, F.greatest(F.length(text) - 80, F.lit(1)).cast("long")).cast("int")
-    words = F.regexp_replace(F.substring(text, at + 1, F.lit(80)), "[^A-Za-z]+", " ")
-    return let(_dressed(words, draw), lambda d: F.when((F.length(d) >= 20) & _mixed(d), d))
+    """A token made from the words at a drawn place of a text; null if it is too short."""
+    at = F.pmod(draw, F.greatest(F.length(text) - 300, F.lit(1)).cast("long")).cast("int")
+    words = F.regexp_replace(F.substring(text, at + 1, F.lit(300)), "[^A-Za-z]+", " ")
+    return let(_dressed(words, draw), lambda d: F.when(F.length(d) >= 20, d))
 
 
 def made_decoys(spark: SparkSession, count: int = DECOYS) -> DataFrame:
     """(class, bin) of ``count`` tokens made of WORDS."""
     own, n = F.array(*[F.lit(w) for w in WORDS]), len(WORDS)
-    word = lambda i: F.element_at(own, F.pmod(F.xxhash64("id", F.lit(i)), F.lit(n)).cast("int") + 1)
-    text = F.concat(*[x for i in range(10) for x in (word(i), F.lit(" "))])
-    tokens = spark.range(0, count, 1, 4).select(_dressed(text, F.xxhash64("id")).alias("t")).filter((F.length("t") >= 20) & _mixed(F.col("t")))
+    words = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.element_at(own, F.pmod(F.xxhash64("id", i), F.lit(n)).cast("int") + 1))
+    tokens = spark.range(0, count, 1, 8).select(F.concat(F.array_join(words, " "), F.lit(" ")).alias("text"), F.xxhash64("id").alias("draw")).select(_dressed(F.col("text"), F.col("draw")).alias("t")).filter(F.length("t") >= 20)
     return tokens.select(judged(F.col("t")).alias("j")).select("j.class", "j.bin")
 
 

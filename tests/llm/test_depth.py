@@ -123,7 +123,7 @@ def numpy_battery(t, encoding):
     serial = ((x[:-1] - mid) * (x[1:] - mid)).sum() / ((k * k - 1) / 12 * math.sqrt(n - 1))
     w = dict(zip(a, text_weights(a), strict=True))
     return [
-        upper(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))), upper(((n - 1) * (1 - f2) - changes) / math.sqrt((n - 1) * f2 * (1 - f2) + 2 * (n - 2) * (f3 - f2 * f2))),
+        upper(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))), upper(((n - 1) * (1 - f2) - changes) / math.sqrt(max(1e-9, (n - 1) * f2 * (1 - f2) + 2 * (n - 2) * (f3 - f2 * f2)))),
         2 * upper(abs(serial)), upper(sum(w[c] for c in t) / math.sqrt(n)),
     ]
 
@@ -175,6 +175,23 @@ def test_few_false_secrets(spark):
     assert hits >= 52 and wrong <= max(3, 0.1 * (hits + wrong)) and not got[60]
 
 
+def test_secrets_of_every_length(spark):
+    """Random tokens of 24 to 2,000 characters and of letters alone are found; slugs of words the module doesn't know, of any length, are not."""
+    from tessera.llm.secrets import WORDS, find
+
+    r = random.Random(1)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [(upper + upper.lower() + "0123456789", n) for n in (24, 60, 66, 88, 128, 129, 200, 2000)] + [(upper + upper.lower(), 48), (upper + upper.lower(), 128), (upper.lower(), 64), (upper, 100)]
+    parts = [w for w in "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu maintenance quarterly onboarding dashboards".split() if w not in WORDS]
+    keys = ["".join(r.choice(a) for _ in range(n)) for a, n in kinds for _ in range(60)]
+    slugs = [r.choice(["-", "_", "/", ""]).join(r.choice(parts) + (str(r.randint(1, 2030)) if r.random() < 0.4 else "") for _ in range(r.randint(4, 30))) for _ in range(900)] + ["-" * 40, "a" * 90]
+    got = {x["doc_id"]: bool(x["more"]) for x in find(spark, frame(spark, list(enumerate(f"see {t} there" for t in keys + slugs)))).collect()}
+    for k in range(len(kinds)):
+        assert sum(got[60 * k + i] for i in range(60)) >= 54, kinds[k]
+    hits, wrong = sum(got[i] for i in range(len(keys))), sum(got[i] for i in range(len(keys), len(got)))
+    assert wrong <= 0.05 * (hits + wrong)
+
+
 def test_margin_is_the_forest(spark):
     from tessera.llm.pii import candidates, features, find, fit, margin
 
