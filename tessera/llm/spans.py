@@ -92,8 +92,10 @@ def overlaps(spans: Column, start: Column, end: Column) -> Column:
 def strongest(spans: Column, longest: int, rounds: int = 2) -> Column:
     """Of spans (start, end, p, kind; ascending) that overlap, those of the greatest p; then the longer, the earlier, the lower kind.
 
-    No span is longer than ``longest``, so only near ones are compared.  Spans whose
-    rivals all lost are compared once more in each further round.
+    That is what taking the strongest again and again leaves.  No span is longer than
+    ``longest``, so only near ones are compared.  Spans whose rivals all lost are
+    compared once more in each further round; what is open after those (the inside of
+    long chains) is taken one by one.
     """
     strength = lambda s: F.struct(s["p"], s["end"] - s["start"], -s["start"], -s["kind"])
 
@@ -102,14 +104,19 @@ def strongest(spans: Column, longest: int, rounds: int = 2) -> Column:
         near = let(F.struct(low.alias("low"), high.alias("high")), lambda r: F.slice(all_of, r["low"] + 1, r["high"] - r["low"]))
         return F.exists(near, lambda d: (d["end"] > c["start"]) & (strength(d) > strength(c)))
 
+    def one_by_one(left: Column) -> Column:
+        ranked = F.reverse(F.array_sort(F.transform(left, lambda c: F.struct(strength(c).alias("s"), c.alias("c")))))
+        free = lambda kept, c: ~F.exists(kept, lambda k: (k["end"] > c["start"]) & (c["end"] > k["start"]))
+        return F.aggregate(F.transform(ranked, lambda r: r["c"]), F.slice(left, 1, 0), lambda kept, c: F.when(free(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
+
     def pick(left: Column, more: int) -> Column:
-        won = F.filter(left, lambda c: ~beaten(left, c))
         if not more:
-            return won
+            return one_by_one(left)
+        won = F.filter(left, lambda c: ~beaten(left, c))
         rest = lambda w: F.filter(left, lambda c: ~overlaps(w, c["start"], c["end"]))
         return let(won, lambda w: let(rest(w), lambda r: F.when(F.size(r) == 0, w).otherwise(F.concat(w, pick(r, more - 1)))))
 
-    return let(spans, lambda s: F.when(F.size(s) <= 1, s).otherwise(F.array_sort(pick(s, rounds - 1))))
+    return let(spans, lambda s: F.when(F.size(s) <= 1, s).otherwise(F.array_sort(pick(s, rounds))))
 
 
 def joined(spans: Column) -> Column:

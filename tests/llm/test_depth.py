@@ -217,14 +217,19 @@ def test_strongest_by_brute_force(spark):
             at[k] = z = a + r.randint(1, 9)  # spans of one kind are disjoint
             spans.append((a, z, k, r.choice((0.5, 0.7, 0.9))))
         rows.append((i, sorted(spans)))
+    chain = lambda n: [(10 * k, 10 * k + 12, k % 2, 1 - k / 1000) for k in range(n)]  # noqa: E731  each overlaps the next, weaker one
+    rows += [(60, chain(9)), (61, chain(200)), (62, chain(9) + [(500, 510, 0, 0.9)])]
     df = spark.createDataFrame(rows, "i long, s array<struct<start:int,end:int,kind:int,p:double>>")
     got = {x["i"]: [tuple(s) for s in x["t"]] for x in df.select("i", strongest(F.col("s"), 16).alias("t")).collect()}
     key = lambda s: (s[3], s[1] - s[0], -s[0], -s[2])
     meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
     for i, spans in rows:
-        first = [s for s in spans if not any(meets(s, o) and key(o) > key(s) for o in spans)]
-        left = [s for s in spans if not any(meets(s, o) for o in first)]
-        assert got[i] == sorted(first + [s for s in left if not any(meets(s, o) and key(o) > key(s) for o in left)])
+        kept = []
+        for s in sorted(spans, key=key, reverse=True):
+            if not any(meets(s, o) for o in kept):
+                kept.append(s)
+        assert got[i] == sorted(kept)
+    assert len(got[60]) == 5 and len(got[61]) == 100
     lists = [[r.randint(0, 9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 5000)]
     out = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i long, v array<int>").select("i", sums_before(F.col("v")).alias("s")).collect()
     for x in out:
