@@ -272,26 +272,6 @@ def best_alignment(faces: DataFrame, targets: DataFrame, radius: float, least: f
     return dots.filter(F.col("dot") >= least).groupBy("pid").agg(F.max("dot").alias("best"))
 
 
-def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, reach: float) -> DataFrame:
-    """(rid, t): the first hit of each ray within reach.
-
-    rays: rid, ox.., dx.. (unit); triangles: ax.., bx.., cx...  Both are spread over
-    the cells of their bounding boxes, so only those that share a cell are tested.
-    """
-    from ..functions.geometry import ray_triangle
-
-    def spread_box(df: DataFrame, low, high) -> DataFrame:
-        for n, c in zip("ijk", "xyz", strict=True):
-            df = df.withColumn(n, F.explode(F.sequence(F.floor(low(c) / size).cast("long"), F.floor(high(c) / size).cast("long"))))
-        return df
-
-    end = lambda c: F.col(f"o{c}") + reach * F.col(f"d{c}")
-    r = spread_box(rays, lambda c: F.least(F.col(f"o{c}"), end(c)), lambda c: F.greatest(F.col(f"o{c}"), end(c)))
-    t = spread_box(triangles, lambda c: F.least(f"a{c}", f"b{c}", f"c{c}"), lambda c: F.greatest(f"a{c}", f"b{c}", f"c{c}"))
-    hit = ray_triangle(vec("o"), vec("d"), vec("a"), vec("b"), vec("c"))
-    return r.join(t, ["i", "j", "k"]).withColumn("t", hit).filter(F.col("t") <= reach).groupBy("rid").agg(F.min("t").alias("t"))
-
-
 def regions_of_midpoints(edges: DataFrame, regions: DataFrame) -> DataFrame:
     """(mid, region): a mid-edge node takes a region that both its ends are in.  edges: mid, a, b; regions: nid, region."""
     ends = edges.join(regions.select(F.col("nid").alias("a"), F.col("region").alias("ra")), "a").join(regions.select(F.col("nid").alias("b"), F.col("region").alias("rb")), "b")

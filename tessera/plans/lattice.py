@@ -42,6 +42,32 @@ def fill(inside: DataFrame, counts: tuple[int, int, int], etype: str = "tet4") -
     return inside.select("cell", F.posexplode(own).alias("t", "nodes")).select((F.col("cell") * len(template) + F.col("t")).alias("eid"), F.lit(etype).alias("etype"), F.col("nodes").cast("array<long>").alias("nodes"), F.lit(None).cast("array<array<int>>").alias("faces"))
 
 
+def sweep_axis(extent: tuple[float, float, float]) -> int:
+    """The longest side (0, 1, 2); of equal ones the last."""
+    return max(range(3), key=lambda a: (extent[a], a))
+
+
+def sweep_fill(inside: DataFrame, counts: tuple[int, int, int], axis: int) -> DataFrame:
+    """(eid, etype, nodes, faces): two prisms a cell, their triangles across ``axis``, so layers follow each other along it."""
+    step = (1, counts[0] + 1, (counts[0] + 1) * (counts[1] + 1))
+    turned = [step[(axis + 1 + b) % 3] for b in range(3)]  # the axis takes the place of z, the others keep their turn
+    corner = lambda n: corner_id(F.col("i"), F.col("j"), F.col("k"), counts) + sum(s for b, s in enumerate(turned) if n >> b & 1)
+    own = F.array(*[F.array(*[corner(n) for n in t]) for t in PRISMS])
+    return inside.select("cell", F.posexplode(own).alias("t", "n")).select((F.col("cell") * 2 + F.col("t")).alias("eid"), *_element("prism6", F.col("n")))
+
+
+def sweep_surface(triangles: DataFrame, extent: tuple[float, float, float], h: float, spark: SparkSession) -> tuple[DataFrame, DataFrame, int]:
+    """(elements, nodes, axis): prisms swept along the longest side of a closed surface (ax.., bx.., cx..) whose box starts at the origin.
+
+    Each column of cells is filled between where the surface is entered and left.
+    """
+    counts, h = fit_counts(extent, h)
+    axis = sweep_axis(extent)
+    elements = sweep_fill(classify(triangles, counts, h, spark, "xyz"[axis]), counts, axis)
+    used = elements.select(F.explode("nodes").alias("nid")).distinct()
+    return elements, lattice_nodes(spark, counts, h).join(used, "nid", "left_semi"), axis
+
+
 def lattice_nodes(spark: SparkSession, counts: tuple[int, int, int], h: float) -> DataFrame:
     nx, ny = counts[0] + 1, counts[1] + 1
     c = F.col("id")

@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import norm, sub, triangle_area, triangle_normal, vec
 from ..operators.spatial import box_select, finest_per_cell
 
+#: Fixed values of the automatic size.  Cells along the longest side and the diagonal.
+SIDE_CELLS, DIAGONAL_CELLS = 16.0, 28.0
+#: More sharp edges than the first number: the size is scaled by the second.
+DENSE = ((120, 0.88), (40, 0.92))
+#: Shares of the curvature radius, the thickness, the shortest sharp edge and the shortest given edge, and the least each may ask for, in geometric sizes.
+WISHES = {"radius": (1 / 6, 0.28), "thickness": (1 / 2, 0.35), "feature": (0.35, 0.4), "edge": (0.3, 0.35)}
+#: A thickness asking for less than this is left to local refinement; edges up to these shares of the longest side don't count.
+THIN, SHORT, SHORT_GIVEN = 0.2, 0.02, 0.01
+#: The size lies between these parts of the diagonal.
+FINEST, COARSEST = 80.0, 6.0
+
 
 def geometry_sources(vertices: DataFrame, h_min: float, h_max: float, per_radius: float = 0.3, per_thickness: float = 0.35) -> DataFrame:
     """(sid, x, y, z, h) of the vertices (vid, x, y, z, kappa, thickness) that ask for less than h_max; nulls ask for nothing."""
@@ -40,3 +52,44 @@ def auto_size(vertices: DataFrame, cells_across: float = 20.0, least: float = 1e
     """A size for a part nobody gave one for: its bounding box's diagonal over so many cells."""
     ends = vertices.agg(*[f(c).alias(f"{c}{n}") for c in "xyz" for n, f in (("0", F.min), ("1", F.max))]).first()
     return max(least, sum(((ends[f"{c}1"] or 0.0) - (ends[f"{c}0"] or 0.0)) ** 2 for c in "xyz") ** 0.5 / cells_across)
+
+
+def mesh_size(triangles: DataFrame, vertices: DataFrame, save, requested: float = 0.0, sharp_degrees: float = 30.0, edge_lengths: DataFrame | None = None) -> dict:
+    """A part's size and what it follows from: h, auto, n_sharp, radius, thickness, feature, edge (None: asks for nothing).
+
+    triangles: tid, nodes; vertices: vid, x, y, z; edge_lengths (length): edges known
+    beside the triangles.  A size that is asked for is taken as it is.  Otherwise it is
+    a part of the extent, lessened for many sharp edges, then by the least curvature
+    radius, the least wall thickness and the shortest edges.
+    """
+    from ..operators.fields import vertex_curvature
+    from ..operators.surface import triangles_of
+    from ..operators.topology import sharp_edges
+    from ..operators.walks import local_thickness
+
+    found = dict.fromkeys(("radius", "thickness", "feature", "edge"))
+    if requested > 0:
+        return {"h": requested, "auto": False, "n_sharp": 0, **found}
+    sides = vertices.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    extent, diagonal = max(s or 0.0 for s in sides), sum((s or 0.0) ** 2 for s in sides) ** 0.5
+    t = triangles_of(triangles, vertices).join(triangles.select("tid", "nodes"), "tid")
+    normal = triangle_normal(vec("a"), vec("b"), vec("c"))
+    t = save(t.select("tid", "nodes", triangle_area(vec("a"), vec("b"), vec("c")).alias("area"), *[n.alias(f"n{c}") for n, c in zip(normal, "xyz", strict=True)]))
+    end = lambda n: vertices.select(F.col("vid").alias(n), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
+    length = norm(sub(vec("a"), vec("b")))
+    row = sharp_edges(t, sharp_degrees).join(end("a"), "a").join(end("b"), "b").agg(F.count("*").alias("n"), F.min(F.when(length > SHORT * extent, length)).alias("feature")).first()
+    found["feature"] = row["feature"]
+    found["radius"] = vertex_curvature(t, vertices).filter("kappa > 1e-9").agg(F.min(1 / F.col("kappa"))).first()[0]
+    found["thickness"] = local_thickness(triangles, vertices, save).filter("thickness > 1e-12").agg(F.min("thickness")).first()[0]
+    if edge_lengths is not None:
+        long, short = edge_lengths.agg(*[F.min(F.when(F.col("length") > F.greatest(F.lit(1e-12), F.lit(s * extent)), F.col("length"))) for s in (SHORT, SHORT_GIVEN)]).first()
+        found["edge"] = short if long is None else long
+    base = min(extent / SIDE_CELLS, diagonal / DIAGONAL_CELLS) or 0.05
+    h = base * next((scale for n, scale in DENSE if row["n"] > n), 1.0)
+    for name, (share, least) in WISHES.items():
+        wish = None if found[name] is None else share * found[name]
+        if wish is None or wish >= h or name == "thickness" and wish <= THIN * base:
+            continue
+        asked = max(wish, least * base)
+        h = min(h, asked) if name == "thickness" else asked
+    return {"h": min(max(h, diagonal / FINEST), diagonal / COARSEST) if diagonal else h, "auto": True, "n_sharp": row["n"], **found}

@@ -610,6 +610,15 @@ def capped_marks(spark: SparkSession, d: str) -> DataFrame:
     return topology.capped(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", ["p_partkey"], 0.3)
 
 
+def _customers_and_triangles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as points (pid, x, y, z), suppliers as the right corner of a triangle with sides of 6."""
+    at = lambda n, k, b: [(F.col(b) / 100).alias("x"), (F.col(n) * 4.0).alias("y"), (F.col(k) % 50 * 1.0).alias("z")]
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), *at("c_nationkey", "c_custkey", "c_acctbal"))
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("tid"), *at("s_nationkey", "s_suppkey", "s_acctbal"))
+    corner = lambda n, dx, dy: [(F.col("x") + dx).alias(f"{n}x"), (F.col("y") + dy).alias(f"{n}y"), F.col("z").alias(f"{n}z")]
+    return p, t.select("tid", *corner("a", 0.0, 0.0), *corner("b", 6.0, 0.0), *corner("c", 0.0, 6.0))
+
+
 @query("""WITH p AS (SELECT c_custkey AS pid, c_acctbal / 100 AS x, c_nationkey * 4.0 AS y, (c_custkey % 50) * 1.0 AS z FROM customer), t AS (SELECT s_suppkey AS tid, s_acctbal / 100 AS x, s_nationkey * 4.0 AS y, (s_suppkey % 50) * 1.0 AS z FROM supplier),
 d AS (SELECT pid, tid, p.x - t.x AS x, p.y - t.y AS y, p.z - t.z AS z FROM p, t),
 e AS (SELECT *, greatest(0, least(1, (6 - x + y) / 12)) AS h FROM d),
@@ -619,15 +628,41 @@ def surface_distance(spark: SparkSession, d: str) -> DataFrame:
     """Customers as points, suppliers as the right corner of a triangle with sides of 6."""
     from .operators import surface
 
-    at = lambda n, k, b: [(F.col(b) / 100).alias("x"), (F.col(n) * 4.0).alias("y"), (F.col(k) % 50 * 1.0).alias("z")]
-    p = table(spark, d, "customer").select(F.col("c_custkey").alias("pid"), *at("c_nationkey", "c_custkey", "c_acctbal"))
-    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("tid"), *at("s_nationkey", "s_suppkey", "s_acctbal"))
-    corner = lambda n, dx, dy: [(F.col("x") + dx).alias(f"{n}x"), (F.col("y") + dy).alias(f"{n}y"), F.col("z").alias(f"{n}z")]
-    t = t.select("tid", *corner("a", 0.0, 0.0), *corner("b", 6.0, 0.0), *corner("c", 0.0, 6.0))
+    p, t = _customers_and_triangles(spark, d)
     found = surface.closest_on_surface(p, t, 8.0, saver(spark, "surface"))
     return found.select("pid", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
+@query("""WITH r AS (SELECT c_custkey AS rid, c_acctbal / 100 + 0.00005 AS x, c_nationkey * 4.0::DOUBLE + 0.1 AS y, (c_custkey % 50) * 1.0::DOUBLE + 0.25 AS z FROM customer),
+t AS (SELECT s_acctbal / 100 AS x, s_nationkey * 4.0::DOUBLE AS y, (s_suppkey % 50) * 1.0::DOUBLE AS z FROM supplier),
+h AS (SELECT rid, (t.z - r.z) * 1.5 AS t, r.x + (t.z - r.z) - t.x AS u, r.y + (t.z - r.z) / 2 - t.y AS v FROM r JOIN t ON t.z > r.z)
+SELECT rid, round(min(t), 6) AS t FROM h WHERE u >= 0 AND v >= 0 AND u + v <= 6 AND t <= 60 GROUP BY rid""")
+def ray_first_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The first supplier's triangle that a ray from each customer meets within 60."""
+    from .operators import walks
+
+    p, t = _customers_and_triangles(spark, d)
+    shift = {"x": 0.00005, "y": 0.1, "z": 0.25}
+    rays = p.select(F.col("pid").alias("rid"), *[(F.col(c) + s).alias(f"o{c}") for c, s in shift.items()], *[F.lit(v / 3).alias(f"d{c}") for c, v in zip("xyz", (2.0, 1.0, 2.0), strict=True)])
+    return walks.ray_hits(rays, t, 4.0, 60.0, saver(spark, "rays")).select("rid", F.round("t", 6).alias("t"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS pid, c_acctbal / 100 AS x, c_nationkey * 4.0::DOUBLE AS y, (c_custkey % 50) * 1.0::DOUBLE AS z FROM customer),
+s AS (SELECT s_acctbal / 100 + 6 AS x, s_nationkey * 4.0::DOUBLE AS y, (s_suppkey % 50) * 1.0::DOUBLE AS z FROM supplier WHERE s_suppkey % 3 > 0),
+q AS (SELECT pid, p.x - s.x AS x, p.y - s.y AS y, p.z - s.z AS z, greatest(0, least(1, (p.y - s.y - p.x + s.x) / 12)) AS h FROM p CROSS JOIN s),
+m AS (SELECT pid, sqrt(min(pow(x + 6 * h, 2) + pow(y - 6 * h, 2) + z * z)) AS distance FROM q GROUP BY pid)
+SELECT pid, round(distance, 6) AS distance, (SELECT round(max(distance), 6) FROM m) AS farthest FROM m""")
+def edge_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's distance to the nearest long side of the triangles of two suppliers in three, and the largest of them."""
+    from .operators import walks
+
+    p, t = _customers_and_triangles(spark, d)
+    edges = t.select(F.col("tid").alias("sid"), *[F.col(f"{n}{c}").alias(f"{m}{c}") for m, n in ("ab", "bc") for c in "xyz"])
+    save = saver(spark, "edges")
+    found = save(walks.closest_edge(p, edges, 8.0, save, F.col("sid") % 3 > 0).select("pid", F.round(F.sqrt("d2"), 6).alias("distance")))
+    return found.crossJoin(F.broadcast(found.agg(F.max("distance").alias("farthest"))))  # one row
+
+
 @query("""WITH f AS (SELECT l_orderkey AS box, l_linenumber * 1000000 + l_partkey AS fid, l_extendedprice AS x, l_quantity AS area, CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.1 END AS align FROM lineitem),
 u AS (SELECT box, fid, any_value(x) AS x, any_value(area) AS area, any_value(align) AS align, count(*) AS c FROM f GROUP BY box, fid HAVING count(*) = 1),
 k AS (SELECT *, bool_or(align > 0.5) OVER (PARTITION BY box) AS found FROM u), g AS (SELECT * FROM k WHERE NOT found OR align > 0.5),

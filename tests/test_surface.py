@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as G
 from tessera.functions import kernels, registry
-from tessera.operators import experiments, fields, ordered, spatial, surface, topology
+from tessera.operators import experiments, fields, ordered, spatial, surface, topology, walks
 from tessera.plans import lattice, relax, sizing
 from tessera.session import saver
 from tessera.sources import meshes, records, sinks
@@ -291,7 +291,7 @@ def test_helpers_run(spark, tmp_path):
     q = spark.createDataFrame([(0, 0.1, 0.0, 0.0, -0.9, 0.1, 0.0), (1, 0.1, 0.0, 0.0, 0.0, 1.0, 0.0)], "sid long, x double, y double, z double, nx double, ny double, nz double")
     assert spatial.best_alignment(p, q, 1.0).first()["best"] == pytest.approx(0.9)
     ray = spark.createDataFrame([(0, 0.3, 0.4, 0.5, 1.0, 0.0, 0.0)], "rid long, ox double, oy double, oz double, dx double, dy double, dz double")
-    assert spatial.ray_hits(ray, t, 0.5, 2.0).first()["t"] == pytest.approx(0.7)
+    assert walks.ray_hits(ray, t, 0.5, 2.0).first()["t"] == pytest.approx(0.7)
     s = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (1, 0, 0.1, 0.0, 0.0), (2, 1, 0.3, 0.0, 0.0)], "sid long, edge long, x double, y double, z double")
     assert {r["pid"]: round(r["gap"], 6) for r in spatial.other_edges_gap(s, 1.0).collect()} == {0: 0.3, 1: 0.2, 2: 0.2}
     assert fields.distance_summary(spark.createDataFrame([(4.0,), (0.0,)], "d2 double")).first()[:] == (2.0, 1.0, 2, 1)
