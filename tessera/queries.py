@@ -663,6 +663,26 @@ def edge_distance(spark: SparkSession, d: str) -> DataFrame:
     return found.crossJoin(F.broadcast(found.agg(F.max("distance").alias("farthest"))))  # one row
 
 
+@query("""WITH c AS (SELECT CAST(least(15, floor((c_acctbal + 1000) / 11000 * 16)) AS BIGINT) AS i, CAST(c_nationkey % 16 AS BIGINT) AS j, CAST(c_custkey % 16 AS BIGINT) AS k, (c_acctbal + 1000) / 11000 * 16 AS x, c_nationkey % 16 + 0.3 AS y, c_custkey % 16 + 0.4 AS z, c_mktsegment = 'BUILDING' AS seed FROM customer),
+s AS (SELECT (s_acctbal + 1000) / 11000 * 16 AS x, s_nationkey % 16 + 0.3 AS y, s_suppkey % 16 + 0.4 AS z FROM supplier),
+cell AS (SELECT DISTINCT i, j, k FROM c), step AS (SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) v(a, b, c)),
+skin AS (SELECT i, j, k, count(n) < 6 AS open FROM (SELECT o.i, o.j, o.k, m.i AS n FROM cell o CROSS JOIN step LEFT JOIN cell m ON m.i = o.i + a AND m.j = o.j + b AND m.k = o.k + c) GROUP BY 1, 2, 3),
+near AS (SELECT i, j, k, bool_or(seed AND pow(x - i - 0.5, 2) + pow(y - j - 0.5, 2) + pow(z - k - 0.5, 2) <= 1.1 * 1.1) AS two FROM (SELECT cell.*, c.x, c.y, c.z, c.seed FROM cell JOIN c ON abs(c.x - cell.i) < 3 AND abs(c.y - cell.j) < 3 AND abs(c.z - cell.k) < 3) GROUP BY 1, 2, 3),
+edge AS (SELECT DISTINCT cell.* FROM cell JOIN s ON pow(x - i - 0.5, 2) + pow(y - j - 0.5, 2) + pow(z - k - 0.5, 2) <= 1.3 * 1.3)
+SELECT i, j, k, CAST(CASE WHEN two THEN 2 WHEN open OR edge.i IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS level FROM cell JOIN skin USING (i, j, k) LEFT JOIN near USING (i, j, k) LEFT JOIN edge USING (i, j, k)""")
+def graded_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of the cells that hold customers: open cells and those near suppliers are halved once, those near some customers twice."""
+    from .plans.graded import cell_levels
+
+    counts, save = (16, 16, 16), saver(spark, "levels")
+    at = lambda p: [((F.col(f"{p}_acctbal") + 1000) / 11000 * 16).alias("x"), (F.col(f"{p}_nationkey") % 16 + 0.3).alias("y"), (F.col(f"{p}_{'cust' if p == 'c' else 'supp'}key") % 16 + 0.4).alias("z")]
+    points = table(spark, d, "customer").select(*at("c"), "c_mktsegment")
+    cells = points.select(*[F.least(F.lit(15), F.floor(c)).cast("long").alias(n) for c, n in zip("xyz", "ijk", strict=True)]).distinct()
+    inside = save(cells.select(((F.col("k") * 16 + F.col("j")) * 16 + F.col("i")).alias("cell"), "i", "j", "k"))
+    levels = cell_levels(inside, counts, 1.0, save, 1, table(spark, d, "supplier").select(*at("s")), 1.3, points.filter("c_mktsegment = 'BUILDING'").select("x", "y", "z"), 1.1)
+    return levels.select("i", "j", "k", F.col("level").cast("int").alias("level"))
+
+
 @query("""WITH f AS (SELECT l_orderkey AS box, l_linenumber * 1000000 + l_partkey AS fid, l_extendedprice AS x, l_quantity AS area, CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.1 END AS align FROM lineitem),
 u AS (SELECT box, fid, any_value(x) AS x, any_value(area) AS area, any_value(align) AS align, count(*) AS c FROM f GROUP BY box, fid HAVING count(*) = 1),
 k AS (SELECT *, bool_or(align > 0.5) OVER (PARTITION BY box) AS found FROM u), g AS (SELECT * FROM k WHERE NOT found OR align > 0.5),
