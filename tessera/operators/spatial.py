@@ -34,8 +34,12 @@ def within(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
 
 
 def near_any(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
-    """Points with a site within radius."""
-    return points.join(within(points, sites, radius).select("pid").distinct(), "pid", "left_semi")
+    """Points with a site within radius; no pair is made, a point's first site settles it."""
+    p = points.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"]).withColumn("cell", F.explode(spread(cell(vec("p"), radius), 1)))
+    s = sites.select(*[F.col(c).alias(f"s{c}") for c in "xyz"]).withColumn("s_cell", cell(vec("s"), radius))
+    d = sub(vec("p"), vec("s"))
+    held = p.join(s, (F.col("cell") == F.col("s_cell")) & (dot(d, d) <= radius * radius), "left_semi")
+    return points.join(held.select("pid"), "pid", "left_semi")
 
 
 def _settle(todo: DataFrame, near, size: float, save, most_rounds: int) -> DataFrame | None:
@@ -78,18 +82,18 @@ def nearest(points: DataFrame, sites: DataFrame, size: float, save, most_rounds:
 def nearest_1d(points: DataFrame, sites: DataFrame, part: list[str]) -> DataFrame:
     """(pid, sid, dist): the nearest site by one coordinate inside a part, the least sid on ties.
 
-    One sort of both sides: only the neighbours below and above can be nearest.
+    Only the neighbours below and above can be nearest: the last site before a point in
+    one order and in the other.  Parts of any size are cut into blocks (``running``);
+    the sides are read several times, so hand over scans or written tables.
     """
-    from pyspark.sql.window import Window
+    from .ordered import running
 
-    s = sites.groupBy(*part, "v").agg(F.min("sid").alias("sid")).select(*part, "v", "sid", F.lit(None).cast("long").alias("pid"), F.lit(0).alias("side"))
+    s = sites.groupBy(*part, "v").agg(F.min("sid").alias("sid")).select(*part, "v", F.col("sid").cast("long").alias("sid"), F.lit(None).cast("long").alias("pid"), F.lit(0).alias("side"))
     p = points.select(*part, "v", F.lit(None).cast("long").alias("sid"), F.col("pid").cast("long"), F.lit(1).alias("side"))
-    both = s.withColumn("sid", F.col("sid").cast("long")).unionByName(p)
-    site = F.when(F.col("side") == 0, F.struct("v", "sid"))
-    w = Window.partitionBy(*part)
-    low = F.last(site, ignorenulls=True).over(w.orderBy("v", "side").rowsBetween(Window.unboundedPreceding, 0))
-    high = F.last(site, ignorenulls=True).over(w.orderBy(F.desc("v"), "side").rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumn("low", low).withColumn("high", high).filter("side = 1")
+    both = s.unionByName(p)
+    below, above = (F.when(F.col("side") == 0, F.struct(k.alias("k"), "v", "sid")) for k in (F.col("v"), -F.col("v")))
+    both = running(both, below, "low", "v", ["side", "pid"], "max", part=part)
+    both = running(both, above, "high", "v", ["side", "pid"], "max", descending=True, part=part).filter("side = 1")
     gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("v") - F.col(c)["v"]).alias("dist"), F.col(c)["sid"].alias("sid")))
     return both.withColumn("m", F.least(gap("low"), gap("high"))).select("pid", "m.sid", "m.dist")
 

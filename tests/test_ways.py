@@ -73,3 +73,25 @@ def test_many_boxes(spark, monkeypatch):
         found = [(x["pid"], x["box"]) for x in spatial.box_select(p, b, ["x", "y", "z"]).collect()]
         assert len(found) == len(set(found)) and set(found) == want
     assert spatial.box_select(p.limit(0), b, ["x", "y", "z"]).count() == 0
+
+
+@pytest.mark.parametrize("one_task", [10**9, 5])
+def test_nearest_in_one_part_with_all_rows(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ordered, "ONE_TASK", one_task)
+    r = random.Random(4)
+    sites = [("hot", float(r.randint(0, 60)), i) for i in range(120)] + [("cold", 3.0, 500)]
+    points = [("hot", r.choice([float(r.randint(-5, 70)), r.uniform(0, 60)]), i) for i in range(200)] + [("cold", 1.0, 900), ("none", 1.0, 901)]
+    s, p = spark.createDataFrame(sites, "k string, v double, sid long"), spark.createDataFrame(points, "k string, v double, pid long")
+    got = {x["pid"]: (x["dist"], x["sid"]) for x in spatial.nearest_1d(p, s, ["k"]).collect()}
+    want = {pid: min(((abs(v - w), sid) for q, w, sid in sites if q == k), default=(None, None)) for k, v, pid in points}
+    assert got == want
+
+
+def test_near_any_by_brute_force(spark):
+    r = random.Random(5)
+    make = lambda n, top: [(i, *(r.uniform(0, top) for _ in range(3))) for i in range(n)]
+    points, sites = make(150, 10), make(60, 4) + [(900, None, 1.0, 1.0)]
+    p, s = spark.createDataFrame(points, "pid long, x double, y double, z double"), spark.createDataFrame(sites, "sid long, x double, y double, z double")
+    want = {a[0] for a in points for b in sites if None not in b and sum((u - v) ** 2 for u, v in zip(a[1:], b[1:], strict=True)) <= 0.8}
+    got = [x["pid"] for x in spatial.near_any(p, s, 0.8**0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
