@@ -98,6 +98,12 @@ def pareto_by_part(spark: SparkSession, d: str) -> DataFrame:
     return X.pareto_front(table(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice", "p_size"), "p_retailprice", "p_size", ["p_brand"])
 
 
+def _cloud(spark: SparkSession, d: str) -> DataFrame:
+    """All customers as points (sid, x, y, z) of the unit box."""
+    hashed = lambda a, m: F.col("c_custkey") * a % m / m
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("sid"), ((F.col("c_acctbal") + 1000) / 11000).alias("x"), hashed(7919, 10007).alias("y"), hashed(104729, 20011).alias("z"))
+
+
 _LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 _TIES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 _MARK = """WITH s AS (SELECT *, CAST(round(l_extendedprice * 100) AS HUGEINT) AS e FROM lineitem), t AS (SELECT CAST(sum(e * e) AS DOUBLE) AS total FROM s),
@@ -701,5 +707,110 @@ def load_selection(spark: SparkSession, d: str) -> DataFrame:
     return surface.load_faces(f, boxes, saver(spark, "loads"))
 
 
+_LINE = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem"
+
+
+@query(f"""WITH l AS ({_LINE}), c AS (SELECT *, sqrt(y * y * z * z + x * x * z * z + x * x * y * y) AS n, greatest(0, least(1, (50 * x + 8 * y + 8 * z) / 2628)) AS t, abs(x - 25) AS u, abs(y - 5) * 4 AS v, 1 + z AS h FROM l)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(n / 2, 6) AS area, round(CASE WHEN n > 0 THEN x * y / n ELSE 1 END, 6) AS normal_z, round((x * y + sqrt(y * y * z * z + x * x * z * z + x * x * y * y)) / 2, 6) AS quad,
+round(x / 3, 6) AS mid_x, round(x * l_discount / ((1 + l_discount) * (1 - 2 * l_discount)), 6) AS lame_first, round(x / (2 * (1 + l_discount)), 6) AS lame_second, round(sqrt(pow(x - 1, 2) + pow(y - 2, 2)), 6) AS radius, round(atan2(y - 2, x - 1), 6) AS angle, z - 3 AS height,
+CASE WHEN u >= v AND u >= z THEN 0 WHEN v >= z THEN 1 ELSE 2 END AS axis, round(CASE WHEN y > 0 THEN 2 * x * y / (x * y * sqrt(x * x + y * y)) ELSE 0 END, 6) AS menger, round(50 * t, 6) AS foot_x, round(pow(x - 50 * t, 2) + pow(y - 8 * t, 2) + pow(z - 8 * t, 2), 6) AS foot_d2,
+round(1 / (h * h * h), 6) AS density, round(greatest(0.5, least(3, 0.5 + 0.07 * x)), 6) AS graded, round(0.5 + 2.5 * greatest(0, least(1, x / 40)), 6) AS blended, round(greatest(0.1, least(4, least(coalesce(0.3 / nullif(y, 0), 4), 0.35 * z))), 6) AS feature FROM c""")
+def geometry_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Each line as the legs of a corner: areas, normals, elastic constants, cylindrical places, curvature, nearest points and sizes."""
+    df = table(spark, d, "lineitem").withColumns({"x": F.col("l_quantity"), "y": F.col("l_discount") * 100, "z": F.col("l_tax") * 100})
+    x, y, z, o = F.col("x"), F.col("y"), F.col("z"), F.lit(0.0)
+    a, b, c, zero = (x, o, o), (o, y, o), (o, o, z), (o, o, o)
+    end, fixed = tuple(map(F.lit, (50.0, 8.0, 8.0))), lambda *v: tuple(map(F.lit, v))
+    first, second = G.lame(x, F.col("l_discount"))
+    radius, angle, height = G.cylindrical((x, y, z), fixed(1.0, 2.0, 3.0), 2)
+    six = {
+        "area": G.triangle_area(a, b, c), "normal_z": G.triangle_normal(a, b, c)[2], "quad": G.quad_area(zero, a, (x, y, o), (o, y, z)), "mid_x": G.centroid(a, b, c)[0], "lame_first": first, "lame_second": second, "radius": radius, "angle": angle,
+        "menger": G.menger_curvature(zero, a, b), "foot_x": G.closest_on_segment((x, y, z), zero, end)[0], "foot_d2": G.segment_distance2((x, y, z), zero, end), "density": G.density(1 + z),
+        "graded": G.graded_size(F.lit(0.5), F.lit(0.07), x, F.lit(3.0)), "blended": G.blended_size(F.lit(0.5), F.lit(3.0), x, F.lit(40.0)), "feature": G.feature_size(y, z, 0.3, 0.35, F.lit(0.1), F.lit(4.0)),
+    }
+    axis = G.dominant_axis((x - 25, (y - 5) * 4, z))
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", *[F.round(v, 6).alias(k) for k, v in six.items()], height.alias("height"), axis.alias("axis"))
+
+
+_MESHER_SQL = "(VALUES (0, 'tet_fill', 'tet'), (1, 'graded', 'graded_tet'), (2, 'zoo', 'hybrid'), (3, 'hex', 'hex'), (4, 'sweep', 'prism'), (5, 'octahedral', 'octa'), (6, 'vary', 'varyhedron'), (7, 'transition', 'hexpyr')) m(n, name, own)"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderkey % 8 AS n, o_orderkey % 41 / 20 - 1 AS dial, 1 + o_custkey % 3 AS layers, CASE WHEN o_custkey % 4 = 0 THEN o_custkey % 900 * 1.0 ELSE o_orderkey % 900 * 1000.0 END AS ms FROM orders),
+t AS (SELECT o.*, m.own, CASE WHEN abs(dial) < 1e-12 OR m.own IN ('prism', 'octa', 'hexpyr') THEN m.own WHEN dial <= -0.5 THEN 'hex' WHEN dial <= 0.25 THEN 'hybrid' WHEN dial <= 0.75 THEN 'hybrid_vem' ELSE 'graded_tet' END AS shape FROM o JOIN {_MESHER_SQL} USING (n))
+SELECT o_orderkey, own AS mesher, shape, CAST(CASE WHEN abs(dial) < 1e-12 THEN layers WHEN shape = 'hybrid' AND dial < 0 THEN greatest(1, layers - 1) WHEN shape = 'graded_tet' AND dial > 0.75 THEN layers + 1 ELSE layers END AS BIGINT) AS skin,
+o_custkey % 5 = 0 AND o_custkey % 3 <= 1 AND o_totalprice <= 200000 AND o_orderkey % 2 = 0 AS healthy,
+CASE WHEN o_totalprice > 120000 THEN 'sizing' WHEN (o_custkey * 80 > 80000 OR o_custkey * 50 > 60000) AND o_custkey * 50 > 3 * o_totalprice THEN 'mesher' WHEN o_custkey * 80 > 80000 OR o_custkey * 50 > 60000 THEN 'budget' WHEN o_orderkey % 3000 > (CASE WHEN o_orderkey % 7 = 0 THEN 100 WHEN o_orderkey % 3 = 2 THEN 2700 ELSE 900 END) THEN 'wall_clock' END AS verdict,
+(CASE WHEN o_orderkey % 7 = 0 THEN 100 WHEN o_orderkey % 3 = 2 THEN 2700 ELSE 900 END)::DOUBLE AS wall, CASE n WHEN 0 THEN 'ok' WHEN 1 THEN 'solve_fail' ELSE 'unknown' END AS state,
+printf('%.1f%%', o_custkey % 1000 / 1000 * 100) AS share, CASE WHEN ms >= 10000 THEN printf('%.1fs', ms / 1000) WHEN ms >= 1000 THEN printf('%.2fs', ms / 1000) ELSE printf('%.0fms', ms) END AS took,
+CASE n WHEN 0 THEN 'bool' WHEN 1 THEN 'int' WHEN 2 THEN 'float' ELSE 'str' END AS level_kind, CASE n WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN o_custkey::DOUBLE WHEN 2 THEN o_custkey + 0.5 END AS level_number,
+CASE WHEN n < 2 THEN o_totalprice WHEN n < 4 THEN 2 * o_totalprice WHEN n < 6 THEN o_totalprice / (1 + o_custkey % 4) ELSE CASE WHEN o_orderkey % 3 = 0 THEN 7.0 ELSE 9.0 END END AS probe FROM t""")
+def scoring_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a run: mesher names, the shape dial, health, budgets, states, formats, levels and probes."""
+    o = table(spark, d, "orders")
+    key, cust, price, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice"), F.col("o_orderkey") % 8
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (n + 1).cast("int"))
+    own = scoring.mesher(pick("tet_fill", "graded", "zoo", "hex", "sweep", "octahedral", "vary", "transition"))
+    shape, skin = scoring.tendency(own, key % 41 / 20 - 1, 1 + cust % 3)
+    ms = F.when(cust % 4 == 0, cust % 900 * 1.0).otherwise(key % 900 * 1000.0)
+    wall = scoring.wall_limit(key % 3, F.when(key % 7 == 0, 100.0))
+    text = F.when(n == 0, "True").when(n == 1, cust.cast("string")).when(n == 2, F.concat(cust.cast("string"), F.lit(".5"))).otherwise("fine")
+    level = scoring.level_value(text)
+    kind = pick("max_vm", "max_von_mises", "energy", "strain_energy", "scf", "scf_mean", "mean_ux_on_face", "mean_ux_on_face")
+    answers = {"sigma_max": price, "strain_energy": 2 * price, "sigma_face_mean": price, "sigma_p99": price, "tip_deflection": price, "dominant_load_axis": key % 3, "mean_u_component": F.lit(7.0), "mean_ux": F.lit(9.0), "mean_uz": F.lit(11.0)}
+    healthy = scoring.healthy(cust % 5, F.when(cust % 3 <= 1, 1e-7).otherwise(1e-5), price / 4e6, key % 2 == 0)
+    verdict = scoring.over_budget(price, cust * 80, cust * 50, key % 3000, wall)
+    return o.select(
+        "o_orderkey", own.alias("mesher"), shape.alias("shape"), skin.cast("long").alias("skin"), healthy.alias("healthy"), verdict.alias("verdict"), wall.alias("wall"), scoring.run_state(pick("ok", "solve_fail", "odd", "x", "y", "z", "", "OK")).alias("state"),
+        scoring.percent(cust % 1000 / 1000).alias("share"), scoring.milliseconds(ms).alias("took"), level["kind"].alias("level_kind"), level["number"].alias("level_number"), scoring.probe(kind, (1 + cust % 4).cast("double"), answers).alias("probe"),
+    )
+
+
+_TRIPLE = "SELECT s_suppkey AS tid, [s_suppkey, s_suppkey + 1, s_suppkey + 2, s_suppkey + 5] AS nodes FROM supplier"
+
+
+@query(f"""WITH n AS ({_CLOUD}), e AS (SELECT tid, least(nodes[p], nodes[q]) AS a, greatest(nodes[p], nodes[q]) AS b FROM ({_TRIPLE}) CROSS JOIN (VALUES (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)) v(p, q)),
+d AS (SELECT tid, a, b, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS l FROM e JOIN n p ON p.sid = a JOIN n q ON q.sid = b), m AS (SELECT tid, min({{'m': -l, 'a': a, 'b': b}}) AS s FROM d GROUP BY tid)
+SELECT tid AS eid, s.a AS a, s.b AS b, round(-s.m, 9) AS len2 FROM m""")
+def longest_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The longest edge of a tetrahedron of customers at each supplier."""
+    key = F.col("s_suppkey")
+    elements = table(spark, d, "supplier").select(key.alias("eid"), F.array(key, key + 1, key + 2, key + 5).alias("nodes"))
+    out = topology.longest_edge(elements, _cloud(spark, d).withColumnRenamed("sid", "nid"), [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)])
+    return out.withColumn("len2", F.round("len2", 9))
+
+
+@query(f"""WITH p AS (SELECT c.*, c_nationkey AS edge FROM ({_CLOUD}) c JOIN customer ON c_custkey = sid)
+SELECT a.sid AS pid, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))), 9) AS gap FROM p a JOIN p b ON a.edge <> b.edge AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.05 * 0.05 GROUP BY 1""")
+def other_edges_gap(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as samples of their nation's edge: the gap to the nearest sample of another edge within 0.05."""
+    samples = _cloud(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("sid"), F.col("c_nationkey").alias("edge")), "sid")
+    return spatial.other_edges_gap(samples, 0.05).withColumn("gap", F.round("gap", 9))
+
+
+@query(f"""WITH p AS ({_CLOUD}), l AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d FROM p a JOIN p b ON a.sid < b.sid),
+s AS (SELECT coalesce(sum(pi() * pow(0.06 - d, 2) * (d * d + 0.12 * d) / (12 * d)) FILTER (WHERE d <= 0.06), 0) AS lens FROM l) SELECT round(greatest(0, least(1, (SELECT count(*) FROM p) * 4 / 3 * pi() * 0.03 * 0.03 * 0.03 - lens)), 9) AS fill FROM s""")
+def packing_share(spark: SparkSession, d: str) -> DataFrame:
+    """The share of the unit box that balls around all customers fill, less the lenses of pairs."""
+    return spatial.packing_fill(_cloud(spark, d), 0.03, 1.0).withColumn("fill", F.round("fill", 9))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS tid, s_acctbal / 100 + 0.003 AS x, s_nationkey * 4.0::DOUBLE + 0.3 AS y, (s_suppkey % 50) * 1.0::DOUBLE AS z FROM supplier),
+c AS (SELECT tid, i, j, x, y, z, (i + 0.5) * 2 - x AS u, (j + 0.5) * 2 - y AS v FROM t, generate_series(-10, 60) a(i), generate_series(-5, 60) b(j))
+SELECT i, j, round(z + u / 2, 6) AS z FROM c WHERE u >= 0 AND v >= 0 AND u + v <= 6""")
+def columns_under(spark: SparkSession, d: str) -> DataFrame:
+    """Where the lattice columns' centres meet the suppliers' triangles, which rise by a half along x."""
+    _, t = _customers_and_triangles(spark, d)
+    t = t.withColumns({**{f"{n}x": F.col(f"{n}x") + 0.003 for n in "abc"}, **{f"{n}y": F.col(f"{n}y") + 0.3 for n in "abc"}, "bz": F.col("bz") + 3.0})
+    return spatial.columns_under(t, 2.0).withColumn("z", F.round("z", 6))
+
+
+@query(f"""WITH p AS (SELECT c.*, sin(sid) AS nx, cos(sid) AS ny FROM ({_CLOUD}) c)
+SELECT a.sid AS pid, round(max(abs(a.nx * b.nx + a.ny * b.ny)), 9) AS best FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.06 * 0.06 WHERE b.sid % 3 = 0 AND abs(a.nx * b.nx + a.ny * b.ny) >= 0.866 GROUP BY 1""")
+def best_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """The best agreement of each customer's direction with one of three within 0.06."""
+    p = _cloud(spark, d).select("sid", "x", "y", "z", F.sin("sid").alias("nx"), F.cos("sid").alias("ny"), F.lit(0.0).alias("nz"))
+    return spatial.best_alignment(p.withColumnRenamed("sid", "pid"), p.filter("sid % 3 = 0"), 0.06).withColumn("best", F.round("best", 9))
+
+
 for _name in ("embedding_nearest", "hop_distance"):  # under both names they had: each is the whole job
     QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
