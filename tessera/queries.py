@@ -812,5 +812,111 @@ def best_alignment(spark: SparkSession, d: str) -> DataFrame:
     return spatial.best_alignment(p.withColumnRenamed("sid", "pid"), p.filter("sid % 3 = 0"), 0.06).withColumn("best", F.round("best", 9))
 
 
+_STRIP = f"""n AS ({_CLOUD}), w AS (SELECT s_suppkey AS tid, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz FROM supplier JOIN n a ON a.sid = s_suppkey JOIN n b ON b.sid = s_suppkey + 1 JOIN n c ON c.sid = s_suppkey + 2),
+c AS (SELECT tid, uy * vz - uz * vy AS cx, uz * vx - ux * vz AS cy, ux * vy - uy * vx AS cz FROM w), t AS (SELECT tid, sqrt(cx * cx + cy * cy + cz * cz) / 2 AS area, cx / sqrt(cx * cx + cy * cy + cz * cz) AS nx, cy / sqrt(cx * cx + cy * cy + cz * cz) AS ny, cz / sqrt(cx * cx + cy * cy + cz * cz) AS nz FROM c),
+e AS (SELECT t.*, tid + p AS a, tid + q AS b FROM t CROSS JOIN (VALUES (0, 1), (1, 2), (0, 2)) v(p, q)),
+g AS (SELECT a, b, count(*) AS n, acos(greatest(-1, least(1, min_by(nx, tid) * max_by(nx, tid) + min_by(ny, tid) * max_by(ny, tid) + min_by(nz, tid) * max_by(nz, tid)))) AS theta FROM e GROUP BY a, b)"""
+
+
+def _strip(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(triangles: tid, nodes, area, nx, ny, nz; vertices) of a strip: each supplier spans three customers, two of them with the next."""
+    from .operators.surface import triangles_of
+
+    key = F.col("s_suppkey")
+    own = table(spark, d, "supplier").select(key.alias("tid"), F.array(key, key + 1, key + 2).alias("nodes"))
+    vertices = _cloud(spark, d).withColumnRenamed("sid", "vid")
+    corners = [G.vec(n) for n in "abc"]
+    t = triangles_of(own, vertices).select("tid", G.triangle_area(*corners).alias("area"), *[v.alias(f"n{c}") for c, v in zip("xyz", G.triangle_normal(*corners), strict=True)])
+    return own.join(t, "tid"), vertices
+
+
+@query(f"WITH {_STRIP} SELECT a, b, n, CASE WHEN n = 2 THEN round(theta, 6) END AS dihedral FROM g WHERE n = 1 OR theta > radians(30)")
+def sharp_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Open edges of the strip and those that it bends at by more than 30 degrees."""
+    return topology.sharp_edges(_strip(spark, d)[0], 30.0).withColumn("dihedral", F.round("dihedral", 6))
+
+
+@query(f"""WITH {_STRIP}, r AS (SELECT tid + k AS vid, sum(area) / 3 AS ring, sum(area * nx) AS sx, sum(area * ny) AS sy, sum(area * nz) AS sz FROM t CROSS JOIN (VALUES (0), (1), (2)) v(k) GROUP BY 1),
+l AS (SELECT g.a, g.b, theta * sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS turn FROM g JOIN n p ON p.sid = g.a JOIN n q ON q.sid = g.b WHERE g.n = 2), m AS (SELECT vid, sum(turn) AS turn FROM (SELECT a AS vid, turn FROM l UNION ALL SELECT b, turn FROM l) GROUP BY vid)
+SELECT r.vid, round(coalesce(turn, 0) / (4 * ring), 6) AS kappa, round(sz / sqrt(sx * sx + sy * sy + sz * sz), 6) AS normal_z FROM r LEFT JOIN m ON m.vid = r.vid""")
+def vertex_curvature(spark: SparkSession, d: str) -> DataFrame:
+    """Curvature and normal of the strip's vertices."""
+    t, vertices = _strip(spark, d)
+    kappa, normal = fields.vertex_curvature(t, vertices), fields.vertex_normals(t)
+    return kappa.join(normal, "vid").select("vid", F.round("kappa", 6).alias("kappa"), F.round("nz", 6).alias("normal_z"))
+
+
+def _tets(spark: SparkSession, d: str) -> DataFrame:
+    """A row of tetrahedra: each supplier spans four customers, three of them with the next."""
+    key = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(key.alias("eid"), F.lit("tet4").alias("etype"), F.array(*[key + k for k in range(4)]).alias("nodes"), F.lit(None).cast("array<array<int>>").alias("faces"))
+
+
+_TETS = """f AS (SELECT s_suppkey AS eid, local, s_suppkey + p AS p, s_suppkey + q AS q, s_suppkey + r AS r, list_sort([s_suppkey + p, s_suppkey + q, s_suppkey + r]) AS face FROM supplier CROSS JOIN (VALUES (0, 1, 2, 3), (1, 0, 3, 2), (2, 0, 1, 3), (3, 0, 2, 1)) v(local, p, q, r)),
+k AS (SELECT *, count(*) OVER (PARTITION BY face) AS n FROM f)"""
+
+
+@query(f"WITH {_TETS} SELECT eid, local, p, q, r FROM k WHERE n = 1")
+def boundary_skin(spark: SparkSession, d: str) -> DataFrame:
+    """Faces of one tetrahedron only, in its orientation."""
+    skin = topology.boundary_skin(topology.faces(_tets(spark, d)))
+    return skin.select("eid", "local", *[F.element_at("nodes", i + 1).alias(c) for i, c in enumerate("pqr")])
+
+
+@query(f"WITH {_TETS} SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM (SELECT p AS u, q AS v FROM k WHERE n = 1 UNION ALL SELECT q, r FROM k WHERE n = 1 UNION ALL SELECT r, p FROM k WHERE n = 1)")
+def skin_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct edges of those faces."""
+    return topology.skin_edges(_tets(spark, d))
+
+
+@query(f"WITH {_TETS} SELECT min(eid) AS a, max(eid) AS b FROM k WHERE n = 2 GROUP BY face")
+def face_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours: tetrahedra that share a face."""
+    return topology.face_pairs(topology.faces(_tets(spark, d)))
+
+
+@query(f"""WITH n AS ({_CLOUD}), e AS (SELECT s_suppkey + p AS a, s_suppkey + q AS b, min(s_suppkey * 6 + pos) AS first FROM supplier CROSS JOIN (VALUES (0, 0, 1), (1, 1, 2), (2, 0, 2), (3, 0, 3), (4, 1, 3), (5, 2, 3)) v(pos, p, q) GROUP BY 1, 2)
+SELECT sid AS nid, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM n UNION ALL
+SELECT (SELECT max(sid) FROM n) + row_number() OVER (ORDER BY first), round((p.x + q.x) / 2, 9), round((p.y + q.y) / 2, 9), round((p.z + q.z) / 2, 9) FROM e JOIN n p ON p.sid = a JOIN n q ON q.sid = b""")
+def midpoints(spark: SparkSession, d: str) -> DataFrame:
+    """All customers, and a node at the middle of each edge of the tetrahedra, numbered as first met."""
+    nodes, _ = topology.midpoints(_tets(spark, d), _cloud(spark, d).withColumnRenamed("sid", "nid"), [(0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3)])
+    return nodes.select("nid", *[F.round(c, 9).alias(c) for c in "xyz"])
+
+
+@query(f"""WITH n AS ({_CLOUD}), m AS (SELECT min(x) AS lo, max(x) AS hi FROM n), r AS (SELECT sid FROM n, m WHERE x >= hi - 0.0255)
+SELECT 'held' AS kind, sid * 3 + k AS dof, 0.0::DOUBLE AS value FROM n, m, (VALUES (0), (1), (2)) v(k) WHERE x <= lo + 0.0255 UNION ALL SELECT 'load', sid * 3, round(1000.0::DOUBLE / (SELECT count(*) FROM r), 9) FROM r""")
+def slab_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of the least x are held, those of the greatest share a load."""
+    held, load = fields.slab_conditions(_cloud(spark, d).withColumnRenamed("sid", "nid"), 0.05, 1000.0)
+    return held.select(F.lit("held").alias("kind"), "dof", "value").unionByName(load.select(F.lit("load").alias("kind"), F.col("i").alias("dof"), F.round("val", 9).alias("value")))
+
+
+@query("""WITH c AS (SELECT round(max(l_tax / (pow(l_quantity / 10, 2) * l_discount / 8)), 6) AS efficiency_max FROM lineitem WHERE l_discount > 0),
+u AS (SELECT round(avg(sqrt(p_size * p_size + p_retailprice * p_retailprice + 1)) FILTER (WHERE p_size < 10), 6) AS face_mean, round(avg(p_size) FILTER (WHERE p_size < 10), 6) AS face_component, round(max(sqrt(p_size * p_size + p_retailprice * p_retailprice + 1)), 6) AS global_max FROM part),
+s AS (SELECT count(*) FILTER (WHERE p_size < 20) AS n_short, count(*) FILTER (WHERE p_size / 10 / 3 < 0.25) AS n_flagged FROM part WHERE p_partkey % 3 = 0), t AS (SELECT round(max(sqrt(l_tax)), 6) AS max, round(avg(sqrt(l_tax)), 6) AS mean, count(*) AS n, count(*) FILTER (WHERE l_tax = 0) AS n_on FROM lineitem) SELECT * FROM c, u, s, t""")
+def field_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """One row: chordal efficiency, face displacements, short features and conformity of given columns."""
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    chord = fields.chordal_efficiency(line.select(F.col("l_tax").alias("d"), (F.col("l_quantity") / 10).alias("length"), F.col("l_discount").alias("kappa")))
+    u = part.select(F.col("p_partkey").alias("nid"), F.col("p_size").cast("double").alias("ux"), F.col("p_retailprice").alias("uy"), F.lit(1.0).alias("uz"))
+    moved = fields.displacement_summary(u, part.filter("p_size < 10").select(F.col("p_partkey").alias("nid")), "ux")
+    short, _ = fields.short_features(part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, "sharp").otherwise("smooth").alias("feature"), (F.col("p_size") / 10).alias("length")), 1.0)
+    on = fields.distance_summary(line.select(F.col("l_tax").alias("d2")))
+    out = chord.crossJoin(moved).crossJoin(short).crossJoin(on)  # single rows
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query("""WITH e AS (SELECT s_suppkey AS eid, CASE WHEN s_suppkey % 7 = 0 THEN [s_suppkey, s_suppkey + 1, s_suppkey + 1, s_suppkey + 3] WHEN s_suppkey % 5 = 0 THEN [s_suppkey, s_suppkey + 1, s_suppkey + 2] WHEN s_suppkey % 11 = 0 THEN [s_suppkey, -s_suppkey, s_suppkey + 1, s_suppkey + 2] ELSE [s_suppkey, s_suppkey + 1, s_suppkey + 2, s_suppkey + 3] END AS nodes FROM supplier)
+SELECT eid, CASE WHEN len(nodes) <> 4 THEN 'arity' ELSE 'repeated node' END AS problem FROM e WHERE len(nodes) <> 4 OR len(list_distinct(nodes)) < 4 UNION ALL
+SELECT DISTINCT eid, 'unknown node' FROM (SELECT eid, unnest(nodes) AS nid FROM e) WHERE nid NOT IN (SELECT c_custkey FROM customer)""")
+def mesh_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as tetrahedra of customers, some with too few, repeated or unknown nodes."""
+    k = F.col("s_suppkey")
+    nodes = F.when(k % 7 == 0, F.array(k, k + 1, k + 1, k + 3)).when(k % 5 == 0, F.array(k, k + 1, k + 2)).when(k % 11 == 0, F.array(k, -k, k + 1, k + 2)).otherwise(F.array(k, k + 1, k + 2, k + 3))
+    elements = table(spark, d, "supplier").select(k.alias("eid"), F.lit("tet4").alias("etype"), nodes.alias("nodes"))
+    return topology.violations(elements, table(spark, d, "customer").select(F.col("c_custkey").alias("nid")))
+
+
 for _name in ("embedding_nearest", "hop_distance"):  # under both names they had: each is the whole job
     QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
