@@ -707,10 +707,10 @@ def load_selection(spark: SparkSession, d: str) -> DataFrame:
     return surface.load_faces(f, boxes, saver(spark, "loads"))
 
 
-_LINE = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem"
+_CORNERS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem"
 
 
-@query(f"""WITH l AS ({_LINE}), c AS (SELECT *, sqrt(y * y * z * z + x * x * z * z + x * x * y * y) AS n, greatest(0, least(1, (50 * x + 8 * y + 8 * z) / 2628)) AS t, abs(x - 25) AS u, abs(y - 5) * 4 AS v, 1 + z AS h FROM l)
+@query(f"""WITH l AS ({_CORNERS}), c AS (SELECT *, sqrt(y * y * z * z + x * x * z * z + x * x * y * y) AS n, greatest(0, least(1, (50 * x + 8 * y + 8 * z) / 2628)) AS t, abs(x - 25) AS u, abs(y - 5) * 4 AS v, 1 + z AS h FROM l)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(n / 2, 6) AS area, round(CASE WHEN n > 0 THEN x * y / n ELSE 1 END, 6) AS normal_z, round((x * y + sqrt(y * y * z * z + x * x * z * z + x * x * y * y)) / 2, 6) AS quad,
 round(x / 3, 6) AS mid_x, round(x * l_discount / ((1 + l_discount) * (1 - 2 * l_discount)), 6) AS lame_first, round(x / (2 * (1 + l_discount)), 6) AS lame_second, round(sqrt(pow(x - 1, 2) + pow(y - 2, 2)), 6) AS radius, round(atan2(y - 2, x - 1), 6) AS angle, z - 3 AS height,
 CASE WHEN u >= v AND u >= z THEN 0 WHEN v >= z THEN 1 ELSE 2 END AS axis, round(CASE WHEN y > 0 THEN 2 * x * y / (x * y * sqrt(x * x + y * y)) ELSE 0 END, 6) AS menger, round(50 * t, 6) AS foot_x, round(pow(x - 50 * t, 2) + pow(y - 8 * t, 2) + pow(z - 8 * t, 2), 6) AS foot_d2,
