@@ -9,10 +9,13 @@ that are not yet settled only.
 
 from __future__ import annotations
 
+from math import log2, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Vec, dot, segment_distance2, sub, vec
+from ..session import saver
 
 
 def cell(p: Vec, size: float) -> Column:
@@ -25,6 +28,40 @@ def spread(at: Column, reach: int) -> Column:
     return F.flatten(F.transform(span, lambda di: F.flatten(F.transform(span, lambda dj: F.transform(span, lambda dk: F.struct((at["i"] + di).alias("i"), (at["j"] + dj).alias("j"), (at["k"] + dk).alias("k")))))))
 
 
+KNOWN = "x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"
+#: Rows of a crowded cell that each side brings to one pair of chunks.
+CHUNK = 4096
+#: Rows that a cell may hold, as one of them sees it on the mean, before cells are halved.
+FULL = 4.0
+
+
+def fitted(size: float, cells, most: float = FULL, entries: float = float("inf")) -> float:
+    """``size``, halved until cells are not crowded: ``cells(size)`` has a row (column ``cell``) for each thing in each cell.
+
+    What counts is how many share a cell on the mean over the things, so that a crowd
+    in few places counts too.  Halving ends where there would be more than ``entries``
+    rows.
+    """
+    for _ in range(40):
+        n = F.col("count").cast("double")
+        one = cells(size).groupBy("cell").count().agg((F.sum(n * n) / F.sum(n)).alias("mean"), F.sum(n).alias("rows")).first()
+        if one["rows"] and one["rows"] > entries:
+            return 2 * size
+        if not one["mean"] or one["mean"] <= most:
+            return size
+        size /= 2 ** max(1, int(log2(one["mean"] / most) / 3)) if entries == float("inf") else 2
+    return size
+
+
+def _meet(p: DataFrame, s: DataFrame, size: float, more_points: bool, only: Column | None = None, how: str = "inner") -> DataFrame:
+    """Rows of p (px..) and s (sx..) in the same or neighbouring cells: the side with fewer rows is spread, and no side is broadcast."""
+    here, there = cell(vec("p"), size), cell(vec("s"), size)
+    p = p.withColumn("cell", here if more_points else F.explode(spread(here, 1)))
+    s = s.withColumn("_cell", F.explode(spread(there, 1)) if more_points else there)
+    test = F.col("cell") == F.col("_cell")
+    return p.hint("merge").join(s, test if only is None else test & only, how).drop("cell", "_cell")
+
+
 def within(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
     """Pairs (pid, sid, d2) no further apart than radius.  points: pid, x, y, z; sites: sid, x, y, z."""
     p = points.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"]).withColumn("cell", F.explode(spread(cell(vec("p"), radius), 1)))
@@ -42,41 +79,63 @@ def near_any(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
     return points.join(held.select("pid"), "pid", "left_semi")
 
 
-def _settle(todo: DataFrame, near, size: float, save, most_rounds: int) -> DataFrame | None:
+def _settle(todo: DataFrame, near, size: float, save, most_rounds: int, reach: float = float("inf")) -> DataFrame | None:
     """Final rows (pid, d2, ...) of ``near(todo, size)``, asked with a growing size for the points that have none yet.
 
     A hit is final when it is no further than ``size``, the border of what was
-    searched.  The size doubles, and after ``most_rounds`` grows eightfold; points stay
-    open at last only where there is nothing to be near to.
+    searched.  The size doubles, and after ``most_rounds`` grows eightfold, up to
+    ``reach``; without one, points stay open at last only where there is nothing to be
+    near to.
     """
     done, rounds, empty = None, 0, 0
     while True:
         found = save(near(todo, size))
         final = found.filter(F.col("d2") <= size * size)
         done = final if done is None else done.unionByName(final)
-        todo = save(todo.join(final.select("pid"), "pid", "left_anti"))
+        if size >= reach:
+            return done
+        todo = save(todo.hint("merge").join(final.select("pid"), "pid", "left_anti"))
         if not todo.limit(1).count():
             return done
         rounds += 1
         empty = 0 if rounds <= most_rounds or found.limit(1).count() else empty + 1
         if empty > 200:  # 8 ** 200 is beyond every double
             return done
-        size *= 2 if rounds < most_rounds else 8
+        size = min(reach, size * (2 if rounds < most_rounds else 8))
+
+
+def places(points: DataFrame, save) -> DataFrame:
+    """(pid, x, y, z): each place once, under its least pid; ``told`` gives what is found there back to all points of the place."""
+    return save(points.filter(KNOWN).groupBy("x", "y", "z").agg(F.min("pid").alias("pid")).select("pid", "x", "y", "z"))
+
+
+def told(points: DataFrame, spots: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (pid, ...) of ``places``, for every point."""
+    at = spots.select("pid", *[F.col(c).alias(f"_at_{c}") for c in "xyz"]).hint("merge").join(found, "pid").drop("pid")
+    own = points.filter(KNOWN).select("pid", *[F.col(c).alias(f"_at_{c}") for c in "xyz"])
+    return own.hint("merge").join(at, [f"_at_{c}" for c in "xyz"]).drop(*[f"_at_{c}" for c in "xyz"])
 
 
 def nearest(points: DataFrame, sites: DataFrame, size: float, save, most_rounds: int = 12) -> DataFrame:
-    """(pid, sid, d2): each point's nearest site, the least sid on ties; exact.  Without a site there is no row."""
-    sites = save(sites.select("sid", *[F.col(c).alias(f"s{c}") for c in "xyz"]))
-    if not sites.limit(1).count():
+    """(pid, sid, d2): each point's nearest site, the least sid on ties; exact.  Without a site there is no row.
+
+    ``size`` is where the search begins at most; it begins with less where sites are
+    dense.  Points in one place are one search, sites in one place one site.
+    """
+    sites = save(sites.filter(KNOWN).groupBy("x", "y", "z").agg(F.min("sid").alias("sid")).select("sid", *[F.col(c).alias(f"s{c}") for c in "xyz"]))
+    n_s = sites.count()
+    if not n_s:
         return points.select("pid", F.lit(None).cast("long").alias("sid"), F.lit(None).cast("double").alias("d2")).limit(0)
+    d = sub(vec("p"), vec("s"))
 
     def near(todo: DataFrame, size: float) -> DataFrame:
         p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-        d = sub(vec("p"), vec("s"))
-        joined = p.withColumn("cell", F.explode(spread(cell(vec("p"), size), 1))).join(sites.withColumn("cell", cell(vec("s"), size)), "cell")
+        joined = _meet(p, sites, size, todo.count() > n_s)
         return joined.withColumn("d2", dot(d, d)).groupBy("pid").agg(F.min(F.struct("d2", "sid")).alias("m")).select("pid", "m.sid", "m.d2")
 
-    return _settle(points.select("pid", "x", "y", "z"), near, size, save, most_rounds)
+    spots = places(points, save)
+    size = fitted(size, lambda size: sites.select(cell(vec("s"), size).alias("cell")))
+    return told(points, spots, _settle(spots, near, size, save, most_rounds)).select("pid", "sid", "d2")
 
 
 def nearest_1d(points: DataFrame, sites: DataFrame, part: list[str]) -> DataFrame:
@@ -148,7 +207,7 @@ def stamp(points: DataFrame, band: float, h: float, counts: tuple[int, int, int]
 
 #: So few boxes are held against every point.
 FEW_BOXES = 64
-_LEVELS, _GRIDS = 20, 256
+_LEVELS, _GRIDS = 40, 256
 
 
 def box_select(points: DataFrame, boxes: DataFrame, axes: list[str]) -> DataFrame:

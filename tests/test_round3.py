@@ -1,6 +1,14 @@
 """Queries and shared steps on small tables with crowded places, against the plain way."""
 
+import random
+from math import dist
+
+import pytest
+from pyspark.sql import functions as F
+
 from tessera import queries
+from tessera.operators import ordered, spatial, surface, walks
+from tessera.session import saver
 
 LINE = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
 
@@ -12,3 +20,46 @@ def test_marking_queries_read_their_own_columns(spark, tmp_path):
     assert [x["l_orderkey"] for x in run("dorfler_mark")] == [0]
     assert [tuple(x) for x in run("mark_smooth")] == [(3, 5.0)]
     assert len(run("geometry_scalars")) == 4
+
+
+def places_of(n, seed, copies=3):
+    """Points in a crowd, far from it, and several in one place."""
+    r = random.Random(seed)
+    at = [tuple(r.uniform(0, 0.01) for _ in range(3)) for _ in range(n)] + [tuple(r.uniform(-5, 5) for _ in range(3)) for _ in range(n // 4)]
+    return [(i, *p) for i, p in enumerate(at * copies)]
+
+
+def joined_rows(df):
+    """Rows that the joins of the plan put out, largest first, after a run."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if "Join" in node.nodeName():
+            found.append((node.nodeName(), node.metrics().apply("numOutputRows").value()))
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.fixture
+def crowd(spark):
+    p, s = places_of(120, 1), places_of(60, 2)
+    return p, s, spark.createDataFrame(p, "pid long, x double, y double, z double"), spark.createDataFrame(s, "sid long, x double, y double, z double")
+
+
+def test_nearest_in_crowds(spark, crowd, monkeypatch):
+    p, s, dp, ds = crowd
+    asked, settle = [], spatial._settle
+    monkeypatch.setattr(spatial, "_settle", lambda todo, near, size, *a: asked.append((todo.count(), size)) or settle(todo, near, size, *a))
+    got = {r["pid"]: (r["sid"], r["d2"]) for r in spatial.nearest(dp, ds, 4.0, saver(spark)).collect()}
+    for pid, *at in p:
+        d2, sid = min((dist(at, x[1:]) ** 2, x[0]) for x in s)
+        assert got[pid][0] == sid and got[pid][1] == pytest.approx(d2)
+    assert asked[0][0] == 150 and asked[0][1] < 0.1  # places, not points; cells as small as the crowd asks for
+    none = spatial.nearest(dp.withColumn("x", F.when(F.col("pid") > 0, F.col("x"))), ds, 4.0, saver(spark))
+    assert none.count() == len(p) - 1
