@@ -63,3 +63,14 @@ def test_nearest_in_crowds(spark, crowd, monkeypatch):
     assert asked[0][0] == 150 and asked[0][1] < 0.1  # places, not points; cells as small as the crowd asks for
     none = spatial.nearest(dp.withColumn("x", F.when(F.col("pid") > 0, F.col("x"))), ds, 4.0, saver(spark))
     assert none.count() == len(p) - 1
+
+
+def test_within_cuts_crowded_cells(spark, crowd, monkeypatch):
+    p, s, dp, ds = crowd
+    monkeypatch.setattr(spatial, "CHUNK", 20)
+    df = spatial.within(dp, ds, 0.5)
+    want = sorted((x[0], y[0]) for x in p for y in s if dist(x[1:], y[1:]) <= 0.5)
+    assert sorted((r["pid"], r["sid"]) for r in df.collect()) == want
+    assert ("SortMergeJoin", len(want)) in joined_rows(df) and spark.conf.get("spark.sql.shuffle.partitions") == "4" and df.rdd.getNumPartitions() > 4
+    few = spatial.within(dp.limit(5), ds, 0.5, ("y",), ("z",))
+    assert few.columns == ["pid", "sid", "d2", "y", "z"] and few.count() == sum(x < 5 for x, _ in want)
