@@ -74,3 +74,15 @@ def test_within_cuts_crowded_cells(spark, crowd, monkeypatch):
     assert ("SortMergeJoin", len(want)) in joined_rows(df) and spark.conf.get("spark.sql.shuffle.partitions") == "4" and df.rdd.getNumPartitions() > 4
     few = spatial.within(dp.limit(5), ds, 0.5, ("y",), ("z",))
     assert few.columns == ["pid", "sid", "d2", "y", "z"] and few.count() == sum(x < 5 for x, _ in want)
+
+
+def test_packing_ends_once_lenses_outweigh_balls(spark, crowd, monkeypatch):
+    p, _, dp, _ = crowd
+    rounds, plain = [], spatial.within
+    monkeypatch.setattr(spatial, "within", lambda *a: rounds.append(1) or plain(*a))
+    sites = dp.withColumnRenamed("pid", "sid")
+    assert spatial.packing_fill(sites, 0.02, 1.0).first()["fill"] == 0.0 and len(rounds) < 5
+    thin = [x for x in p if x[0] % 150 >= 120]
+    ball = 4 / 3 * 3.141592653589793 * 0.3**3
+    lens = sum(3.141592653589793 * (0.6 - d) ** 2 * (d * d + 1.2 * d) / (12 * d) for x in thin for y in thin if x[0] < y[0] and 0 < (d := dist(x[1:], y[1:])) <= 0.6)
+    assert spatial.packing_fill(sites.filter("sid % 150 >= 120"), 0.3, 1000.0).first()["fill"] == pytest.approx((len(thin) * ball - lens) / 1000.0)
