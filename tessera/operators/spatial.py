@@ -363,11 +363,39 @@ def weighted_value(faces: DataFrame, found: DataFrame, elements: DataFrame, valu
 
 
 def best_alignment(faces: DataFrame, targets: DataFrame, radius: float, least: float = 0.866) -> DataFrame:
-    """(pid, best): the best |n . n'| with a target face within radius, from ``least`` on."""
-    pairs = within(faces, targets, radius)
-    a, b = faces.select("pid", *[F.col(f"n{c}").alias(f"p{c}") for c in "xyz"]), targets.select("sid", *[F.col(f"n{c}").alias(f"q{c}") for c in "xyz"])
-    dots = pairs.join(a, "pid").join(b, "sid").withColumn("dot", F.abs(F.col("px") * F.col("qx") + F.col("py") * F.col("qy") + F.col("pz") * F.col("qz")))
-    return dots.filter(F.col("dot") >= least).groupBy("pid").agg(F.max("dot").alias("best"))
+    """(pid, best): the best |n . n'| with a target face within radius, from ``least`` on.
+
+    Faces are met by place and by direction: only targets turned no further than the
+    width of a direction cell are looked at, and that width begins as small as targets
+    are dense and doubles until the best found can't be beaten by any outside of it.
+    """
+    save, names = saver(faces.sparkSession, "alignment"), [f"n{c}" for c in "xyz"]
+    length = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz"))
+    ready = lambda df, to, *own: df.filter(KNOWN).withColumn("length", length).filter("length > 0").select(*own, "length", *[F.col(c).alias(f"{to}{c}") for c in "xyz"], *[F.col(n).alias(f"{to}{n}") for n in names])
+    s = save(ready(targets, "s").distinct())
+    todo = save(ready(faces, "p", "pid"))
+    most, longest = s.agg(F.max("length")).first()[0], todo.agg(F.max("length")).first()[0]
+    if not most or not longest or least > most * longest * (1 + 1e-9):
+        return faces.select("pid", F.lit(None).cast("double").alias("best")).limit(0)
+    reach = sqrt(2 - 2 * max(0.0, min(1.0, least / (most * longest)))) + 1e-6
+    turn = lambda p, size, sign=1.0: tuple(F.floor(sign * F.col(f"{p}n{c}") / F.col("length") / size).cast("long") for c in "xy")
+    # Either sign of a target's direction; the third coordinate follows from the two but for its sign.
+    sited = lambda size: s.select(F.explode(F.array(*[F.struct(*[v.alias(n) for n, v in zip("ab", turn("s", size, sign), strict=True)]) for sign in (1.0, -1.0)])).alias("t"), "*").withColumn("c", cell(vec("s"), radius))
+
+    def near(todo: DataFrame, size: float) -> DataFrame:
+        wide = size * (1 + 1e-9)
+        a, b = turn("p", wide)
+        steps = F.array(*[F.struct((a + i).alias("a"), (b + j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        p = todo.withColumn("t", F.explode(steps)).withColumn("c", cell(vec("p"), radius))
+        q = sited(wide).drop("length").withColumn("c", F.explode(spread(F.col("c"), 1)))
+        d = sub(vec("p"), vec("s"))
+        same = F.abs(F.col("pnx") * F.col("snx") + F.col("pny") * F.col("sny") + F.col("pnz") * F.col("snz"))
+        met = p.hint("merge").join(q, ["c", "t"]).filter(dot(d, d) <= radius * radius).select("pid", "length", same.alias("dot")).filter(F.col("dot") >= least)
+        best = met.groupBy("pid").agg(F.max("dot").alias("best"), F.first("length").alias("length"))
+        return best.select("pid", "best", (2 - 2 * F.col("best") / (F.col("length") * most)).alias("d2"))
+
+    start = fitted(reach, lambda size: sited(size).select(F.struct("c", "t").alias("cell")))
+    return _settle(todo, near, start, save, 60, reach).select("pid", "best")
 
 
 def regions_of_midpoints(edges: DataFrame, regions: DataFrame) -> DataFrame:

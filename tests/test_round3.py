@@ -86,3 +86,14 @@ def test_packing_ends_once_lenses_outweigh_balls(spark, crowd, monkeypatch):
     ball = 4 / 3 * 3.141592653589793 * 0.3**3
     lens = sum(3.141592653589793 * (0.6 - d) ** 2 * (d * d + 1.2 * d) / (12 * d) for x in thin for y in thin if x[0] < y[0] and 0 < (d := dist(x[1:], y[1:])) <= 0.6)
     assert spatial.packing_fill(sites.filter("sid % 150 >= 120"), 0.3, 1000.0).first()["fill"] == pytest.approx((len(thin) * ball - lens) / 1000.0)
+
+
+def test_best_alignment_in_crowds(spark, crowd):
+    p, s, dp, ds = crowd
+    turn = lambda i: [f.alias(n) for n, f in zip(("nx", "ny", "nz"), (F.sin(i) * F.cos(2 * F.col(i)), F.sin(i) * F.sin(2 * F.col(i)), F.cos(i)), strict=True)]
+    a, b = dp.select("*", *turn("pid")), ds.select("*", *turn("sid"))
+    rows, others = a.collect(), b.collect()
+    got = {r["pid"]: r["best"] for r in spatial.best_alignment(a, b, 0.02).collect()}
+    for x in rows:
+        dots = [abs(sum(x[n] * y[n] for n in ("nx", "ny", "nz"))) for y in others if dist(x[1:4], y[1:4]) <= 0.02]
+        assert got.get(x["pid"]) == (pytest.approx(max(dots), abs=1e-12) if dots and max(dots) >= 0.866 else None)
