@@ -298,10 +298,25 @@ def finest_per_cell(sources: DataFrame, cells: list[Column], h: str, index: str)
 
 
 def other_edges_gap(samples: DataFrame, radius: float) -> DataFrame:
-    """(pid, gap): least distance from each edge sample to a sample of another edge within radius."""
-    a = samples.select(F.col("sid").alias("pid"), "edge", "x", "y", "z")
-    pairs = within(a, samples, radius).join(a.select("pid", F.col("edge").alias("e1")), "pid").join(samples.select("sid", F.col("edge").alias("e2")), "sid")
-    return pairs.filter("e1 <> e2").groupBy("pid").agg(F.sqrt(F.min("d2")).alias("gap"))
+    """(pid, gap): least distance from each edge sample to a sample of another edge within radius.
+
+    An edge's samples in one place are one search, and cells begin as small as the
+    samples are dense: the nearest of another edge is found before its rivals are met.
+    """
+    save = saver(samples.sparkSession, "other-edges")
+    known = samples.filter(KNOWN).filter("edge IS NOT NULL")
+    spots = save(known.groupBy("edge", "x", "y", "z").agg(F.min("sid").alias("pid")))
+    s = spots.select(F.col("edge").alias("_edge"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    n_s, d = s.count(), sub(vec("p"), vec("s"))
+
+    def near(todo: DataFrame, size: float) -> DataFrame:
+        p = todo.select("pid", "edge", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+        return _meet(p, s, size, 2 * todo.count() > n_s, F.col("edge") != F.col("_edge")).groupBy("pid").agg(F.min(dot(d, d)).alias("d2"))
+
+    start = fitted(radius, lambda size: s.select(cell(vec("s"), size).alias("cell")))
+    found = _settle(spots, near, start, save, 60, radius)
+    at = spots.hint("merge").join(found, "pid").select("edge", "x", "y", "z", F.sqrt("d2").alias("gap"))
+    return known.select(F.col("sid").alias("pid"), "edge", "x", "y", "z").hint("merge").join(at, ["edge", "x", "y", "z"]).select("pid", "gap")
 
 
 def packing_fill(balls: DataFrame, radius: float, volume: float) -> DataFrame:
