@@ -275,9 +275,13 @@ def box_select(points: DataFrame, boxes: DataFrame, axes: list[str]) -> DataFram
 def min_plus(points: DataFrame, sources: DataFrame, slope: float, h_min: float, h_max: float, axes: list[str], reach: float | None = None) -> DataFrame:
     """Adds size: the least of h_source + slope * distance over all sources, clamped to h_min..h_max.
 
-    A source only matters within (h_max - h) / slope, so sources are spread over the
-    cells they reach and points join their own cell; without a source it is h_max.
+    Along one axis the least from either side is a running extreme, whatever the
+    density.  With more axes a source only matters within (h_max - h) / slope, so
+    sources are spread over the cells they reach and points join their own cell.
+    Without a source it is h_max.
     """
+    if len(axes) == 1 and reach is None and slope > 0:
+        return _min_plus_line(points, sources, slope, h_min, h_max, axes[0])
     reach = reach or (h_max - h_min) / slope
     s, p = sources, points
     for a in axes:
@@ -289,6 +293,26 @@ def min_plus(points: DataFrame, sources: DataFrame, slope: float, h_min: float,
     return points.join(best, "pid", "left").withColumn("size", F.greatest(F.lit(h_min), F.least(F.lit(h_max), F.coalesce("best", F.lit(h_max))))).drop("best")
 
 
+def _min_plus_line(points: DataFrame, sources: DataFrame, slope: float, h_min: float, h_max: float, axis: str) -> DataFrame:
+    """``min_plus`` along one axis: of the sources below a place the one of largest slope * place - h is best, of those above that of least slope * place + h.
+
+    The extremes only tell which source it is; its value is taken by the formula.
+    """
+    from .ordered import running
+
+    save = saver(points.sparkSession, "min-plus")
+    s = sources.filter(F.col(axis).isNotNull()).groupBy(F.col(axis).cast("double").alias("_x")).agg(F.min(F.col("h").cast("double")).alias("_h")).filter("_h IS NOT NULL")
+    p = points.filter(F.col(axis).isNotNull()).select(F.col(axis).cast("double").alias("_x")).distinct().withColumn("_h", F.lit(None).cast("double"))
+    both = save(s.withColumn("_side", F.lit(0)).unionByName(p.withColumn("_side", F.lit(1))))
+    below, above = (F.when(F.col("_side") == 0, F.struct((sign * slope * F.col("_x") - F.col("_h")).alias("k"), F.col("_x").alias("x"), F.col("_h").alias("h"))) for sign in (1.0, -1.0))
+    both = save(running(both, below, "_low", "_x", ["_side"], "max"))
+    both = running(both, above, "_high", "_x", ["_side"], "max", descending=True).filter("_side = 1")
+    size = lambda c: F.col(c)["h"] + slope * F.abs(F.col("_x") - F.col(c)["x"])
+    best = both.select("_x", F.least(size("_low"), size("_high")).alias("best"))
+    out = points.withColumn("_x", F.col(axis).cast("double")).hint("merge").join(best, "_x", "left")
+    return out.withColumn("size", F.greatest(F.lit(h_min), F.least(F.lit(h_max), F.coalesce("best", F.lit(h_max))))).select(*points.columns, "size")
+
+
 def finest_per_cell(sources: DataFrame, cells: list[Column], h: str, index: str) -> DataFrame:
     """Keeps, for each cell, the source of least size (the first on ties)."""
     names = [f"_c{i}" for i in range(len(cells))]

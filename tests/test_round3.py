@@ -97,3 +97,12 @@ def test_best_alignment_in_crowds(spark, crowd):
     for x in rows:
         dots = [abs(sum(x[n] * y[n] for n in ("nx", "ny", "nz"))) for y in others if dist(x[1:4], y[1:4]) <= 0.02]
         assert got.get(x["pid"]) == (pytest.approx(max(dots), abs=1e-12) if dots and max(dots) >= 0.866 else None)
+
+
+def test_min_plus_on_a_line(spark):
+    r = random.Random(4)
+    p, s = [(i, r.uniform(0, 9)) for i in range(60)] + [(60, None), (61, 500.0)], [(r.uniform(0, 9), r.uniform(1, 4)) for _ in range(40)]
+    out = spatial.min_plus(spark.createDataFrame(p, "pid long, x double"), spark.createDataFrame(s * 3, "x double, h double"), 0.5, 1.0, 20.0, ["x"])
+    got = {x["pid"]: x["size"] for x in out.collect()}
+    assert got == {i: 20.0 if x is None else pytest.approx(max(1.0, min(20.0, min(h + 0.5 * abs(x - a) for a, h in s)))) for i, x in p}
+    assert not any("Hash" in n or "Nested" in n for n, _ in joined_rows(out)) and max(n for _, n in joined_rows(out)) == len(p)  # no row for each pair
