@@ -94,12 +94,23 @@ def within(points: DataFrame, sites: DataFrame, radius: float, carry: tuple[str,
 
 
 def near_any(points: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
-    """Points with a site within radius; no pair is made, a point's first site settles it."""
-    p = points.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"]).withColumn("cell", F.explode(spread(cell(vec("p"), radius), 1)))
-    s = sites.select(*[F.col(c).alias(f"s{c}") for c in "xyz"]).withColumn("s_cell", cell(vec("s"), radius))
+    """Points with a site within radius; no pair is made, a point's first site settles it.
+
+    Places count once however many rows share them, and cells begin as small as the
+    sites are dense, so that crowds settle by what is nearest.
+    """
+    save = saver(points.sparkSession, "near-any")
+    s = save(sites.filter(KNOWN).select(*[F.col(c).alias(f"s{c}") for c in "xyz"]).distinct())
+    todo = save(points.filter(KNOWN).select(*[F.col(c).alias(f"p{c}") for c in "xyz"]).distinct())
+    size, n_s, done = fitted(radius, lambda size: s.select(cell(vec("s"), size).alias("cell"))), s.count(), todo.limit(0)
     d = sub(vec("p"), vec("s"))
-    held = p.join(s, (F.col("cell") == F.col("s_cell")) & (dot(d, d) <= radius * radius), "left_semi")
-    return points.join(held.select("pid"), "pid", "left_semi")
+    while n_s:
+        held = save(_meet(todo, s, size, todo.count() > n_s, dot(d, d) <= radius * radius, "left_semi").distinct())
+        done = done.unionByName(held)
+        if size >= radius:
+            break
+        todo, size = save(todo.hint("merge").join(held, ["px", "py", "pz"], "left_anti")), min(2 * size, radius)
+    return points.hint("merge").join(done.toDF("x", "y", "z"), ["x", "y", "z"], "left_semi").select(points.columns)
 
 
 def _settle(todo: DataFrame, near, size: float, save, most_rounds: int, reach: float = float("inf")) -> DataFrame | None:

@@ -65,6 +65,13 @@ def test_nearest_in_crowds(spark, crowd, monkeypatch):
     assert none.count() == len(p) - 1
 
 
+def test_near_any_in_crowds(spark, crowd):
+    p, s, dp, ds = crowd
+    for radius in (0.002, 1.0):
+        want = {x[0] for x in p if min(dist(x[1:], y[1:]) for y in s) <= radius}
+        assert sorted(r["pid"] for r in spatial.near_any(dp, ds, radius).collect()) == sorted(want)
+
+
 def test_within_cuts_crowded_cells(spark, crowd, monkeypatch):
     p, s, dp, ds = crowd
     monkeypatch.setattr(spatial, "CHUNK", 20)
