@@ -456,15 +456,20 @@ def regions_of_midpoints(edges: DataFrame, regions: DataFrame) -> DataFrame:
 
 def nearest_other_gap(sites: DataFrame, size: float, save) -> DataFrame:
     """One row: the mean distance from each site to its nearest other site, and how many sites have one."""
-    a = save(sites.select(F.col("sid").alias("pid"), "x", "y", "z"))
-    others = a.withColumnRenamed("pid", "sid")
-    if a.limit(2).count() < 2:
-        return a.limit(0).agg(F.avg("x").alias("mean_gap"), F.count("*").alias("n"))
+    spots = save(sites.filter(KNOWN).groupBy("x", "y", "z").agg(F.min("sid").alias("pid"), F.count("*").alias("n")))
+    s = spots.select(F.col("pid").alias("sid"), *[F.col(c).alias(f"s{c}") for c in "xyz"])
+    n_s, d = spots.count(), sub(vec("p"), vec("s"))
+    gaps = spots.filter("n > 1").select(F.lit(0.0).alias("gap"), "n")  # sites in one place are each other's nearest
 
     def near(todo: DataFrame, size: float) -> DataFrame:
-        return within(todo, others, size).filter("pid <> sid").groupBy("pid").agg(F.min("d2").alias("d2"))
+        p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+        return _meet(p, s, size, 2 * todo.count() > n_s, F.col("pid") != F.col("sid")).groupBy("pid").agg(F.min(dot(d, d)).alias("d2"))
 
-    return _settle(a, near, size, save, 12).agg(F.avg(F.sqrt("d2")).alias("mean_gap"), F.count("*").alias("n"))
+    if n_s > 1:
+        start = fitted(size, lambda size: s.select(cell(vec("s"), size).alias("cell")))
+        found = _settle(spots.filter("n = 1").select("pid", "x", "y", "z"), near, start, save, 12)
+        gaps = gaps.unionByName(found.select(F.sqrt("d2").alias("gap"), F.lit(1).cast("long").alias("n")))
+    return gaps.agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("mean_gap"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def thin_greedily(sites: DataFrame, gap: float, save) -> DataFrame:

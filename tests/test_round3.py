@@ -83,6 +83,22 @@ def test_within_cuts_crowded_cells(spark, crowd, monkeypatch):
     assert few.columns == ["pid", "sid", "d2", "y", "z"] and few.count() == sum(x < 5 for x, _ in want)
 
 
+def test_gaps_in_crowds(spark, crowd):
+    p, _, dp, _ = crowd
+    sites = dp.withColumnRenamed("pid", "sid")
+    one = spatial.nearest_other_gap(sites, 4.0, saver(spark)).first()
+    assert (one["mean_gap"], one["n"]) == (0.0, len(p))  # each place is taken three times
+    single = [x for x in p if x[0] < 150]
+    one = spatial.nearest_other_gap(sites.filter("sid < 150"), 4.0, saver(spark)).first()
+    want = sum(min(dist(x[1:], y[1:]) for y in single if y[0] != x[0]) for x in single) / 150
+    assert one["mean_gap"] == pytest.approx(want) and one["n"] == 150
+    edges = sites.withColumn("edge", F.col("sid") % 4)
+    got = {r["pid"]: r["gap"] for r in spatial.other_edges_gap(edges, 0.5).collect()}
+    for x in p:
+        gap = min(dist(x[1:], y[1:]) for y in p if y[0] % 4 != x[0] % 4)
+        assert got.get(x[0]) == (pytest.approx(gap) if gap <= 0.5 else None)
+
+
 def test_packing_ends_once_lenses_outweigh_balls(spark, crowd, monkeypatch):
     p, _, dp, _ = crowd
     rounds, plain = [], spatial.within
