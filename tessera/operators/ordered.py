@@ -160,6 +160,9 @@ def cut_nearest(df: DataFrame, part: list[str], lead: str, ties: list[str], area
     """Keeps, per part, the prefix in descending ``lead`` whose running area comes nearest to the target; all if within 5 % of it."""
     save = saver(df.sparkSession, "cut")
     df = save(df.withColumn("_target", target))
+    largest = df.groupBy(*part).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= ONE_TASK:
+        return with_cut(df, part, lead, ties, area, F.col("_target")).filter("_stays").drop("_target", "_stays")
     summed = running(df, F.col(area), "_acc", lead, ties, descending=True, part=part)
     ranked_ = save(running(save(summed), F.lit(1), "_rn", lead, ties, descending=True, part=part))
     cut = F.min(F.struct(F.abs(F.col("_acc") - F.col("_target")).alias("e"), F.col("_rn").alias("rn")))
@@ -168,6 +171,16 @@ def cut_nearest(df: DataFrame, part: list[str], lead: str, ties: list[str], area
     return out.filter((F.col("_all") <= 1.05 * F.col("_target")) | (F.col("_rn") <= F.col("_cut"))).drop("_acc", "_rn", "_target", "_all", "_cut", *[f"_p{i}" for i in range(len(part))])
 
 
+def with_cut(df: DataFrame, part: list[str], lead: str, ties: list[str], area: str, target: Column) -> DataFrame:
+    """Adds _stays: whether ``cut_nearest`` keeps the row.  Parts must be no larger than one task may sort; rows are dealt once."""
+    whole = Window.partitionBy(*part)
+    upto = whole.orderBy(F.desc(lead), *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumns({"_acc": F.sum(area).over(upto), "_rn": F.count("*").over(upto)})
+    cut = F.min(F.struct(F.abs(F.col("_acc") - target).alias("e"), F.col("_rn").alias("rn"))).over(whole)
+    df = df.withColumns({"_all": F.sum(area).over(whole), "_cut": cut})
+    return df.withColumn("_stays", F.coalesce((F.col("_all") <= 1.05 * target) | (F.col("_rn") <= F.col("_cut")["rn"]), F.lit(False))).drop("_acc", "_rn", "_all", "_cut")
+
+
 def largest_gap(df: DataFrame, part: list[str], angle: str, period: Column | float) -> DataFrame:
     """Per part the largest gap between neighbouring angles on a circle, wrap-around included."""
     gaps = running(df, F.col(angle), "_last", angle, [], kind="max", inclusive=False, part=part).withColumn("_gap", F.col(angle) - F.col("_last"))

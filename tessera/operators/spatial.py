@@ -262,7 +262,7 @@ def box_select(points: DataFrame, boxes: DataFrame, axes: list[str]) -> DataFram
     extent = {a: (ends[f"low_{a}"] or 0.0, (ends[f"high_{a}"] or 0.0) - (ends[f"low_{a}"] or 0.0)) for a in axes}
     level = lambda a: F.floor(F.log2(F.lit(extent[a][1]) / F.greatest(F.col(f"hi_{a}") - F.col(f"lo_{a}"), F.lit(extent[a][1] / 2**_LEVELS))))
     own = {a: F.greatest(F.lit(0), F.least(F.lit(_LEVELS), F.coalesce(level(a), F.lit(0)))).cast("int") if extent[a][1] > 0 else F.lit(0) for a in axes}
-    used = boxes.select(F.array(*own.values()).alias("g")).distinct().collect()  # at most 21 levels an axis
+    used = boxes.select(F.array(*own.values()).alias("g")).distinct().collect()  # at most 41 levels an axis
     step = 1
     while len(grids := {tuple(x // step * step for x in r["g"]) for r in used}) > _GRIDS:
         step *= 2
@@ -280,7 +280,7 @@ def box_select(points: DataFrame, boxes: DataFrame, axes: list[str]) -> DataFram
         lo, hi = at(F.col(f"lo_{a}"), a, F.col("_g")[n]), at(F.col(f"hi_{a}"), a, F.col("_g")[n])
         b = b.filter(F.col(f"lo_{a}") <= F.col(f"hi_{a}")).withColumn(f"_{a}", F.explode(F.sequence(lo, hi)))
         p = p.withColumn(f"_{a}", at(F.col(a), a, F.col("_g")[n]))
-    return p.join(b, ["_g", *[f"_{a}" for a in axes]]).filter(test).drop("_g", *[f"_{a}" for a in axes])
+    return p.hint("merge").join(b, ["_g", *[f"_{a}" for a in axes]]).filter(test).drop("_g", *[f"_{a}" for a in axes])
 
 
 def min_plus(points: DataFrame, sources: DataFrame, slope: float, h_min: float, h_max: float, axes: list[str], reach: float | None = None) -> DataFrame:

@@ -11,10 +11,12 @@ from math import pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geometry import closest_on_triangle, tet_aspect, tet_volume, triangle_area, triangle_normal, vec
+from . import ordered
 from .ordered import cut_nearest, largest_gap
-from .spatial import _settle, box_select, cell, spread
+from .spatial import _settle, box_select, cell, fitted, places, spread, told
 
 #: Weights of the curved-mesh scorecard.
 WEIGHTS = {"m1": 0.12, "m2": 0.30, "m3": 0.12, "m4": 0.28, "m5": 0.10, "m6": 0.08}
@@ -236,10 +238,17 @@ def load_faces(faces: DataFrame, boxes: DataFrame, save) -> DataFrame:
     unit = {c: F.col(f"t{c}") / F.nullif(F.col("size"), F.lit(0.0)) for c in "xyz"}
     towards = lambda p: sum((F.col(f"{p}{c}") * unit[c] for c in "yz"), F.col(f"{p}x") * unit["x"])
     inside = inside.withColumn("align", F.abs(towards("n"))).withColumn("along", towards("")).withColumn("fits", (F.col("size") > 1e-30) & (F.col("align") > F.col("least_dot")))
-    inside = save(inside)
-    some = inside.groupBy("box").agg(F.bool_or("fits").alias("any"))
-    kept = save(inside.join(some, "box").filter(~F.coalesce("any", F.lit(False)) | F.col("fits")).withColumn("rank_by", F.col("along") + 0.1 * F.col("align")))
-    sized = kept.filter("expected_area > 0 AND size > 1e-30")
-    cut = cut_nearest(sized, ["box"], "rank_by", ["fid"], "area", F.col("expected_area"))
-    rest = kept.filter("NOT coalesce(expected_area > 0 AND size > 1e-30, false)")
-    return cut.unionByName(rest).select("box", "fid", "area")
+    inside = save(inside.select("box", "fid", "area", "along", "align", "fits", "size", "expected_area"))
+    by_rank = F.col("along") + 0.1 * F.col("align")
+    largest = inside.groupBy("box").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= ordered.ONE_TASK:  # a box's faces fit one task: they are dealt once
+        some = F.coalesce(F.bool_or("fits").over(Window.partitionBy("box")), F.lit(False))
+        kept = inside.withColumn("any", some).filter(~F.col("any") | F.col("fits")).withColumn("rank_by", by_rank)
+    else:
+        some = inside.groupBy("box").agg(F.bool_or("fits").alias("any"))
+        kept = save(inside.join(some, "box").filter(~F.coalesce("any", F.lit(False)) | F.col("fits")).withColumn("rank_by", by_rank))
+    sizes = F.coalesce((F.col("expected_area") > 0) & (F.col("size") > 1e-30), F.lit(False))
+    if largest <= ordered.ONE_TASK:
+        return ordered.with_cut(kept, ["box"], "rank_by", ["fid"], "area", F.col("expected_area")).filter(~sizes | F.col("_stays")).select("box", "fid", "area")
+    cut = cut_nearest(kept.filter(sizes), ["box"], "rank_by", ["fid"], "area", F.col("expected_area"))
+    return cut.unionByName(kept.filter(~sizes)).select("box", "fid", "area")

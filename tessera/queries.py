@@ -700,11 +700,13 @@ def load_selection(spark: SparkSession, d: str) -> DataFrame:
     from .operators import surface
 
     line = table(spark, d, "lineitem")
-    f = line.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("fid"), F.col("l_extendedprice").alias("x"), F.col("l_orderkey").cast("double").alias("y"), F.lit(0.0).alias("z"), F.when(F.col("l_tax") > 0.04, 1.0).otherwise(0.1).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nz"), F.col("l_quantity").alias("area"))
-    once = f.groupBy("o", "fid").agg(F.count("*").alias("c")).filter("c = 1").drop("c")
-    f = f.join(once, ["o", "fid"]).drop("o")
+    own = [F.col("l_extendedprice").alias("x"), F.when(F.col("l_tax") > 0.04, 1.0).otherwise(0.1).alias("nx"), F.col("l_quantity").alias("area")]
+    f = line.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("fid"), *own)
+    f = f.groupBy("o", "fid").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("x", "nx", "area")]).filter("c = 1")
+    save = saver(spark, "loads")
+    f = save(f.select("fid", "x", F.col("o").cast("double").alias("y"), "nx", "area")).withColumns({c: F.lit(0.0) for c in ("z", "ny", "nz")})
     boxes = line.select(F.col("l_orderkey").alias("box")).distinct().select("box", F.lit(-1e12).alias("lo_x"), F.lit(1e12).alias("hi_x"), (F.col("box") - 0.5).alias("lo_y"), (F.col("box") + 0.5).alias("hi_y"), F.lit(-1.0).alias("lo_z"), F.lit(1.0).alias("hi_z"), F.lit(2.0).alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("tz"), F.lit(0.5).alias("least_dot"), F.lit(60.0).alias("expected_area"))
-    return surface.load_faces(f, boxes, saver(spark, "loads"))
+    return surface.load_faces(f, boxes, save)
 
 
 _CORNERS = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_quantity AS x, l_discount * 100 AS y, l_tax * 100 AS z FROM lineitem"

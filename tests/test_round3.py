@@ -129,3 +129,13 @@ def test_min_plus_on_a_line(spark):
     got = {x["pid"]: x["size"] for x in out.collect()}
     assert got == {i: 20.0 if x is None else pytest.approx(max(1.0, min(20.0, min(h + 0.5 * abs(x - a) for a, h in s)))) for i, x in p}
     assert not any("Hash" in n or "Nested" in n for n, _ in joined_rows(out)) and max(n for _, n in joined_rows(out)) == len(p)  # no row for each pair
+
+
+def test_cut_deals_rows_once(spark, monkeypatch):
+    r = random.Random(5)
+    df = spark.createDataFrame([(i % 5, i, r.random(), float(r.randint(1, 9))) for i in range(100)], "p long, id long, lead double, area double")
+    out = {}
+    for one_task in (10**9, 5):
+        monkeypatch.setattr(ordered, "ONE_TASK", one_task)
+        out[one_task] = sorted(x["id"] for x in ordered.cut_nearest(df, ["p"], "lead", ["id"], "area", F.lit(40.0)).collect())
+    assert out[5] == out[10**9] and 0 < len(out[5]) < 100
