@@ -31,23 +31,36 @@ def triangles_of(faces: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def closest_on_surface(points: DataFrame, triangles: DataFrame, size: float, save, most_rounds: int = 12) -> DataFrame:
-    """(pid, tid, d2, x, y, z): each point's nearest point on the surface, the least tid on ties; exact.  Without a triangle there is no row."""
-    triangles = save(triangles.select("tid", *[f"{n}{c}" for n in "abc" for c in "xyz"]))
+    """(pid, tid, d2, x, y, z): each point's nearest point on the surface, the least tid on ties; exact.  Without a triangle there is no row.
 
-    def near(todo: DataFrame, size: float) -> DataFrame:
+    ``size`` is where the search begins at most; it begins with less where triangles
+    are dense.  Points in one place are one search, equal triangles one triangle.
+    """
+    corners = [f"{n}{c}" for n in "abc" for c in "xyz"]
+    triangles = save(triangles.groupBy(*corners).agg(F.min("tid").alias("tid")).select("tid", *corners).dropna(subset=corners))
+    n_t = triangles.count()
+
+    def boxed(size: float, by: float = 0.0) -> DataFrame:
+        """Triangles in the cells of their box, widened by ``by``."""
         t = triangles
         for n, c in zip("ijk", "xyz", strict=True):
-            low, high = F.least(f"a{c}", f"b{c}", f"c{c}"), F.greatest(f"a{c}", f"b{c}", f"c{c}")
+            low, high = F.least(f"a{c}", f"b{c}", f"c{c}") - by, F.greatest(f"a{c}", f"b{c}", f"c{c}") + by
             t = t.withColumn(n, F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))))
+        return t.withColumn("cell", F.struct("i", "j", "k")).drop("i", "j", "k")
+
+    def near(todo: DataFrame, size: float) -> DataFrame:
+        many = todo.count() > n_t  # what there is less of is spread
         p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"])
-        p = p.withColumn("s", F.explode(spread(cell(vec("p"), size), 1))).select("pid", "px", "py", "pz", "s.i", "s.j", "s.k")
-        hit = p.join(t, ["i", "j", "k"]).select("pid", "tid", closest_on_triangle(vec("p"), vec("a"), vec("b"), vec("c")).alias("q"))
+        p = p.withColumn("cell", cell(vec("p"), size) if many else F.explode(spread(cell(vec("p"), size), 1)))
+        hit = p.hint("merge").join(boxed(size, size * (1 + 1e-9) if many else 0.0), "cell").select("pid", "tid", closest_on_triangle(vec("p"), vec("a"), vec("b"), vec("c")).alias("q"))
         best = hit.groupBy("pid").agg(F.min(F.struct(F.col("q.d2").alias("d2"), "tid", "q")).alias("m"))
         return best.select("pid", "m.tid", "m.d2", "m.q.x", "m.q.y", "m.q.z")
 
-    if not triangles.limit(1).count():
+    if not n_t:
         return near(points.limit(0), size)
-    return _settle(points.select("pid", "x", "y", "z"), near, size, save, most_rounds)
+    spots = places(points, save)
+    found = _settle(spots, near, fitted(size, boxed, entries=24.0 * n_t), save, most_rounds)
+    return told(points, spots, found).select("pid", "tid", "d2", "x", "y", "z")
 
 
 def conformity(found: DataFrame, within: float = 1e-6) -> DataFrame:

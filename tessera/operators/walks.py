@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Vec, cross, dot, norm, ray_triangle, segment_distance2, sub, vec
-from .spatial import _settle, cell, samples_along, spread
+from .spatial import _settle, cell, fitted, places, samples_along, spread, told
 from .surface import triangles_of
 
 #: What lies this near to a cell (in cells) counts as inside, so that rounding loses nothing.
@@ -108,18 +108,24 @@ def closest_edge(points: DataFrame, segments: DataFrame, size: float, save, only
     ``only`` keeps some segments (sharp edges, say) before any distance is taken.
     Without a segment there is no row.
     """
-    segments = save((segments if only is None else segments.filter(only)).select("sid", *[f"{n}{c}" for n in "ab" for c in "xyz"]))
+    ends = [f"{n}{c}" for n in "ab" for c in "xyz"]
+    segments = save((segments if only is None else segments.filter(only)).groupBy(*ends).agg(F.min("sid").alias("sid")).select("sid", *ends).dropna(subset=ends))
+    n_s = segments.count()
 
     def near(todo: DataFrame, size: float) -> DataFrame:
-        width = size * (1 + SLACK)
-        s = segments.withColumn("cell", F.explode(cells_along(vec("a"), vec("b"), width)))
-        p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"]).withColumn("cell", F.explode(spread(cell(vec("p"), width), 1)))
+        width, many = size * (1 + SLACK), todo.count() > n_s  # what there is less of is spread
+        own = cells_along(vec("a"), vec("b"), width)
+        s = segments.withColumn("cell", F.explode(F.array_distinct(F.flatten(F.transform(own, lambda at: spread(at, 1)))) if many else own))
+        here = cell(vec("p"), width)
+        p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"]).withColumn("cell", here if many else F.explode(spread(here, 1)))
         d2 = segment_distance2(vec("p"), vec("a"), vec("b"))
-        return p.join(s, "cell").withColumn("d2", d2).groupBy("pid").agg(F.min(F.struct("d2", "sid")).alias("m")).select("pid", "m.sid", "m.d2")
+        return p.hint("merge").join(s, "cell").withColumn("d2", d2).groupBy("pid").agg(F.min(F.struct("d2", "sid")).alias("m")).select("pid", "m.sid", "m.d2")
 
-    if not segments.limit(1).count():
+    if not n_s:
         return near(points.limit(0), size)
-    return _settle(points.select("pid", "x", "y", "z"), near, size, save, 12)
+    spots = places(points, save)
+    start = fitted(size, lambda size: segments.withColumn("cell", F.explode(cells_along(vec("a"), vec("b"), size))), entries=24.0 * n_s)
+    return told(points, spots, _settle(spots, near, start, save, 12)).select("pid", "sid", "d2")
 
 
 def farthest(points: DataFrame, segments: DataFrame, size: float, save, only: Column | None = None) -> float:

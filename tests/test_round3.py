@@ -131,6 +131,25 @@ def test_min_plus_on_a_line(spark):
     assert not any("Hash" in n or "Nested" in n for n, _ in joined_rows(out)) and max(n for _, n in joined_rows(out)) == len(p)  # no row for each pair
 
 
+def test_surface_edges_and_rays_of_equal_things(spark, crowd):
+    p, s, dp, _ = crowd
+    save = saver(spark)
+    tri = "tid long, " + ", ".join(f"{n}{c} double" for n in "abc" for c in "xyz")
+    t = spark.createDataFrame([(i, x, y, z, x + 0.02, y, z, x, y + 0.02, z) for i, x, y, z in s], tri)
+    found = surface.closest_on_surface(dp, t, 4.0, save).select("pid", "tid", "d2")
+    plain = dp.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).crossJoin(t).select("pid", "tid", surface.closest_on_triangle(*[surface.vec(n) for n in "pabc"])["d2"].alias("d2")).groupBy("pid").agg(F.min(F.struct("d2", "tid")).alias("m"))
+    assert sorted(found.collect()) == sorted(plain.select("pid", "m.tid", "m.d2").collect())
+    e = t.select(F.col("tid").alias("sid"), *[f"{n}{c}" for n in "ab" for c in "xyz"])
+    found = walks.closest_edge(dp, e, 4.0, save)
+    plain = dp.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).crossJoin(e).withColumn("d2", walks.segment_distance2(*[walks.vec(n) for n in "pab"])).groupBy("pid").agg(F.min(F.struct("d2", "sid")).alias("m"))
+    assert sorted(found.collect()) == sorted(plain.select("pid", "m.sid", "m.d2").collect())
+    rays = dp.select(F.col("pid").alias("rid"), *[(F.col(c) - v).alias(f"o{c}") for c, v in (("x", 0.0), ("y", 0.0), ("z", 0.05))], *[F.lit(v).alias(f"d{c}") for c, v in (("x", 0.0), ("y", 0.0), ("z", 1.0))])
+    got = {r["rid"]: r["t"] for r in walks.ray_hits(rays, t, 4.0, 9.0, save).collect()}
+    hit = walks.ray_triangle(*[walks.vec(n) for n in "odabc"])
+    want = rays.crossJoin(t).withColumn("t", hit).filter("t > 0 AND t <= 9").groupBy("rid").agg(F.min("t").alias("t"))
+    assert got == {r["rid"]: r["t"] for r in want.collect()} and got
+
+
 def test_cut_deals_rows_once(spark, monkeypatch):
     r = random.Random(5)
     df = spark.createDataFrame([(i % 5, i, r.random(), float(r.randint(1, 9))) for i in range(100)], "p long, id long, lead double, area double")
