@@ -54,31 +54,39 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, reach: float, s
     ``unless`` (over rid and the triangle's columns named in ``carry``) holds are no
     hits.  With ``save`` the rays go band by band, each four times as long as the
     last, and only those without a hit go on: all cells up to a band's end have been
-    seen, so the least hit before it is the first.
+    seen, so the least hit before it is the first.  Cells then begin as small as the
+    triangles are dense, equal triangles are one, and so are equal rays (without ``unless``).
     """
     corners = [f"{n}{c}" for n in "abc" for c in "xyz"]
-    boxed = triangle_cells(triangles.select(*corners, *carry), size)
+    triangles = triangles.select(*corners, *carry)
+    if save:
+        triangles = save(triangles.distinct())
+        size = fitted(size, lambda size: triangle_cells(triangles, size), entries=24.0 * triangles.count())
+    boxed = triangle_cells(triangles, size)
     boxed = save(boxed) if save else boxed
     at = lambda t: tuple(F.col(f"o{c}") + t * F.col(f"d{c}") for c in "xyz")
     hit = ray_triangle(vec("o"), vec("d"), vec("a"), vec("b"), vec("c"))
 
     def band(todo: DataFrame, start: float, end: float) -> DataFrame:
-        pairs = todo.withColumn("cell", F.explode(cells_along(at(start), at(end), size))).join(boxed, "cell")
+        pairs = todo.withColumn("cell", F.explode(cells_along(at(start), at(end), size))).hint("merge").join(boxed, "cell")
         pairs = pairs if unless is None else pairs.filter(~unless)
         return pairs.withColumn("t", hit).filter((F.col("t") > least) & (F.col("t") <= end)).groupBy("rid").agg(F.min("t").alias("t"))
 
     rays = rays.select("rid", *[f"{n}{c}" for n in "od" for c in "xyz"])
     if save is None:
         return band(rays, 0.0, reach)
-    done, todo, start, end = None, save(rays), 0.0, min(reach, 4 * size)
+    line = [f"{n}{c}" for n in "od" for c in "xyz"]
+    once = save(rays.groupBy(*line).agg(F.min("rid").alias("rid")) if unless is None else rays)
+    tell = lambda found: found if unless is not None else rays.hint("merge").join(once.withColumnRenamed("rid", "_rid"), line).select("rid", "_rid").hint("merge").join(found.withColumnRenamed("rid", "_rid"), "_rid").select("rid", "t")
+    done, todo, start, end = None, once, 0.0, min(reach, 4 * size)
     while True:
         found = save(band(todo, start, end))
         done = found if done is None else done.unionByName(found)
         if end >= reach:
-            return done
-        todo = save(todo.join(found.select("rid"), "rid", "left_anti"))
+            return tell(done)
+        todo = save(todo.hint("merge").join(found.select("rid"), "rid", "left_anti"))
         if not todo.limit(1).count():
-            return done
+            return tell(done)
         start, end = end, min(reach, 4 * end)
 
 
