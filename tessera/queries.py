@@ -497,7 +497,7 @@ def protecting_balls(spark: SparkSession, d: str) -> DataFrame:
     r = 0.02 * F.pow(F.lit(2.0), -(F.col("c_nationkey") % 4))
     p = save(table(spark, d, "customer").select(F.col("c_custkey").alias("sid"), ((F.col("c_acctbal") + 1000) / 11000).alias("x"), hashed(7919, 10007).alias("y"), hashed(104729, 20011).alias("z"), r.alias("r")))
     chosen = save(independent_balls(p, save))
-    pairs = spatial.within(p.withColumnRenamed("sid", "pid"), chosen, 0.02 * APART).join(p.select(F.col("sid").alias("pid"), F.col("r").alias("r1")), "pid").join(chosen.select("sid", F.col("r").alias("r2")), "sid")
+    pairs = spatial.within(p.withColumnsRenamed({"sid": "pid", "r": "r1"}), chosen.withColumnRenamed("r", "r2"), 0.02 * APART, ("r1",), ("r2",))
     held = save(pairs.filter((F.col("pid") == F.col("sid")) | (F.sqrt("d2") < APART * F.greatest("r1", "r2"))).select("pid", "sid"))
     both = held.filter("pid <> sid").join(chosen.select(F.col("sid").alias("pid")), "pid", "left_semi").agg(F.count("*").cast("int").alias("n_conflicts"))
     free = p.join(held.select(F.col("pid").alias("sid")), "sid", "left_anti").agg(F.count("*").cast("int").alias("n_addable"))
