@@ -74,29 +74,29 @@ def voronoi_cells(sites: DataFrame, lo, hi, size: float, save, planes=(), size_a
     half = size / 2
     placed = s.withColumn("cell", cell(vec(""), half))
     full = save(placed.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("sid", "x", "y", "z")).alias("one")))
-    sparse = placed.join(full.filter(F.col("n") > CROWD).select("cell"), "cell", "left_anti").select("cell", F.struct(F.col("sid").alias("id"), "x", "y", "z").alias("s"), F.lit(False).alias("crowded"))
+    sparse = placed.hint("merge").join(full.filter(F.col("n") > CROWD).select("cell"), "cell", "left_anti").select("cell", F.struct(F.col("sid").alias("id"), "x", "y", "z").alias("s"), F.lit(False).alias("crowded"))
     crowded = full.filter(F.col("n") > CROWD).select("cell", F.struct(F.col("one.sid").alias("id"), "one.x", "one.y", "one.z").alias("s"), F.lit(True).alias("crowded"))
-    around = placed.select("sid", "x", "y", "z", F.explode(spread(F.col("cell"), 2)).alias("cell")).join(sparse.unionByName(crowded), "cell")
+    around = placed.select("sid", "x", "y", "z", F.explode(spread(F.col("cell"), 2)).alias("cell")).hint("merge").join(sparse.unionByName(crowded), "cell")
     start = around.groupBy("sid", "x", "y", "z").agg(F.filter(F.collect_list("s"), lambda o: o["id"] != F.col("sid")).cast(_SITE).alias("near"), F.max("crowded").alias("crowded"))  # 125 * CROWD at most
     open_ = save(start)
     done = None
     while True:
         made = save(_cells(open_, lo, hi, planes, size_at))
-        own = made.join(open_.select("sid", "x", "y", "z", "near", "crowded"), "sid")
+        own = made.hint("merge").join(open_.select("sid", "x", "y", "z", "near", "crowded"), "sid")
         far = F.aggregate("corners", F.lit(0.0), lambda a, c: F.greatest(a, sum(((c[n] - F.col(x)) * (c[n] - F.col(x)) for n, x in enumerate("yz", 1)), (c[0] - F.col("x")) * (c[0] - F.col("x")))))
         own = own.withColumn("safe", (~F.col("crowded") & (4 * far <= size * size)) | (F.size("corners") == 0))
         probes = save(own.filter("NOT safe").select("sid", "x", "y", "z", F.explode("corners").alias("c")).select(F.struct("sid", F.col("c")).alias("pid"), "x", "y", "z", *[F.col("c")[n].alias(f"c{x}") for n, x in enumerate("xyz")]))
         found = nearest(probes.select("pid", *[F.col(f"c{x}").alias(x) for x in "xyz"]), s, size, save)
         gap = sum(((F.col(f"c{x}") - F.col(x)) * (F.col(f"c{x}") - F.col(x)) for x in "yz"), (F.col("cx") - F.col("x")) * (F.col("cx") - F.col("x")))
-        nearer = probes.join(found.withColumnRenamed("sid", "id"), "pid").filter((F.col("id") != F.col("pid.sid")) & (F.col("d2") < gap * (1 - 1e-9))).select(F.col("pid.sid").alias("sid"), "id").distinct()
-        nearer = nearer.join(open_.select("sid", F.col("near.id").alias("known")), "sid").filter(~F.array_contains("known", F.col("id")))  # within rounding
-        added = save(nearer.join(s.select(F.col("sid").alias("id"), "x", "y", "z"), "id").groupBy("sid").agg(F.collect_list(F.struct("id", "x", "y", "z")).cast(_SITE).alias("added")))
-        final = made.join(added.select("sid"), "sid", "left_anti").drop("corners")
+        nearer = probes.hint("merge").join(found.withColumnRenamed("sid", "id"), "pid").filter((F.col("id") != F.col("pid.sid")) & (F.col("d2") < gap * (1 - 1e-9))).select(F.col("pid.sid").alias("sid"), "id").distinct()
+        nearer = nearer.hint("merge").join(open_.select("sid", F.col("near.id").alias("known")), "sid").filter(~F.array_contains("known", F.col("id")))  # within rounding
+        added = save(nearer.hint("merge").join(s.select(F.col("sid").alias("id"), "x", "y", "z"), "id").groupBy("sid").agg(F.collect_list(F.struct("id", "x", "y", "z")).cast(_SITE).alias("added")))
+        final = made.hint("merge").join(added.select("sid"), "sid", "left_anti").drop("corners")
         done = final if done is None else done.unionByName(final)
         if added.isEmpty():
-            shadowed = every.join(s, "sid", "left_anti").select("sid", *[F.lit(v).cast("double").alias(c) for c, v in (("volume", 0), ("mass", 0), ("cx", None), ("cy", None), ("cz", None))], F.array().cast(done.schema["faces"].dataType).alias("faces"))
+            shadowed = every.hint("merge").join(s, "sid", "left_anti").select("sid", *[F.lit(v).cast("double").alias(c) for c, v in (("volume", 0), ("mass", 0), ("cx", None), ("cy", None), ("cz", None))], F.array().cast(done.schema["faces"].dataType).alias("faces"))
             return done.unionByName(shadowed)
-        grown = open_.join(added, "sid")
+        grown = open_.hint("merge").join(added, "sid")
         open_ = save(grown.select("sid", "x", "y", "z", F.array_distinct(F.concat("near", "added")).alias("near"), F.lit(True).alias("crowded")))
 
 

@@ -480,7 +480,7 @@ def voronoi_cells(spark: SparkSession, d: str) -> DataFrame:
     found = save(cells(p, (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), size, save))
     sides = save(found.select("sid", F.explode("faces").alias("f")).select("sid", F.col("f.owner").alias("other"), G.polygon_area("f.points").alias("area")))
     at = p.toDF("other", "ox", "oy", "oz")
-    near = sides.filter("other >= 0").join(p, "sid").join(at, "other").groupBy("sid").agg(F.round(F.min(G.norm(G.sub(G.vec(""), G.vec("o")))), 9).alias("gap"))
+    near = sides.filter("other >= 0").hint("merge").join(p, "sid").hint("merge").join(at, "other").groupBy("sid").agg(F.round(F.min(G.norm(G.sub(G.vec(""), G.vec("o")))), 9).alias("gap"))
     back = sides.filter("other >= 0").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"), F.when(F.col("sid") < F.col("other"), F.col("area")).otherwise(-F.col("area")).alias("area"))
     mutual = back.groupBy("a", "b").agg(F.sum("area").alias("d")).agg(F.coalesce(F.max(F.abs("d")) < 1e-9, F.lit(True)).alias("mutual"))
     whole = found.agg(F.round(F.sum("volume"), 6).alias("all_cells")).crossJoin(sides.filter("other < 0").agg(F.round(F.sum("area"), 6).alias("all_sides"))).crossJoin(mutual)
