@@ -149,6 +149,26 @@ def ray_triangle(origin: Vec, direction: Vec, a: Vec, b: Vec, c: Vec, eps: float
     return F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (w > eps), w)
 
 
+def ray_triangle_steps(eps: float = 1e-12) -> tuple[list[dict[str, Column]], Column]:
+    """``ray_triangle`` over columns o., d., a., b., c. for very many pairs: columns to add one step after the other, and the distance from them.
+
+    As one expression, what is used twice is worked out again each time, and a filter
+    on it is more code than the JVM compiles.  A filter right after the steps would
+    make it one again: aggregate first.
+    """
+    put = lambda n, v: {f"_{n}{c}": x for c, x in zip("xyz", v, strict=True)}
+    e1, e2, p, t, q = (vec(f"_{n}") for n in ("e", "f", "p", "t", "q"))
+    det, raw, u, v, w = (F.col(f"_{n}") for n in ("det", "raw", "u", "v", "w"))
+    steps = [
+        put("e", sub(vec("b"), vec("a"))) | put("f", sub(vec("c"), vec("a"))) | put("t", sub(vec("o"), vec("a"))),
+        put("p", cross(vec("d"), e2)) | put("q", cross(t, e1)),
+        {"_raw": dot(e1, p)},
+        {"_det": F.nullif(F.when(F.abs(raw) < eps, F.lit(0.0)).otherwise(raw), F.lit(0.0))},
+        {"_u": dot(t, p) / det, "_v": dot(vec("d"), q) / det, "_w": dot(e2, q) / det},
+    ]
+    return steps, F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (w > eps), w)
+
+
 def menger_curvature(a: Vec, b: Vec, c: Vec) -> Column:
     """Four times the area over the product of the sides; 0 for a side without length."""
     sides = norm(sub(b, a)) * norm(sub(c, b)) * norm(sub(c, a))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Vec, cross, dot, norm, ray_triangle, segment_distance2, sub, vec
+from ..functions.geometry import Vec, cross, dot, norm, ray_triangle, ray_triangle_steps, segment_distance2, sub, vec  # noqa: F401
 from .spatial import _settle, cell, fitted, places, samples_along, spread, told
 from .surface import triangles_of
 
@@ -65,12 +65,14 @@ def ray_hits(rays: DataFrame, triangles: DataFrame, size: float, reach: float, s
     boxed = triangle_cells(triangles, size)
     boxed = save(boxed) if save else boxed
     at = lambda t: tuple(F.col(f"o{c}") + t * F.col(f"d{c}") for c in "xyz")
-    hit = ray_triangle(vec("o"), vec("d"), vec("a"), vec("b"), vec("c"))
+    steps, hit = ray_triangle_steps()
 
     def band(todo: DataFrame, start: float, end: float) -> DataFrame:
         pairs = todo.withColumn("cell", F.explode(cells_along(at(start), at(end), size))).hint("merge").join(boxed, "cell")
         pairs = pairs if unless is None else pairs.filter(~unless)
-        return pairs.withColumn("t", hit).filter((F.col("t") > least) & (F.col("t") <= end)).groupBy("rid").agg(F.min("t").alias("t"))
+        for step in steps:
+            pairs = pairs.withColumns(step)
+        return pairs.groupBy("rid").agg(F.min(F.when((hit > least) & (hit <= end), hit)).alias("t")).filter("t IS NOT NULL")
 
     rays = rays.select("rid", *[f"{n}{c}" for n in "od" for c in "xyz"])
     if save is None:
