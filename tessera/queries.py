@@ -477,7 +477,7 @@ def voronoi_cells(spark: SparkSession, d: str) -> DataFrame:
     hashed = lambda a, m: F.col("c_custkey") * a % m / m
     p = save(table(spark, d, "customer").select(F.col("c_custkey").alias("sid"), ((F.col("c_acctbal") + 1000) / 11000).alias("x"), hashed(7919, 10007).alias("y"), hashed(104729, 20011).alias("z")))
     size = 3.2 * max(1, p.count()) ** (-1 / 3)
-    found = save(cells(p, (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), size, save))
+    found = cells(p, (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), size, save)  # written already
     sides = save(found.select("sid", F.explode("faces").alias("f")).select("sid", F.col("f.owner").alias("other"), G.polygon_area("f.points").alias("area")))
     at = p.toDF("other", "ox", "oy", "oz")
     near = sides.filter("other >= 0").hint("merge").join(p, "sid").hint("merge").join(at, "other").groupBy("sid").agg(F.round(F.min(G.norm(G.sub(G.vec(""), G.vec("o")))), 9).alias("gap"))

@@ -36,3 +36,25 @@ def test_ray_pairs_are_tested_in_steps(spark):
     want = rays.crossJoin(t).withColumn("t", walks.ray_triangle(*[walks.vec(n) for n in "odabc"])).filter("t > 0 AND t <= 2").groupBy("rid").agg(F.min("t").alias("t"))
     assert got == {x["rid"]: x["t"] for x in want.collect()} and got
     assert not [x for plan in plans for x in plan.splitlines() if "Join" in x and " / " in x]
+
+
+@pytest.mark.parametrize("near", [128, 12])
+def test_voronoi_cells_are_cut_block_by_block(spark, monkeypatch, near):
+    """No site is joined to those around it row by row; small blocks, small shares and few first others change nothing."""
+    from .test_voronoi import HI, LO, V, brute, clouds, frame
+
+    from tessera.operators import voronoi
+
+    for name, value in (("BLOCK", 2), ("CHUNK", 16), ("NEAR", near)):
+        monkeypatch.setattr(voronoi, name, value)
+    sites = clouds()["even"][:80] + clouds()["knot"][:30]
+    save, plans = watched(spark)
+    found = {x["sid"]: x for x in voronoi.voronoi_cells(frame(spark, sites), LO, HI, 0.5, save).collect()}
+    assert sorted(found) == list(range(len(sites))) and not [p for p in plans[:4] if "collect_list" in p]
+    for n, x in found.items():
+        faces = brute(sites, n)
+        volume, _, centre = V.mass_and_centroid(faces)
+        assert abs(x["volume"] - volume) < 1e-9
+        if volume > 1e-9:
+            assert [x["cx"], x["cy"], x["cz"]] == pytest.approx(centre.tolist(), abs=1e-7)
+            assert {f["owner"] for f in x["faces"]} == {o for o, _ in faces}
