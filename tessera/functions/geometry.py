@@ -136,6 +136,30 @@ def closest_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> Column:
     return F.when((v >= 0) & (w >= 0) & (v + w <= 1), foot).otherwise(F.least(*[at(closest_on_segment(p, s, e)) for s, e in ((a, b), (b, c), (c, a))]))
 
 
+def triangle_distance2_steps() -> tuple[list[dict[str, Column]], Column]:
+    """The d2 of ``closest_on_triangle`` over columns p., a., b., c. for very many pairs, in steps like ``ray_triangle_steps``."""
+    put = lambda n, v: {f"_{n}{c}": x for c, x in zip("xyz", v, strict=True)}
+    p, a, b, c, n = vec("p"), vec("a"), vec("b"), vec("c"), vec("_n")
+    sides = {"1": (a, b), "2": (b, c), "3": (c, a)}  # _s the side, _r from its start to p, _t where the nearest point is
+    e, f, r = vec("_s1"), vec("_f"), vec("_r1")
+    size, v, w, height = (F.col(f"_{x}") for x in ("size", "v", "w", "height"))
+    first, share, apart = put("f", sub(c, a)), {}, {}
+    for k, (s, to) in sides.items():
+        first |= put(f"s{k}", sub(to, s)) | put(f"r{k}", sub(p, s))
+        side = vec(f"_s{k}")
+        share[f"_t{k}"] = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(dot(vec(f"_r{k}"), side) / F.nullif(dot(side, side), F.lit(0.0)), F.lit(0.0))))
+        apart |= put(f"d{k}", sub(p, tuple(x + F.col(f"_t{k}") * y for x, y in zip(s, side, strict=True))))
+    steps = [
+        first,
+        put("n", cross(e, f)) | put("g", cross(r, f)) | put("h", cross(e, r)) | share,
+        {"_size": F.nullif(dot(n, n), F.lit(0.0))},
+        {"_v": dot(vec("_g"), n) / size, "_w": dot(vec("_h"), n) / size, "_height": dot(r, n) / size},
+        apart | put("d0", sub(p, tuple(x - height * y for x, y in zip(p, n, strict=True)))),
+        {f"_q{k}": dot(vec(f"_d{k}"), vec(f"_d{k}")) for k in "0123"},
+    ]
+    return steps, F.when((v >= 0) & (w >= 0) & (v + w <= 1), F.col("_q0")).otherwise(F.least("_q1", "_q2", "_q3"))
+
+
 def ray_triangle(origin: Vec, direction: Vec, a: Vec, b: Vec, c: Vec, eps: float = 1e-12) -> Column:
     """Distance along the ray to the triangle, or null (determinant form)."""
     e1, e2 = sub(b, a), sub(c, a)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geometry import closest_on_triangle, tet_aspect, tet_volume, triangle_area, triangle_normal, vec
+from ..functions.geometry import closest_on_triangle, tet_aspect, tet_volume, triangle_area, triangle_distance2_steps, triangle_normal, vec
 from . import ordered
 from .ordered import cut_nearest, largest_gap
 from .spatial import _settle, box_select, cell, fitted, places, spread, told
@@ -30,15 +30,19 @@ def triangles_of(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return out.drop("a", "b", "c")
 
 
-def closest_on_surface(points: DataFrame, triangles: DataFrame, size: float, save, most_rounds: int = 12) -> DataFrame:
+def closest_on_surface(points: DataFrame, triangles: DataFrame, size: float, save, most_rounds: int = 12, only_distance: bool = False) -> DataFrame:
     """(pid, tid, d2, x, y, z): each point's nearest point on the surface, the least tid on ties; exact.  Without a triangle there is no row.
 
+    With ``only_distance`` it is (pid, d2): the least of a number needs no sort of all
+    pairs, as that of a row does, and pairs are measured in steps.
+
     ``size`` is where the search begins at most; it begins with less where triangles
     are dense.  Points in one place are one search, equal triangles one triangle.
     """
     corners = [f"{n}{c}" for n in "abc" for c in "xyz"]
     triangles = save(triangles.groupBy(*corners).agg(F.min("tid").alias("tid")).select("tid", *corners).dropna(subset=corners))
     n_t = triangles.count()
+    steps, d2 = triangle_distance2_steps()
 
     def boxed(size: float, by: float = 0.0) -> DataFrame:
         """Triangles in the cells of their box, widened by ``by``."""
@@ -52,7 +56,12 @@ def closest_on_surface(points: DataFrame, triangles: DataFrame, size: float, sav
         many = todo.count() > n_t  # what there is less of is spread
         p = todo.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"])
         p = p.withColumn("cell", cell(vec("p"), size) if many else F.explode(spread(cell(vec("p"), size), 1)))
-        hit = p.hint("merge").join(boxed(size, size * (1 + 1e-9) if many else 0.0), "cell").select("pid", "tid", closest_on_triangle(vec("p"), vec("a"), vec("b"), vec("c")).alias("q"))
+        pairs = p.hint("merge").join(boxed(size, size * (1 + 1e-9) if many else 0.0), "cell")
+        if only_distance:
+            for step in steps:
+                pairs = pairs.withColumns(step)
+            return pairs.groupBy("pid").agg(F.min(d2).alias("d2"))
+        hit = pairs.select("pid", "tid", closest_on_triangle(vec("p"), vec("a"), vec("b"), vec("c")).alias("q"))
         best = hit.groupBy("pid").agg(F.min(F.struct(F.col("q.d2").alias("d2"), "tid", "q")).alias("m"))
         return best.select("pid", "m.tid", "m.d2", "m.q.x", "m.q.y", "m.q.z")
 
@@ -60,7 +69,7 @@ def closest_on_surface(points: DataFrame, triangles: DataFrame, size: float, sav
         return near(points.limit(0), size)
     spots = places(points, save)
     found = _settle(spots, near, fitted(size, boxed, entries=24.0 * n_t), save, most_rounds)
-    return told(points, spots, found).select("pid", "tid", "d2", "x", "y", "z")
+    return told(points, spots, found).select("pid", *(["d2"] if only_distance else ["tid", "d2", "x", "y", "z"]))
 
 
 def conformity(found: DataFrame, within: float = 1e-6) -> DataFrame:

@@ -635,7 +635,7 @@ def surface_distance(spark: SparkSession, d: str) -> DataFrame:
     from .operators import surface
 
     p, t = _customers_and_triangles(spark, d)
-    found = surface.closest_on_surface(p, t, 8.0, saver(spark, "surface"))
+    found = surface.closest_on_surface(p, t, 8.0, saver(spark, "surface"), only_distance=True)
     return found.select("pid", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 

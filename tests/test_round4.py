@@ -58,3 +58,13 @@ def test_voronoi_cells_are_cut_block_by_block(spark, monkeypatch, near):
         if volume > 1e-9:
             assert [x["cx"], x["cy"], x["cz"]] == pytest.approx(centre.tolist(), abs=1e-7)
             assert {f["owner"] for f in x["faces"]} == {o for o, _ in faces}
+
+
+def test_distances_alone_need_no_sort_of_pairs(spark):
+    """Flat triangles, points on and off them: the distances of the whole search."""
+    r = random.Random(5)
+    t = spark.createDataFrame([*corners(40, 2), (98, *[0.5] * 9), (99, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0, 1.0, 0.0, 0.0)], TRI)
+    p = spark.createDataFrame([(i, *[r.uniform(-2, 2) for _ in range(3)]) for i in range(60)] + [(60, 0.5, 0.5, 0.5)], "pid long, x double, y double, z double")
+    want = p.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).crossJoin(t).groupBy("pid").agg(F.min(surface.closest_on_triangle(*[surface.vec(n) for n in "pabc"])["d2"]).alias("d2"))
+    got = surface.closest_on_surface(p, t, 1.0, saver(spark), only_distance=True)
+    assert got.columns == ["pid", "d2"] and sorted(got.collect()) == sorted(want.collect())
