@@ -47,11 +47,14 @@ def protecting_radii(samples: DataFrame, h: float, save) -> DataFrame:
 
 
 def _drop_excluded(rest: DataFrame, chosen: DataFrame, size: float, apart: float) -> DataFrame:
-    """The candidates that no chosen ball (of reach ``size``) excludes, each chosen ball itself included."""
+    """The candidates that no chosen ball (of reach ``size``) excludes, each chosen ball itself included.
+
+    No side is broadcast: chosen balls are spread over 27 cells, which Spark's estimate of their size does not count.
+    """
     c = chosen.select(*[F.col(x).alias(f"c{x}") for x in ("x", "y", "z", "r")]).withColumn("cell", F.explode(spread(cell(vec("c"), size), 1)))
     d = sub(vec(""), vec("c"))
-    gone = rest.withColumn("cell", cell(vec(""), size)).join(c, "cell").filter(dot(d, d) < F.pow(apart * F.greatest("r", "cr"), F.lit(2.0))).select("sid")
-    return rest.join(gone, "sid", "left_anti")
+    gone = rest.withColumn("cell", cell(vec(""), size)).hint("merge").join(c, "cell").filter(dot(d, d) < F.pow(apart * F.greatest("r", "cr"), F.lit(2.0))).select("sid")
+    return rest.hint("merge").join(gone, "sid", "left_anti")
 
 
 def independent_balls(sites: DataFrame, save, apart: float = APART) -> DataFrame:
@@ -70,7 +73,7 @@ def independent_balls(sites: DataFrame, save, apart: float = APART) -> DataFrame
             best = save(todo.groupBy(cell(vec(""), size / 2).alias("cell")).agg(F.min(F.struct("first", "sid", "x", "y", "z", "r")).alias("b")))
             if best.isEmpty():
                 break
-            around = best.select("cell", "b", F.explode(spread(F.col("cell"), 2)).alias("near")).join(best.select(F.col("cell").alias("near"), F.col("b.first").alias("other")), "near")
+            around = best.select("cell", "b", F.explode(spread(F.col("cell"), 2)).alias("near")).hint("merge").join(best.select(F.col("cell").alias("near"), F.col("b.first").alias("other")), "near")
             wins = save(around.groupBy("b.sid").agg(F.min("b").alias("b"), F.min("other").alias("other")).filter("b.first = other").select("b.sid", "b.x", "b.y", "b.z", "b.r"))
             picked = wins if picked is None else picked.unionByName(wins)
             todo = save(_drop_excluded(todo, wins, size, apart))

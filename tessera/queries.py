@@ -499,8 +499,8 @@ def protecting_balls(spark: SparkSession, d: str) -> DataFrame:
     chosen = save(independent_balls(p, save))
     pairs = spatial.within(p.withColumnsRenamed({"sid": "pid", "r": "r1"}), chosen.withColumnRenamed("r", "r2"), 0.02 * APART, ("r1",), ("r2",))
     held = save(pairs.filter((F.col("pid") == F.col("sid")) | (F.sqrt("d2") < APART * F.greatest("r1", "r2"))).select("pid", "sid"))
-    both = held.filter("pid <> sid").join(chosen.select(F.col("sid").alias("pid")), "pid", "left_semi").agg(F.count("*").cast("int").alias("n_conflicts"))
-    free = p.join(held.select(F.col("pid").alias("sid")), "sid", "left_anti").agg(F.count("*").cast("int").alias("n_addable"))
+    both = held.filter("pid <> sid").hint("merge").join(chosen.select(F.col("sid").alias("pid")), "pid", "left_semi").agg(F.count("*").cast("int").alias("n_conflicts"))
+    free = p.hint("merge").join(held.select(F.col("pid").alias("sid")), "sid", "left_anti").agg(F.count("*").cast("int").alias("n_addable"))
     return p.agg(F.count("*").alias("n_sites")).crossJoin(both).crossJoin(free)  # single rows
 
 

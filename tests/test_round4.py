@@ -68,3 +68,16 @@ def test_distances_alone_need_no_sort_of_pairs(spark):
     want = p.withColumnsRenamed({c: f"p{c}" for c in "xyz"}).crossJoin(t).groupBy("pid").agg(F.min(surface.closest_on_triangle(*[surface.vec(n) for n in "pabc"])["d2"]).alias("d2"))
     got = surface.closest_on_surface(p, t, 1.0, saver(spark), only_distance=True)
     assert got.columns == ["pid", "d2"] and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_choosing_balls_broadcasts_nothing(spark):
+    """Chosen balls are spread over 27 cells each, which the estimate that allows a broadcast does not see."""
+    r = random.Random(6)
+    sites = spark.createDataFrame([(i, r.random(), r.random(), 0.0, 0.2) for i in range(25)], "sid long, x double, y double, z double, r double")
+    plain, plans = saver(spark), []
+    save = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df)
+    rows = sites.collect()
+    kept = {x["sid"] for x in protect.independent_balls(sites, save).collect()}
+    assert kept and all(dist(a[1:4], b[1:4]) >= protect.APART * 0.2 for a in rows for b in rows if a["sid"] in kept and b["sid"] in kept and a != b)
+    assert all(any(dist(a[1:4], b[1:4]) < protect.APART * 0.2 for b in rows if b["sid"] in kept) for a in rows)
+    assert not [p for p in plans if "Broadcast" in p]
